@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,17 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 64-vector as an 8x8 RGB image: green is the scaled vector, red the
     reversed one, blue the one shifted by 16 positions."""
-    scaled = F.transform(
-        "embedding",
-        lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((v.cast("double") + 0.5) * 255).cast("int"))).cast("smallint"),
+    scaled = (
+        "transform(embedding, v -> CAST(least(255, greatest(0, floor((CAST(v AS DOUBLE) + 0.5D) * 255))) AS SMALLINT))"
     )
     return (
         table(spark, sf_dir, "embeddings")
-        .select(F.col("vec_id").alias("image_id"), F.col("label").cast("string").alias("label"), scaled.alias("green"))
-        .select(
-            "image_id", "label", F.lit(8).alias("h"), F.lit(8).alias("w"), F.lit(True).alias("ok"),
-            F.reverse("green").alias("red"), "green",
-            F.concat(F.slice("green", 17, 48), F.slice("green", 1, 16)).alias("blue"),
+        .selectExpr("vec_id AS image_id", "CAST(label AS STRING) AS label", f"{scaled} AS green")
+        .selectExpr(
+            "image_id", "label", "8 AS h", "8 AS w", "true AS ok", "reverse(green) AS red", "green",
+            "concat(slice(green, 17, 48), slice(green, 1, 16)) AS blue",
         )
     )
 
@@ -31,22 +28,19 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vec_id, f_00..f_63, label`` with missing, infinite and constant columns
     put in by rule."""
-    rules = {
-        0: lambda v: F.when(F.col("vec_id") % 7 == 0, None).otherwise(v),
-        1: lambda v: F.when(F.col("vec_id") % 2 == 0, None).otherwise(v),
-        2: lambda v: F.when(F.col("vec_id") % 11 == 0, F.lit(float("inf"))).otherwise(v),
-        3: lambda v: F.lit(1.0),
-    }
-    cells = []
-    for i in range(64):
-        value = F.col("embedding")[i].cast("double")
-        cells.append(rules.get(i, lambda v: v)(value).alias(f"f_{i:02d}"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", *cells, "label")
+    cells = [f"CAST(embedding[{i}] AS DOUBLE)" for i in range(64)]
+    cells[0] = f"CASE WHEN vec_id % 7 <> 0 THEN {cells[0]} END"
+    cells[1] = f"CASE WHEN vec_id % 2 <> 0 THEN {cells[1]} END"
+    cells[2] = f"CASE WHEN vec_id % 11 = 0 THEN double('Infinity') ELSE {cells[2]} END"
+    cells[3] = "1.0D"
+    return table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id", *[f"{c} AS f_{i:02d}" for i, c in enumerate(cells)], "label"
+    )
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vec_id, truth, prediction``: every fifth row is off by one class."""
-    wrong = F.when(F.col("vec_id") % 5 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
-    return table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.col("label").cast("string").alias("truth"), wrong.cast("string").alias("prediction")
+    return table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id", "CAST(label AS STRING) AS truth",
+        "CAST(CASE WHEN vec_id % 5 = 0 THEN (label + 1) % 10 ELSE label END AS STRING) AS prediction",
     )

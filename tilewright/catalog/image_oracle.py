@@ -69,10 +69,10 @@ def _shapes(p: str, mask: str) -> str:
    FROM {p}px x LEFT JOIN {p}code k USING (image_id, r, c) GROUP BY ALL),
 {p}mom AS (SELECT image_id, region, count(*)::DOUBLE AS area, avg(r) AS centroid_r, avg(c) AS centroid_c,
      min(r)::INTEGER AS min_r, min(c)::INTEGER AS min_c, (max(r) + 1)::INTEGER AS max_r, (max(c) + 1)::INTEGER AS max_c,
-     var_pop(r) AS vr, var_pop(c) AS vc, covar_pop(r, c) AS vrc FROM {p}px GROUP BY ALL),
-{p}eig AS (SELECT *, greatest((vr + vc + sqrt((vr - vc) * (vr - vc) + 4 * vrc * vrc)) / 2, 0) AS l1,
-     CASE WHEN abs(vr * vc - vrc * vrc) < 1e-12 THEN 0
-          ELSE greatest((vr + vc - sqrt((vr - vc) * (vr - vc) + 4 * vrc * vrc)) / 2, 0) END AS l2 FROM {p}mom),
+     CAST(count(*) * sum(r * r) - sum(r) * sum(r) AS DOUBLE) AS vr, CAST(count(*) * sum(c * c) - sum(c) * sum(c) AS DOUBLE) AS vc,
+     CAST(count(*) * sum(r * c) - sum(r) * sum(c) AS DOUBLE) AS vrc FROM {p}px GROUP BY ALL),
+{p}eig AS (SELECT *, (vr + vc + sqrt((vr - vc) * (vr - vc) + 4 * vrc * vrc)) / (2 * area * area) AS l1,
+     greatest(vr + vc - sqrt((vr - vc) * (vr - vc) + 4 * vrc * vrc), 0) / (2 * area * area) AS l2 FROM {p}mom),
 {p}reg AS MATERIALIZED (SELECT m.*, 4 * sqrt(l1) AS major_axis, 4 * sqrt(l2) AS minor_axis,
      CASE WHEN l1 = 0 THEN 0 ELSE sqrt(1 - l2 / l1) END AS eccentricity, w.perimeter,
      CASE WHEN l2 > 0 THEN sqrt(l1) / sqrt(l2) ELSE 0 END AS aspect_ratio,
@@ -296,8 +296,9 @@ _LABELLED = _q(
 _NEAREST = _q(f"{CELLS}, {IMAGES}, {NEIGHBOURS}", f"SELECT image_id, {_r('nn_mean', 'nn_mean')}, {_r('nn_std', 'nn_std')} FROM nn")
 
 
-def _lines(key: str) -> str:
-    columns = ", ".join([six("l_quantity", "qty", 4), six("l_extendedprice", "price", 4), six("l_discount", "discount", 4)])
+def _lines(key: str, digits: int) -> str:
+    named = {"qty": "l_quantity", "price": "l_extendedprice", "discount": "l_discount"}
+    columns = ", ".join(six(column, prefix, digits) for prefix, column in named.items())
     return f"SELECT {key}, {columns} FROM lineitem GROUP BY {key}"
 
 
@@ -363,8 +364,8 @@ ORACLE: dict[str, str] = {
         "FROM px JOIN span USING (image_id) JOIN thr USING (image_id)",
     ),
     "intensity_stats": _q(f"{TILES}, {_INTENSITY}", f"SELECT image_id, {_intensity_columns(6)} FROM mo"),
-    "order_line_summary": _lines("l_orderkey"),
-    "line_summary_ranked_medians": _lines("l_returnflag"),
+    "order_line_summary": _lines("l_orderkey", 7),
+    "line_summary_ranked_medians": _lines("l_returnflag", 4),
     "summary_stats_skip_missing": _q(ALL_REGIONS, f"SELECT image_id, {six('nc_ratio', 'nc_ratio')} FROM full_cells GROUP BY image_id"),
     "cell_count_density": _q(
         f"{TILES}, {OTSU}, {_components('c', 'cellmask')}, {IMAGES}",

@@ -19,8 +19,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, negative zero folded, for comparison with SQL."""
-    return df.select(*[
-        (F.round(F.col(f"`{n}`"), digits) + 0.0).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes
+    return df.selectExpr(*[
+        f"round(`{n}`, {digits}) + 0.0D AS `{n}`" if t == "double" else f"`{n}`" for n, t in df.dtypes
     ])
 
 
@@ -42,8 +42,8 @@ def gray_channel(spark, sf):
 
 def normalize_channel(spark, sf):
     px = raster.pixels(tiles(spark, sf))
-    return rounded(px.select(
-        "image_id", "r", "c", normalised(F.col("red")).alias("red_norm"), normalised(F.col("green")).alias("green_norm")
+    return rounded(px.selectExpr(
+        "image_id", "r", "c", f"{normalised('red')} AS red_norm", f"{normalised('green')} AS green_norm"
     ), 9)
 
 
@@ -214,7 +214,7 @@ _LINE_MEASURES = {"qty": "l_quantity", "price": "l_extendedprice", "discount": "
 
 def order_line_summary(spark, sf):
     lines = table(spark, sf, "lineitem")
-    return rounded(summarise(lines, ["l_orderkey"], _LINE_MEASURES), 4)
+    return rounded(summarise(lines, ["l_orderkey"], _LINE_MEASURES), 7)
 
 
 def line_summary_ranked_medians(spark, sf):
@@ -223,15 +223,16 @@ def line_summary_ranked_medians(spark, sf):
 
 
 def flatten_arrays(spark, sf):
-    source = table(spark, sf, "embeddings")
-    long = flatten_array(F.col("embedding"), "emb")
-    short = flatten_array(F.slice("embedding", 1, 8), "head")
-    empty = flatten_array(F.slice("embedding", 1, 0), "none")
-    words = countable_only(F.transform("embedding", lambda v: v.cast("string")), "words")
+    columns = {
+        **flatten_array("embedding", "emb"),
+        **flatten_array("slice(embedding, 1, 8)", "head"),
+        **flatten_array("slice(embedding, 1, 0)", "none"),
+        **countable_only("transform(embedding, v -> CAST(v AS STRING))", "words"),
+    }
     wanted = [f"emb_{s}" for s in ("count", "mean", "median", "std", "min", "max")]
     wanted += [f"head_{i}" for i in range(8)] + [f"none_{s}" for s in ("count", "mean", "max")] + ["words_count"]
-    columns = {**long, **short, **empty, **words}
-    return rounded(source.select("vec_id", *[columns[n].alias(n) for n in wanted]))
+    source = table(spark, sf, "embeddings")
+    return rounded(source.selectExpr("vec_id", *[f"{columns[n]} AS {n}" for n in wanted]))
 
 
 def image_features_query(spark, sf):
@@ -241,14 +242,12 @@ def image_features_query(spark, sf):
 def feature_families(spark, sf):
     """How many columns each family brings and their mean over all images."""
     wide = image_features(tiles(spark, sf))
-    parts = []
-    for family, names in FAMILIES.items():
-        total = sum((F.abs(F.col(f"`{n}`")) for n in names), F.lit(0.0))
-        parts.append(F.struct(F.lit(family).alias("family"), F.lit(len(names)).alias("columns"), total.alias("t")))
-    return rounded(
-        wide.select(F.explode(F.array(*parts)).alias("p")).groupBy("p.family", "p.columns")
-        .agg(F.avg("p.t").alias("mean_total")), 3
+    parts = ", ".join(
+        f"struct('{family}' AS family, {len(names)} AS columns, {' + '.join(f'abs(`{n}`)' for n in names)} AS t)"
+        for family, names in FAMILIES.items()
     )
+    long = wide.selectExpr(f"inline(array({parts}))")
+    return rounded(long.groupBy("family", "columns").agg(F.expr("avg(t) AS mean_total")), 3)
 
 
 QUERIES: dict[str, Query] = {

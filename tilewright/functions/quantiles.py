@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,24 +20,25 @@ def exact_medians(long: DataFrame, keys: Sequence[str], value: str, accuracy: in
     """
     keys = list(keys)
     margin = 2.0 / accuracy
-    brackets = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(value, [0.5 - margin, 0.5 + margin], accuracy).alias("_q"),
-    ).select(*keys, "_n", F.col("_q")[0].alias("_lo"), F.col("_q")[1].alias("_hi"))
-
-    v = F.col(value)
-    marked = long.join(brackets, keys).filter(v <= F.col("_hi"))
-    # One row per group for everything below the bracket, one per value inside it.
-    inside = F.when(v >= F.col("_lo"), v)
-    tallies = marked.groupBy(*keys, inside.alias("_v")).agg(
-        F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n")
+    brackets = long.groupBy(*keys).agg(F.expr(
+        f"struct(count(1) AS _n, percentile_approx({value}, array({0.5 - margin}D, {0.5 + margin}D), {accuracy}) AS _q) AS _s"
+    )).selectExpr(*keys, "_s._n", "_s._q[0] AS _lo", "_s._q[1] AS _hi")
+    tallies = (
+        long.join(brackets, keys)
+        .filter(f"{value} <= _hi")
+        # One row per group for everything below the bracket, one per value inside it.
+        .selectExpr(*keys, "_n", f"CASE WHEN {value} >= _lo THEN {value} END AS _v")
+        .groupBy(*keys, "_n", "_v").agg(F.expr("count(1) AS _c"))
     )
-    w = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first())
-    upto = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = tallies.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_c"))
-    low = F.floor((F.col("_n") + 1) / 2)
-    high = F.floor((F.col("_n") + 2) / 2)
-    holds = lambda k: (F.col("_from") < k) & (k <= F.col("_upto"))
+    by = ", ".join(keys)
+    ranked = tallies.selectExpr(
+        *keys, "_n", "_v", "_c",
+        f"sum(_c) OVER (PARTITION BY {by} ORDER BY _v ASC NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _upto",
+    )
+
+    def at_rank(k: str) -> str:
+        return f"max(CASE WHEN _upto - _c < {k} AND {k} <= _upto THEN _v END)"
+
     return ranked.groupBy(*keys).agg(
-        ((F.max(F.when(holds(low), F.col("_v"))) + F.max(F.when(holds(high), F.col("_v")))) / 2).alias("median")
+        F.expr(f"({at_rank('floor((_n + 1) / 2)')} + {at_rank('floor((_n + 2) / 2)')}) / 2 AS median")
     )

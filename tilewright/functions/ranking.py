@@ -11,46 +11,39 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def number_within(
-    df: DataFrame,
-    group: Sequence[str],
-    bucket: Column,
-    order: Sequence[Column],
-    name: str = "rn",
-    total: str | None = None,
+    df: DataFrame, group: Sequence[str], bucket: str, order: str, name: str = "rn", total: str | None = None
 ) -> DataFrame:
     """Adds ``name`` = 1..n inside each group; ``bucket`` must rise with ``order``.
 
     ``total`` optionally names a column for the group size.
     """
-    group = list(group)
-    keyed = df.withColumn("_bucket", bucket)
-    sizes = keyed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    over_group = Window.partitionBy(*group)
-    before = over_group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(
+    by = ", ".join(group)
+    keyed = df.withColumn("_bucket", F.expr(bucket))
+    sizes = keyed.groupBy(*group, "_bucket").agg(F.expr("count(1) AS _n"))
+    shifts = sizes.selectExpr(
         *group,
         "_bucket",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"),
-        *([F.sum("_n").over(over_group).alias(total)] if total else []),
+        f"coalesce(sum(_n) OVER (PARTITION BY {by} ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _shift",
+        *([f"sum(_n) OVER (PARTITION BY {by}) AS {total}"] if total else []),
     )
-    inside = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(*order))
+    inside = f"CAST(row_number() OVER (PARTITION BY {by}, _bucket ORDER BY {order}) AS BIGINT)"
     return (
         keyed.join(shifts, [*group, "_bucket"])
-        .withColumn(name, inside.cast("bigint") + F.col("_shift"))
+        .withColumn(name, F.expr(f"{inside} + _shift"))
         .drop("_bucket", "_shift")
     )
 
 
-def hashed_order(seed: int, key: Column) -> Column:
+def hashed_order(seed: int, key: str) -> str:
     """Repeatable shuffling key, the same in any SQL engine with MD5."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+    return f"md5(concat('{seed}:', CAST({key} AS STRING)))"
 
 
-def hash_bucket(hashed: Column, digits: int = 3) -> Column:
+def hash_bucket(hashed: str, digits: int = 3) -> str:
     """16**digits evenly filled buckets in hash order."""
-    return F.substring(hashed, 1, digits)
+    return f"substring({hashed}, 1, {digits})"

@@ -1,58 +1,65 @@
-"""Scalar column expressions shared by the operators."""
+"""Scalar expressions shared by the operators, as SQL text.
+
+Operators build their projections from SQL text: one call per projection
+instead of one call per node of the expression tree keeps wide plans cheap to
+construct, and Catalyst sees the same tree.
+"""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def int_div(numerator: Column, denominator: Column | int) -> Column:
-    """Integer division, truncating, as INT."""
-    right = F.lit(denominator) if isinstance(denominator, int) else denominator
-    return F.call_function("div", numerator, right).cast("int")
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def number(value: float) -> str:
+    """A DOUBLE literal."""
+    return f"{float(value)!r}D"
 
 
-def gray(red: Column, green: Column, blue: Column) -> Column:
+def gray(red: str, green: str, blue: str) -> str:
     """Mean of the three channels, truncated to a whole grey level."""
-    return int_div(red.cast("int") + green + blue, 3)
+    return f"CAST((CAST({red} AS INT) + {green} + {blue}) DIV 3 AS SMALLINT)"
 
 
-def normalised(channel: Column) -> Column:
+def normalised(channel: str) -> str:
     """Channel value on the 0..1 scale."""
-    return channel / F.lit(255.0)
+    return f"({channel} / 255.0D)"
 
 
-def safe_ratio(numerator: Column, denominator: Column) -> Column:
+def safe_ratio(numerator: str, denominator: str) -> str:
     """Division that gives 0 where the denominator is not positive."""
-    return F.when(denominator > 0, numerator / denominator).otherwise(F.lit(0.0))
+    return f"CASE WHEN {denominator} > 0 THEN {numerator} / {denominator} ELSE 0.0D END"
 
 
-def circularity(area: Column, perimeter: Column) -> Column:
+def circularity(area: str, perimeter: str) -> str:
     """4*pi*area / perimeter^2, 0 for a region without perimeter."""
-    return safe_ratio(F.lit(4.0 * math.pi) * area, perimeter * perimeter)
+    return safe_ratio(f"({number(4 * math.pi)} * {area})", f"({perimeter} * {perimeter})")
 
 
-def nc_ratio(nucleus_area: Column, cell_area: Column) -> Column:
+def nc_ratio(nucleus_area: str, cell_area: str) -> str:
     """Nucleus area over cytoplasm area.
 
     A cell without nucleus gives 0; a cell with no cytoplasm left gives NULL,
     so it drops out of the aggregates.
     """
-    cytoplasm = F.greatest(cell_area - nucleus_area, F.lit(0.0))
+    cytoplasm = f"greatest({cell_area} - {nucleus_area}, 0.0D)"
     return (
-        F.when(nucleus_area.isNull() | (nucleus_area == 0), F.lit(0.0))
-        .when(cytoplasm > 0, nucleus_area / cytoplasm)
+        f"CASE WHEN {nucleus_area} IS NULL OR {nucleus_area} = 0 THEN 0.0D "
+        f"WHEN {cytoplasm} > 0 THEN {nucleus_area} / {cytoplasm} END"
     )
 
 
-def finite(value: Column) -> Column:
+def finite(value: str) -> str:
     """NaN and both infinities become NULL."""
-    x = value.cast("double")
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
+    return f"CASE WHEN abs(CAST({value} AS DOUBLE)) < double('Infinity') THEN CAST({value} AS DOUBLE) END"
 
 
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
@@ -64,7 +71,9 @@ def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
 def inf_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Missing values of every numeric column as NULL, in one projection."""
     targets = set(numeric_columns(df) if columns is None else columns)
-    return df.select(*[finite(F.col(c)).alias(c) if c in targets else F.col(c) for c in df.columns])
+    return df.selectExpr(*[
+        f"{finite(quoted(c))} AS {quoted(c)}" if c in targets else quoted(c) for c in df.columns
+    ])
 
 
 def fill_missing_zero(df: DataFrame) -> DataFrame:
@@ -95,9 +104,9 @@ def missing_columns(expected: Sequence[str], available: Iterable[str]) -> list[s
     return [n for n in expected if n not in have]
 
 
-def display_name(name: Column) -> Column:
+def display_name(name: str) -> str:
     """``nn_mean`` -> ``Nn Mean``."""
-    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+    return f"initcap(replace({name}, '_', ' '))"
 
 
 def gabor_stem(frequency: float, theta: float) -> str:

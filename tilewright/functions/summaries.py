@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.quantiles import exact_medians
@@ -15,21 +15,22 @@ STATS = ("count", "mean", "median", "std", "min", "max")
 GATHER_ROWS = 2_000_000
 
 
-def _aggregates(prefix: str, column: str, with_median: bool) -> list[Column]:
-    x = F.col(column).cast("double")
+def _aggregates(prefix: str, column: str, with_median: bool) -> list[str]:
+    x = f"CAST({column} AS DOUBLE)"
     found = {
-        "count": F.count(x).cast("double"),
-        "mean": F.avg(x),
-        "median": F.median(x),
-        "std": F.stddev_pop(x),
-        "min": F.min(x),
-        "max": F.max(x),
+        "count": f"CAST(count({column}) AS DOUBLE)",
+        "mean": f"avg({x})",
+        "median": f"median({x})",
+        "std": f"stddev_pop({x})",
+        "min": f"min({x})",
+        "max": f"max({x})",
     }
-    return [
-        F.coalesce(found[s], F.lit(0.0)).alias(f"{prefix}_{s}")
-        for s in STATS
-        if with_median or s != "median"
-    ]
+    return [f"coalesce({found[s]}, 0.0D) AS {prefix}_{s}" for s in STATS if with_median or s != "median"]
+
+
+def _grouped(df: DataFrame, keys: Sequence[str], aggregates: Sequence[str]) -> DataFrame:
+    packed = df.groupBy(*keys).agg(F.expr(f"struct({', '.join(aggregates)}) AS _s"))
+    return packed.select(*keys, "_s.*")
 
 
 def summarise(
@@ -51,60 +52,49 @@ def summarise(
     """
     keys = list(keys)
     if largest_group is None:
-        biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-        largest_group = biggest or 0
+        largest_group = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     if largest_group <= gather_rows:
-        aggs = [a for p, c in measures.items() for a in _aggregates(p, c, True)]
-        return df.groupBy(*keys).agg(*aggs)
-
-    aggs = [a for p, c in measures.items() for a in _aggregates(p, c, False)]
-    plain = df.groupBy(*keys).agg(*aggs)
-    long = df.select(
-        *keys,
-        F.explode(
-            F.array(*[F.struct(F.lit(p).alias("measure"), F.col(c).cast("double").alias("value")) for p, c in measures.items()])
-        ).alias("m"),
-    ).select(*keys, "m.measure", "m.value").filter("value is not null")
+        return _grouped(df, keys, [a for p, c in measures.items() for a in _aggregates(p, c, True)])
+
+    plain = _grouped(df, keys, [a for p, c in measures.items() for a in _aggregates(p, c, False)])
+    entries = ", ".join(f"struct('{p}' AS measure, CAST({c} AS DOUBLE) AS value)" for p, c in measures.items())
+    long = (
+        df.selectExpr(*keys, f"explode(array({entries})) AS m")
+        .selectExpr(*keys, "m.measure", "m.value").filter("value IS NOT NULL")
+    )
     medians = exact_medians(long, [*keys, "measure"], "value")
-    wide = medians.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("measure") == p, F.col("median"))).alias(f"{p}_median") for p in measures]
+    wide = _grouped(medians, keys, [f"max(CASE WHEN measure = '{p}' THEN median END) AS {p}_median" for p in measures])
+    return plain.join(wide, keys, "left").selectExpr(
+        *keys, *[f"coalesce({p}_{s}, 0.0D) AS {p}_{s}" for p in measures for s in STATS]
     )
-    ordered = [
-        F.coalesce(F.col(f"{p}_{s}"), F.lit(0.0)).alias(f"{p}_{s}") for p in measures for s in STATS
-    ]
-    return plain.join(wide, keys, "left").select(*keys, *ordered)
 
 
-def flatten_array(array: Column, name: str, limit: int = 20) -> dict[str, Column]:
+def flatten_array(array: str, name: str, limit: int = 20) -> dict[str, str]:
     """Scalars for one array column.
 
     Up to ``limit`` items become ``name_0 .. name_<limit-1>`` (absent ones NULL);
     empty and longer arrays become the six statistics (NULL for short arrays).
     Statistics are array expressions, so no row leaves its partition.
     """
-    values = F.transform(array, lambda v: v.cast("double"))
-    n = F.size(values)
-    short = (n > 0) & (n <= limit)
-    ordered = F.array_sort(values)
-    total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
-    mean = total / n
-    spread = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
-    low_mid = F.get(ordered, F.floor((n - 1) / 2).cast("int"))
-    high_mid = F.get(ordered, F.floor(n / 2).cast("int"))
+    values = f"transform({array}, v -> CAST(v AS DOUBLE))"
+    n = f"size({array})"
+    short = f"({n} > 0 AND {n} <= {limit})"
+    ordered = f"array_sort({values})"
+    mean = f"(aggregate({values}, 0.0D, (acc, v) -> acc + v) / {n})"
     stats = {
         "mean": mean,
-        "median": (low_mid + high_mid) / 2,
-        "std": F.sqrt(spread / n),
-        "min": F.array_min(values),
-        "max": F.array_max(values),
+        "median": f"(get({ordered}, ({n} - 1) DIV 2) + get({ordered}, {n} DIV 2)) / 2",
+        "std": f"sqrt(aggregate({values}, 0.0D, (acc, v) -> acc + (v - {mean}) * (v - {mean})) / {n})",
+        "min": f"array_min({values})",
+        "max": f"array_max({values})",
     }
-    out = {f"{name}_{i}": F.when(short, F.get(values, F.lit(i))) for i in range(limit)}
-    out[f"{name}_count"] = F.when(~short, n.cast("double"))
+    out = {f"{name}_{i}": f"CASE WHEN {short} THEN get({values}, {i}) END" for i in range(limit)}
+    out[f"{name}_count"] = f"CASE WHEN NOT {short} THEN CAST({n} AS DOUBLE) END"
     for stat, expression in stats.items():
-        out[f"{name}_{stat}"] = F.when(n == 0, F.lit(0.0)).when(~short, expression)
+        out[f"{name}_{stat}"] = f"CASE WHEN {n} = 0 THEN 0.0D WHEN NOT {short} THEN {expression} END"
     return out
 
 
-def countable_only(array: Column, name: str) -> dict[str, Column]:
+def countable_only(array: str, name: str) -> dict[str, str]:
     """For arrays that do not cast to numbers: just their size."""
-    return {f"{name}_count": F.size(array).cast("double")}
+    return {f"{name}_count": f"CAST(size({array}) AS DOUBLE)"}

@@ -11,12 +11,11 @@ A region is named by the row-major index of its first pixel, ``r * w + c``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilewright.functions.ranking import number_within
-from tilewright.functions.scalars import int_div
 from tilewright.operators.raster import STRIP_PIXELS, rows_per_strip
 from tilewright.operators.segment import masked_strips
 from tilewright.session import cut_lineage
@@ -130,16 +129,14 @@ def strip_runs(mask, host, w, top, r0, n_rows):
 
 def _star_round(edges: DataFrame, where: list[str]) -> DataFrame:
     """One large-star and one small-star step over edges (u, v), u > v."""
-    u, v, low = F.col("u"), F.col("v"), F.col("low")
-    both = edges.select(*where, "u", "v").unionByName(edges.select(*where, v.alias("u"), u.alias("v")))
-    lows = both.groupBy(*where, "u").agg(F.least(F.min("v"), u).alias("low"))
+    both = edges.select(*where, "u", "v").unionByName(edges.selectExpr(*where, "v AS u", "u AS v"))
+    lows = both.groupBy(*where, "u").agg(F.expr("least(min(v), u) AS low"))
     large = (
-        both.join(lows, [*where, "u"]).filter(v > u)
-        .select(*where, v.alias("u"), low.alias("v")).filter(u > v).distinct()
+        both.join(lows, [*where, "u"]).filter("v > u AND v > low").selectExpr(*where, "v AS u", "low AS v").distinct()
     )
-    lows = large.groupBy(*where, "u").agg(F.min("v").alias("low"))
-    rest = large.join(lows, [*where, "u"]).filter(v > low).select(*where, v.alias("u"), low.alias("v"))
-    return rest.unionByName(lows.select(*where, "u", low.alias("v"))).distinct()
+    lows = large.groupBy(*where, "u").agg(F.expr("min(v) AS low"))
+    rest = large.join(lows, [*where, "u"]).filter("v > low").selectExpr(*where, "v AS u", "low AS v")
+    return rest.unionByName(lows.selectExpr(*where, "u", "low AS v")).distinct()
 
 
 def contract_links(links: DataFrame, where: list[str]) -> DataFrame:
@@ -151,12 +148,12 @@ def contract_links(links: DataFrame, where: list[str]) -> DataFrame:
     table is written after each round, so plans stay short and lost executors
     cost one round.
     """
-    u, v = F.col("u"), F.col("v")
-    edges = links.select(*where, F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter(u > v).distinct()
+    edges = links.selectExpr(*where, "greatest(u, v) AS u", "least(u, v) AS v").filter("u > v").distinct()
     edges = cut_lineage(edges, "links")
 
     def mark(table: DataFrame):
-        return table.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*where, "u", "v").cast("decimal(38,0)"))).first()
+        key = ", ".join([*where, "u", "v"])
+        return table.agg(F.expr(f"struct(count(1), sum(CAST(xxhash64({key}) AS DECIMAL(38, 0))))")).first()[0]
 
     before = mark(edges)
     while before[0]:
@@ -165,7 +162,7 @@ def contract_links(links: DataFrame, where: list[str]) -> DataFrame:
         if after == before:
             break
         before = after
-    return edges.select(*where, "u", v.alias("root"))
+    return edges.selectExpr(*where, "u", "v AS root")
 
 
 def labelled_runs(
@@ -188,57 +185,39 @@ def labelled_runs(
         rasters, use_otsu, green_threshold, red_threshold, HALO, thresholds, strip_pixels
     )
     shape = ("w", "top", "r0", "n_rows")
-    overlay = F.zip_with("green_mask", "red_mask", lambda g, r: g & r)
-    found = strips.withColumn("overlay", overlay).select(
-        "image_id", "w", (F.col("r0") + F.col("n_rows") - 1).alias("last_row"),
+    masks = strips.selectExpr("*", "zip_with(green_mask, red_mask, (g, r) -> g AND r) AS overlay")
+    found = masks.select(
+        "image_id", "w", F.expr("r0 + n_rows - 1 AS last_row"),
         strip_runs("green_mask", "green_mask", *shape).alias("cells"),
         *([strip_runs("overlay", "green_mask", *shape).alias("nuclei")] if nuclei else []),
     )
-
-    def of_kind(kind: int, name: str) -> Column:
-        return F.transform(name, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("x")))
-
-    both = F.concat(of_kind(0, "cells"), of_kind(1, "nuclei")) if nuclei else of_kind(0, "cells")
-    runs = found.select("image_id", "w", "last_row", F.explode(both).alias("e")).select(
-        "image_id", "w", "last_row", "e.kind", "e.x.*"
-    )
-    tall = rasters.filter(F.col("ok") & (F.col("h") > rows_per_strip(F.col("w"), strip_pixels)))
-    if tall.limit(1).count() == 0:
+    kinds = [f"transform({name}, x -> struct({kind} AS kind, x AS x))" for kind, name in enumerate(["cells", "nuclei"])]
+    runs = found.selectExpr(
+        "image_id", "w", "last_row", f"explode({f'concat({kinds[0]}, {kinds[1]})' if nuclei else kinds[0]}) AS e"
+    ).selectExpr("image_id", "w", "last_row", "e.kind", "e.x.*")
+    if rasters.filter(f"ok AND h > {rows_per_strip(strip_pixels)}").limit(1).count() == 0:
         return runs.withColumnRenamed("comp", "region").drop("last_row", "shared")
 
     runs = cut_lineage(runs, "runs")
     where = ["image_id", "kind"]
-    upper = runs.filter(~F.col("shared") & (F.col("r") == F.col("last_row")))
-    lower = runs.filter("shared")
-    links = (
-        upper.select(*where, "r", "c0", F.col("comp").alias("u"))
-        .join(lower.select(*where, "r", "c0", F.col("comp").alias("v")), [*where, "r", "c0"])
-        .filter("u <> v")
-    )
+    upper = runs.filter("NOT shared AND r = last_row").selectExpr(*where, "r", "c0", "comp AS u")
+    lower = runs.filter("shared").selectExpr(*where, "r", "c0", "comp AS v")
+    links = upper.join(lower, [*where, "r", "c0"]).filter("u <> v")
     roots = contract_links(links, where).withColumnRenamed("u", "comp")
-    own = runs.filter(~F.col("shared")).drop("last_row", "shared")
-    return own.join(roots, [*where, "comp"], "left").select(
+    return runs.filter("NOT shared").join(roots, [*where, "comp"], "left").selectExpr(
         "image_id", "w", "kind", "r", "c0", "c1",
-        F.coalesce("root", "comp").alias("region"), "host_c0", "p_unit", "p_diag", "p_mixed",
+        "coalesce(root, comp) AS region", "host_c0", "p_unit", "p_diag", "p_mixed",
     )
 
 
 def region_numbers(runs: DataFrame, rows_per_bucket: int = 64) -> DataFrame:
     """``image_id, kind, region, region_id``: 1..n by first pixel in raster order."""
-    heads = runs.filter(F.col("r") * F.col("w").cast("bigint") + F.col("c0") == F.col("region"))
-    numbered = number_within(
-        heads.select("image_id", "kind", "r", "region"),
-        ["image_id", "kind"],
-        int_div(F.col("r"), rows_per_bucket),
-        [F.col("region")],
-        "region_id",
-    )
+    heads = runs.filter("r * CAST(w AS BIGINT) + c0 = region").select("image_id", "kind", "r", "region")
+    numbered = number_within(heads, ["image_id", "kind"], f"r DIV {rows_per_bucket}", "region", "region_id")
     return numbered.select("image_id", "kind", "region", "region_id")
 
 
 def label_pixels(runs: DataFrame) -> DataFrame:
     """``image_id, kind, r, c, region_id`` for every pixel of a mask."""
     numbered = runs.join(region_numbers(runs), ["image_id", "kind", "region"])
-    return numbered.select(
-        "image_id", "kind", "r", F.explode(F.sequence("c0", "c1")).alias("c"), "region_id"
-    )
+    return numbered.selectExpr("image_id", "kind", "r", "explode(sequence(c0, c1)) AS c", "region_id")

@@ -12,21 +12,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from tilewright.functions.scalars import gray, int_div
+from tilewright.functions.scalars import gray
 
 STRIP_PIXELS = 65_536
 
 
-def rows_per_strip(width: Column, strip_pixels: int) -> Column:
-    return F.greatest(F.lit(1), int_div(F.lit(strip_pixels), F.greatest(width, F.lit(1))))
-
-
-def _gray_array(red: Column, green: Column, blue: Column) -> Column:
-    rest = F.zip_with(green, blue, lambda g, b: g.cast("int") + b)
-    return F.zip_with(red, rest, lambda r, s: int_div(r.cast("int") + s, 3).cast("smallint"))
+def rows_per_strip(strip_pixels: int) -> str:
+    return f"CAST(greatest(1, {strip_pixels} DIV greatest(w, 1)) AS INT)"
 
 
 def cut_strips(
@@ -41,48 +35,40 @@ def cut_strips(
     start at row ``top`` = r0 - halo, cut at the image edges. ``gray`` may be
     asked for like a channel.
     """
-    height = rows_per_strip(F.col("w"), strip_pixels)
-    readable = rasters.filter("ok and h > 0 and w > 0").withColumn("_rows", height)
-    strip_ids = F.sequence(F.lit(0), int_div(F.col("h") - 1, F.col("_rows")))
     source = [c for c in channels if c != "gray"]
     if "gray" in channels:
         source = list(dict.fromkeys([*source, "red", "green", "blue"]))
+    top = f"greatest(s * _rows - {halo}, 0)"
+    bottom = f"least((s + 1) * _rows + {halo}, h)"
+    cuts = ", ".join(f"slice({c}, {top} * w + 1, ({bottom} - {top}) * w) AS {c}" for c in source)
+    bounds = f"struct(s * _rows AS r0, least(_rows, h - s * _rows) AS n_rows, {top} AS top, {cuts})"
+    return (
+        rasters.filter("ok AND h > 0 AND w > 0")
+        .selectExpr("image_id", "h", "w", *source, f"{rows_per_strip(strip_pixels)} AS _rows")
+        .selectExpr("image_id", "h", "w", f"explode(transform(sequence(0, CAST((h - 1) DIV _rows AS INT)), s -> {bounds})) AS _s")
+        .selectExpr(
+            "image_id", "h", "w", "_s.r0", "_s.n_rows", "_s.top",
+            *[f"{_gray_of('_s')} AS gray" if c == "gray" else f"_s.{c}" for c in channels],
+        )
+    )
 
-    def bounds(s: Column) -> Column:
-        r0 = s * F.col("_rows")
-        n_rows = F.least(F.col("_rows"), F.col("h") - r0)
-        top = F.greatest(r0 - halo, F.lit(0))
-        length = (F.least(r0 + n_rows + halo, F.col("h")) - top) * F.col("w")
-        cut = [F.slice(F.col(c), top * F.col("w") + 1, length).alias(c) for c in source]
-        return F.struct(r0.alias("r0"), n_rows.alias("n_rows"), top.alias("top"), *cut)
-
-    strips = readable.select(
-        "image_id", "h", "w", F.explode(F.transform(strip_ids, bounds)).alias("_s")
-    ).select("image_id", "h", "w", "_s.r0", "_s.n_rows", "_s.top", *[f"_s.{c}" for c in source])
-    if "gray" in channels:
-        strips = strips.withColumn("gray", _gray_array(F.col("red"), F.col("green"), F.col("blue")))
-    return strips.select("image_id", "h", "w", "r0", "n_rows", "top", *channels)
+
+def _gray_of(struct: str) -> str:
+    """Grey levels from the channel arrays of a struct."""
+    rest = f"zip_with({struct}.green, {struct}.blue, (g, b) -> CAST(g AS INT) + b)"
+    return f"zip_with({struct}.red, {rest}, (r, s) -> CAST((r + s) DIV 3 AS SMALLINT))"
 
 
-def at(channel: str, dr: int = 0, dc: int = 0) -> Column:
+def at(channel: str, dr: int = 0, dc: int = 0) -> str:
     """Value at an offset from the current pixel; NULL outside the image."""
-    position = F.col("_at") if dr == 0 and dc == 0 else F.col("_at") + (F.col("w") * dr + dc)
-    value = F.get(F.col(channel), position)
+    if dr == 0 and dc == 0:
+        return f"get({channel}, _at)"
     inside = []
-    if dr < 0:
-        inside.append(F.col("r") >= -dr)
-    if dr > 0:
-        inside.append(F.col("r") < F.col("h") - dr)
-    if dc < 0:
-        inside.append(F.col("c") >= -dc)
-    if dc > 0:
-        inside.append(F.col("c") < F.col("w") - dc)
-    if not inside:
-        return value
-    condition = inside[0]
-    for extra in inside[1:]:
-        condition = condition & extra
-    return F.when(condition, value)
+    if dr:
+        inside.append(f"r >= {-dr}" if dr < 0 else f"r < h - {dr}")
+    if dc:
+        inside.append(f"c >= {-dc}" if dc < 0 else f"c < w - {dc}")
+    return f"CASE WHEN {' AND '.join(inside)} THEN get({channel}, _at + (w * {dr} + {dc})) END"
 
 
 def strip_positions(strips: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -91,12 +77,11 @@ def strip_positions(strips: DataFrame, keep: Sequence[str]) -> DataFrame:
     The arrays in ``keep`` stay addressable through ``at``; a projection has to
     follow at once so that they are not copied for every pixel.
     """
-    i = F.explode(F.sequence(F.lit(0), F.col("n_rows") * F.col("w") - 1)).alias("_i")
-    return strips.select("image_id", "h", "w", "r0", "top", *keep, i).select(
+    return strips.selectExpr(
+        "image_id", "h", "w", "r0", "top", *keep, "explode(sequence(0, n_rows * w - 1)) AS _i"
+    ).selectExpr(
         "image_id", "h", "w", *keep,
-        (int_div(F.col("_i"), F.col("w")) + F.col("r0")).alias("r"),
-        (F.col("_i") % F.col("w")).alias("c"),
-        (F.col("_i") + (F.col("r0") - F.col("top")) * F.col("w")).alias("_at"),
+        "CAST(_i DIV w AS INT) + r0 AS r", "_i % w AS c", "_i + (r0 - top) * w AS _at",
     )
 
 
@@ -104,8 +89,8 @@ def pixels(rasters: DataFrame, strip_pixels: int = STRIP_PIXELS) -> DataFrame:
     """Long table ``image_id, r, c, red, green, blue, gray``, one row per pixel."""
     channels = ("red", "green", "blue")
     strips = cut_strips(rasters, channels, 0, strip_pixels)
-    rgb = strip_positions(strips, channels).select("image_id", "r", "c", *[at(k).alias(k) for k in channels])
-    return rgb.withColumn("gray", gray(F.col("red"), F.col("green"), F.col("blue")))
+    rgb = strip_positions(strips, channels).selectExpr("image_id", "r", "c", *[f"{at(k)} AS {k}" for k in channels])
+    return rgb.selectExpr("*", f"{gray('red', 'green', 'blue')} AS gray")
 
 
 def neighbour_pairs(
@@ -121,13 +106,10 @@ def neighbour_pairs(
     """
     reach = max(abs(dr) for dr, _ in offsets)
     strips = cut_strips(rasters, (channel,), reach, strip_pixels)
-    pairs = F.array(*[
-        F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), at(channel, dr, dc).alias("there"))
-        for dr, dc in offsets
-    ])
+    pairs = ", ".join(f"struct({dr} AS dr, {dc} AS dc, {at(channel, dr, dc)} AS there)" for dr, dc in offsets)
     return (
         strip_positions(strips, (channel,))
-        .select("image_id", "r", "c", at(channel).alias("here"), F.explode(pairs).alias("p"))
-        .select("image_id", "r", "c", "here", "p.dr", "p.dc", "p.there")
-        .filter("there is not null")
+        .selectExpr("image_id", "r", "c", f"{at(channel)} AS here", f"explode(array({pairs})) AS p")
+        .selectExpr("image_id", "r", "c", "here", "p.dr", "p.dc", "p.there")
+        .filter("there IS NOT NULL")
     )

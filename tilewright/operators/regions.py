@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.functions.scalars import circularity, int_div, nc_ratio, safe_ratio
+from tilewright.functions.scalars import circularity, nc_ratio, number, safe_ratio
 from tilewright.functions.summaries import GATHER_ROWS, STATS, summarise
 from tilewright.session import cut_lineage
 
@@ -93,9 +94,9 @@ def hull_pixels(rows, lows, highs):
 # ---------------------------------------------------------------- region table
 
 
-def _sum_of_squares(n: Column) -> Column:
-    """0^2 + 1^2 + ... + n^2."""
-    return n * (n + 1) * (2 * n + 1) / 6
+def _sum_of_squares(n: str) -> str:
+    """0^2 + 1^2 + ... + n^2, also for use in differences with negative n."""
+    return f"({n} * ({n} + 1) * (2 * {n} + 1) / 6)"
 
 
 def region_moments(runs: DataFrame) -> DataFrame:
@@ -105,74 +106,56 @@ def region_moments(runs: DataFrame) -> DataFrame:
     Runs are first merged per image row, which bounds the list of row extents
     by the image height and lets a region of any size aggregate in parallel.
     """
-    w = F.col("w").cast("bigint")
-    head_r, head_c = int_div(F.col("region"), w), (F.col("region") % w)
-    a, b = (F.col("c0") - head_c).cast("double"), (F.col("c1") - head_c).cast("double")
-    y = (F.col("r") - head_r).cast("double")
-    n = b - a + 1
-    sum_x = (a + b) * n / 2
-    # Sum of squares over a..b; the formula for 0..n also holds for negative ends.
-    sum_xx = _sum_of_squares(b) - _sum_of_squares(a - 1)
-    per_run = runs.select(
-        *REGION_KEYS, "w", "r", "c0", "c1", "p_unit", "p_diag", "p_mixed",
-        n.alias("n"), (y * n).alias("sy"), sum_x.alias("sx"), (y * y * n).alias("syy"),
-        sum_xx.alias("sxx"), (y * sum_x).alias("sxy"),
-        F.when(F.col("r") * w + F.col("c0") == F.col("region"), F.col("host_c0")).alias("host_c0"),
-    )
-    sums = ("n", "sy", "sx", "syy", "sxx", "sxy", "p_unit", "p_diag", "p_mixed")
-    per_row = per_run.groupBy(*REGION_KEYS, "w", "r").agg(
-        *[F.sum(s).alias(s) for s in sums],
-        F.min("c0").alias("lo"), F.max("c1").alias("hi"), F.max("host_c0").alias("host_c0"),
-    )
-    return per_row.groupBy(*REGION_KEYS, "w").agg(
-        *[F.sum(s).alias(s) for s in sums],
-        F.min("r").alias("min_r"), F.min("lo").alias("min_c"),
-        (F.max("r") + 1).alias("max_r"), (F.max("hi") + 1).alias("max_c"),
-        F.max("host_c0").alias("host_c0"),
-        F.array_sort(F.collect_list(F.struct("r", "lo", "hi"))).alias("extents"),
+    keys = [*REGION_KEYS, "w"]
+    # Coordinates relative to the region's first pixel keep the sums small.
+    relative = runs.selectExpr(
+        *keys, "r", "c0", "c1", "p_unit", "p_diag", "p_mixed",
+        "CAST(r - region DIV w AS DOUBLE) AS y",
+        "CAST(c0 - region % w AS DOUBLE) AS a", "CAST(c1 - region % w AS DOUBLE) AS b",
+        "CASE WHEN r * CAST(w AS BIGINT) + c0 = region THEN host_c0 END AS host_c0",
     )
+    # Rows of a region share y, so column sums suffice here.
+    per_row = relative.groupBy(*keys, "r", "y").agg(*[F.expr(x) for x in (
+        "sum(b - a + 1) AS n",
+        "sum((a + b) * (b - a + 1) / 2) AS sx",
+        f"sum({_sum_of_squares('b')} - {_sum_of_squares('(a - 1)')}) AS sxx",
+        "sum(p_unit) AS p_unit", "sum(p_diag) AS p_diag", "sum(p_mixed) AS p_mixed",
+        "min(c0) AS lo", "max(c1) AS hi", "max(host_c0) AS host_c0",
+    )])
+    return per_row.groupBy(*keys).agg(*[F.expr(x) for x in (
+        "sum(n) AS n", "sum(y * n) AS sy", "sum(sx) AS sx", "sum(y * y * n) AS syy", "sum(sxx) AS sxx", "sum(y * sx) AS sxy",
+        "sum(p_unit) AS p_unit", "sum(p_diag) AS p_diag", "sum(p_mixed) AS p_mixed",
+        "min(r) AS min_r", "min(lo) AS min_c", "max(r) + 1 AS max_r", "max(hi) + 1 AS max_c",
+        "max(host_c0) AS host_c0", "array_sort(collect_list(struct(r, lo, hi))) AS extents",
+    )])
 
 
 def region_table(runs: DataFrame, solidity: bool = True) -> DataFrame:
     """Per region: area, centroid, half-open box, axes of the ellipse with equal
     second moments, eccentricity, border-walk perimeter and solidity."""
-    n = F.col("n")
-    head_r, head_c = int_div(F.col("region"), F.col("w")), F.col("region") % F.col("w")
-    my, mx = F.col("sy") / n, F.col("sx") / n
-    moments = region_moments(runs).select(
-        "*",
-        (F.col("syy") / n - my * my).alias("vr"),
-        (F.col("sxx") / n - mx * mx).alias("vc"),
-        (F.col("sxy") / n - my * mx).alias("vrc"),
-        (head_r + my).alias("centroid_r"),
-        (head_c + mx).alias("centroid_c"),
+    walk = f"p_unit + p_diag * {number(math.sqrt(2))} + p_mixed * {number((1 + math.sqrt(2)) / 2)}"
+    # Second moments times n squared: whole numbers, so equal or vanishing axes
+    # come out exactly equal or zero.
+    moments = region_moments(runs).selectExpr(
+        *REGION_KEYS, "w", "n AS area", "region DIV w + sy / n AS centroid_r", "region % w + sx / n AS centroid_c",
+        "min_r", "min_c", "max_r", "max_c", "host_c0", f"{walk} AS perimeter", "extents",
+        "n * syy - sy * sy AS vr", "n * sxx - sx * sx AS vc", "n * sxy - sy * sx AS vrc",
     )
-    spread = F.sqrt((F.col("vr") - F.col("vc")) * (F.col("vr") - F.col("vc")) + 4 * F.col("vrc") * F.col("vrc"))
-    zero = F.lit(0.0)
-    shaped = moments.select(
-        "*",
-        F.greatest((F.col("vr") + F.col("vc") + spread) / 2, zero).alias("l1"),
-        F.greatest((F.col("vr") + F.col("vc") - spread) / 2, zero).alias("l2"),
-    )
-    perimeter = (
-        F.col("p_unit") + F.col("p_diag") * F.lit(math.sqrt(2)) + F.col("p_mixed") * F.lit((1 + math.sqrt(2)) / 2)
-    )
-    columns = [
-        *REGION_KEYS, "w", n.alias("area"), "centroid_r", "centroid_c",
-        "min_r", "min_c", "max_r", "max_c",
-        (4 * F.sqrt("l1")).alias("major_axis"), (4 * F.sqrt("l2")).alias("minor_axis"),
-        F.when(F.col("l1") == 0, zero).otherwise(F.sqrt(1 - F.col("l2") / F.col("l1"))).alias("eccentricity"),
-        perimeter.alias("perimeter"), "host_c0",
-    ]
-    if solidity:
-        hull = hull_pixels("extents.r", "extents.lo", "extents.hi")
-        columns.append((n / hull).alias("solidity"))
-    table = shaped.select(*columns)
-    return table.select(
-        "*",
-        safe_ratio(F.col("major_axis"), F.col("minor_axis")).alias("aspect_ratio"),
-        circularity(F.col("area"), F.col("perimeter")).alias("circularity"),
+    spread = "sqrt((vr - vc) * (vr - vc) + 4 * vrc * vrc)"
+    axes = moments.selectExpr(
+        "*", f"(vr + vc + {spread}) / (2 * area * area) AS l1",
+        f"greatest(vr + vc - {spread}, 0.0D) / (2 * area * area) AS l2",
+    ).selectExpr("*", "4 * sqrt(l1) AS major_axis", "4 * sqrt(l2) AS minor_axis")
+    shaped = axes.selectExpr(
+        *REGION_KEYS, "w", "area", "centroid_r", "centroid_c", "min_r", "min_c", "max_r", "max_c",
+        "major_axis", "minor_axis", "CASE WHEN l1 = 0 THEN 0.0D ELSE sqrt(1 - l2 / l1) END AS eccentricity",
+        "perimeter", "host_c0", f"{safe_ratio('major_axis', 'minor_axis')} AS aspect_ratio",
+        f"{circularity('area', 'perimeter')} AS circularity", *(["extents"] if solidity else []),
     )
+    if not solidity:
+        return shaped
+    hull = hull_pixels("extents.r", "extents.lo", "extents.hi")
+    return shaped.withColumn("solidity", F.col("area") / hull).drop("extents")
 
 
 def cells_of(regions: DataFrame) -> DataFrame:
@@ -185,53 +168,49 @@ def nuclei_with_cell(runs: DataFrame, regions: DataFrame) -> DataFrame:
     The first pixel's cell run is known by row and start, so this is an
     equi-join, never a containment search.
     """
-    cell_runs = runs.filter("kind = 0").select("image_id", "r", F.col("c0").alias("host_c0"), F.col("region").alias("cell"))
-    nuclei = regions.filter("kind = 1").withColumn("r", int_div(F.col("region"), F.col("w")))
+    cell_runs = runs.filter("kind = 0").selectExpr("image_id", "r", "c0 AS host_c0", "region AS cell")
+    nuclei = regions.filter("kind = 1").withColumn("r", F.expr("CAST(region DIV w AS INT)"))
     return nuclei.join(cell_runs, ["image_id", "r", "host_c0"]).drop("r", "host_c0", "kind", "w")
 
 
-def largest_nuclei(runs: DataFrame, regions: DataFrame, measures: tuple[str, ...] = NUCLEUS_MEASURES) -> DataFrame:
+def largest_nuclei(runs: DataFrame, regions: DataFrame, measures: Sequence[str] = NUCLEUS_MEASURES) -> DataFrame:
     """Largest nucleus per cell, the earlier one on equal area.
 
     A maximum over structs instead of a ranking window: it combines on the map
     side, so a cell holding most nuclei never fills one task.
     """
-    first = F.max(F.struct(
-        F.col("area"), (-F.col("region")).alias("_order"), *[F.col(m) for m in measures if m != "area"]
-    )).alias("n")
+    rest = "".join(f", {m}" for m in measures if m != "area")
     return (
         nuclei_with_cell(runs, regions)
-        .groupBy("image_id", "cell").agg(first)
-        .select("image_id", F.col("cell").alias("region"), *[F.col(f"n.{m}").alias(f"nucleus_{m}") for m in measures])
+        .groupBy("image_id", "cell").agg(F.expr(f"max(struct(area, -region AS _order{rest})) AS n"))
+        .selectExpr("image_id", "cell AS region", *[f"n.{m} AS nucleus_{m}" for m in measures])
     )
 
 
 def cells_with_nucleus(
-    runs: DataFrame, regions: DataFrame, measures: tuple[str, ...] = NUCLEUS_MEASURES
+    runs: DataFrame, regions: DataFrame, measures: Sequence[str] = NUCLEUS_MEASURES
 ) -> DataFrame:
     """Every cell with its largest nucleus; cells without one get zeros."""
-    joined = cells_of(regions).join(largest_nuclei(runs, regions, measures), ["image_id", "region"], "left")
-    filled = [F.coalesce(f"nucleus_{m}", F.lit(0.0)).alias(f"nucleus_{m}") for m in measures]
-    base = [c for c in joined.columns if not c.startswith("nucleus_")]
-    return joined.select(*base, *filled).withColumn("nc_ratio", nc_ratio(F.col("nucleus_area"), F.col("area")))
+    cells = cells_of(regions)
+    joined = cells.join(largest_nuclei(runs, regions, measures), ["image_id", "region"], "left")
+    filled = [f"coalesce(nucleus_{m}, 0.0D) AS nucleus_{m}" for m in measures]
+    return joined.selectExpr(*cells.columns, *filled).selectExpr("*", f"{nc_ratio('nucleus_area', 'area')} AS nc_ratio")
 
 
-def overlay_share(rasters_strips: DataFrame) -> DataFrame:
+def overlay_share(masked: DataFrame) -> DataFrame:
     """``image_id`` with counts of green pixels and of red pixels inside them."""
-    count = lambda mask: F.sum(F.size(F.filter(mask, lambda b: b)))
-    overlay = F.zip_with("green_mask", "red_mask", lambda g, r: g & r)
-    return rasters_strips.groupBy("image_id").agg(
-        count(F.col("green_mask")).alias("cell_pixels"), count(overlay).alias("overlay_pixels")
+    return masked.groupBy("image_id").agg(
+        F.expr("sum(size(filter(green_mask, g -> g))) AS cell_pixels"),
+        F.expr("sum(size(filter(zip_with(green_mask, red_mask, (g, r) -> g AND r), b -> b))) AS overlay_pixels"),
     )
 
 
 def cell_counts(images: DataFrame, regions: DataFrame) -> DataFrame:
     """``cell_count`` and ``cell_density``; images without cells keep a row."""
-    counts = regions.filter("kind = 0").groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"))
-    cells = F.coalesce("_n", F.lit(0)).cast("double")
-    pixels_ = F.col("h").cast("double") * F.col("w")
-    return images.filter("ok").select("image_id", "h", "w").join(counts, "image_id", "left").select(
-        "image_id", cells.alias("cell_count"), safe_ratio(cells, pixels_).alias("cell_density")
+    counts = regions.filter("kind = 0").groupBy("image_id").agg(F.expr("count(1) AS _n"))
+    return images.filter("ok").select("image_id", "h", "w").join(counts, "image_id", "left").selectExpr(
+        "image_id", "CAST(coalesce(_n, 0) AS DOUBLE) AS cell_count",
+        f"{safe_ratio('coalesce(_n, 0)', '(CAST(h AS DOUBLE) * w)')} AS cell_density",
     )
 
 
@@ -239,22 +218,20 @@ def shape_summary(images: DataFrame, cells: DataFrame, largest_group: int | None
     """The 90 shape statistics per readable image.
 
     An image without cells counts one all-zero cell in the cell measures and
-    none in the nucleus measures.
+    none in the nucleus measures. Measures the cells do not carry are left out.
     """
-    measures = {m: m for m in CELL_MEASURES}
-    measures.update({f"nucleus_{m}": f"nucleus_{m}" for m in NUCLEUS_MEASURES})
-    measures["nc_ratio"] = "nc_ratio"
+    wanted = [*CELL_MEASURES, *[f"nucleus_{m}" for m in NUCLEUS_MEASURES], "nc_ratio"]
+    measures = {m: m for m in wanted if m in cells.columns}
     if largest_group is None:
         # Cells keep a gap of one pixel, so an image holds at most one per 2x2 block.
-        most = images.agg(F.max(F.ceil(F.col("h") / 2) * F.ceil(F.col("w") / 2))).first()[0] or 0
+        most = images.agg(F.expr("max(ceil(h / 2) * ceil(w / 2))")).first()[0] or 0
         largest_group = most if most <= GATHER_ROWS else None
     stats = summarise(cells, ["image_id"], measures, largest_group=largest_group)
-    columns = []
-    for m in measures:
-        for s in STATS:
-            empty = 1.0 if s == "count" and m in CELL_MEASURES else 0.0
-            columns.append(F.coalesce(f"{m}_{s}", F.lit(empty)).alias(f"{m}_{s}"))
-    return images.filter("ok").select("image_id").join(stats, "image_id", "left").select("image_id", *columns)
+    columns = [
+        f"coalesce({m}_{s}, {'1.0D' if s == 'count' and m in CELL_MEASURES else '0.0D'}) AS {m}_{s}"
+        for m in measures for s in STATS
+    ]
+    return images.filter("ok").select("image_id").join(stats, "image_id", "left").selectExpr("image_id", *columns)
 
 
 # ---------------------------------------------------------------- nearest neighbours
@@ -273,74 +250,66 @@ def nearest_distances(images: DataFrame, cells: DataFrame, small: int = SMALL_IM
     on with squares four times as wide; they are sparse at the former width, so
     no round compares all pairs. Images of up to ``small`` cells take one square.
     """
-    extent = images.select("image_id", F.greatest("h", "w").cast("double").alias("extent"),
-                           (F.col("h").cast("double") * F.col("w")).alias("pixels"))
-    points = cells.select("image_id", "region", F.col("centroid_r").alias("y"), F.col("centroid_c").alias("x"))
-    counts = points.groupBy("image_id").agg(F.count(F.lit(1)).alias("cells"))
-    sides = counts.filter("cells > 1").join(extent, "image_id").select(
-        "image_id", "extent",
-        F.when(F.col("cells") <= small, F.col("extent"))
-        .otherwise(F.least(F.col("extent"), F.greatest(F.lit(2.0), F.sqrt(F.col("pixels") / F.col("cells"))))).alias("side"),
+    points = cells.selectExpr("image_id", "region", "centroid_r AS y", "centroid_c AS x")
+    counts = points.groupBy("image_id").agg(F.expr("count(1) AS cells"))
+    sides = counts.filter("cells > 1").join(images.select("image_id", "h", "w"), "image_id").selectExpr(
+        "image_id", "CAST(greatest(h, w) AS DOUBLE) AS extent",
+        f"CASE WHEN cells <= {small} THEN CAST(greatest(h, w) AS DOUBLE) "
+        "ELSE least(greatest(h, w), greatest(2.0D, sqrt(CAST(h AS DOUBLE) * w / cells))) END AS side",
     )
-    # One record per image and a point table without shapes: both are small next to the regions.
     located = points.join(sides, "image_id")
-    crowded = counts.filter(F.col("cells") > small).limit(1).count() > 0
-    if not crowded:
-        return _grid_step(located, located).select("image_id", "region", F.sqrt("d2").alias("distance"))
+    settled = "image_id", "region", "sqrt(d2) AS distance"
+    if not _crowded(images, counts, small):
+        return _grid_step(located, located).selectExpr(*settled)
 
     located = cut_lineage(located, "centroids")
-    pending, settled = located, []
+    pending, done = located, []
     while True:
         found = cut_lineage(_grid_step(pending, located), "neighbours")
-        done = F.col("d2").isNotNull() & ((F.col("d2") <= F.col("side") * F.col("side")) | (F.col("side") >= F.col("extent")))
-        settled.append(found.filter(done).select("image_id", "region", F.sqrt("d2").alias("distance")))
-        open_points = found.filter(~done | F.col("d2").isNull())
-        if open_points.limit(1).count() == 0:
+        final = "(d2 IS NOT NULL AND (d2 <= side * side OR side >= extent))"
+        done.append(found.filter(final).selectExpr(*settled))
+        pending = found.filter(f"NOT {final}").drop("d2").withColumn("side", F.expr("least(extent, side * 4)"))
+        if pending.limit(1).count() == 0:
             break
-        wider = F.least(F.col("extent"), F.col("side") * 4)
-        pending = open_points.drop("d2").withColumn("side", wider)
         # Candidates take the side their image has reached.
-        reached = pending.select("image_id", "side").distinct()
-        located = located.drop("side").join(reached, "image_id")
-    out = settled[0]
-    for more in settled[1:]:
+        located = located.drop("side").join(pending.select("image_id", "side").distinct(), "image_id")
+    out = done[0]
+    for more in done[1:]:
         out = out.unionByName(more)
     return out
 
 
+def _crowded(images: DataFrame, counts: DataFrame, small: int) -> bool:
+    """Whether some image exceeds ``small`` cells; image sizes settle most cases."""
+    roomy = images.filter(f"ok AND ceil(h / 2) * ceil(w / 2) > {small}").limit(1).count() > 0
+    return roomy and counts.filter(f"cells > {small}").limit(1).count() > 0
+
+
 def _grid_step(pending: DataFrame, located: DataFrame) -> DataFrame:
     """Squared distance of each pending point to the nearest candidate in the 3x3 squares."""
-    square = lambda v: F.floor(F.col(v) / F.col("side")).cast("bigint")
-    whole = F.col("side") >= F.col("extent")
-    # A side as long as the image puts every point into square (0, 0).
-    around = F.when(whole, F.array(F.struct(F.lit(0).alias("dy"), F.lit(0).alias("dx")))).otherwise(
-        F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
+    point = ["image_id", "region", "y", "x", "side", "extent"]
+    around = ", ".join(f"struct({dy} AS dy, {dx} AS dx)" for dy in (-1, 0, 1) for dx in (-1, 0, 1))
+
+    def square(v: str) -> str:
+        # A side as long as the image puts every point into square (0, 0).
+        return f"CASE WHEN side >= extent THEN 0 ELSE floor({v} / side) END"
+
+    asking = pending.selectExpr(
+        *point, f"explode(CASE WHEN side >= extent THEN array(struct(0 AS dy, 0 AS dx)) ELSE array({around}) END) AS o"
+    ).selectExpr(*point, f"{square('y')} + o.dy AS by", f"{square('x')} + o.dx AS bx")
+    offered = located.selectExpr(
+        "image_id", "region AS other", "y AS oy", "x AS ox", f"{square('y')} + 0 AS by", f"{square('x')} + 0 AS bx"
     )
-    here = F.when(whole, F.lit(0).cast("bigint"))
-    asking = pending.withColumn("o", F.explode(around)).select(
-        "image_id", "region", "y", "x", "side", "extent",
-        F.coalesce(here, square("y") + F.col("o.dy")).alias("by"),
-        F.coalesce(here, square("x") + F.col("o.dx")).alias("bx"),
-    )
-    offered = located.select(
-        "image_id", F.col("region").alias("other"), F.col("y").alias("oy"), F.col("x").alias("ox"),
-        F.coalesce(here, square("y")).alias("by"), F.coalesce(here, square("x")).alias("bx"),
-    )
-    dy, dx = F.col("y") - F.col("oy"), F.col("x") - F.col("ox")
-    d2 = F.when(F.col("region") != F.col("other"), dy * dy + dx * dx)
-    return (
-        asking.join(offered, ["image_id", "by", "bx"], "left")
-        .groupBy("image_id", "region", "y", "x", "side", "extent").agg(F.min(d2).alias("d2"))
+    return asking.join(offered, ["image_id", "by", "bx"]).groupBy(*point).agg(
+        F.expr("min(CASE WHEN region <> other THEN (y - oy) * (y - oy) + (x - ox) * (x - ox) END) AS d2")
     )
 
 
 def nearest_neighbour(images: DataFrame, cells: DataFrame, small: int = SMALL_IMAGE_CELLS) -> DataFrame:
     """``nn_mean, nn_std`` per readable image; 0 with fewer than two cells."""
     per_image = nearest_distances(images, cells, small).groupBy("image_id").agg(
-        F.avg("distance").alias("_mean"), F.stddev_pop("distance").alias("_std")
+        F.expr("avg(distance) AS _mean"), F.expr("stddev_pop(distance) AS _std")
     )
-    return images.filter("ok").select("image_id").join(per_image, "image_id", "left").select(
-        "image_id",
-        F.coalesce("_mean", F.lit(0.0)).alias("nn_mean"),
-        F.coalesce("_std", F.lit(0.0)).alias("nn_std"),
+    return images.filter("ok").select("image_id").join(per_image, "image_id", "left").selectExpr(
+        "image_id", "coalesce(_mean, 0.0D) AS nn_mean", "coalesce(_std, 0.0D) AS nn_std"
     )

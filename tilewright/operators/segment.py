@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.functions.scalars import int_div, normalised
+from tilewright.functions.scalars import normalised, number
 from tilewright.operators.raster import STRIP_PIXELS, at, cut_strips, strip_positions
 from tilewright.operators.texture import GREEN, RED, pixel_tallies
 
@@ -22,31 +20,29 @@ def otsu_from_tallies(tallies: DataFrame) -> DataFrame:
     histogram, at most 256 rows per image, is the binned one. Empty bins repeat
     the split before them and never win the first-maximum rule.
     """
-    histogram = tallies.filter(F.col("kind").isin(GREEN, RED)).select("image_id", "kind", "a", "n")
-    channel = Window.partitionBy("image_id", "kind")
-    low, high = F.min("a").over(channel), F.max("a").over(channel)
-    ranged = histogram.withColumn("lo", low).withColumn("hi", high)
-    width = F.col("hi") - F.col("lo")
-    position = F.least(F.lit(BINS - 1), int_div((F.col("a") - F.col("lo")) * BINS, F.greatest(width, F.lit(1))))
-    centre = F.when(width == 0, F.col("a").cast("double")).otherwise(
-        F.col("lo") + (position + 0.5) * width / float(BINS)
+    channel = "PARTITION BY image_id, kind"
+    upto = f"{channel} ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    ranged = tallies.filter(f"kind IN ({GREEN}, {RED})").selectExpr(
+        "image_id", "kind", "a", "n", f"min(a) OVER ({channel}) AS lo", f"max(a) OVER ({channel}) AS hi"
+    )
+    position = f"least({BINS - 1}, ((a - lo) * {BINS}) DIV greatest(hi - lo, 1))"
+    centred = ranged.selectExpr(
+        "image_id", "kind", "a", "n",
+        f"CASE WHEN lo = hi THEN CAST(a AS DOUBLE) ELSE lo + ({position} + 0.5D) * (hi - lo) / {BINS}D END AS x",
     )
-    upto = channel.orderBy("a").rowsBetween(Window.unboundedPreceding, 0)
-    split = (
-        ranged.withColumn("centre", centre)
-        .withColumn("w1", F.sum("n").over(upto).cast("double"))
-        .withColumn("s1", F.sum(F.col("n") * F.col("centre")).over(upto))
-        .withColumn("wt", F.sum("n").over(channel).cast("double"))
-        .withColumn("st", F.sum(F.col("n") * F.col("centre")).over(channel))
+    split = centred.selectExpr(
+        "image_id", "kind", "x",
+        f"CAST(sum(n) OVER ({upto}) AS DOUBLE) AS w1", f"sum(n * x) OVER ({upto}) AS s1",
+        f"CAST(sum(n) OVER ({channel}) AS DOUBLE) AS wt", f"sum(n * x) OVER ({channel}) AS st",
     )
-    w2 = F.col("wt") - F.col("w1")
-    gap = F.col("s1") / F.col("w1") - (F.col("st") - F.col("s1")) / w2
-    between = F.when(w2 > 0, F.col("w1") * w2 * gap * gap)
-    scored = split.withColumn("between", between).withColumn("best", F.max("between").over(channel))
+    gap = "(s1 / w1 - (st - s1) / (wt - w1))"
+    scored = split.selectExpr(
+        "image_id", "kind", "x", f"CASE WHEN wt > w1 THEN w1 * (wt - w1) * {gap} * {gap} END AS between_classes"
+    ).selectExpr("*", f"max(between_classes) OVER ({channel}) AS best")
     # A constant channel has one level and no split: the level is its own threshold.
-    chosen = F.when(F.col("best").isNull() | (F.col("between") == F.col("best")), F.col("centre"))
+    chosen = "CASE WHEN best IS NULL OR between_classes = best THEN x END"
     return scored.groupBy("image_id").agg(*[
-        F.min(F.when(F.col("kind") == kind, chosen)).alias(f"{name}_threshold")
+        F.expr(f"min(CASE WHEN kind = {kind} THEN {chosen} END) AS {name}_threshold")
         for name, kind in (("green", GREEN), ("red", RED))
     ])
 
@@ -55,15 +51,10 @@ def otsu_thresholds(rasters: DataFrame, strip_pixels: int = STRIP_PIXELS) -> Dat
     return otsu_from_tallies(pixel_tallies(rasters, ("green", "red"), strip_pixels=strip_pixels))
 
 
-def _tests(use_otsu: bool, green_threshold: float, red_threshold: float) -> dict[str, Callable[[Column], Column]]:
-    """Strict comparison per channel, to apply to a channel value."""
-
-    def above(limit: Column, scale: Callable[[Column], Column] = lambda v: v):
-        return lambda v: scale(v) > limit
-
-    if use_otsu:
-        return {c: above(F.col(f"{c}_threshold")) for c in ("green", "red")}
-    return {"green": above(F.lit(green_threshold), normalised), "red": above(F.lit(red_threshold), normalised)}
+def _above(channel: str, use_otsu: bool, fixed: float) -> str:
+    """Strict comparison of a channel array with its threshold."""
+    test = f"v > {channel}_threshold" if use_otsu else f"{normalised('v')} > {number(fixed)}"
+    return f"transform({channel}, v -> {test})"
 
 
 def masked_strips(
@@ -85,11 +76,10 @@ def masked_strips(
     if use_otsu:
         found = otsu_thresholds(rasters, strip_pixels) if thresholds is None else thresholds
         strips = strips.join(found, "image_id")
-    tests = _tests(use_otsu, green_threshold, red_threshold)
-    return strips.select(
+    return strips.selectExpr(
         "image_id", "h", "w", "r0", "n_rows", "top",
-        F.transform("green", tests["green"]).alias("green_mask"),
-        F.transform("red", tests["red"]).alias("red_mask"),
+        f"{_above('green', use_otsu, green_threshold)} AS green_mask",
+        f"{_above('red', use_otsu, red_threshold)} AS red_mask",
     )
 
 
@@ -103,27 +93,20 @@ def mask_pixels(
     """``image_id, r, c, green_mask, red_mask``, one row per pixel."""
     strips = masked_strips(rasters, use_otsu, green_threshold, red_threshold, strip_pixels=strip_pixels)
     names = ("green_mask", "red_mask")
-    return strip_positions(strips, names).select("image_id", "r", "c", *[at(n).alias(n) for n in names])
+    return strip_positions(strips, names).selectExpr("image_id", "r", "c", *[f"{at(n)} AS {n}" for n in names])
 
 
 def channel_ranges(rasters: DataFrame, strip_pixels: int = STRIP_PIXELS) -> DataFrame:
     """Per-image scalars put on every pixel: ``image_id, r, c, green`` with the
     green range and threshold of the image."""
     tallies = pixel_tallies(rasters, ("green", "red"), strip_pixels=strip_pixels)
-    ranges = tallies.filter(F.col("kind") == GREEN).groupBy("image_id").agg(
-        F.min("a").alias("green_min"), F.max("a").alias("green_max")
+    ranges = tallies.filter(f"kind = {GREEN}").groupBy("image_id").agg(
+        F.expr("min(a) AS green_min"), F.expr("max(a) AS green_max")
     )
     scalars = ranges.join(otsu_from_tallies(tallies).select("image_id", "green_threshold"), "image_id")
     strips = cut_strips(rasters, ("green",), 0, strip_pixels).join(scalars, "image_id")
-    scalar_names = ("green_min", "green_max", "green_threshold")
+    names = ("green_min", "green_max", "green_threshold")
     # Exploding after the join keeps the join at one row per strip.
-    positions = strips.select(
-        "image_id", "w", "r0", "green", *scalar_names, F.posexplode("green").alias("_i", "value")
-    )
-    return positions.select(
-        "image_id",
-        (int_div(F.col("_i"), F.col("w")) + F.col("r0")).alias("r"),
-        (F.col("_i") % F.col("w")).alias("c"),
-        F.col("value").alias("green"),
-        *scalar_names,
+    return strips.selectExpr("image_id", "w", "r0", *names, "posexplode(green) AS (_i, green)").selectExpr(
+        "image_id", "CAST(_i DIV w AS INT) + r0 AS r", "_i % w AS c", "green", *names
     )

@@ -11,11 +11,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilewright.functions.scalars import gabor_stem, int_div
+from tilewright.functions.scalars import gabor_stem, number
 from tilewright.operators.raster import STRIP_PIXELS, at, cut_strips, strip_positions
 
 GRAY, GREEN, RED, LBP, GLCM = 0, 1, 2, 3, 10
@@ -49,22 +49,20 @@ def _corners(step: tuple[float, float]) -> tuple[list[int], list[int]]:
     return sorted({math.floor(dr), math.ceil(dr)}), sorted({math.floor(dc), math.ceil(dc)})
 
 
-def _interpolated(step: tuple[float, float]) -> Column:
+def _interpolated(step: tuple[float, float]) -> str:
     """Bilinear sample from the neighbourhood columns."""
     rows, cols = _corners(step)
-    y = F.col("r") + F.lit(step[0])
-    x = F.col("c") + F.lit(step[1])
-    fy, fx = y - F.floor(y), x - F.floor(x)
+    fy, fx = (f"(({p} + {number(d)}) - floor({p} + {number(d)}))" for p, d in zip("rc", step))
 
-    def along_row(dr: int) -> Column:
-        left = F.col(_cell_name(dr, cols[0])).cast("double")
+    def along_row(dr: int) -> str:
+        left = f"CAST({_cell_name(dr, cols[0])} AS DOUBLE)"
         if len(cols) == 1:
             return left
-        return (1 - fx) * left + fx * F.col(_cell_name(dr, cols[1]))
+        return f"((1 - {fx}) * {left} + {fx} * {_cell_name(dr, cols[1])})"
 
     if len(rows) == 1:
         return along_row(rows[0])
-    return (1 - fy) * along_row(rows[0]) + fy * along_row(rows[1])
+    return f"((1 - {fy}) * {along_row(rows[0])} + {fy} * {along_row(rows[1])})"
 
 
 def _lbp_neighbourhood(points: int, radius: float) -> list[tuple[int, int]]:
@@ -75,12 +73,23 @@ def _lbp_neighbourhood(points: int, radius: float) -> list[tuple[int, int]]:
     return sorted(cells)
 
 
-def _lbp_code(points: int, radius: float) -> Column:
-    """Uniform pattern code from the ``_s<k>`` bit columns."""
-    bits = [F.col(f"_s{k}") for k in range(points)]
-    ones = sum(bits[1:], bits[0])
-    changes = sum((F.abs(a - b) for a, b in zip(bits[1:], bits[:-1])), F.lit(0))
-    return F.when(changes <= 2, ones).otherwise(points + 1)
+def _with_lbp(positions: DataFrame, points: int, radius: float, keep: Sequence[str]) -> DataFrame:
+    """Positions with the pattern ``code``; ``keep`` are further expressions to carry."""
+    cells = [
+        f"coalesce({at('gray', dr, dc)}, CAST(0 AS SMALLINT)) AS {_cell_name(dr, dc)}"
+        for dr, dc in _lbp_neighbourhood(points, radius)
+    ]
+    bits = [
+        f"CAST({_interpolated(step)} - _n0_0 >= 0 AS INT) AS _s{k}"
+        for k, step in enumerate(_sample_steps(points, radius))
+    ]
+    ones = " + ".join(f"_s{k}" for k in range(points))
+    changes = " + ".join(f"abs(_s{k} - _s{k - 1})" for k in range(1, points))
+    return (
+        positions.selectExpr("image_id", "r", "c", *keep, *cells)
+        .selectExpr("*", *bits)
+        .selectExpr("*", f"CASE WHEN {changes} <= 2 THEN {ones} ELSE {points + 1} END AS code")
+    )
 
 
 def lbp_codes(
@@ -91,22 +100,8 @@ def lbp_codes(
     A sample counts when it is at least the centre; samples outside the image are 0.
     """
     strips = cut_strips(rasters, ("gray",), math.ceil(radius), strip_pixels)
-    return _with_lbp(strip_positions(strips, ("gray",)), points, radius, []).select(
-        "image_id", "r", "c", F.col("_n0_0").alias("gray"), "code"
-    )
-
-
-def _with_lbp(positions: DataFrame, points: int, radius: float, keep: Sequence[Column]) -> DataFrame:
-    cells = [
-        F.coalesce(at("gray", dr, dc), F.lit(0)).cast("smallint").alias(_cell_name(dr, dc))
-        for dr, dc in _lbp_neighbourhood(points, radius)
-    ]
-    near = positions.select("image_id", "r", "c", *keep, *cells)
-    samples = [
-        (_interpolated(step) - F.col("_n0_0") >= 0).cast("int").alias(f"_s{k}")
-        for k, step in enumerate(_sample_steps(points, radius))
-    ]
-    return near.select("*", *samples).withColumn("code", _lbp_code(points, radius))
+    coded = _with_lbp(strip_positions(strips, ("gray",)), points, radius, [])
+    return coded.selectExpr("image_id", "r", "c", "_n0_0 AS gray", "code")
 
 
 # ---------------------------------------------------------------- the shared tally
@@ -128,69 +123,67 @@ def pixel_tallies(
     """
     wants_gray = bool({"gray", "lbp", "glcm"} & set(kinds))
     channels = [c for c, wanted in (("gray", wants_gray), ("green", "green" in kinds), ("red", "red" in kinds)) if wanted]
-    halo = max([math.ceil(radius) if "lbp" in kinds else 0, 1 if "glcm" in kinds else 0])
+    halo = max(math.ceil(radius) if "lbp" in kinds else 0, 1 if "glcm" in kinds else 0)
     positions = strip_positions(cut_strips(rasters, channels, halo, strip_pixels), channels)
 
-    def entry(kind: int, a: Column, b: Column | None = None) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"), a.cast("int").alias("a"), (F.lit(0) if b is None else b).cast("int").alias("b")
-        )
-
-    divisor = _glcm_divisor(levels)
-    keep: list[Column] = []
-    entries: list[Column] = []
-    if "gray" in kinds:
-        keep.append(at("gray").alias("_gray"))
-        entries.append(entry(GRAY, F.col("_gray")))
-    for name, kind in (("green", GREEN), ("red", RED)):
+    def entry(kind: int, a: str, b: str = "0") -> str:
+        return f"struct({kind} AS kind, CAST({a} AS INT) AS a, CAST({b} AS INT) AS b)"
+
+    keep: list[str] = []
+    entries: list[str] = []
+    for name, kind in (("gray", GRAY), ("green", GREEN), ("red", RED)):
         if name in kinds:
-            keep.append(at(name).alias(f"_{name}"))
-            entries.append(entry(kind, F.col(f"_{name}")))
+            keep.append(f"{at(name)} AS _{name}")
+            entries.append(entry(kind, f"_{name}"))
     if "glcm" in kinds:
-        keep.append(int_div(at("gray"), divisor).alias("_q"))
+        divisor = _glcm_divisor(levels)
+        keep.append(f"CAST({at('gray')} DIV {divisor} AS INT) AS _q")
         for angle, (dr, dc) in ANGLE_STEPS.items():
-            keep.append(int_div(at("gray", dr, dc), divisor).alias(f"_q{angle}"))
-            there = F.col(f"_q{angle}")
-            # Outside the image both ends are NULL and the pair is filtered away.
-            entries.append(entry(
-                GLCM + angle, F.when(there.isNotNull(), F.least("_q", there)), F.when(there.isNotNull(), F.greatest("_q", there))
-            ))
+            there = f"_q{angle}"
+            keep.append(f"CAST({at('gray', dr, dc)} DIV {divisor} AS INT) AS {there}")
+            # Outside the image the pair is NULL and filtered away below.
+            entries.append(entry(GLCM + angle, *[
+                f"CASE WHEN {there} IS NOT NULL THEN {f}(_q, {there}) END" for f in ("least", "greatest")
+            ]))
     if "lbp" in kinds:
         seen = _with_lbp(positions, points, radius, keep)
-        entries.append(entry(LBP, F.col("code")))
+        entries.append(entry(LBP, "code"))
     else:
-        seen = positions.select("image_id", *keep)
+        seen = positions.selectExpr("image_id", *keep)
     return (
-        seen.select("image_id", F.explode(F.array(*entries)).alias("e"))
-        .filter("e.a is not null")
-        .groupBy("image_id", "e.kind", "e.a", "e.b")
-        .agg(F.count(F.lit(1)).alias("n"))
+        seen.selectExpr("image_id", f"explode(array({', '.join(entries)})) AS e")
+        .selectExpr("image_id", "e.kind", "e.a", "e.b")
+        .filter("a IS NOT NULL")
+        .groupBy("image_id", "kind", "a", "b")
+        .agg(F.expr("count(1) AS n"))
     )
 
 
 # ---------------------------------------------------------------- statistics from tallies
 
 
+def _per_image(df: DataFrame, aggregates: Sequence[str], keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    return df.groupBy(*keys).agg(F.expr(f"struct({', '.join(aggregates)}) AS _s")).select(*keys, "_s.*")
+
+
 def intensity_from_tallies(tallies: DataFrame) -> DataFrame:
     """Mean, population deviation, biased skewness and excess kurtosis of gray.
 
-    The value histogram has at most 256 rows per image. Central moments are
-    summed about the mean in a second step over it, so nothing cancels.
+    The value histogram has at most 256 entries per image, so it is gathered and
+    central moments are summed about the mean, where nothing cancels.
     """
-    histogram = tallies.filter(F.col("kind") == GRAY).select("image_id", F.col("a").cast("double").alias("x"), "n")
-    means = histogram.groupBy("image_id").agg(
-        F.sum("n").alias("_total"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("_mean")
-    )
-    d = F.col("x") - F.col("_mean")
-    central = [(F.sum(F.col("n") * F.pow(d, F.lit(k))) / F.first("_total")).alias(f"_m{k}") for k in (2, 3, 4)]
-    moments = histogram.join(means, "image_id").groupBy("image_id").agg(F.first("_mean").alias("_mean"), *central)
-    varied = F.col("_m2") > 0
-    return moments.select(
+    gathered = _per_image(tallies.filter(f"kind = {GRAY}"), [
+        "CAST(sum(n) AS DOUBLE) AS _n", "sum(a * n) / sum(n) AS _mean", "collect_list(struct(a, n)) AS _h",
+    ])
+    powers = [
+        f"aggregate(_h, 0.0D, (acc, e) -> acc + e.n * power(e.a - _mean, {k}D)) / _n AS _m{k}" for k in (2, 3, 4)
+    ]
+    return gathered.selectExpr("image_id", "_mean", *powers).selectExpr(
         "image_id",
-        F.col("_mean").alias("intensity_mean"),
-        F.sqrt("_m2").alias("intensity_std"),
-        F.when(varied, F.col("_m3") / F.pow(F.col("_m2"), F.lit(1.5))).otherwise(0.0).alias("intensity_skew"),
-        F.when(varied, F.col("_m4") / (F.col("_m2") * F.col("_m2")) - 3.0).otherwise(0.0).alias("intensity_kurtosis"),
+        "_mean AS intensity_mean",
+        "sqrt(_m2) AS intensity_std",
+        "CASE WHEN _m2 > 0 THEN _m3 / power(_m2, 1.5D) ELSE 0.0D END AS intensity_skew",
+        "CASE WHEN _m2 > 0 THEN _m4 / (_m2 * _m2) - 3.0D ELSE 0.0D END AS intensity_kurtosis",
     )
 
 
@@ -200,11 +193,8 @@ def intensity_stats(rasters: DataFrame, strip_pixels: int = STRIP_PIXELS) -> Dat
 
 def lbp_from_tallies(tallies: DataFrame, points: int = 8) -> DataFrame:
     """``lbp_0 .. lbp_<points+1>``: share of each pattern code."""
-    counts = tallies.filter(F.col("kind") == LBP)
-    total = F.sum("n") + F.lit(1e-6)
-    return counts.groupBy("image_id").agg(*[
-        (F.sum(F.when(F.col("a") == code, F.col("n")).otherwise(0)) / total).alias(f"lbp_{code}")
-        for code in range(points + 2)
+    return _per_image(tallies.filter(f"kind = {LBP}"), [
+        f"sum(CASE WHEN a = {code} THEN n ELSE 0 END) / (sum(n) + 1e-6D) AS lbp_{code}" for code in range(points + 2)
     ])
 
 
@@ -218,20 +208,16 @@ def lbp_histogram(
 def glcm_matrix(rasters: DataFrame, levels: int = 64, strip_pixels: int = STRIP_PIXELS) -> DataFrame:
     """Symmetric normalised co-occurrence ``image_id, angle, i, j, p``, zeros left out."""
     tallies = pixel_tallies(rasters, ("glcm",), levels=levels, strip_pixels=strip_pixels)
-    pairs = tallies.select("image_id", (F.col("kind") - GLCM).alias("angle"), "a", "b", "n")
-    totals = pairs.groupBy("image_id", "angle").agg(F.sum("n").alias("_total"))
-    share = F.col("n") / (2.0 * F.col("_total"))
-    cells = F.when(
-        F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j"), (2.0 * share).alias("p")))
-    ).otherwise(F.array(
-        F.struct(F.col("a").alias("i"), F.col("b").alias("j"), share.alias("p")),
-        F.struct(F.col("b").alias("i"), F.col("a").alias("j"), share.alias("p")),
-    ))
-    return (
-        pairs.join(totals, ["image_id", "angle"])
-        .select("image_id", "angle", F.explode(cells).alias("m"))
-        .select("image_id", "angle", "m.i", "m.j", "m.p")
+    # At most levels^2 entries per (image, angle), whatever the image size.
+    shares = tallies.selectExpr(
+        "image_id", f"kind - {GLCM} AS angle", "a", "b",
+        "n / (2.0D * sum(n) OVER (PARTITION BY image_id, kind)) AS share",
     )
+    cells = (
+        "CASE WHEN a = b THEN array(struct(a AS i, b AS j, 2 * share AS p)) "
+        "ELSE array(struct(a AS i, b AS j, share AS p), struct(b AS i, a AS j, share AS p)) END"
+    )
+    return shares.selectExpr("image_id", "angle", f"inline({cells})")
 
 
 def glcm_angle_stats(tallies: DataFrame) -> DataFrame:
@@ -240,45 +226,39 @@ def glcm_angle_stats(tallies: DataFrame) -> DataFrame:
     An unordered pair seen n times stands for n in both mirror cells, so the
     matrix total is twice the number of pairs.
     """
-    a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), F.col("n").cast("double")
-    gap = b - a
-    twin = F.when(gap == 0, 2.0 * n).otherwise(n)
-    sums = (
-        tallies.filter(F.col("kind") >= GLCM)
-        .groupBy("image_id", (F.col("kind") - GLCM).alias("angle"))
-        .agg(
-            F.sum(n).alias("_n"),
-            F.sum(n * gap * gap).alias("_contrast"),
-            F.sum(n * gap).alias("_dissimilarity"),
-            F.sum(n / (1.0 + gap * gap)).alias("_homogeneity"),
-            # Squares of the cells: one diagonal cell of 2n, or two cells of n.
-            F.sum(F.when(gap == 0, twin * twin).otherwise(2.0 * n * n)).alias("_squares"),
-            F.sum(n * (a + b)).alias("_first"),
-            F.sum(n * (a * a + b * b)).alias("_second"),
-            F.sum(2.0 * n * a * b).alias("_cross"),
-            F.min("a").alias("_low"),
-            F.max("b").alias("_high"),
-        )
+    pairs = tallies.filter(f"kind >= {GLCM}").selectExpr(
+        "image_id", f"kind - {GLCM} AS angle", "a", "b",
+        "CAST(n AS DOUBLE) AS n", "CAST(b - a AS DOUBLE) AS d", "CAST(a AS DOUBLE) AS x", "CAST(b AS DOUBLE) AS y",
     )
-    total = 2.0 * F.col("_n")
-    mean = F.col("_first") / total
-    asm = F.col("_squares") / (total * total)
-    flat = F.col("_low") == F.col("_high")
-    spread = F.col("_second") / total - mean * mean
-    return sums.select(
+    sums = _per_image(pairs, [
+        "sum(n) AS _n",
+        "sum(n * d * d) AS _contrast",
+        "sum(n * d) AS _dissimilarity",
+        "sum(n / (1 + d * d)) AS _homogeneity",
+        # Squared cells: one diagonal cell of 2n, or two cells of n.
+        "sum(CASE WHEN d = 0 THEN 4 * n * n ELSE 2 * n * n END) AS _squares",
+        "sum(n * (x + y)) AS _first",
+        "sum(n * (x * x + y * y)) AS _second",
+        "sum(2 * n * x * y) AS _cross",
+        "min(a) AS _low",
+        "max(b) AS _high",
+    ], ("image_id", "angle"))
+    mean = "(_first / (2 * _n))"
+    spread = f"(_second / (2 * _n) - {mean} * {mean})"
+    return sums.selectExpr(
         "image_id", "angle",
-        (F.col("_contrast") / F.col("_n")).alias("contrast"),
-        (F.col("_dissimilarity") / F.col("_n")).alias("dissimilarity"),
-        (F.col("_homogeneity") / F.col("_n")).alias("homogeneity"),
-        F.sqrt(asm).alias("energy"),
-        F.when(flat, F.lit(1.0)).otherwise((F.col("_cross") / total - mean * mean) / spread).alias("correlation"),
-        asm.alias("ASM"),
-        F.col("_high").alias("top_level"),
+        "_contrast / _n AS contrast",
+        "_dissimilarity / _n AS dissimilarity",
+        "_homogeneity / _n AS homogeneity",
+        "sqrt(_squares) / (2 * _n) AS energy",
+        f"CASE WHEN _low = _high THEN 1.0D ELSE (_cross / (2 * _n) - {mean} * {mean}) / {spread} END AS correlation",
+        "_squares / (4 * _n * _n) AS ASM",
+        "_high AS top_level",
     )
 
 
 def glcm_from_tallies(
-    images: DataFrame, tallies: DataFrame, levels: int = 64, properties: Sequence[str] = GLCM_PROPERTIES
+    tallies: DataFrame, levels: int = 64, properties: Sequence[str] = GLCM_PROPERTIES
 ) -> DataFrame:
     """Mean and population deviation of each property over the four angles.
 
@@ -287,35 +267,27 @@ def glcm_from_tallies(
     ``glcm_status`` saying so. A level outside every pair exists only in a
     one-pixel image, so the grey histogram is consulted where it was tallied.
     """
-    by_angle = glcm_angle_stats(tallies)
     columns = [
-        F.max(F.when(F.col("angle") == angle, F.col(p))).alias(f"_{p}_{angle}")
+        f"coalesce(max(CASE WHEN angle = {angle} THEN {p} END), {1.0 if p == 'correlation' else 0.0}D) AS _{p}_{angle}"
         for p in properties for angle in ANGLE_STEPS
     ]
-    wide = by_angle.groupBy("image_id").agg(*columns, F.max("top_level").alias("_top"))
-    lone = (
-        tallies.filter(F.col("kind") == GRAY).groupBy("image_id")
-        .agg(F.max("a").alias("_brightest"))
-        .withColumn("_lone", int_div(F.col("_brightest"), _glcm_divisor(levels)))
-    )
-    joined = (
-        images.filter("ok").select("image_id").join(wide, "image_id", "left")
-        .join(lone.select("image_id", "_lone"), "image_id", "left")
+    by_angle = glcm_angle_stats(tallies).selectExpr("image_id", "angle", *properties, "top_level")
+    # Grey levels ride along as rows without angle, so one aggregate sees both.
+    lone = tallies.filter(f"kind = {GRAY}").selectExpr(
+        "image_id", "CAST(NULL AS INT) AS angle", *[f"CAST(NULL AS DOUBLE) AS {p}" for p in properties],
+        f"CAST(a DIV {_glcm_divisor(levels)} AS INT) AS top_level",
     )
-    overflow = F.greatest(F.coalesce("_top", F.lit(0)), F.coalesce("_lone", F.lit(0))) >= levels
+    wide = _per_image(by_angle.unionByName(lone), [*columns, f"max(top_level) >= {levels} AS _over"])
     out = []
     for p in properties:
-        empty = 1.0 if p == "correlation" else 0.0
-        four = [F.coalesce(F.col(f"_{p}_{angle}"), F.lit(empty)) for angle in ANGLE_STEPS]
-        mean = (four[0] + four[1] + four[2] + four[3]) / 4
-        squares = [(v - mean) * (v - mean) for v in four]
-        std = F.sqrt((squares[0] + squares[1] + squares[2] + squares[3]) / 4)
+        four = [f"_{p}_{angle}" for angle in ANGLE_STEPS]
+        mean = f"(({' + '.join(four)}) / 4)"
+        spread = " + ".join(f"({v} - {mean}) * ({v} - {mean})" for v in four)
         out += [
-            F.when(overflow, 0.0).otherwise(mean).alias(f"glcm_{p}_mean"),
-            F.when(overflow, 0.0).otherwise(std).alias(f"glcm_{p}_std"),
+            f"CASE WHEN _over THEN 0.0D ELSE {mean} END AS glcm_{p}_mean",
+            f"CASE WHEN _over THEN 0.0D ELSE sqrt(({spread}) / 4) END AS glcm_{p}_std",
         ]
-    status = F.when(overflow, "level_overflow").otherwise("ok").alias("glcm_status")
-    return joined.select("image_id", *out, status)
+    return wide.selectExpr("image_id", *out, "CASE WHEN _over THEN 'level_overflow' ELSE 'ok' END AS glcm_status")
 
 
 def glcm_stats(
@@ -325,7 +297,7 @@ def glcm_stats(
     strip_pixels: int = STRIP_PIXELS,
 ) -> DataFrame:
     tallies = pixel_tallies(rasters, ("gray", "glcm"), levels=levels, strip_pixels=strip_pixels)
-    return glcm_from_tallies(rasters, tallies, levels, properties)
+    return glcm_from_tallies(tallies, levels, properties)
 
 
 # ---------------------------------------------------------------- Gabor filters
@@ -419,24 +391,18 @@ def gabor_stats(
     udf = _gabor_udf(filters)
     per_strip = strips.select(
         "image_id",
-        (F.col("n_rows") * F.col("w")).cast("double").alias("n"),
+        F.expr("CAST(n_rows * w AS DOUBLE) AS n"),
         udf("gray", "h", "w", "top", "r0", "n_rows").alias("m"),
     )
-    means = per_strip.groupBy("image_id").agg(
-        F.sum("n").alias("_n"),
-        *[(F.sum(F.col("n") * F.col("m")[2 * i]) / F.sum("n")).alias(f"_mean{i}") for i in range(len(stems))],
-        # At most one entry per strip, so the list is bounded by the image height.
-        F.collect_list(F.struct("n", "m")).alias("_parts"),
-    )
-
-    def deviation(i: int) -> Column:
-        def widen(acc: Column, part: Column) -> Column:
-            off = part["m"][2 * i] - F.col(f"_mean{i}")
-            return acc + part["m"][2 * i + 1] + part["n"] * off * off
-
-        return F.sqrt(F.aggregate("_parts", F.lit(0.0), widen) / F.col("_n"))
-
+    # One record per strip, so the gathered list is bounded by the image height.
+    gathered = _per_image(per_strip, [
+        "sum(n) AS _n",
+        *[f"sum(n * m[{2 * i}]) / sum(n) AS _mean{i}" for i in range(len(stems))],
+        "collect_list(struct(n, m)) AS _parts",
+    ])
     columns = []
     for i, stem in enumerate(stems):
-        columns += [F.col(f"_mean{i}").alias(f"{stem}_mean"), deviation(i).alias(f"{stem}_std")]
-    return means.select("image_id", *columns)
+        off = f"(p.m[{2 * i}] - _mean{i})"
+        spread = f"aggregate(_parts, 0.0D, (acc, p) -> acc + p.m[{2 * i + 1}] + p.n * {off} * {off})"
+        columns += [f"_mean{i} AS `{stem}_mean`", f"sqrt({spread} / _n) AS `{stem}_std`"]
+    return gathered.selectExpr("image_id", *columns)

@@ -6,7 +6,6 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tilewright.functions.scalars import gabor_stem
 from tilewright.functions.summaries import STATS
@@ -95,14 +94,14 @@ def image_features(
     ), "runs")
     regions = cut_lineage(region_table(runs), "regions")
     cells = cells_of(regions)
-    shaped = cells_with_nucleus(runs, regions)
+    shaped = cells_with_nucleus(runs, regions) if nuclei else cells
     parts = [
         intensity_from_tallies(tallies),
         cell_counts(rasters, regions),
         shape_summary(rasters, shaped),
         nearest_neighbour(rasters, cells),
         lbp_from_tallies(tallies, lbp_points),
-        glcm_from_tallies(rasters, tallies, glcm_levels),
+        glcm_from_tallies(tallies, glcm_levels),
         gabor_stats(rasters, gabor_frequencies, gabor_angles, strip_pixels),
     ]
     wide = rasters.select("image_id", "label", "ok")
@@ -110,9 +109,8 @@ def image_features(
         wide = wide.join(part, "image_id", "left")
     families = feature_families(lbp_points, gabor_frequencies, gabor_angles, nuclei)
     names = [n for family in families.values() for n in family]
-    status = F.when(~F.col("ok"), "unreadable").otherwise(F.col("glcm_status"))
-    return wide.select(
+    return wide.selectExpr(
         "image_id", "label",
-        *[F.coalesce(F.col(f"`{n}`").cast("double"), F.lit(0.0)).alias(n) for n in names],
-        status.alias("status"),
+        *[f"coalesce(CAST(`{n}` AS DOUBLE), 0.0D) AS `{n}`" for n in names],
+        "CASE WHEN ok THEN glcm_status ELSE 'unreadable' END AS status",
     )
