@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 
 def number_within(
-    df: DataFrame, group: Sequence[str], bucket: str, order: str, name: str = "rn", total: str | None = None
+    df: DataFrame, group: Sequence[str], bucket: str, order: str, name: str = "rn", per_group: DataFrame | None = None
 ) -> DataFrame:
     """Adds ``name`` = 1..n inside each group; ``bucket`` must rise with ``order``.
 
-    ``total`` optionally names a column for the group size.
+    ``per_group`` optionally brings further columns by group. They ride on the
+    (group, bucket) sizes, so rows are never joined on the group alone.
     """
     by = ", ".join(group)
     keyed = df.withColumn("_bucket", F.expr(bucket))
@@ -29,8 +30,9 @@ def number_within(
         *group,
         "_bucket",
         f"coalesce(sum(_n) OVER (PARTITION BY {by} ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _shift",
-        *([f"sum(_n) OVER (PARTITION BY {by}) AS {total}"] if total else []),
     )
+    if per_group is not None:
+        shifts = shifts.join(per_group, list(group))
     inside = f"CAST(row_number() OVER (PARTITION BY {by}, _bucket ORDER BY {order}) AS BIGINT)"
     return (
         keyed.join(shifts, [*group, "_bucket"])
