@@ -157,8 +157,8 @@ def holdout_score(spark, sf):
     return rounded(modelling.holdout_score(split))
 
 
-SMALL = modelling.StackSettings(n_estimators=2, depth=3, folds=2)
-SMALLER = modelling.StackSettings(n_estimators=2, depth=3, folds=2, learners=("forest", "tree"))
+SMALL = modelling.StackSettings(n_estimators=2, depth=3, folds=2, final_iterations=15)
+SMALLER = modelling.StackSettings(n_estimators=2, depth=3, folds=2, final_iterations=15, learners=("forest", "tree"))
 
 
 def _cleaned(spark, sf):
@@ -170,9 +170,14 @@ def _fitted(spark, sf, settings=SMALLER):
     return modelling.fit_stack(cleaned, fitted.feature_columns, "vec_id", "label", settings), fitted, cleaned
 
 
+def _base(spark, sf):
+    cleaned, fitted = _cleaned(spark, sf)
+    return modelling.fit_base(cleaned, fitted.feature_columns, "vec_id", "label", SMALL), fitted, cleaned
+
+
 def base_learners(spark, sf):
-    model, _, cleaned = _fitted(spark, sf, SMALL)
-    return model.predict_each(cleaned).select("vec_id", "label", *[f"{n}_prediction" for n in model.learners])
+    model, _, cleaned = _base(spark, sf)
+    return model.predict_each(cleaned).select("vec_id", "label", *[f"{x.name}_prediction" for x in model.learners])
 
 
 def stacking(spark, sf):
@@ -187,7 +192,7 @@ def cross_val_score(spark, sf):
 
 def training_metrics(spark, sf):
     cleaned, fitted = _cleaned(spark, sf)
-    settings = modelling.StackSettings(n_estimators=2, depth=3, folds=2, learners=("tree",))
+    settings = modelling.StackSettings(n_estimators=2, depth=3, folds=2, final_iterations=15, learners=("tree",))
     return modelling.train_stacking(cleaned, fitted.feature_columns, "vec_id", "label", settings)[1]
 
 
@@ -246,7 +251,10 @@ def _spread_scores(spark, sf):
     )
     packed = matrix.agg(F.expr(f"array({facts}) AS x"))
     names = packed.selectExpr("x.feature AS names")
-    scores = packed.selectExpr("stack(3, 'deviation', x.a, 'range', x.b, 'positive', x.c) AS (learner, scores)")
+    scores = packed.selectExpr(
+        "inline(array(struct('deviation' AS learner, x.a AS scores), struct('range' AS learner, x.b AS scores), "
+        "struct('positive' AS learner, x.c AS scores)))"
+    )
     return names, scores
 
 
@@ -284,7 +292,7 @@ def top_k(spark, sf):
 
 
 def collect_importances(spark, sf):
-    model, fitted, _ = _fitted(spark, sf, SMALL)
+    model, fitted, _ = _base(spark, sf)
     return insights.importance_table(spark, fitted.feature_columns, model.importances())
 
 
@@ -346,7 +354,7 @@ def scalar_feature_names(spark, sf):
     stem = "concat('gabor_f', format_string('%.1f', 0.1D * (1 + label % 2)), '_a', CAST(degrees(label * pi() / 18) AS INT), '_mean')"
     return labels.selectExpr("label", f"{stem} AS feature").selectExpr(
         "label", "feature", f"{scalars.display_name('feature')} AS title",
-        "concat('Trend (R²=', format_string('%.2f', label / 8.0D), ')') AS legend",
+        f"{insights.trend_legend('label / 8.0D')} AS legend",
     )
 
 

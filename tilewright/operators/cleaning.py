@@ -84,11 +84,12 @@ class Preprocessor:
 
 def _column_facts(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, dict]]:
     """Row count and, per column, missing share and moments of the present values."""
-    parts = []
-    for c in columns:
-        x = finite(quoted(c))
-        parts.append(f"struct(count({x}) AS present, avg({x}) AS mean, var_pop({x}) AS var) AS {quoted(c)}")
-    row = df.agg(F.expr("count(1) AS _rows"), F.expr(f"struct({', '.join(parts)}) AS _c")).first()
+    # Values are made finite once, below the aggregate.
+    present = df.selectExpr(*[f"{finite(quoted(c))} AS {quoted(c)}" for c in columns])
+    parts = ", ".join(
+        f"struct(count({c}) AS present, avg({c}) AS mean, var_pop({c}) AS var) AS {c}" for c in map(quoted, columns)
+    )
+    row = present.agg(F.expr(f"struct(count(1) AS _rows, struct({parts}) AS _c) AS s")).first()["s"]
     return row["_rows"], {c: row["_c"][c].asDict() for c in columns}
 
 

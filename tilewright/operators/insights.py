@@ -125,6 +125,11 @@ def trendlines(long: DataFrame, codes: DataFrame) -> DataFrame:
     return lines.selectExpr("*", "slope * x0 + intercept AS y0", "slope * x1 + intercept AS y1")
 
 
+def trend_legend(r2: str) -> str:
+    """``Trend (R²=0.12)``; two digits, ties to the even one."""
+    return f"concat('Trend (R²=', format_string('%.2f', bround({r2}, 2)), ')')"
+
+
 # ---------------------------------------------------------------- violins
 
 

@@ -8,18 +8,18 @@ numbers; splits, folds, out-of-fold stacking and metrics are the same.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Model
 from pyspark.ml.classification import (
     DecisionTreeClassificationModel,
     DecisionTreeClassifier,
+    GBTClassificationModel,
     GBTClassifier,
     LogisticRegression,
     LogisticRegressionModel,
-    OneVsRest,
-    OneVsRestModel,
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
@@ -85,110 +85,144 @@ def stratified_folds(df: DataFrame, key: str, label: str = "label", k: int = 5,
 _COLUMNS = {"featuresCol": "features", "labelCol": "target"}
 
 
-def base_learners(n_estimators: int = 200, seed: int = 42, depth: int = 5) -> dict[str, Estimator]:
-    """The three tree learners by name."""
+def _outputs(name: str) -> dict[str, str]:
+    return {"rawPredictionCol": f"{name}_raw", "probabilityCol": f"{name}_score", "predictionCol": f"{name}_class"}
 
-    def outputs(name: str) -> dict[str, str]:
-        return {"rawPredictionCol": f"{name}_raw", "predictionCol": f"{name}_class"}
 
-    boosted = GBTClassifier(maxIter=n_estimators, maxDepth=depth, seed=seed, **_COLUMNS)
-    return {
-        "forest": RandomForestClassifier(
-            numTrees=n_estimators, maxDepth=depth, seed=seed, probabilityCol="forest_score", **outputs("forest"), **_COLUMNS
-        ),
-        "boosted": OneVsRest(classifier=boosted, parallelism=4, **outputs("boosted"), **_COLUMNS),
-        "tree": DecisionTreeClassifier(
-            maxDepth=depth, seed=seed, probabilityCol="tree_score", **outputs("tree"), **_COLUMNS
-        ),
-    }
+@dataclass(frozen=True)
+class FittedLearner:
+    """A base learner: one multi-class model, or one binary model per class.
 
+    Binary members score their class against the rest and the scores are scaled
+    to sum to 1. All of it runs in the JVM, unlike ``OneVsRestModel``, which
+    scores rows in Python.
+    """
 
-def _scores(name: str) -> Column:
-    """Class scores of a learner as an array that sums to 1."""
+    name: str
+    members: list[Model]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``<name>_scores`` (array over classes) and ``<name>_class``."""
+        kept = df.columns
+        for member in self.members:
+            df = member.transform(df)
+        if len(self.members) == 1:
+            scores = vector_to_array(f"{self.name}_score")
+        else:
+            odds = F.array(*[vector_to_array(f"{self.name}{k}_score")[1] for k in range(len(self.members))])
+            df = df.withColumn("_odds", odds)
+            total = F.expr("aggregate(_odds, 0.0D, (acc, v) -> acc + v)")
+            scores = F.transform("_odds", lambda v: v / F.greatest(total, F.lit(1e-300)))
+        scored = df.select(*kept, scores.alias(f"{self.name}_scores"))
+        top = f"CAST(array_position({self.name}_scores, array_max({self.name}_scores)) - 1 AS DOUBLE)"
+        return scored.withColumn(f"{self.name}_class", F.expr(top))
+
+    def importances(self) -> list[float]:
+        """Mean importance vector of the members."""
+        vectors = [m.featureImportances.toArray() for m in self.members]
+        return [float(x) for x in sum(vectors) / len(vectors)]
+
+
+def fit_learner(
+    name: str, rows: DataFrame, n_classes: int, n_estimators: int = 200, seed: int = 42, depth: int = 5
+) -> FittedLearner:
+    """``forest``, ``boosted`` or ``tree`` on rows with ``features`` and ``target``."""
+    if name == "forest":
+        learner = RandomForestClassifier(numTrees=n_estimators, maxDepth=depth, seed=seed, **_outputs(name), **_COLUMNS)
+        return FittedLearner(name, [learner.fit(rows)])
+    if name == "tree":
+        return FittedLearner(name, [DecisionTreeClassifier(maxDepth=depth, seed=seed, **_outputs(name), **_COLUMNS).fit(rows)])
     if name != "boosted":
-        return vector_to_array(f"{name}_score")
-    # Boosted margins become odds of each class against the rest.
-    odds = F.transform(vector_to_array(f"{name}_raw"), lambda m: 1 / (1 + F.exp(-2 * m)))
-    total = F.aggregate(odds, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(odds, lambda v: v / total)
+        raise ValueError(f"unknown learner '{name}'")
+
+    def one_class(k: int) -> Model:
+        learner = GBTClassifier(
+            maxIter=n_estimators, maxDepth=depth, seed=seed, featuresCol="features", labelCol="_own",
+            predictionCol=f"{name}{k}_class",
+        ).setRawPredictionCol(f"{name}{k}_raw").setProbabilityCol(f"{name}{k}_score")
+        return learner.fit(rows.selectExpr("features", f"CASE WHEN target = {k} THEN 1.0D ELSE 0.0D END AS _own"))
+
+    # Classes are independent, so their jobs are submitted side by side.
+    with ThreadPoolExecutor(max_workers=min(4, n_classes)) as pool:
+        return FittedLearner(name, list(pool.map(one_class, range(n_classes))))
 
 
-def _with_scores(df: DataFrame, learners: Mapping[str, Model]) -> DataFrame:
+def _with_scores(df: DataFrame, learners: Sequence[FittedLearner]) -> DataFrame:
     """Each learner adds its columns in turn; no join is needed to line rows up."""
     kept = df.columns
-    for model in learners.values():
-        df = model.transform(df)
-    meta = array_to_vector(F.concat(*[_scores(name) for name in learners]))
-    return df.select(*kept, *[f"{name}_class" for name in learners], meta.alias("meta"))
+    for learner in learners:
+        df = learner.transform(df)
+    meta = array_to_vector(F.concat(*[F.col(f"{x.name}_scores") for x in learners]))
+    return df.select(*kept, *[f"{x.name}_class" for x in learners], meta.alias("meta"))
 
 
-def _fit_final(scored: DataFrame, seed: int) -> LogisticRegressionModel:
+def _fit_final(scored: DataFrame, iterations: int) -> LogisticRegressionModel:
     """Multinomial logistic regression with unit ridge penalty on the summed loss."""
     rows = scored.count()
     return LogisticRegression(
+        maxIter=iterations,
         family="multinomial", featuresCol="meta", labelCol="target", regParam=1.0 / max(rows, 1),
         standardization=False, predictionCol="final_class", rawPredictionCol="final_raw", probabilityCol="final_score",
     ).fit(scored)
 
 
+_READERS = {
+    "forest": RandomForestClassificationModel, "boosted": GBTClassificationModel, "tree": DecisionTreeClassificationModel,
+}
+
+
 @dataclass(frozen=True)
 class StackModel:
     classes: list[str]
     features: list[str]
-    learners: dict[str, Model]
-    final: LogisticRegressionModel
+    learners: list[FittedLearner]
+    final: LogisticRegressionModel | None
+
+    def _scored(self, df: DataFrame) -> DataFrame:
+        return _with_scores(VectorAssembler(inputCols=self.features, outputCol="features").transform(df), self.learners)
 
-    def _assembled(self, df: DataFrame) -> DataFrame:
-        return VectorAssembler(inputCols=self.features, outputCol="features").transform(df)
+    def _named(self, position: str) -> Column:
+        return F.array(*[F.lit(c) for c in self.classes])[F.col(position).cast("int")]
 
     def predict(self, df: DataFrame) -> DataFrame:
         """``df`` with the predicted label as ``prediction``."""
-        scored = _with_scores(self._assembled(df), self.learners)
-        names = F.array(*[F.lit(c) for c in self.classes])
-        classed = self.final.transform(scored)
-        return classed.select(*df.columns, names[F.col("final_class").cast("int")].alias("prediction"))
+        classed = self.final.transform(self._scored(df))
+        return classed.select(*df.columns, self._named("final_class").alias("prediction"))
 
     def predict_each(self, df: DataFrame) -> DataFrame:
         """``df`` with one ``<learner>_prediction`` per base learner."""
-        scored = _with_scores(self._assembled(df), self.learners)
-        names = F.array(*[F.lit(c) for c in self.classes])
-        return scored.select(*df.columns, *[
-            names[F.col(f"{n}_class").cast("int")].alias(f"{n}_prediction") for n in self.learners
-        ])
+        named = [self._named(f"{x.name}_class").alias(f"{x.name}_prediction") for x in self.learners]
+        return self._scored(df).select(*df.columns, *named)
 
     def importances(self) -> dict[str, list[float]]:
-        """Importance vector per learner; without any, the absolute first row of
-        the final coefficients."""
-        found = {}
-        for name, model in self.learners.items():
-            if isinstance(model, OneVsRestModel):
-                members = [m.featureImportances.toArray() for m in model.models]
-                found[name] = [float(x) for x in sum(members) / len(members)]
-            elif hasattr(model, "featureImportances"):
-                found[name] = [float(x) for x in model.featureImportances.toArray()]
-        if not found:
-            found["final"] = [abs(float(x)) for x in self.final.coefficientMatrix.toArray()[0]]
-        return found
+        """Importance vector per learner; without learners, the absolute first row
+        of the final coefficients."""
+        if not self.learners:
+            return {"final": [abs(float(x)) for x in self.final.coefficientMatrix.toArray()[0]]}
+        return {x.name: x.importances() for x in self.learners}
 
     def save(self, spark: SparkSession, path: str) -> None:
-        for name, model in self.learners.items():
-            model.write().overwrite().save(f"{path}/learners/{name}")
+        for learner in self.learners:
+            for k, member in enumerate(learner.members):
+                member.write().overwrite().save(f"{path}/learners/{learner.name}/{k}")
+        if self.final is None:
+            raise ValueError("only a whole stack can be saved")
         self.final.write().overwrite().save(f"{path}/final")
+        parts = [(x.name, len(x.members)) for x in self.learners]
         info = spark.createDataFrame(
-            [(self.classes, self.features, list(self.learners))],
-            "classes ARRAY<STRING>, features ARRAY<STRING>, learners ARRAY<STRING>",
+            [(self.classes, self.features, parts)],
+            "classes ARRAY<STRING>, features ARRAY<STRING>, learners ARRAY<STRUCT<name: STRING, members: INT>>",
         )
         info.write.mode("overwrite").parquet(f"{path}/info")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> StackModel:
         info = spark.read.parquet(f"{path}/info").first()
-        readers = {
-            "forest": RandomForestClassificationModel, "boosted": OneVsRestModel, "tree": DecisionTreeClassificationModel,
-        }
-        learners = {n: readers[n].load(f"{path}/learners/{n}") for n in info["learners"]}
-        final = LogisticRegressionModel.load(f"{path}/final")
-        return StackModel(list(info["classes"]), list(info["features"]), learners, final)
+        learners = [
+            FittedLearner(x["name"], [_READERS[x["name"]].load(f"{path}/learners/{x['name']}/{k}") for k in range(x["members"])])
+            for x in info["learners"]
+        ]
+        return StackModel(list(info["classes"]), list(info["features"]), learners, LogisticRegressionModel.load(f"{path}/final"))
 
 
 @dataclass(frozen=True)
@@ -200,11 +234,11 @@ class StackSettings:
     folds: int = 5
     test_size: float = 0.2
     seed: int = 42
+    final_iterations: int = 100
     learners: Sequence[str] = field(default=("forest", "boosted", "tree"))
 
-    def build(self) -> dict[str, Estimator]:
-        every = base_learners(self.n_estimators, self.seed, self.depth)
-        return {name: every[name] for name in self.learners}
+    def fit_learners(self, rows: DataFrame, n_classes: int) -> list[FittedLearner]:
+        return [fit_learner(n, rows, n_classes, self.n_estimators, self.seed, self.depth) for n in self.learners]
 
 
 def class_names(df: DataFrame, label: str) -> list[str]:
@@ -225,29 +259,39 @@ def _prepared(df: DataFrame, features: Sequence[str], key: str, label: str, clas
 
 
 def _fit_stack(
-    rows: DataFrame, key: str, label: str, settings: StackSettings
-) -> tuple[dict[str, Model], LogisticRegressionModel]:
+    rows: DataFrame, key: str, label: str, n_classes: int, settings: StackSettings
+) -> tuple[list[FittedLearner], LogisticRegressionModel]:
     """Out-of-fold scores train the final model; base learners are refitted on all rows."""
     folded = stratified_folds(rows, key, label, settings.folds, settings.seed).persist(StorageLevel.MEMORY_AND_DISK)
     held_out = None
     for fold in range(settings.folds):
-        train = folded.filter(F.col("fold") != fold)
-        models = {name: learner.fit(train) for name, learner in settings.build().items()}
-        scored = _with_scores(folded.filter(F.col("fold") == fold), models)
+        learners = settings.fit_learners(folded.filter(f"fold <> {fold}"), n_classes)
+        scored = _with_scores(folded.filter(f"fold = {fold}"), learners).select("target", "meta")
         held_out = scored if held_out is None else held_out.unionByName(scored)
-    held_out = held_out.select("target", "meta").persist(StorageLevel.MEMORY_AND_DISK)
-    final = _fit_final(held_out, settings.seed)
-    learners = {name: learner.fit(folded) for name, learner in settings.build().items()}
+    held_out = held_out.persist(StorageLevel.MEMORY_AND_DISK)
+    final = _fit_final(held_out, settings.final_iterations)
+    learners = settings.fit_learners(folded, n_classes)
     held_out.unpersist()
     folded.unpersist()
     return learners, final
 
 
+def fit_base(
+    df: DataFrame, features: Sequence[str], key: str, label: str = "label", settings: StackSettings = StackSettings()
+) -> StackModel:
+    """The base learners alone, fitted on all rows."""
+    classes = class_names(df, label)
+    rows = _prepared(df, features, key, label, classes).persist(StorageLevel.MEMORY_AND_DISK)
+    learners = settings.fit_learners(rows, len(classes))
+    rows.unpersist()
+    return StackModel(classes, list(features), learners, None)
+
+
 def fit_stack(
     df: DataFrame, features: Sequence[str], key: str, label: str = "label", settings: StackSettings = StackSettings()
 ) -> StackModel:
     classes = class_names(df, label)
-    learners, final = _fit_stack(_prepared(df, features, key, label, classes), key, label, settings)
+    learners, final = _fit_stack(_prepared(df, features, key, label, classes), key, label, len(classes), settings)
     return StackModel(classes, list(features), learners, final)
 
 
@@ -260,9 +304,9 @@ def cross_val_scores(
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     scores = []
     for fold in range(settings.folds):
-        train = rows.filter(F.col("fold") != fold).drop("fold")
-        learners, final = _fit_stack(train, key, label, settings)
-        tested = final.transform(_with_scores(rows.filter(F.col("fold") == fold), learners))
+        train = rows.filter(f"fold <> {fold}").drop("fold")
+        learners, final = _fit_stack(train, key, label, len(classes), settings)
+        tested = final.transform(_with_scores(rows.filter(f"fold = {fold}"), learners))
         scores.append((fold, tested.agg(F.expr("avg(CASE WHEN final_class = target THEN 1.0D ELSE 0.0D END)")).first()[0]))
     rows.unpersist()
     return df.sparkSession.createDataFrame(scores, "fold INT, score DOUBLE")
