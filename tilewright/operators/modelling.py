@@ -23,7 +23,6 @@ from pyspark.ml.classification import (
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,7 +102,7 @@ class FittedLearner:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with ``<name>_scores`` (array over classes) and ``<name>_class``."""
-        kept = df.columns
+        kept = [quoted(c) for c in df.columns]
         for member in self.members:
             df = member.transform(df)
         if len(self.members) == 1:
@@ -149,7 +148,7 @@ def fit_learner(
 
 def _with_scores(df: DataFrame, learners: Sequence[FittedLearner]) -> DataFrame:
     """Each learner adds its columns in turn; no join is needed to line rows up."""
-    kept = df.columns
+    kept = [quoted(c) for c in df.columns]
     for learner in learners:
         df = learner.transform(df)
     meta = array_to_vector(F.concat(*[F.col(f"{x.name}_scores") for x in learners]))
@@ -179,7 +178,7 @@ class StackModel:
     final: LogisticRegressionModel | None
 
     def _scored(self, df: DataFrame) -> DataFrame:
-        return _with_scores(VectorAssembler(inputCols=self.features, outputCol="features").transform(df), self.learners)
+        return _with_scores(df.withColumn("features", _vector(self.features)), self.learners)
 
     def _named(self, position: str) -> Column:
         return F.array(*[F.lit(c) for c in self.classes])[F.col(position).cast("int")]
@@ -187,12 +186,12 @@ class StackModel:
     def predict(self, df: DataFrame) -> DataFrame:
         """``df`` with the predicted label as ``prediction``."""
         classed = self.final.transform(self._scored(df))
-        return classed.select(*df.columns, self._named("final_class").alias("prediction"))
+        return classed.select(*[quoted(c) for c in df.columns], self._named("final_class").alias("prediction"))
 
     def predict_each(self, df: DataFrame) -> DataFrame:
         """``df`` with one ``<learner>_prediction`` per base learner."""
         named = [self._named(f"{x.name}_class").alias(f"{x.name}_prediction") for x in self.learners]
-        return self._scored(df).select(*df.columns, *named)
+        return self._scored(df).select(*[quoted(c) for c in df.columns], *named)
 
     def importances(self) -> dict[str, list[float]]:
         """Importance vector per learner; without learners, the absolute first row
@@ -251,11 +250,17 @@ def class_names(df: DataFrame, label: str) -> list[str]:
     return sorted(r["l"] for r in rows)
 
 
+def _vector(features: Sequence[str]) -> Column:
+    """Feature vector; unlike an assembler, names may contain dots."""
+    return array_to_vector(F.expr(f"array({', '.join(f'CAST({quoted(c)} AS DOUBLE)' for c in features)})"))
+
+
 def _prepared(df: DataFrame, features: Sequence[str], key: str, label: str, classes: list[str]) -> DataFrame:
     """``key, label, target`` (class position) and the feature vector."""
     spot = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label).cast("string")) - 1
-    slim = df.select(key, F.col(label).cast("string").alias(label), spot.cast("double").alias("target"), *features)
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(slim).select(key, label, "target", "features")
+    return df.select(
+        key, F.col(label).cast("string").alias(label), spot.cast("double").alias("target"), _vector(features).alias("features")
+    )
 
 
 def _fit_stack(

@@ -48,15 +48,24 @@ def scan_labelled_images(spark: SparkSession, root: str) -> DataFrame:
     Columns ``image_id`` (the path), ``label`` (the folder) and Spark's ``image``
     struct. Unreadable files are kept.
     """
-    images = spark.read.format("image").load(f"{root.rstrip('/')}/*/*")
+    # The glob also lists folders with a TIFF-like name, so depth is checked on top.
+    images = spark.read.format("image").load(f"{root.rstrip('/')}/*/*.[tT][iI][fF]*")
     path = _plain_path(F.col("image.origin"))
+    depth = F.size(F.split(F.regexp_replace("image_id", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/"))
     return (
         images.filter(F.col("image.origin").rlike(TIFF_NAME))
-        .select(path.alias("image_id"), "image")
+        .select(path.alias("image_id"), "image").filter(depth == _folder_depth(spark, root) + 2)
         .select("image_id", F.regexp_extract("image_id", "([^/]+)/[^/]+$", 1).alias("label"), "image")
     )
 
 
+def _folder_depth(spark: SparkSession, root: str) -> int:
+    """Path parts of a folder once its file system has made it absolute."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return len(path.makeQualified(system.getUri(), system.getWorkingDirectory()).toUri().getPath().split("/"))
+
+
 def decode_rgb(images: DataFrame) -> DataFrame:
     """Raster rows ``image_id, label, h, w, ok, red, green, blue``.
 
