@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tilewright.sources.tables import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,7 +18,7 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
         "transform(embedding, v -> CAST(least(255, greatest(0, floor((CAST(v AS DOUBLE) + 0.5D) * 255))) AS SMALLINT))"
     )
     return (
-        table(spark, sf_dir, "embeddings")
+        spread(table(spark, sf_dir, "embeddings"))
         .selectExpr("vec_id AS image_id", "CAST(label AS STRING) AS label", f"{scaled} AS green")
         .selectExpr(
             "image_id", "label", "8 AS h", "8 AS w", "true AS ok", "reverse(green) AS red", "green",

@@ -181,8 +181,12 @@ def labelled_runs(
     same cell, so labelling the overlay needs no loop over cells. ``host_c0``
     is where the enclosing cell run starts on the same row.
     """
+    # Number of images and whether any needs more than one strip: image sizes only.
+    facts = rasters.agg(
+        F.expr("count(1) AS images"), F.expr(f"coalesce(bool_or(ok AND h > {rows_per_strip(strip_pixels)}), false) AS tall")
+    ).first()
     strips = masked_strips(
-        rasters, use_otsu, green_threshold, red_threshold, HALO, thresholds, strip_pixels
+        rasters, use_otsu, green_threshold, red_threshold, HALO, thresholds, strip_pixels, facts["images"]
     )
     shape = ("w", "top", "r0", "n_rows")
     masks = strips.selectExpr("*", "zip_with(green_mask, red_mask, (g, r) -> g AND r) AS overlay")
@@ -195,7 +199,7 @@ def labelled_runs(
     runs = found.selectExpr(
         "image_id", "w", "last_row", f"explode({f'concat({kinds[0]}, {kinds[1]})' if nuclei else kinds[0]}) AS e"
     ).selectExpr("image_id", "w", "last_row", "e.kind", "e.x.*")
-    if rasters.filter(f"ok AND h > {rows_per_strip(strip_pixels)}").limit(1).count() == 0:
+    if not facts["tall"]:
         return runs.withColumnRenamed("comp", "region").drop("last_row", "shared")
 
     runs = cut_lineage(runs, "runs")

@@ -110,19 +110,19 @@ def region_moments(runs: DataFrame) -> DataFrame:
     # Coordinates relative to the region's first pixel keep the sums small.
     relative = runs.selectExpr(
         *keys, "r", "c0", "c1", "p_unit", "p_diag", "p_mixed",
-        "CAST(r - region DIV w AS DOUBLE) AS y",
         "CAST(c0 - region % w AS DOUBLE) AS a", "CAST(c1 - region % w AS DOUBLE) AS b",
         "CASE WHEN r * CAST(w AS BIGINT) + c0 = region THEN host_c0 END AS host_c0",
     )
     # Rows of a region share y, so column sums suffice here.
-    per_row = relative.groupBy(*keys, "r", "y").agg(*[F.expr(x) for x in (
+    per_row = relative.groupBy(*keys, "r").agg(*[F.expr(x) for x in (
         "sum(b - a + 1) AS n",
         "sum((a + b) * (b - a + 1) / 2) AS sx",
         f"sum({_sum_of_squares('b')} - {_sum_of_squares('(a - 1)')}) AS sxx",
         "sum(p_unit) AS p_unit", "sum(p_diag) AS p_diag", "sum(p_mixed) AS p_mixed",
         "min(c0) AS lo", "max(c1) AS hi", "max(host_c0) AS host_c0",
     )])
-    return per_row.groupBy(*keys).agg(*[F.expr(x) for x in (
+    placed = per_row.withColumn("y", F.expr("CAST(r - region DIV w AS DOUBLE)"))
+    return placed.groupBy(*keys).agg(*[F.expr(x) for x in (
         "sum(n) AS n", "sum(y * n) AS sy", "sum(sx) AS sx", "sum(y * y * n) AS syy", "sum(sxx) AS sxx", "sum(y * sx) AS sxy",
         "sum(p_unit) AS p_unit", "sum(p_diag) AS p_diag", "sum(p_mixed) AS p_mixed",
         "min(r) AS min_r", "min(lo) AS min_c", "max(r) + 1 AS max_r", "max(hi) + 1 AS max_c",

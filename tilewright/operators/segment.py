@@ -11,6 +11,20 @@ from tilewright.operators.texture import GREEN, RED, pixel_tallies
 
 BINS = 256
 
+# Images whose thresholds may be broadcast: one record of about 50 bytes each.
+BROADCAST_IMAGES = 1_000_000
+
+
+def with_thresholds(strips: DataFrame, thresholds: DataFrame, images: int) -> DataFrame:
+    """Strips with the thresholds of their image.
+
+    Up to ``BROADCAST_IMAGES`` images the thresholds go to the strips, which then
+    stay where they are. Beyond that both sides shuffle by image, and adaptive
+    execution splits an image with many strips.
+    """
+    small = F.broadcast(thresholds) if images <= BROADCAST_IMAGES else thresholds
+    return strips.join(small, "image_id")
+
 
 def otsu_from_tallies(tallies: DataFrame) -> DataFrame:
     """``image_id, green_threshold, red_threshold`` from value histograms.
@@ -65,17 +79,16 @@ def masked_strips(
     halo: int = 0,
     thresholds: DataFrame | None = None,
     strip_pixels: int = STRIP_PIXELS,
+    images: int | None = None,
 ) -> DataFrame:
     """Strips with ``green_mask`` and ``red_mask`` as ``ARRAY<BOOLEAN>``.
 
-    Otsu thresholds are one small row per image. Spark broadcasts them while
-    they are small; otherwise strips shuffle by image and a skewed image is
-    split by adaptive execution.
+    ``images`` is the number of rasters, counted here if not known.
     """
     strips = cut_strips(rasters, ("green", "red"), halo, strip_pixels)
     if use_otsu:
         found = otsu_thresholds(rasters, strip_pixels) if thresholds is None else thresholds
-        strips = strips.join(found, "image_id")
+        strips = with_thresholds(strips, found, rasters.count() if images is None else images)
     return strips.selectExpr(
         "image_id", "h", "w", "r0", "n_rows", "top",
         f"{_above('green', use_otsu, green_threshold)} AS green_mask",
@@ -104,7 +117,7 @@ def channel_ranges(rasters: DataFrame, strip_pixels: int = STRIP_PIXELS) -> Data
         F.expr("min(a) AS green_min"), F.expr("max(a) AS green_max")
     )
     scalars = ranges.join(otsu_from_tallies(tallies).select("image_id", "green_threshold"), "image_id")
-    strips = cut_strips(rasters, ("green",), 0, strip_pixels).join(scalars, "image_id")
+    strips = with_thresholds(cut_strips(rasters, ("green",), 0, strip_pixels), scalars, rasters.count())
     names = ("green_min", "green_max", "green_threshold")
     # Exploding after the join keeps the join at one row per strip.
     return strips.selectExpr("image_id", "w", "r0", *names, "posexplode(green) AS (_i, green)").selectExpr(

@@ -10,6 +10,16 @@ from tilewright.operators.cleaning import Preprocessor
 from tilewright.operators.modelling import StackModel
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input has fewer files than that.
+
+    Pixel work multiplies each record, so a handful of small files would leave
+    cores idle. Large inputs have more files than cores and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def read_feature_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """Headered CSV. A schema saves the inference pass; a missing path is an error."""
     reader = spark.read.option("header", True).option("nanValue", "NaN").option("positiveInf", "inf").option("negativeInf", "-inf")
