@@ -8,6 +8,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tilewright.functions.quantiles import exact_quantile
 from tilewright.functions.ranking import number_within
 from tilewright.functions.summaries import summarise
 from tilewright.operators import cleaning, evaluation, insights, modelling, scoring
@@ -56,6 +57,14 @@ def test_ranked_median_equals_gathered(spark, values):
     assert a.asDict() == pytest.approx(b.asDict())
 
 
+@pytest.mark.parametrize("p", [0.0, 0.25, 0.5, 0.75, 1.0])
+def test_bracketed_quantile_is_exact(spark, p):
+    df = spark.range(9001).selectExpr("id % 2 AS g", "CASE WHEN id % 3 = 0 THEN 7.0D ELSE (id * 7919) % 5003 / 3.0D END AS x")
+    ours = {r.g: r.q for r in exact_quantile(df, ["g"], "x", p, "q", accuracy=100).collect()}
+    plain = {r.g: r.q for r in df.groupBy("g").agg(F.expr(f"percentile(x, {p}D) AS q")).collect()}
+    assert ours == pytest.approx(plain)
+
+
 def test_numbering_matches_plain_row_number(spark):
     df = spark.range(500).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE CAST(id % 7 AS STRING) END AS g", "md5(CAST(id AS STRING)) AS h")
     ours = number_within(df, ["g"], "substring(h, 1, 1)", "h")

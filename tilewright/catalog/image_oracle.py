@@ -121,13 +121,13 @@ def _r(expression: str, name: str, digits: int = 6) -> str:
     return f"round(CAST({expression} AS DOUBLE), {digits}) + 0.0 AS {name}"
 
 
-def six(column: str, prefix: str, digits: int = 6) -> str:
+def six(column: str, prefix: str, digits: int = 6, std_digits: int | None = None) -> str:
     x = f"CAST({column} AS DOUBLE)"
     return ", ".join([
         f"CAST(count({column}) AS DOUBLE) AS {prefix}_count",
         _r(f"coalesce(avg({x}), 0)", f"{prefix}_mean", digits),
         _r(f"coalesce(median({x}), 0)", f"{prefix}_median", digits),
-        _r(f"coalesce(stddev_pop({x}), 0)", f"{prefix}_std", digits),
+        _r(f"coalesce(stddev_pop({x}), 0)", f"{prefix}_std", std_digits or digits),
         _r(f"coalesce(min({x}), 0)", f"{prefix}_min", digits),
         _r(f"coalesce(max({x}), 0)", f"{prefix}_max", digits),
     ])
@@ -298,7 +298,7 @@ _NEAREST = _q(f"{CELLS}, {IMAGES}, {NEIGHBOURS}", f"SELECT image_id, {_r('nn_mea
 
 def _lines(key: str, digits: int) -> str:
     named = {"qty": "l_quantity", "price": "l_extendedprice", "discount": "l_discount"}
-    columns = ", ".join(six(column, prefix, digits) for prefix, column in named.items())
+    columns = ", ".join(six(column, prefix, digits, min(digits, 5)) for prefix, column in named.items())
     return f"SELECT {key}, {columns} FROM lineitem GROUP BY {key}"
 
 

@@ -1,4 +1,4 @@
-"""Exact medians of groups that must not be gathered in one task."""
+"""Exact quantiles of groups that must not be gathered in one task."""
 
 from __future__ import annotations
 
@@ -8,21 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def exact_medians(long: DataFrame, keys: Sequence[str], value: str, accuracy: int = 10_000) -> DataFrame:
-    """(keys, median) of a long table, NULL-free in ``value``.
+def exact_quantile(
+    long: DataFrame, keys: Sequence[str], value: str, p: float, name: str, accuracy: int = 10_000
+) -> DataFrame:
+    """(keys, ``name``) of a long table, NULL-free in ``value``, interpolated between ranks.
 
     1. Mergeable quantile sketches give each group a bracket that surely holds
-       the median: their rank error is at most n/accuracy, the bracket is taken
-       two of those wide on each side.
+       the wanted ranks: their rank error is at most n/accuracy, the bracket is
+       taken two of those wide on each side. Small groups are their own bracket.
     2. Rows below the bracket are only counted. Rows inside are counted per
        distinct value, which splits a hot group over many tasks.
-    3. The few distinct values left per group are ranked to find the middle.
+    3. The few distinct values left per group are ranked.
     """
     keys = list(keys)
-    margin = 2.0 / accuracy
+    low, high = max(p - 2.0 / accuracy, 0.0), min(p + 2.0 / accuracy, 1.0)
     brackets = long.groupBy(*keys).agg(F.expr(
-        f"struct(count(1) AS _n, percentile_approx({value}, array({0.5 - margin}D, {0.5 + margin}D), {accuracy}) AS _q) AS _s"
-    )).selectExpr(*keys, "_s._n", "_s._q[0] AS _lo", "_s._q[1] AS _hi")
+        f"struct(count(1) AS _n, min({value}) AS _min, max({value}) AS _max, "
+        f"percentile_approx({value}, array({low}D, {high}D), {accuracy}) AS _q) AS _s"
+    )).select(*keys, "_s.*").selectExpr(
+        *keys, "_n",
+        f"CASE WHEN _n <= {2 * accuracy} THEN _min ELSE _q[0] END AS _lo",
+        f"CASE WHEN _n <= {2 * accuracy} THEN _max ELSE _q[1] END AS _hi",
+    )
     tallies = (
         long.join(brackets, keys)
         .filter(f"{value} <= _hi")
@@ -35,10 +42,17 @@ def exact_medians(long: DataFrame, keys: Sequence[str], value: str, accuracy: in
         *keys, "_n", "_v", "_c",
         f"sum(_c) OVER (PARTITION BY {by} ORDER BY _v ASC NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _upto",
     )
+    place = f"((_n - 1) * {p}D)"
 
     def at_rank(k: str) -> str:
-        return f"max(CASE WHEN _upto - _c < {k} AND {k} <= _upto THEN _v END)"
+        return f"max(CASE WHEN _upto - _c <= {k} AND {k} < _upto THEN _v END)"
 
-    return ranked.groupBy(*keys).agg(
-        F.expr(f"({at_rank('floor((_n + 1) / 2)')} + {at_rank('floor((_n + 2) / 2)')}) / 2 AS median")
+    ends = ranked.groupBy(*keys, "_n").agg(
+        F.expr(f"{at_rank(f'floor{place}')} AS _a"), F.expr(f"{at_rank(f'ceil{place}')} AS _b")
     )
+    return ends.selectExpr(*keys, f"_a + (_b - _a) * ({place} - floor{place}) AS {name}")
+
+
+def exact_medians(long: DataFrame, keys: Sequence[str], value: str, accuracy: int = 10_000) -> DataFrame:
+    """(keys, median) of a long table."""
+    return exact_quantile(long, keys, value, 0.5, "median", accuracy)

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.functions.quantiles import exact_quantile
 from tilewright.functions.scalars import keep_available, quoted
 from tilewright.functions.summaries import GATHER_ROWS
 
@@ -137,7 +138,7 @@ def violin_summary(long: DataFrame, gather_rows: int = GATHER_ROWS, approximate:
     """``feature, label, n, low, q1, median, q3, high``.
 
     Exact quartiles interpolate between order statistics. Groups larger than
-    ``gather_rows`` are ranked in value slices instead of being gathered;
+    ``gather_rows`` are ranked within brackets instead of being gathered;
     ``approximate`` uses sketches.
     """
     by = ["feature", "label"]
@@ -153,37 +154,12 @@ def violin_summary(long: DataFrame, gather_rows: int = GATHER_ROWS, approximate:
     )
 
 
-def _ranked_quartiles(long: DataFrame, by: Sequence[str], slices: int = 1024) -> DataFrame:
-    """Quartiles by rank: values fall into slices cut at sketched quantiles, slice
-    sizes give each slice its first rank, and only ranks near a quartile are read."""
-    cuts = ", ".join(f"{i / slices}D" for i in range(1, slices))
-    bounds = long.groupBy(*by).agg(F.expr(
-        f"struct(count(1) AS n, min(value) AS low, max(value) AS high, percentile_approx(value, array({cuts}), {16 * slices}) AS cuts) AS s"
-    )).select(*by, "s.*")
-    counted = long.groupBy(*by, "value").agg(F.expr("count(1) AS c")).join(bounds, list(by)).selectExpr(
-        *by, "value", "c", "n", "low", "high", "size(filter(cuts, x -> x < value)) AS slice"
-    )
-    keys = ", ".join(by)
-    sizes = counted.groupBy(*by, "slice").agg(F.expr("sum(c) AS size")).selectExpr(
-        *by, "slice",
-        f"coalesce(sum(size) OVER (PARTITION BY {keys} ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before",
-    )
-    ranked = counted.join(sizes, [*by, "slice"]).selectExpr(
-        *by, "value", "c", "n", "low", "high",
-        f"before + sum(c) OVER (PARTITION BY {keys}, slice ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto",
-    )
-
-    def quantile(p: float) -> str:
-        place = f"((n - 1) * {p}D)"
-        at_rank = lambda k: f"max(CASE WHEN upto - c <= {k} AND {k} < upto THEN value END)"
-        low, high = at_rank(f"floor{place}"), at_rank(f"ceil{place}")
-        share = f"(max({place}) - floor(max({place})))"
-        return f"{low} + ({high} - {low}) * {share}"
-
-    return ranked.groupBy(*by).agg(
-        *[F.expr(x) for x in ("max(n) AS n", "max(low) AS low", f"{quantile(0.25)} AS q1",
-                              f"{quantile(0.5)} AS median", f"{quantile(0.75)} AS q3", "max(high) AS high")]
-    )
+def _ranked_quartiles(long: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Quartiles from brackets around each, so that no task gathers a group."""
+    out = long.groupBy(*by).agg(F.expr("count(1) AS n"), F.expr("min(value) AS low"), F.expr("max(value) AS high"))
+    for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")):
+        out = out.join(exact_quantile(long, by, "value", p, name), list(by))
+    return out.select(*by, "n", "low", "q1", "median", "q3", "high")
 
 
 def violin_density(long: DataFrame, grid: int = 100, cut: float = 2.0) -> DataFrame:
