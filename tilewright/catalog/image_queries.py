@@ -12,6 +12,7 @@ from tilewright.functions.scalars import normalised
 from tilewright.functions.summaries import countable_only, flatten_array, summarise
 from tilewright.operators import components, raster, regions, segment, texture
 from tilewright.plans.image_features import FAMILIES, image_features
+from tilewright.session import cut_lineage
 from tilewright.sources.images import first_image
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,11 @@ def _cells(spark, sf, solidity=False):
     return regions.cells_of(regions.region_table(_runs(spark, sf, nuclei=False), solidity))
 
 
+def _written_cells(spark, sf):
+    """Cells written once, for queries that read them more than once."""
+    return cut_lineage(_cells(spark, sf), "cells")
+
+
 def explode_pixels(spark, sf):
     return raster.pixels(tiles(spark, sf)).drop("gray")
 
@@ -151,8 +157,8 @@ def safe_ratio(spark, sf):
 
 
 def _with_nuclei(spark, sf, solidity=False):
-    runs = _runs(spark, sf)
-    table_ = regions.region_table(runs, solidity)
+    runs = cut_lineage(_runs(spark, sf), "runs")
+    table_ = cut_lineage(regions.region_table(runs, solidity), "regions")
     measures = tuple(m for m in regions.NUCLEUS_MEASURES if solidity or m != "solidity")
     return regions.cells_with_nucleus(runs, table_, measures)
 
@@ -168,7 +174,7 @@ def nc_ratio(spark, sf):
 
 def overlay_masks(spark, sf):
     """Red mask laid over the cells: every cell with its overlapping pixels."""
-    runs = _runs(spark, sf)
+    runs = cut_lineage(_runs(spark, sf), "runs")
     table_ = regions.region_table(runs, False)
     overlap = regions.nuclei_with_cell(runs, table_).groupBy("image_id", F.col("cell").alias("region")).agg(
         F.sum("area").alias("_overlap")
@@ -184,11 +190,11 @@ def cell_count_density(spark, sf):
 
 
 def nearest_neighbour(spark, sf):
-    return rounded(regions.nearest_neighbour(tiles(spark, sf), _cells(spark, sf)))
+    return rounded(regions.nearest_neighbour(tiles(spark, sf), _written_cells(spark, sf)))
 
 
 def nearest_neighbour_gridded(spark, sf):
-    return rounded(regions.nearest_neighbour(tiles(spark, sf), _cells(spark, sf), small=2))
+    return rounded(regions.nearest_neighbour(tiles(spark, sf), _written_cells(spark, sf), small=2))
 
 
 def shape_summary(spark, sf):
@@ -203,7 +209,7 @@ def summary_stats_skip_missing(spark, sf):
 def cells_by_label(spark, sf):
     """Cells per tile and area per label, the flagship question."""
     images = tiles(spark, sf)
-    cells = _cells(spark, sf).join(images.select("image_id", "label"), "image_id")
+    cells = _written_cells(spark, sf).join(images.select("image_id", "label"), "image_id")
     areas = summarise(cells, ["label"], {"area": "area"})
     per_label = images.groupBy("label").agg(F.count(F.lit(1)).cast("double").alias("images"))
     return rounded(areas.join(per_label, "label").withColumn("cells_per_image", F.col("area_count") / F.col("images")))
