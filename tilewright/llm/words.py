@@ -60,10 +60,13 @@ def _segments(data: np.ndarray):
 
 def word_hashes(text: bytes | None) -> np.ndarray:
     """One hash per word of the whole text."""
-    if not text:
-        return np.zeros(0, np.uint64)
+    return word_parts(text)[:, 0]
+
+
+def word_parts(text: bytes | None, prefixes: tuple[int, ...] = ()) -> np.ndarray:
+    """Per word its hash, and the hashes of its first so many bytes (of the word, if shorter)."""
     parts = []
-    for data in _segments(np.frombuffer(text, np.uint8)):
+    for data in _segments(np.frombuffer(text or b"", np.uint8)):
         edges = np.diff(_IS_WORD[data].astype(np.int8), prepend=0, append=0)
         starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
         if not len(starts):
@@ -71,8 +74,9 @@ def word_hashes(text: bytes | None) -> np.ndarray:
         up, down = powers(len(data))
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_LOWER_VALUE[data] * up, out=total[1:])
-        parts.append(mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        cuts = [ends, *(np.minimum(starts + n, ends) for n in prefixes)]
+        parts.append(np.stack([mix((total[c] - total[starts]) * down[starts] + (c - starts).astype(np.uint64)) for c in cuts], axis=1))
+    return np.concatenate(parts) if parts else np.zeros((0, 1 + len(prefixes)), np.uint64)
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
