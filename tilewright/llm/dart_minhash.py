@@ -10,11 +10,15 @@ Jaccard similarity. Only about ``coords * ln(coords)`` darts are looked at per
 document, whatever its size; if a coordinate stays empty the rank limit is
 doubled, which never changes coordinates already filled.
 
-Documents that agree on all coordinates of a band are candidates. Candidates
-are verified by exact similarity, and classes are the connected components of
-verified links. Pairs are not expanded inside buckets: all members are first
-compared with one pivot, buckets whose members ended in one class are done,
-and only what is left goes on (see ``near_classes``).
+Documents that agree on all coordinates of a band share a bucket. Inside a
+bucket, signatures are compared (one byte per coordinate travels along) and
+pairs whose agreement comes near the threshold connect documents to groups;
+documents that only share some passage fall apart here. Inside a group, exact
+similarities of the shingle sets make the links, and classes are the connected
+components of the links. Both comparisons run in numpy inside tasks and emit a
+spanning forest only, never the pairs. Buckets and groups beyond a block size
+are cut into blocks, and every two blocks meet in a task of their own, so no
+task holds more than two blocks and no pair is left out.
 
 Texts with equal word sequences are one node from the start, named by the hash
 of that sequence. Texts of fewer words than a shingle are one shingle; texts
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.shared import hinted, list_column, map_batches, written
+from tilewright.llm.shared import list_column, map_batches, written
 from tilewright.llm.words import gram_hashes, mix, word_hashes
 from tilewright.operators.components import contract_links
 
@@ -40,8 +44,11 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 24
 ROWS = 4
-#: Buckets of at most so many nodes are compared in full.
-LEAF = 4
+#: How far below the threshold an estimated similarity may lie, in standard deviations.
+SLACK = 4.5
+#: Nodes of a bucket, and of a group, that one side of a task compares.
+BUCKET_BLOCK = 1_500
+GROUP_BLOCK = 400
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -130,7 +137,8 @@ def _signed(shingle: int, bands: int, rows: int, by_count: bool):
                     folded = (folded + sig[:, r::rows]) * _GOLD
                 folded = mix(folded).view(np.int64)
                 has = np.array([s > 0 for s in sizes])
-                yield batch.column(0).slice(at, end - at), seqs, sizes, list_column(folded[has].ravel(), has * bands, pa.int64())
+                short = [row.tobytes() for row in (sig >> np.uint64(32)).astype(np.uint8)]
+                yield batch.column(0).slice(at, end - at), seqs, sizes, list_column(folded[has].ravel(), has * bands, pa.int64()), short
                 at = end
 
     return run
@@ -145,143 +153,173 @@ def _sequence(words: np.ndarray) -> int:
 
 
 def signed(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, by_count: bool = False) -> DataFrame:
-    """``doc_id, seq, weight, bands``: word-sequence hash, total weight and one hash per band."""
+    """``doc_id, seq, weight, bands, sig``: word-sequence hash, total weight, a hash per band, a byte per coordinate."""
     kind = dict(docs.dtypes)["doc_id"]
     return map_batches(
         docs.select("doc_id", F.expr("CAST(text AS BINARY)")), _signed(shingle, bands, rows, by_count),
-        f"doc_id {kind}, seq BIGINT, weight DOUBLE, bands ARRAY<BIGINT>",
+        f"doc_id {kind}, seq BIGINT, weight DOUBLE, bands ARRAY<BIGINT>, sig BINARY",
     )
 
 
-def _sets(shingle: int, by_count: bool):
+def expanded(words: np.ndarray, shingle: int, by_count: bool) -> np.ndarray:
+    """Sorted elements; by count, the n-th occurrence of a shingle is an element of its own."""
+    elements, counts = shingles(words, shingle)
+    if not by_count:
+        return elements
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return np.unique(mix(np.repeat(elements, counts) + nth.astype(np.uint64) * _GOLD))
+
+
+def _kept_sets(shingle: int, by_count: bool):
     def run(batches):
         for batch in batches:
-            parts, same = [], []
+            parts = []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = word_hashes(text)
                 # A repeated doc_id may bring another text than the node's.
-                same.append(_sequence(words) == node)
-                parts.append(shingles(words, shingle) if same[-1] else shingles(words[:0], shingle))
+                parts.append(expanded(words if _sequence(words) == node else words[:0], shingle, by_count))
             if parts:
-                size = [len(e) for e, _ in parts]
-                counts = [c if by_count else np.ones(len(c), np.int64) for _, c in parts]
-                yield (
-                    batch.column(0),
-                    list_column(np.concatenate([e for e, _ in parts]).view(np.int64), size, pa.int64()),
-                    list_column(np.concatenate(counts).astype(np.int32), size, pa.int32()),
-                )
+                sets = list_column(np.concatenate(parts).view(np.int64), [len(e) for e in parts], pa.int64())
+                yield batch.column(0), sets, batch.column(2), batch.column(3)
 
     return run
 
 
-def _compared(batches):
-    for batch in batches:
-        lists = [(batch.column(i), np.asarray(batch.column(i).offsets)) for i in range(2, 6)]
-        values = [(np.asarray(c.values), o) for c, o in lists]
-        sims = []
-        for i in range(batch.num_rows):
-            a, x, b, y = (v[o[i] : o[i + 1]] for v, o in values)
-            a, b = a.view(np.uint64), b.view(np.uint64)
-            at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-            both = a[at] == b
-            shared = float(np.minimum(x[at[both]], y[both]).sum())
-            sims.append(shared / (float(x.sum()) + float(y.sum()) - shared))
-        if sims:
-            yield batch.column(0), batch.column(1), sims
-
-
-def verified(
-    pairs: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, shingle: int, by_count: bool
-) -> DataFrame:
-    """Pairs (u, v) of nodes whose exact similarity reaches the threshold.
+def forest(near: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """First node and all other nodes of each component of two or more."""
+    unseen, out = np.ones(len(near), bool), []
+    for first in np.flatnonzero(near.sum(axis=1) > near.diagonal()):
+        if not unseen[first]:
+            continue
+        unseen[first] = False
+        front, found = np.array([first]), []
+        while len(front):
+            front = np.flatnonzero(near[front].any(axis=0) & unseen)
+            unseen[front] = False
+            found.append(front)
+        out.append((int(first), np.concatenate(found)))
+    return out
+
+
+def agreements(sigs: np.ndarray) -> np.ndarray:
+    """Share of equal coordinates of every two signatures, corrected for chance equality of bytes."""
+    out = np.empty((len(sigs), len(sigs)), np.float32)
+    for at in range(0, len(sigs), 64):
+        out[at : at + 64] = (sigs[at : at + 64, None, :] == sigs[None]).mean(axis=2)
+    return (out - 1 / 256) / (1 - 1 / 256)
+
+
+def similarities(sets: list[np.ndarray]) -> np.ndarray:
+    """Exact Jaccard similarity of every two sets, by incidence products over slices of the elements."""
+    sizes = np.array([len(e) for e in sets], np.float32)
+    values, which, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes.astype(int))
+    # Elements of one set alone add nothing to any intersection.
+    place = np.where(counts > 1, np.cumsum(counts > 1) - 1, -1)[which]
+    owner, place = owner[place >= 0], place[place >= 0]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    step = max(256, 4_000_000 // len(sets))
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, step):
+        a, b = np.searchsorted(place, [at, at + step])
+        incidence = np.zeros((len(sets), step), np.float32)
+        incidence[owner[a:b], place[a:b] - at] = 1
+        both += incidence @ incidence.T
+    return both / np.maximum(sizes[:, None] + sizes[None] - both, 1)
+
+
+def _linked(make):
+    """Streams rows (k, node, payload) sorted by k; per k a spanning forest of what ``make`` finds near."""
+
+    def run(batches):
+        key, nodes, payloads, out = None, [], [], ([], [])
+
+        def close():
+            if len(nodes) > 1:
+                for first, others in forest(make(payloads)):
+                    out[0].extend([nodes[first]] * len(others))
+                    out[1].extend([nodes[i] for i in others])
+
+        for batch in batches:
+            for k, node, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if k != key:
+                    close()
+                    key, nodes, payloads = k, [], []
+                nodes.append(node)
+                payloads.append(payload)
+            if len(out[0]) > 10_000:
+                yield [list(x) for x in out]
+                out = ([], [])
+        close()
+        if out[0]:
+            yield list(out)
 
-    Shingle sets are made only for the nodes that take part, from the whole
-    text of the document that stands for the node.
+    return run
+
+
+def _paired_blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """``k, node, payload``: rows dealt to tasks so that every two nodes of a group meet in one.
+
+    ``rows`` has the group, its size ``n``, node and payload. Groups of at most
+    ``block`` nodes are one task's; others have blocks, and a key per two blocks.
     """
-    taking = pairs.selectExpr("explode(array(u, v)) AS node").distinct().join(nodes.select("node", "doc"), "node")
-    texts = docs.join(hinted(taking).withColumnRenamed("doc", "doc_id"), "doc_id").selectExpr(
-        "node", "CAST(text AS BINARY) AS text", "xxhash64(text) AS t"
+    cut = rows.withColumn("nb", F.expr(f"CAST(ceil(n / {block}) AS INT)")).withColumn("b", F.expr("pmod(xxhash64(node), nb)"))
+    met = cut.withColumn("c", F.explode(F.expr("CASE WHEN nb = 1 THEN array(0) ELSE sequence(0, nb - 1) END")))
+    met = met.selectExpr(f"xxhash64({group}, least(b, c), greatest(b, c)) AS k", "node", "payload")
+    return met.repartition("k").sortWithinPartitions("k", "node")
+
+
+def near_links(nodes: DataFrame, docs: DataFrame, similarity: float, shingle: int, by_count: bool, blocks: tuple[int, int]) -> DataFrame:
+    """``u, v``: links that connect every class of near nodes."""
+    buckets = nodes.selectExpr("node", "sig AS payload", "posexplode(bands) AS (band, h)").selectExpr(
+        "xxhash64(band, h) AS bucket", "node", "payload"
     )
-    sets = map_batches(
-        texts.dropDuplicates(["node", "t"]).select("node", "text"), _sets(shingle, by_count),
-        "node BIGINT, e ARRAY<BIGINT>, c ARRAY<INT>",
-    ).filter("size(e) > 0")
-    sets = written(sets, "near-sets")
-    left = sets.selectExpr("node AS u", "e AS eu", "c AS cu")
-    right = sets.selectExpr("node AS v", "e AS ev", "c AS cv")
-    joined = pairs.join(left, "u").join(right, "v").select("u", "v", "eu", "cu", "ev", "cv")
-    return map_batches(joined, _compared, "u BIGINT, v BIGINT, sim DOUBLE").filter(f"sim >= {similarity}").select("u", "v")
-
-
-def _candidates(buckets: DataFrame, leaf: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Members of buckets (with size and pivot), and the pairs (u < v) to compare."""
-    sized = buckets.groupBy("bucket").agg(
-        F.expr("count(1) AS n"), F.expr("min(struct(node, weight, root)) AS pivot")
-    ).filter("n > 1")
-    members = written(buckets.join(sized, "bucket"), "near-buckets")
-    small = members.filter(f"n <= {leaf}").select("bucket", "node", "weight", "root")
-    other = small.selectExpr("bucket", "node AS v", "weight AS wv", "root AS rv")
-    pairs = small.join(other, "bucket").filter("node < v").selectExpr("node AS u", "v", "weight AS wu", "wv", "root AS ru", "rv")
-    stars = members.filter(f"n > {leaf} AND node > pivot.node").selectExpr(
-        "pivot.node AS u", "node AS v", "pivot.weight AS wu", "weight AS wv", "pivot.root AS ru", "root AS rv"
+    sized = buckets.groupBy("bucket").agg(F.expr("count(1) AS n")).filter("n > 1")
+    met = _paired_blocks(buckets.join(sized, "bucket"), "bucket", blocks[0])
+
+    def alike(payloads):
+        sigs = np.frombuffer(b"".join(p.as_py() for p in payloads), np.uint8).reshape(len(payloads), -1)
+        low = similarity - SLACK * math.sqrt(similarity * (1 - similarity) / sigs.shape[1])
+        return agreements(sigs) >= low
+
+    drawn = map_batches(met, _linked(alike), "u BIGINT, v BIGINT").distinct()
+    groups = written(contract_links(written(drawn, "near-drawn"), []), "near-groups")
+    sizes = groups.groupBy("root").agg(F.expr("count(1) + 1 AS n"))
+    listed = groups.selectExpr("u AS node", "root").unionByName(sizes.selectExpr("root AS node", "root"))
+    listed = listed.join(sizes, "root").join(nodes.select("node", "doc"), "node")
+    texts = docs.join(listed.withColumnRenamed("doc", "doc_id"), "doc_id").selectExpr(
+        "node", "root", "n", "CAST(text AS BINARY) AS text"
     )
-    # Set sizes bound the similarity: the lighter set must hold the given share of the heavier one.
-    close = f"ru <> rv AND least(wu, wv) >= {similarity} * greatest(wu, wv)"
-    return members, pairs.unionByName(stars).filter(close).select("u", "v").distinct()
+    sets = map_batches(texts.selectExpr("node", "text", "root", "n"), _kept_sets(shingle, by_count), "node BIGINT, payload ARRAY<BIGINT>, root BIGINT, n BIGINT")
+    met = _paired_blocks(sets.filter("size(payload) > 0"), "root", blocks[1])
+
+    def near(payloads):
+        return similarities([p.values.to_numpy() for p in payloads]) >= similarity
+
+    return map_batches(met, _linked(near), "u BIGINT, v BIGINT").filter("u <> v")
 
 
 def near_classes(
     docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
-    by_count: bool = False, leaf: int = LEAF,
+    by_count: bool = False, blocks: tuple[int, int] = (BUCKET_BLOCK, GROUP_BLOCK),
 ) -> DataFrame:
     """``doc_id, class_id, kept``: one row per document row; the smallest doc_id of a class stays.
 
     Links are exact similarities of at least ``similarity`` among banded
-    candidates; a pair at the threshold is missed with probability
-    ``(1 - similarity^rows)^bands``, 3e-6 with the defaults.
-
-    At most ``leaf`` nodes of a bucket are compared in full. In a larger bucket
-    all nodes are compared with its smallest node, the pivot. Afterwards a
-    bucket whose nodes are in one class is finished. What remains is split by
-    the nodes' other bands, which a similar pair shares as surely as the first,
-    and goes on without its pivot, until nothing is left. So no bucket is cut
-    short and no large one is expanded into all pairs.
+    candidates. A pair at the threshold shares no bucket with probability
+    ``(1 - similarity^rows)^bands``, 3e-6 with the defaults, and is estimated
+    too low with about the same.
     """
     docs = docs.select("doc_id", "text")
     marks = written(signed(docs, shingle, bands, rows, by_count), "near-marks")
     nodes = marks.filter("weight > 0 AND doc_id IS NOT NULL").groupBy("seq").agg(
-        F.expr("min_by(struct(doc_id, weight, bands), doc_id) AS m")
-    ).selectExpr("seq AS node", "m.doc_id AS doc", "m.weight AS weight", "m.bands AS bands")
+        F.expr("min_by(struct(doc_id, bands, sig), doc_id) AS m")
+    ).selectExpr("seq AS node", "m.doc_id AS doc", "m.bands AS bands", "m.sig AS sig")
     nodes = written(nodes, "near-nodes")
-
-    buckets = nodes.selectExpr("node", "weight", "node AS root", "posexplode(bands) AS (band, h)").selectExpr(
-        "node", "weight", "root", "xxhash64(band, h) AS bucket"
-    )
-    known, links, level = None, None, 0
-    while True:
-        members, pairs = _candidates(buckets, leaf, similarity)
-        if known is not None:
-            pairs = pairs.join(known, ["u", "v"], "left_anti")
-        pairs = written(pairs, "near-pairs")
-        found = written(verified(pairs, nodes, docs, similarity, shingle, by_count), "near-links")
-        known = pairs if known is None else known.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        classes = written(contract_links(links, []), "near-roots").withColumnRenamed("u", "node")
-
-        large = members.filter(f"n > {leaf} AND node <> pivot.node").select("bucket", "node", "weight")
-        named = large.join(classes, "node", "left").selectExpr("bucket", "node", "weight", "coalesce(root, node) AS root")
-        mixed = named.groupBy("bucket").agg(F.expr("min(root) AS lo"), F.expr("max(root) AS hi")).filter("lo < hi")
-        left = written(named.join(mixed.select("bucket"), "bucket"), "near-left")
-        if left.isEmpty():
-            break
-        level += 1
-        buckets = left
-        if level <= 2:
-            again = left.join(nodes.select("node", "bands"), "node")
-            buckets = again.selectExpr("bucket", "node", "weight", "root", "posexplode(bands) AS (band, h)").selectExpr(
-                "node", "weight", "root", "xxhash64(bucket, band, h) AS bucket"
-            ).filter("bucket IS NOT NULL")
-    rooted = nodes.join(classes, "node", "left").selectExpr("node AS seq", "doc", "coalesce(root, node) AS root")
+    links = written(near_links(nodes, docs, similarity, shingle, by_count, blocks), "near-links")
+    classes = written(contract_links(links, []), "near-roots").withColumnRenamed("u", "node")
+    rooted = nodes.select("node", "doc").join(classes, "node", "left").selectExpr("node AS seq", "doc", "coalesce(root, node) AS root")
     names = rooted.groupBy("root").agg(F.expr("min(doc) AS class_id"))
     rooted = rooted.join(names, "root").select("seq", "class_id")
     worded = marks.filter("weight > 0 AND doc_id IS NOT NULL").select("doc_id", "seq").join(rooted, "seq").select("doc_id", "class_id")
