@@ -36,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.shared import BROADCAST_ROWS, map_batches, small_enough, written
+from tilewright.llm.shared import map_batches, small_enough, written
 from tilewright.llm.words import BYTE_VALUE, merge_spans, mix, powers, sliding_min
 
 LENGTH = 200
 GRAM = 64
-GROUP_LIMIT = 2_000
+GROUP_LIMIT = 20_000
 SHALLOW = 32
 CONTEXTS_PER_TASK = 30_000
 _PIECE = 1 << 19
@@ -291,7 +291,7 @@ def _split_hot(contexts: DataFrame, limit: int, length: int) -> tuple[DataFrame,
 
 
 def repeated_spans(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT, broadcast_rows: int = BROADCAST_ROWS
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT
 ) -> DataFrame:
     """``key, spans``: byte spans (a, b) to remove, for each ``key`` of docs (key, text BINARY) that has any.
 
@@ -314,7 +314,6 @@ def repeated_spans(
     groups = classes.groupBy("hk").agg(F.expr("count(1) AS m"), F.expr("min(n) AS least")).filter("m > 1 AND least = 1").select("hk")
     wanted = written(classes.join(groups, "hk").selectExpr("hk", "n", "one.key AS key", "one.p AS p"), "suffix-wanted")
     by_doc = wanted.groupBy("key").agg(F.expr("collect_list(struct(p, hk, n)) AS wanted"))
-    by_doc = F.broadcast(by_doc) if small_enough(wanted, broadcast_rows) else by_doc
     texts = docs.select("key", "text").join(by_doc, "key").select("key", "text", "wanted")
     contexts = map_batches(texts, _contexts(length, gram), "g BIGINT, key BIGINT, p INT, n BIGINT, before BINARY, after BINARY")
     # Rows that repeat a key bring the same contexts again.
@@ -349,14 +348,13 @@ def _removed(batches):
 
 
 def without_repeats(
-    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT, broadcast_rows: int = BROADCAST_ROWS
+    docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_limit: int = GROUP_LIMIT
 ) -> DataFrame:
     """``doc_id, n_bytes, spans, kept``: removed byte spans (a, b) and what is left of every text."""
     rows = docs.selectExpr(
         "doc_id", "xxhash64(doc_id, coalesce(text, '')) AS key", "CAST(coalesce(text, '') AS BINARY) AS text"
     )
-    spans = written(repeated_spans(rows.select("key", "text"), length, gram, group_limit, broadcast_rows), "suffix-spans")
-    few = small_enough(spans.select(F.explode("spans")), broadcast_rows)
-    joined = rows.join(F.broadcast(spans) if few else spans, "key", "left").select("doc_id", "text", "spans")
+    spans = written(repeated_spans(rows.select("key", "text"), length, gram, group_limit), "suffix-spans")
+    joined = rows.join(spans, "key", "left").select("doc_id", "text", "spans")
     kind = dict(docs.dtypes)["doc_id"]
     return map_batches(joined, _removed, f"doc_id {kind}, n_bytes BIGINT, spans ARRAY<STRUCT<a: INT, b: INT>>, kept BINARY")
