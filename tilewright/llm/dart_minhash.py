@@ -71,7 +71,7 @@ def throw(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, limit: n
     columns = np.ceil(weights).astype(np.int64)
     row = np.repeat(np.arange(len(elements)), columns)
     column = np.arange(len(row)) - np.repeat(np.cumsum(columns) - columns, columns)
-    state = mix(elements[row] + (column.astype(np.uint64) + np.uint64(1)) * _GOLD)
+    state = mix(mix(elements)[row] + (column.astype(np.uint64) + np.uint64(1)) * _GOLD)
     # Part of the column that the weight covers: 1 but for the last.
     cover = np.minimum(1.0, weights[row] - column)
     who, rank = owner[row], np.zeros(len(row))
@@ -226,6 +226,7 @@ def similarities(sets: list[np.ndarray]) -> np.ndarray:
         incidence = np.zeros((len(sets), step), np.float32)
         incidence[owner[a:b], place[a:b] - at] = 1
         both += incidence @ incidence.T
+    np.fill_diagonal(both, sizes)
     return both / np.maximum(sizes[:, None] + sizes[None] - both, 1)
 
 

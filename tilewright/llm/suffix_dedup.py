@@ -229,14 +229,18 @@ def matched(lefts: list[bytes], rights: list[bytes], low: int, high: int, length
     return best
 
 
-def _sorted_contexts(length: int):
-    """All groups of one task: shallow sort of its suffixes, blind tries for what stays together."""
+def _sorted_contexts(length: int, gram: int):
+    """All groups of one task: shallow sort of its suffixes, blind tries for what stays together.
+
+    The shallow depth ends inside the k-gram, so a group is never parted.
+    """
+    shallow = min(SHALLOW, gram) // 8 * 8
 
     def run(batches):
         rows = [r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(8)))]
         if not rows:
             return
-        head = np.frombuffer(b"".join(r[7][:SHALLOW].ljust(SHALLOW, b"\0") for r in rows), ">u8").reshape(len(rows), -1)
+        head = np.frombuffer(b"".join(r[7][:shallow] for r in rows), ">u8").reshape(len(rows), shallow // 8)
         groups = np.array([r[0] for r in rows], np.int64).view(np.uint64)
         spans = np.array([[r[1], r[2]] for r in rows], np.uint64)
         out = []
@@ -321,7 +325,7 @@ def repeated_spans(
     contexts, spans = _split_hot(written(contexts, "suffix-contexts"), group_limit, length)
     tasks = max(contexts.sparkSession.sparkContext.defaultParallelism, -(-contexts.count() // CONTEXTS_PER_TASK))
     dealt = contexts.select("g", "lo", "hi", "key", "p", "n", "before", "after").repartition(int(tasks), "g")
-    spans.append(map_batches(dealt, _sorted_contexts(length), "key BIGINT, a INT, b INT"))
+    spans.append(map_batches(dealt, _sorted_contexts(length, gram), "key BIGINT, a INT, b INT"))
     out = whole
     for part in spans:
         out = out.unionByName(part)
