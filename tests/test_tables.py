@@ -168,3 +168,14 @@ def test_missing_feature_columns_are_named(spark):
         cleaning.clean_features(df, "target")
     with pytest.raises(ValueError):
         modelling.class_names(df.limit(0), "label")
+
+
+def test_report_class_names_are_escaped(spark):
+    import json
+
+    from tilewright.sources.tables import report_json
+
+    rows = [('a"b\\c', 1.0, 0.5, 0.6, 2.0), ("x", 0.0, 0.0, 0.0, 1.0), ("accuracy", 0.5, 0.5, 0.5, 3.0)]
+    report = spark.createDataFrame(rows, "class STRING, precision DOUBLE, recall DOUBLE, f1 DOUBLE, support DOUBLE")
+    out = json.loads(report_json(report).first().value)
+    assert set(out) == {'a"b\\c', "x", "accuracy"} and out["accuracy"] == 0.5 and out['a"b\\c']["recall"] == 0.5

@@ -155,3 +155,21 @@ def test_feature_table_shape_and_unreadable_image(spark, rasters):
 def test_features_without_nuclei(spark, rasters):
     wide = image_features(rasters([(noise(5), noise(6))]), nuclei=False, use_otsu=False)
     assert len(wide.columns) == 3 + 132 - 42 and wide.count() == 1
+
+
+def test_strips_of_one_image_reach_several_tasks(spark, rasters):
+    from pyspark.sql import functions as F
+
+    from tilewright.operators.raster import cut_strips
+
+    grid = [[(r * 7 + c) % 251 for c in range(4)] for r in range(64)]
+    strips = cut_strips(rasters([(grid, grid)]), ("gray", "green"), halo=1, strip_pixels=8)
+    # Tiny partitions would be put together again.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = strips.select("r0", "green", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(found) == 32 and len({r.p for r in found}) > 1
+    assert max(len(r.green) for r in found) <= (2 + 2) * 4
+    assert all(r.green[(1 if r.r0 else 0) * 4] == grid[r.r0][0] for r in found)

@@ -87,8 +87,8 @@ def _imp() -> str:
 
 IMPORTANCES = _imp()
 _LONG = " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, CAST(label AS VARCHAR) AS label, label AS code, {f} AS value FROM m WHERE {f} IS NOT NULL"
-    for f in ("f_00", "f_04", "f_05", "f_06")
+    f"SELECT '{f}' AS feature, CAST(label AS VARCHAR) AS label, label AS code, {f} AS value FROM k WHERE {f} IS NOT NULL"
+    for f in FEATURES
 )
 _EVENTS = "ev AS (SELECT 'value' AS feature, event_type AS label, dense_rank() OVER (ORDER BY event_type) - 1 AS code, value FROM events WHERE value IS NOT NULL)"
 
@@ -99,11 +99,11 @@ def _violin(source: str) -> str:
 
 
 ORACLE: dict[str, str] = {
-    "split_target": f"WITH {MATRIX} SELECT vec_id, {', '.join(_r(f, f) for f in FEATURES[:8])} FROM m",
+    "split_target": f"WITH {MATRIX} SELECT vec_id, {', '.join(_r(f, f) for f in FEATURES)} FROM m",
     "label_to_string": "SELECT vec_id, CAST(label AS VARCHAR) AS label FROM embeddings",
     "select_numeric": "SELECT c_custkey, c_nationkey, c_acctbal FROM customer",
     "fill_missing_zero": f"WITH {DOCS} SELECT doc_id, lang, source, n_chars, coalesce(quality, 0) AS quality, coalesce(toxic, 0) AS toxic FROM d",
-    "inf_to_null": f"WITH {FINITE} SELECT vec_id, {_rs(FEATURES[:4])} FROM k",
+    "inf_to_null": f"WITH {FINITE} SELECT vec_id, {_rs(FEATURES)} FROM k",
     "keep_available_columns": f"WITH {MATRIX} SELECT vec_id, {_rs(['f_05', 'f_04'])} FROM m",
     "default_features": "SELECT CAST(position AS INTEGER) AS position, feature, (SELECT count(*) FROM embeddings) AS images FROM (VALUES "
     + ", ".join(f"({i}, '{n}')" for i, n in enumerate(keep_available(DEFAULT_FEATURES, DEFAULT_FEATURES, 10))) + ") AS t(position, feature)",
@@ -119,12 +119,12 @@ ORACLE: dict[str, str] = {
     "missing_profile_documents": f"WITH {DOCS}, gaps AS ("
     + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) - count({c}) AS missing, count(*) AS n FROM d" for c in ("doc_id", "n_chars", "quality", "toxic"))
     + f") SELECT feature, missing, {_r('missing / n', 'fraction')} FROM gaps WHERE missing > 0",
-    "drop_sparse_columns": f"WITH {MATRIX} SELECT vec_id, {_rs(['f_00', 'f_02', 'f_03', 'f_04', 'f_05'])} FROM m",
+    "drop_sparse_columns": f"WITH {MATRIX} SELECT vec_id, {_rs(_KEPT)} FROM m",
     "drop_sparse_documents": f"WITH {DOCS} SELECT doc_id, lang, source, n_chars, "
     + ", ".join(_r(f"coalesce({c}, (SELECT median({c}) FROM d))", c, 6) for c in ("quality", "toxic")) + " FROM d",
-    "impute": f"WITH {FINITE} SELECT vec_id, {_filled(FEATURES[:6], 'median({c})')} FROM k",
-    "impute_ranked_medians": f"WITH {FINITE} SELECT vec_id, {_filled(FEATURES[:6], 'median({c})')} FROM k",
-    "impute_mean": f"WITH {FINITE} SELECT vec_id, {_filled(FEATURES[:6], 'avg({c})')} FROM k",
+    "impute": f"WITH {FINITE} SELECT vec_id, {_filled(FEATURES, 'median({c})')} FROM k",
+    "impute_ranked_medians": f"WITH {FINITE} SELECT vec_id, {_filled(FEATURES, 'median({c})')} FROM k",
+    "impute_mean": f"WITH {FINITE} SELECT vec_id, {_filled(FEATURES, 'avg({c})')} FROM k",
     "impute_most_frequent": f"WITH {DOCS} SELECT doc_id, lang, source, n_chars, "
     + ", ".join(_r(f"coalesce({c}, (SELECT {c} FROM d WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1))", c, 6) for c in ("quality", "toxic"))
     + " FROM d",
@@ -149,7 +149,7 @@ ORACLE: dict[str, str] = {
     f"SELECT {_r('avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END)', 'test_score', 6)}, count(*) AS test_rows FROM split WHERE is_test",
     "align_columns": f"WITH {MATRIX} SELECT vec_id, {_rs(['f_06', 'f_04', 'f_05'])} FROM m",
     "apply_saved_preprocessing": f"WITH {FINITE}, third AS MATERIALIZED (SELECT * FROM k WHERE vec_id % 3 = 0), "
-    f"{_clean(['f_00', 'f_02', 'f_03', 'f_04', 'f_05'], 'third')} SELECT vec_id, {_scaled(['f_00', 'f_02', 'f_03', 'f_04', 'f_05'])} FROM filled, fit",
+    f"{_clean(_KEPT, 'third')} SELECT vec_id, {_scaled(_KEPT)} FROM filled, fit",
     "per_class_report": f"WITH {PRED}, {REPORT} SELECT class, {_rs(['precision', 'recall', 'f1'])}, support FROM rep",
     "accuracy": f"WITH {PRED} SELECT {_r('avg(CASE WHEN truth = prediction THEN 1.0 ELSE 0.0 END)', 'accuracy')} FROM p",
     "macro_avg": f"WITH {PRED}, {REPORT} SELECT {_MEANS} FROM rep",
@@ -172,20 +172,22 @@ ORACLE: dict[str, str] = {
     "label_codes": "SELECT CAST(label AS VARCHAR) AS label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT label FROM embeddings)",
     "label_codes_text": "SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT event_type AS label FROM events)",
     "distinct_sorted": "SELECT DISTINCT CAST(label AS VARCHAR) AS label FROM embeddings ORDER BY label",
-    "trendline": f"WITH {MATRIX}, l AS ({_LONG}) SELECT feature, {_r('regr_slope(value, code)', 'slope', 6)}, "
-    f"{_r('regr_intercept(value, code)', 'intercept', 6)}, {_r('regr_r2(value, code)', 'r2', 6)} FROM l GROUP BY feature",
+    "trendline": f"WITH {FINITE}, l AS ({_LONG}) SELECT feature, {_r('regr_slope(value, code)', 'slope', 6)}, "
+    f"{_r('regr_intercept(value, code)', 'intercept', 6)}, {_r('CASE WHEN max(value) = min(value) THEN 0 ELSE regr_r2(value, code) END', 'r2', 6)} FROM l GROUP BY feature",
     "trend_endpoints": f"WITH {_EVENTS} SELECT feature, CAST(min(code) AS INTEGER) AS x0, CAST(max(code) AS INTEGER) AS x1, "
     f"{_r('regr_slope(value, code) * min(code) + regr_intercept(value, code)', 'y0', 6)}, "
     f"{_r('regr_slope(value, code) * max(code) + regr_intercept(value, code)', 'y1', 6)} FROM ev GROUP BY feature",
-    "violin_summary": f"WITH {MATRIX}, l AS ({_LONG}) {_violin('l')}",
+    "violin_summary": f"WITH {FINITE}, l AS ({_LONG}) {_violin('l')}",
     "violin_summary_ranked": f"WITH {_EVENTS} {_violin('ev')}",
     "violin_density": f"WITH {_EVENTS}, f AS (SELECT feature, label, count(*) AS n, min(value) AS low, max(value) AS high, "
     "pow(count(*), -0.2) * stddev_samp(value) AS h FROM ev GROUP BY ALL), "
-    "g AS (SELECT f.*, CAST(range AS INTEGER) AS step, low - 2 * h + range * (high - low + 4 * h) / 39 AS x FROM f, range(40)) "
+    "g AS (SELECT f.*, CAST(range AS INTEGER) AS step, low - 2 * h + range * (high - low + 4 * h) / 99 AS x FROM f, range(100)) "
     f"SELECT g.feature, g.label, step, {_r('any_value(x)', 'x', 6)}, "
     f"{_r('sum(exp(-pow((x - value) / h, 2) / 2)) / (any_value(n) * any_value(h) * sqrt(2 * pi()))', 'density', 6)} "
     "FROM g JOIN ev ON g.label = ev.label GROUP BY g.feature, g.label, step",
-    "column_difference": "SELECT unnest(['f_02', 'f_07']) AS feature",
+    "column_difference": f"WITH {FINITE} " + " UNION ALL ".join(
+        f"SELECT '{f}' AS feature FROM k HAVING 2 * count({f}) <= count(*)" for f in FEATURES
+    ),
     "scalar_feature_names": """WITH l AS (SELECT DISTINCT label FROM embeddings),
         n AS (SELECT label, concat('gabor_f', format('{:.1f}', 0.1 * (1 + label % 2)), '_a', CAST(floor(degrees(label * pi() / 18)) AS INTEGER), '_mean') AS feature FROM l)
         SELECT label, feature, concat('Gabor F', format('{:.1f}', 0.1 * (1 + label % 2)), ' A', split_part(split_part(feature, '_a', 2), '_', 1), ' Mean') AS title,

@@ -20,7 +20,7 @@ FEATURES = [f"f_{i:02d}" for i in range(64)]
 
 def split_target(spark, sf):
     features, _ = scalars.split_target(feature_matrix(spark, sf), "label")
-    return rounded(features.select("vec_id", *FEATURES[:8]), 9)
+    return rounded(features.select("vec_id", *FEATURES), 9)
 
 
 def label_to_string(spark, sf):
@@ -42,7 +42,7 @@ def fill_missing_zero(spark, sf):
 
 
 def inf_to_null(spark, sf):
-    return rounded(scalars.inf_to_null(feature_matrix(spark, sf).select("vec_id", *FEATURES[:4]), FEATURES[:4]), 9)
+    return rounded(scalars.inf_to_null(feature_matrix(spark, sf).select("vec_id", *FEATURES), FEATURES), 9)
 
 
 def keep_available_columns(spark, sf):
@@ -91,7 +91,7 @@ def missing_profile_documents(spark, sf):
 
 
 def drop_sparse_columns(spark, sf):
-    return rounded(cleaning.drop_sparse_columns(feature_matrix(spark, sf).select("vec_id", *FEATURES[:6])), 9)
+    return rounded(cleaning.drop_sparse_columns(feature_matrix(spark, sf).select("vec_id", *FEATURES)), 9)
 
 
 def drop_sparse_documents(spark, sf):
@@ -102,16 +102,16 @@ def drop_sparse_documents(spark, sf):
 
 
 def impute(spark, sf):
-    return rounded(cleaning.impute(feature_matrix(spark, sf).select("vec_id", *FEATURES[:6]), FEATURES[:6]), 9)
+    return rounded(cleaning.impute(feature_matrix(spark, sf).select("vec_id", *FEATURES), FEATURES), 9)
 
 
 def impute_ranked_medians(spark, sf):
-    matrix = feature_matrix(spark, sf).select("vec_id", *FEATURES[:6])
-    return rounded(cleaning.impute(matrix, FEATURES[:6], gather_rows=100), 9)
+    matrix = feature_matrix(spark, sf).select("vec_id", *FEATURES)
+    return rounded(cleaning.impute(matrix, FEATURES, gather_rows=100), 9)
 
 
 def impute_mean(spark, sf):
-    return rounded(cleaning.impute(feature_matrix(spark, sf).select("vec_id", *FEATURES[:6]), FEATURES[:6], "mean"), 9)
+    return rounded(cleaning.impute(feature_matrix(spark, sf).select("vec_id", *FEATURES), FEATURES, "mean"), 9)
 
 
 def impute_most_frequent(spark, sf):
@@ -202,7 +202,7 @@ def align_columns(spark, sf):
 
 def apply_saved_preprocessing(spark, sf):
     matrix = feature_matrix(spark, sf)
-    saved = cleaning.fit_preprocessor(matrix.filter("vec_id % 3 = 0"), FEATURES[:6])
+    saved = cleaning.fit_preprocessor(matrix.filter("vec_id % 3 = 0"), FEATURES)
     return rounded(scoring.apply_saved_preprocessing(matrix, saved, ["vec_id"]))
 
 
@@ -309,7 +309,7 @@ def distinct_sorted(spark, sf):
 
 
 def _long(spark, sf):
-    return insights.long_features(feature_matrix(spark, sf), ["f_00", "f_04", "f_05", "f_06"])
+    return insights.long_features(scalars.inf_to_null(feature_matrix(spark, sf), FEATURES), FEATURES)
 
 
 def _event_values(spark, sf):
@@ -336,16 +336,13 @@ def violin_summary_ranked(spark, sf):
 
 
 def violin_density(spark, sf):
-    return rounded(insights.violin_density(_event_values(spark, sf), grid=40))
+    return rounded(insights.violin_density(_event_values(spark, sf)))
 
 
 def column_difference(spark, sf):
-    """Columns a narrower table lacks, as rows, with the table's size."""
-    matrix = feature_matrix(spark, sf)
-    expected = matrix.agg(F.expr(f"array({', '.join(repr(f) for f in FEATURES[:10])}) AS n")).selectExpr("explode(n) AS feature")
-    present = matrix.drop("f_02", "f_07").agg(F.expr("count(1) AS c"))
-    names = [c for c in matrix.drop("f_02", "f_07").columns if c != "vec_id"]
-    return scoring.column_difference(expected, present.selectExpr(f"explode(array({', '.join(repr(c) for c in names)})) AS feature"))
+    """Feature names that do not survive the missing-share rule, as found in the table."""
+    profile = cleaning.missing_profile(feature_matrix(spark, sf), FEATURES)
+    return scoring.column_difference(profile.select("feature"), profile.filter("fraction < 0.5").select("feature"))
 
 
 def scalar_feature_names(spark, sf):

@@ -4,8 +4,9 @@ A raster row holds one image: ``image_id, label, h, w, ok`` and the channels
 ``red, green, blue`` as row-major ``ARRAY<SMALLINT>``. Neighbourhood work never
 joins pixels: a raster is cut into strips of whole image rows, each carrying
 the extra rows (halo) its neighbourhood needs, so a pixel finds its neighbours
-by index in its own record. A strip has a bounded size, so a huge image is
-spread over many records and tasks.
+by index in its own record. Strips of images that need several are dealt to
+tasks by (image, strip), each cut on its own, so one huge image is work for
+many tasks and no record holds more than one strip and its halo.
 """
 
 from __future__ import annotations
@@ -40,23 +41,26 @@ def cut_strips(
         source = list(dict.fromkeys([*source, "red", "green", "blue"]))
     top = f"greatest(s * _rows - {halo}, 0)"
     bottom = f"least((s + 1) * _rows + {halo}, h)"
-    cuts = ", ".join(f"slice({c}, {top} * w + 1, ({bottom} - {top}) * w) AS {c}" for c in source)
-    bounds = f"struct(s * _rows AS r0, least(_rows, h - s * _rows) AS n_rows, {top} AS top, {cuts})"
-    return (
+    cuts = [f"slice({c}, {top} * w + 1, ({bottom} - {top}) * w) AS {c}" for c in source]
+    sized = (
         rasters.filter("ok AND h > 0 AND w > 0")
         .selectExpr("image_id", "h", "w", *source, f"{rows_per_strip(strip_pixels)} AS _rows")
-        .selectExpr("image_id", "h", "w", f"explode(transform(sequence(0, CAST((h - 1) DIV _rows AS INT)), s -> {bounds})) AS _s")
-        .selectExpr(
-            "image_id", "h", "w", "_s.r0", "_s.n_rows", "_s.top",
-            *[f"{_gray_of('_s')} AS gray" if c == "gray" else f"_s.{c}" for c in channels],
-        )
     )
+    out = [f"{_gray_of()} AS gray" if c == "gray" else c for c in channels]
+    bounds = ["image_id", "h", "w", "s * _rows AS r0", "least(_rows, h - s * _rows) AS n_rows", f"{top} AS top"]
+    # An image of one strip stays where it was read.
+    single = sized.filter("h <= _rows").selectExpr("*", "0 AS s").selectExpr(*bounds, *cuts)
+    tall = (
+        sized.filter("h > _rows").selectExpr("*", "explode(sequence(0, CAST((h - 1) DIV _rows AS INT))) AS s")
+        .selectExpr(*bounds, *cuts).repartition("image_id", "r0")
+    )
+    return single.unionByName(tall).selectExpr("image_id", "h", "w", "r0", "n_rows", "top", *out)
 
 
-def _gray_of(struct: str) -> str:
-    """Grey levels from the channel arrays of a struct."""
-    rest = f"zip_with({struct}.green, {struct}.blue, (g, b) -> CAST(g AS INT) + b)"
-    return f"zip_with({struct}.red, {rest}, (r, s) -> CAST((r + s) DIV 3 AS SMALLINT))"
+def _gray_of() -> str:
+    """Grey levels from the channel arrays."""
+    rest = "zip_with(green, blue, (g, b) -> CAST(g AS INT) + b)"
+    return f"zip_with(red, {rest}, (r, s) -> CAST((r + s) DIV 3 AS SMALLINT))"
 
 
 def at(channel: str, dr: int = 0, dc: int = 0) -> str:

@@ -65,7 +65,7 @@ def report_json(report: DataFrame, training_metrics: DataFrame | None = None) ->
             "4 AS part", "'_training_metrics' AS class", "to_json(struct(*)) AS body"
         ))
     # The list is as long as the report: one record per class.
-    joined = "array_join(transform(array_sort(collect_list(struct(part, class, body))), x -> concat('\"', x.class, '\":', x.body)), ',')"
+    joined = "array_join(transform(array_sort(collect_list(struct(part, class, body))), x -> concat(substring(to_json(map(x.class, 1)), 2, length(to_json(map(x.class, 1))) - 3), x.body)), ',')"
     return members.agg(F.expr(f"concat('{{', {joined}, '}}') AS value"))
 
 
