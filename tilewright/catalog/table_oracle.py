@@ -98,7 +98,31 @@ def _violin(source: str) -> str:
     return f"SELECT feature, label, count(*) AS n, {_r('min(value)', 'low', 6)}, {quartiles}, {_r('max(value)', 'high', 6)} FROM {source} GROUP BY ALL"
 
 
+# Three classes that a wide gap in f_04 and later columns tells apart: every model must find them.
+_MOVED = ", ".join(f"{f} + 10 * (label % 3) AS {f}" for f in FEATURES[4:])
+_CLASS = "CAST(label % 3 AS VARCHAR)"
+_SCORED = f"{_CLASS} AS label, {_CLASS} AS prediction"
+_REST = ", ".join(FEATURES[:4])
+
 ORACLE: dict[str, str] = {
+    "base_learners": f"SELECT vec_id, {_CLASS} AS label, {_CLASS} AS forest_prediction, {_CLASS} AS boosted_prediction, "
+    f"{_CLASS} AS tree_prediction FROM embeddings",
+    "stacking": f"SELECT vec_id, {_SCORED} FROM embeddings",
+    "save_load_model": f"SELECT vec_id, {_SCORED} FROM embeddings",
+    "predict_raw_zero_fill": f"SELECT vec_id, label % 3 AS label, {_CLASS} AS prediction FROM embeddings",
+    "predict": f"WITH {FINITE}, t AS (SELECT vec_id, {_REST}, {_MOVED}, label % 3 AS label FROM k) "
+    f"SELECT vec_id, {_rs(FEATURES)}, label, CAST(label AS VARCHAR) AS prediction FROM t",
+    "cross_val_score": "SELECT CAST(range AS INTEGER) AS fold, CAST(1 AS DOUBLE) AS score FROM range(5) WHERE (SELECT count(*) FROM embeddings) > 0",
+    "training_metrics": "SELECT CAST(1 AS DOUBLE) AS cv_mean_score, CAST(0 AS DOUBLE) AS cv_std_score, CAST(1 AS DOUBLE) AS test_score, "
+    "5 AS cv_folds, CAST(0.2 AS DOUBLE) AS test_size FROM embeddings LIMIT 1",
+    "importance_totals": "SELECT learner, CAST(63 AS BIGINT) AS features, CAST(1 AS DOUBLE) AS total, CAST(0 AS DOUBLE) AS of_constant "
+    "FROM (VALUES ('forest'), ('boosted'), ('tree')) AS t(learner)",
+    "write_feature_csv": f"WITH {MATRIX} SELECT CAST(label AS VARCHAR) AS label, count(*) AS images, "
+    "count(CASE WHEN isinf(f_02) THEN 1 END) AS infinite, count(*) - count(f_00) AS missing FROM m GROUP BY label",
+    "read_feature_csv": f"WITH {FINITE} SELECT vec_id, {_rs(FEATURES)} FROM k",
+    "write_report_json": f"WITH {PRED}, {REPORT}, a AS (SELECT {_r('avg(CASE WHEN truth = prediction THEN 1.0 ELSE 0.0 END)', 'accuracy')} FROM p), "
+    f"r AS (SELECT class, {_rs(['precision', 'recall', 'f1'])}, support FROM rep "
+    f"UNION ALL SELECT 'macro avg', {_MEANS} FROM rep UNION ALL SELECT 'weighted avg', {_WEIGHTED} FROM rep) SELECT r.*, accuracy FROM r, a",
     "split_target": f"WITH {MATRIX} SELECT vec_id, {', '.join(_r(f, f) for f in FEATURES)} FROM m",
     "label_to_string": "SELECT vec_id, CAST(label AS VARCHAR) AS label FROM embeddings",
     "select_numeric": "SELECT c_custkey, c_nationkey, c_acctbal FROM customer",

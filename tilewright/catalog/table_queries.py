@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,9 @@ from tilewright.catalog.image_queries import rounded
 from tilewright.functions import scalars
 from tilewright.operators import cleaning, evaluation, insights, modelling, scoring
 from tilewright.plans.image_features import FAMILIES
+from tilewright.plans.score import score_csv
+from tilewright.session import cut_lineage, shared_dir
+from tilewright.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -157,22 +161,30 @@ def holdout_score(spark, sf):
     return rounded(modelling.holdout_score(split))
 
 
-SMALL = modelling.StackSettings(n_estimators=2, depth=3, folds=2, final_iterations=15)
-SMALLER = modelling.StackSettings(n_estimators=2, depth=3, folds=2, final_iterations=15, learners=("forest", "tree"))
+#: All three learners, 5 folds and depth 5 as by default; only the number of estimators is cut.
+SETTINGS = modelling.StackSettings(n_estimators=2)
+
+
+def _separable(spark, sf):
+    """The feature table with three classes that a wide gap in f_04 and later columns tells apart."""
+    kept = ["vec_id", *FEATURES[:4]]
+    moved = [f"{f} + 10 * (label % 3) AS {f}" for f in FEATURES[4:]]
+    return feature_matrix(spark, sf).selectExpr(*kept, *moved, "label % 3 AS label")
 
 
 def _cleaned(spark, sf):
-    return cleaning.clean_features(feature_matrix(spark, sf), "label", ["vec_id"])
+    cleaned, fitted = cleaning.clean_features(_separable(spark, sf), "label", ["vec_id"])
+    return cut_lineage(cleaned, "cleaned"), fitted
 
 
-def _fitted(spark, sf, settings=SMALLER):
+def _fitted(spark, sf):
     cleaned, fitted = _cleaned(spark, sf)
-    return modelling.fit_stack(cleaned, fitted.feature_columns, "vec_id", "label", settings), fitted, cleaned
+    return modelling.fit_stack(cleaned, fitted.feature_columns, "vec_id", "label", SETTINGS), fitted, cleaned
 
 
 def _base(spark, sf):
     cleaned, fitted = _cleaned(spark, sf)
-    return modelling.fit_base(cleaned, fitted.feature_columns, "vec_id", "label", SMALL), fitted, cleaned
+    return modelling.fit_base(cleaned, fitted.feature_columns, "vec_id", "label", SETTINGS), fitted, cleaned
 
 
 def base_learners(spark, sf):
@@ -187,13 +199,12 @@ def stacking(spark, sf):
 
 def cross_val_score(spark, sf):
     cleaned, fitted = _cleaned(spark, sf)
-    return modelling.cross_val_scores(cleaned, fitted.feature_columns, "vec_id", "label", SMALLER)
+    return modelling.cross_val_scores(cleaned, fitted.feature_columns, "vec_id", "label", SETTINGS)
 
 
 def training_metrics(spark, sf):
     cleaned, fitted = _cleaned(spark, sf)
-    settings = modelling.StackSettings(n_estimators=2, depth=3, folds=2, final_iterations=15, learners=("tree",))
-    return modelling.train_stacking(cleaned, fitted.feature_columns, "vec_id", "label", settings)[1]
+    return modelling.train_stacking(cleaned, fitted.feature_columns, "vec_id", "label", SETTINGS)[1]
 
 
 def align_columns(spark, sf):
@@ -208,16 +219,58 @@ def apply_saved_preprocessing(spark, sf):
 
 def predict(spark, sf):
     model, fitted, _ = _fitted(spark, sf)
-    return rounded(scoring.predict(feature_matrix(spark, sf), fitted, model)).select("vec_id", "label", "f_00", "prediction")
+    scored = scoring.predict(_separable(spark, sf), fitted, model)
+    return rounded(scalars.inf_to_null(scored, FEATURES), 9)
 
 
 def predict_raw_zero_fill(spark, sf):
-    matrix = feature_matrix(spark, sf)
-    filled = scalars.fill_missing_zero(scalars.inf_to_null(matrix, FEATURES))
-    model = modelling.fit_stack(filled, FEATURES, "vec_id", "label", SMALLER)
+    matrix = _separable(spark, sf)
+    filled = cut_lineage(scalars.fill_missing_zero(scalars.inf_to_null(matrix, FEATURES)), "filled")
+    model = modelling.fit_stack(filled, FEATURES, "vec_id", "label", SETTINGS)
     return scoring.predict_raw_zero_fill(matrix, model).select("vec_id", "label", "prediction")
 
 
+def _folder(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def write_feature_csv(spark, sf):
+    """How the written file spells f_02 and missing values, counted by label."""
+    path = _folder(spark, "features")
+    tables.write_feature_csv(feature_matrix(spark, sf), path)
+    return spark.read.option("header", True).csv(path).groupBy("label").agg(
+        F.expr("count(1) AS images"), F.expr("count_if(f_02 = 'inf') AS infinite"), F.expr("count_if(f_00 IS NULL) AS missing")
+    )
+
+
+def read_feature_csv(spark, sf):
+    """The feature table written and read again with inferred types."""
+    path = _folder(spark, "features")
+    tables.write_feature_csv(feature_matrix(spark, sf), path)
+    found = tables.read_feature_csv(spark, path).withColumn("vec_id", F.expr("CAST(vec_id AS BIGINT)"))
+    return rounded(scalars.inf_to_null(found.drop("label"), FEATURES), 9)
+
+
+def write_report_json(spark, sf):
+    """The report written as JSON and taken apart again; accuracy is a plain number."""
+    path = _folder(spark, "report")
+    tables.write_report_json(evaluation.classification_report(predictions(spark, sf)), path)
+    classes = spark.read.text(path, wholetext=True).selectExpr("value", "explode(json_object_keys(value)) AS class")
+    cell = "CAST(get_json_object(value, concat('$[\\'', class, '\\'].', '{}')) AS DOUBLE) AS {}"
+    plain = "CAST(get_json_object(value, '$.accuracy') AS DOUBLE) AS accuracy"
+    fields = [cell.format(a, b) for a, b in (("precision", "precision"), ("recall", "recall"), ("f1-score", "f1"), ("support", "support"))]
+    return rounded(classes.filter("class <> 'accuracy'").selectExpr("class", *fields, plain), 9)
+
+
+def save_load_model(spark, sf):
+    """A saved bundle loaded again scores a written feature file."""
+    model, fitted, _ = _fitted(spark, sf)
+    bundle, path, out = (_folder(spark, name) for name in ("bundle", "features", "scored"))
+    tables.save_bundle(spark, bundle, fitted, model)
+    tables.write_feature_csv(_separable(spark, sf), path)
+    return score_csv(spark, path, bundle, out)["predictions"].selectExpr("CAST(vec_id AS BIGINT) AS vec_id", "CAST(label AS STRING) AS label", "prediction")
+
+
 def per_class_report(spark, sf):
     return rounded(evaluation.per_class_report(predictions(spark, sf)), 9)
 
@@ -296,6 +349,15 @@ def collect_importances(spark, sf):
     return insights.importance_table(spark, fitted.feature_columns, model.importances())
 
 
+def importance_totals(spark, sf):
+    """Importances of a learner sum to 1 and are 0 for the constant column."""
+    found = collect_importances(spark, sf).groupBy("learner").agg(
+        F.expr("count(1) AS features"), F.expr("sum(importance) AS total"),
+        F.expr("sum(CASE WHEN feature = 'f_03' THEN importance END) AS of_constant"),
+    )
+    return rounded(found)
+
+
 def label_codes(spark, sf):
     return insights.label_codes(feature_matrix(spark, sf))
 
