@@ -10,7 +10,8 @@ import pytest
 from tilewright.operators.cleaning import clean_features
 from tilewright.operators.modelling import StackSettings, fit_stack
 from tilewright.operators.scoring import predict
-from tilewright.plans.end_to_end import run_all
+from tilewright.plans.end_to_end import run_all, run_csv
+from tilewright.plans.score import score_csv
 from tilewright.sources.images import first_tiff, read_rasters
 from tilewright.sources.tables import load_bundle, read_feature_csv, save_bundle, write_feature_csv
 
@@ -101,9 +102,26 @@ def test_whole_run(spark, folder, tmp_path, scope):
     assert {"accuracy", "macro avg", "_training_metrics"} <= set(json.loads(text))
     assert out["importances"].count() == 132
     assert out["trends"].count() == 3 and out["violins"].count() == 6
+    assert spark.read.option("header", True).csv(str(tmp_path / "reports" / "feature_trends")).count() == 3
+    assert spark.read.option("header", True).csv(str(tmp_path / "reports" / "feature_violins")).count() == 6
     assert (tmp_path / "models" / "parameters").exists()
 
 
+def test_run_and_scoring_from_a_feature_file(spark, sf, tmp_path):
+    cells = ", ".join(f"CAST(embedding[{i}] + 5 * (label % 2) AS DOUBLE) AS a{i}" for i in range(4))
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id AS image_id", *cells.split(", "), "label % 2 AS label")
+    write_feature_csv(table, str(tmp_path / "csv"))
+    settings = StackSettings(n_estimators=2, depth=2, folds=2, final_iterations=5, learners=("forest", "tree"))
+    out = run_csv(spark, str(tmp_path / "csv"), str(tmp_path / "run"), settings, top_features=2)
+    assert out["predictions"].filter("truth <> prediction").count() == 0
+    again = score_csv(spark, str(tmp_path / "csv"), str(tmp_path / "run" / "models"), str(tmp_path / "scored"))
+    assert again["predictions"].filter("label = prediction").count() == table.count()
+    assert json.loads(spark.read.text(str(tmp_path / "scored" / "classification_report")).first().value)["accuracy"] == 1.0
+    write_feature_csv(table.drop("a1"), str(tmp_path / "short"))
+    with pytest.raises(ValueError, match="a1"):
+        score_csv(spark, str(tmp_path / "short"), str(tmp_path / "run" / "models"), str(tmp_path / "none"))
+
+
 def test_unknown_scope(spark, tmp_path):
     with pytest.raises(ValueError):
         run_all(spark, "nowhere", str(tmp_path), scope="some")

@@ -115,6 +115,9 @@ ORACLE: dict[str, str] = {
     "cross_val_score": "SELECT CAST(range AS INTEGER) AS fold, CAST(1 AS DOUBLE) AS score FROM range(5) WHERE (SELECT count(*) FROM embeddings) > 0",
     "training_metrics": "SELECT CAST(1 AS DOUBLE) AS cv_mean_score, CAST(0 AS DOUBLE) AS cv_std_score, CAST(1 AS DOUBLE) AS test_score, "
     "5 AS cv_folds, CAST(0.2 AS DOUBLE) AS test_size FROM embeddings LIMIT 1",
+    "full_pipeline": f"WITH c AS (SELECT {_CLASS} AS class, count(*) AS n FROM embeddings GROUP BY 1 UNION ALL "
+    "SELECT class, count(*) FROM embeddings, (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) AS t(class) GROUP BY class) "
+    "SELECT class, CAST(1 AS DOUBLE) AS precision, CAST(1 AS DOUBLE) AS recall, CAST(1 AS DOUBLE) AS f1, CAST(n AS DOUBLE) AS support FROM c",
     "importance_totals": "SELECT learner, CAST(63 AS BIGINT) AS features, CAST(1 AS DOUBLE) AS total, CAST(0 AS DOUBLE) AS of_constant "
     "FROM (VALUES ('forest'), ('boosted'), ('tree')) AS t(learner)",
     "write_feature_csv": f"WITH {MATRIX} SELECT CAST(label AS VARCHAR) AS label, count(*) AS images, "

@@ -12,6 +12,7 @@ from tilewright.catalog.fixture import feature_matrix, predictions, table, tiles
 from tilewright.catalog.image_queries import rounded
 from tilewright.functions import scalars
 from tilewright.operators import cleaning, evaluation, insights, modelling, scoring
+from tilewright.plans.end_to_end import run_features
 from tilewright.plans.image_features import FAMILIES
 from tilewright.plans.score import score_csv
 from tilewright.session import cut_lineage, shared_dir
@@ -262,6 +263,12 @@ def write_report_json(spark, sf):
     return rounded(classes.filter("class <> 'accuracy'").selectExpr("class", *fields, plain), 9)
 
 
+def full_pipeline(spark, sf):
+    """Cleaning to reports in one run; the report it wrote, over all rows."""
+    features = _separable(spark, sf).withColumnRenamed("vec_id", "image_id")
+    return rounded(run_features(features, _folder(spark, "run"), SETTINGS)["report"], 9)
+
+
 def save_load_model(spark, sf):
     """A saved bundle loaded again scores a written feature file."""
     model, fitted, _ = _fitted(spark, sf)
