@@ -99,7 +99,7 @@ def _violin(source: str) -> str:
 
 
 # Three classes that a wide gap in f_04 and later columns tells apart: every model must find them.
-_MOVED = ", ".join(f"{f} + 10 * (label % 3) AS {f}" for f in FEATURES[4:])
+_MOVED = ", ".join(f"CAST(10 * (label % 3) + CASE WHEN {f} > 0 THEN 1 ELSE 0 END AS DOUBLE) AS {f}" for f in FEATURES[4:])
 _CLASS = "CAST(label % 3 AS VARCHAR)"
 _SCORED = f"{_CLASS} AS label, {_CLASS} AS prediction"
 _REST = ", ".join(FEATURES[:4])

@@ -167,9 +167,12 @@ SETTINGS = modelling.StackSettings(n_estimators=2)
 
 
 def _separable(spark, sf):
-    """The feature table with three classes that a wide gap in f_04 and later columns tells apart."""
+    """The feature table with three classes that a wide gap in f_04 and later columns tells apart.
+
+    Those columns keep two values per class, so that every gap is a candidate split.
+    """
     kept = ["vec_id", *FEATURES[:4]]
-    moved = [f"{f} + 10 * (label % 3) AS {f}" for f in FEATURES[4:]]
+    moved = [f"10D * (label % 3) + CASE WHEN {f} > 0 THEN 1D ELSE 0D END AS {f}" for f in FEATURES[4:]]
     return feature_matrix(spark, sf).selectExpr(*kept, *moved, "label % 3 AS label")
 
 
