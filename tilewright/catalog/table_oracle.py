@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from tilewright.functions.scalars import keep_available
-from tilewright.operators.insights import DEFAULT_FEATURES
-
 FEATURES = [f"f_{i:02d}" for i in range(64)]
 
 
@@ -77,12 +74,12 @@ _ACC = ", ".join(_r("avg(CASE WHEN truth = prediction THEN 1.0 ELSE 0.0 END)", c
 
 def _imp() -> str:
     parts = []
-    for f in FEATURES[4:]:
+    for f in FEATURES:
         for learner, expression in (
             ("deviation", f"stddev_pop({f})"), ("range", f"100 * (max({f}) - min({f}))"), ("positive", f"count(CASE WHEN {f} > 0 THEN 1 END)"),
         ):
-            parts.append(f"SELECT '{learner}' AS learner, '{f}' AS feature, CAST({expression} AS DOUBLE) AS importance FROM m")
-    return f"{MATRIX}, imp AS MATERIALIZED ({' UNION ALL '.join(parts)})"
+            parts.append(f"SELECT '{learner}' AS learner, '{f}' AS feature, CAST({expression} AS DOUBLE) AS importance FROM k")
+    return f"{FINITE}, imp AS MATERIALIZED ({' UNION ALL '.join(parts)})"
 
 
 IMPORTANCES = _imp()
@@ -132,14 +129,16 @@ ORACLE: dict[str, str] = {
     "fill_missing_zero": f"WITH {DOCS} SELECT doc_id, lang, source, n_chars, coalesce(quality, 0) AS quality, coalesce(toxic, 0) AS toxic FROM d",
     "inf_to_null": f"WITH {FINITE} SELECT vec_id, {_rs(FEATURES)} FROM k",
     "keep_available_columns": f"WITH {MATRIX} SELECT vec_id, {_rs(['f_05', 'f_04'])} FROM m",
-    "default_features": "SELECT CAST(position AS INTEGER) AS position, feature, (SELECT count(*) FROM embeddings) AS images FROM (VALUES "
-    + ", ".join(f"({i}, '{n}')" for i, n in enumerate(keep_available(DEFAULT_FEATURES, DEFAULT_FEATURES, 10))) + ") AS t(position, feature)",
+    "default_features": f"WITH {MATRIX} " + " UNION ALL ".join(
+        f"SELECT CAST({i} AS BIGINT) AS position, '{n}' AS feature, count({f}) AS n, {_r(f'avg({f})', 'mean')} FROM m"
+        for i, (n, f) in enumerate((("lbp_9", "f_05"), ("minor_axis_median", "f_06"), ("solidity_mean", "f_04")), 1)
+    ),
     "union_records": f"WITH {MATRIX} SELECT vec_id, CASE WHEN vec_id % 3 <> 1 THEN round(f_04, 9) + 0.0 END AS f_04, "
     "CASE WHEN vec_id % 3 = 1 THEN round(f_05, 9) + 0.0 END AS f_05 FROM m",
     "union_rows": "SELECT c_custkey AS party, c_acctbal AS balance, c_mktsegment AS segment FROM customer "
     "UNION ALL SELECT s_suppkey, s_acctbal, NULL FROM supplier",
-    "images_left_features": f"WITH {MATRIX} SELECT vec_id, CAST(label AS VARCHAR) AS label, {_r('coalesce(f_00, 0)', 'f_00')}, "
-    f"{_r('CASE WHEN f_00 IS NULL THEN 0 ELSE f_04 END', 'f_04')} FROM m",
+    "images_left_features": f"WITH {MATRIX} SELECT vec_id, CAST(label AS VARCHAR) AS label, "
+    + ", ".join(_r(f"CASE WHEN f_00 IS NULL THEN 0 ELSE coalesce({f}, 0) END", f) for f in FEATURES) + " FROM m",
     "missing_profile": f"WITH {FINITE}, gaps AS ("
     + " UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) - count({f}) AS missing, count(*) AS n FROM k" for f in FEATURES)
     + f") SELECT feature, missing, {_r('missing / n', 'fraction')} FROM gaps WHERE missing > 0 ORDER BY fraction DESC, feature LIMIT 30",
@@ -168,7 +167,7 @@ ORACLE: dict[str, str] = {
         for i, f in enumerate(FEATURES)),
     "clean_features_train_fit": f"WITH {FINITE}, src AS (SELECT vec_id, label FROM embeddings), {SPLIT}, "
     "train AS MATERIALIZED (SELECT k.* FROM k JOIN split USING (vec_id) WHERE NOT is_test), "
-    f"{_clean(['f_00', 'f_02', 'f_03', 'f_04'], 'train')} SELECT vec_id, {_scaled(['f_00', 'f_02', 'f_03', 'f_04'])}, CAST(label AS VARCHAR) AS label FROM filled, fit",
+    f"{_clean(_KEPT, 'train')} SELECT vec_id, {_scaled(_KEPT)}, CAST(label AS VARCHAR) AS label FROM filled, fit",
     "stratified_split": f"WITH src AS (SELECT vec_id, label FROM embeddings), {SPLIT} SELECT vec_id, label, is_test FROM split",
     "stratified_folds": "WITH o AS (SELECT vec_id, label, row_number() OVER (ORDER BY label, md5(concat('42:', vec_id))) AS place FROM embeddings) "
     "SELECT vec_id, label, CAST((place - 1) % 5 AS INTEGER) AS fold FROM o",

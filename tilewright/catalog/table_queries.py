@@ -8,12 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.catalog.fixture import feature_matrix, predictions, table, tiles
+from tilewright.catalog.fixture import feature_matrix, predictions, table
 from tilewright.catalog.image_queries import rounded
 from tilewright.functions import scalars
 from tilewright.operators import cleaning, evaluation, insights, modelling, scoring
 from tilewright.plans.end_to_end import run_features
-from tilewright.plans.image_features import FAMILIES
 from tilewright.plans.score import score_csv
 from tilewright.session import cut_lineage, shared_dir
 from tilewright.sources import tables
@@ -57,12 +56,12 @@ def keep_available_columns(spark, sf):
 
 
 def default_features(spark, sf):
-    """The fallback names as far as the feature table has them."""
-    available = [n for names in FAMILIES.values() for n in names]
-    names = insights.features_to_show(None, available, 10)
+    """What is shown without an importance table: the fallback names that the table has, with their values."""
+    matrix = feature_matrix(spark, sf).withColumnsRenamed({"f_04": "solidity_mean", "f_05": "lbp_9", "f_06": "minor_axis_median"})
+    names = insights.features_to_show(None, matrix.columns, 10)
     listed = ", ".join(f"'{n}'" for n in names)
-    counted = tiles(spark, sf).agg(F.expr("count(1) AS images"))
-    return counted.selectExpr(f"posexplode(array({listed})) AS (position, feature)", "images")
+    found = insights.long_features(matrix, names).groupBy("feature").agg(F.expr("count(1) AS n"), F.expr("avg(value) AS mean"))
+    return rounded(found.selectExpr(f"array_position(array({listed}), feature) AS position", "feature", "n", "mean"), 9)
 
 
 def union_records(spark, sf):
@@ -83,7 +82,7 @@ def union_rows(spark, sf):
 def images_left_features(spark, sf):
     """Every image stays, also one without any feature."""
     images = table(spark, sf, "embeddings").selectExpr("vec_id", "CAST(label AS STRING) AS label")
-    found = feature_matrix(spark, sf).filter("f_00 IS NOT NULL").select("vec_id", "f_00", "f_04")
+    found = feature_matrix(spark, sf).filter("f_00 IS NOT NULL").select("vec_id", *FEATURES)
     return rounded(scalars.fill_missing_zero(images.join(found, "vec_id", "left")), 9)
 
 
@@ -142,11 +141,11 @@ def clean_parameters(spark, sf):
 
 
 def clean_features_train_fit(spark, sf):
-    """Parameters from training rows only."""
-    matrix = feature_matrix(spark, sf)
+    """Parameters from training rows only; f_01, half of it missing, is left out whatever the training share."""
+    matrix = feature_matrix(spark, sf).drop("f_01")
     train = modelling.stratified_split(matrix, "vec_id").filter("NOT is_test").drop("is_test")
     cleaned, _ = cleaning.clean_features(matrix, "label", ["vec_id"], fit_on=train)
-    return rounded(cleaned.select("vec_id", "f_00", "f_02", "f_03", "f_04", "label"))
+    return rounded(cleaned)
 
 
 def stratified_split(spark, sf):
@@ -307,10 +306,10 @@ def confusion_matrix(spark, sf):
 
 def _spread_scores(spark, sf):
     """Score vectors that stand for three learners: column deviations, ranges and counts."""
-    matrix = feature_matrix(spark, sf)
+    matrix = scalars.inf_to_null(feature_matrix(spark, sf), FEATURES)
     facts = ", ".join(
         f"struct('{f}' AS feature, stddev_pop({f}) AS a, 100 * (max({f}) - min({f})) AS b, "
-        f"CAST(count(CASE WHEN {f} > 0 THEN 1 END) AS DOUBLE) AS c)" for f in FEATURES[4:]
+        f"CAST(count(CASE WHEN {f} > 0 THEN 1 END) AS DOUBLE) AS c)" for f in FEATURES
     )
     packed = matrix.agg(F.expr(f"array({facts}) AS x"))
     names = packed.selectExpr("x.feature AS names")
