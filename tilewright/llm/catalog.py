@@ -12,6 +12,7 @@ from tilewright.llm.decontaminate import contamination, judged
 from tilewright.llm.grace_dedup import exact_duplicates
 from tilewright.llm.language import identified, learn
 from tilewright.llm.mixture import mixed
+from tilewright.llm.neighbours import nearest
 from tilewright.llm.resample import drawn
 from tilewright.llm.suffix_dedup import without_repeats
 from tilewright.llm.token_frames import read_tokens, write_tokens
@@ -104,6 +105,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(rows), "conv_id", ["turn", "role", "text"])
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest of every vector whose id is divisible by 100, against all vectors."""
+    return nearest(table(spark, sf_dir, "embeddings"), "id % 100 = 0")
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents weighed towards the benchmark, a twentieth of them drawn."""
     return drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
@@ -113,6 +119,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_language, op3_mixture, op4_exact_dedup, op5_token_frames, op6_suffix_dedup,
-        op7_url_filter, op8_dart_minhash, op9_toxicity, op10_chat, op13_importance,
+        op7_url_filter, op8_dart_minhash, op9_toxicity, op10_chat, op11_neighbours, op13_importance,
     )
 }
