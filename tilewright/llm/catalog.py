@@ -14,6 +14,7 @@ from tilewright.llm.language import identified, learn
 from tilewright.llm.mixture import mixed
 from tilewright.llm.neighbours import nearest
 from tilewright.llm.resample import drawn
+from tilewright.llm.spelling import variants
 from tilewright.llm.suffix_dedup import without_repeats
 from tilewright.llm.token_frames import read_tokens, write_tokens
 from tilewright.llm.url_rules import judged_urls
@@ -110,6 +111,11 @@ def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), "id % 100 = 0")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return variants(table(spark, sf_dir, "documents"))
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents weighed towards the benchmark, a twentieth of them drawn."""
     return drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
@@ -119,6 +125,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_language, op3_mixture, op4_exact_dedup, op5_token_frames, op6_suffix_dedup,
-        op7_url_filter, op8_dart_minhash, op9_toxicity, op10_chat, op11_neighbours, op13_importance,
+        op7_url_filter, op8_dart_minhash, op9_toxicity, op10_chat, op11_neighbours,
+        op12_spelling, op13_importance,
     )
 }
