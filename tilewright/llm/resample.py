@@ -286,6 +286,8 @@ def drawn(
     scored = weighed(docs, gains(docs, target, buckets, run), run).withColumn(
         "score", F.expr(f"weight + CAST(floor(-1000D * ln(-ln({uniform}))) AS BIGINT)")
     )
+    # The range exchange samples its input, which would weigh all texts once more.
+    scored = written(scored, "resample-weights")
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last()]
     ranges = scored.repartitionByRange(*order).withColumn("place", F.spark_partition_id())
     ranges = written(ranges.withColumn("entitled", F.expr(f"n_words >= {least_words}")), "resample-scores")
