@@ -12,7 +12,7 @@ import pytest
 
 from tests.llm.test_exact import ODD, docs_of
 from tilewright.llm import spelling
-from tilewright.llm.spelling import group_counts, search, variants, verified
+from tilewright.llm.spelling import Pairs, class_counts, group_counts, search, variants
 
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 
@@ -87,10 +87,12 @@ def test_verified():
     a, b = (x.ravel() for x in np.indices((len(words), len(words))))
     keep = a != b
     a, b = a[keep], b[keep]
-    good = verified(words, words, a, b)
+    good = Pairs(words, words).verified(a, b)
     assert len(good) == len(set(good.tolist()))
     assert set(good.tolist()) == {k for k, (i, j) in enumerate(zip(a.tolist(), b.tolist())) if near(words[i], words[j])}
-    assert group_counts(words).sum(axis=1).tolist() == [len(w) for w in words]
+    assert group_counts(words).sum(axis=1).tolist() == class_counts(group_counts(words)).sum(axis=1).tolist() == [len(w) for w in words]
+    wide = ["中文字", "中文字字", "中字文", "ab"]
+    assert Pairs(wide, wide).verified(np.array([0, 0, 3]), np.array([1, 2, 0])).tolist() == [0]
 
 
 @pytest.mark.parametrize("cell", [20_000, 7])
