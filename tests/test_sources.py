@@ -8,6 +8,7 @@ import struct
 import pytest
 
 from tilewright.operators.cleaning import clean_features
+from tilewright.operators.boosting import LEAVES, LEVELS
 from tilewright.operators.modelling import StackSettings, fit_stack
 from tilewright.operators.scoring import predict
 from tilewright.plans.end_to_end import run_all, run_csv
@@ -89,12 +90,12 @@ def test_bundle_round_trip_gives_equal_predictions(spark, tmp_path):
     one, two = (predict(df, s, m).orderBy("id").collect() for s, m in ((saved, model), (saved2, model2)))
     assert one == two and set(one[0].asDict()) == {"id", "label", "x", "y", "z", "prediction"}
     assert sum(r.label == r.prediction for r in one) > 40
-    assert set(model2.importances()) == {"forest", "boosted", "tree"}
+    assert {r.learner for r in model2.importances().collect()} == {"levels", "leaves", "symmetric"}
 
 
 @pytest.mark.parametrize("scope", ["all", "holdout"])
 def test_whole_run(spark, folder, tmp_path, scope):
-    settings = StackSettings(n_estimators=2, depth=2, folds=2, final_iterations=5, learners=("forest", "tree"))
+    settings = StackSettings(n_estimators=2, depth=2, folds=2, final_iterations=5, learners=(LEVELS, LEAVES))
     out = run_all(spark, str(folder), str(tmp_path), settings, scope=scope, top_features=3)
     assert out["features"].count() == 13
     assert out["predictions"].count() == (13 if scope == "all" else 3)
@@ -111,7 +112,7 @@ def test_run_and_scoring_from_a_feature_file(spark, sf, tmp_path):
     cells = ", ".join(f"CAST(embedding[{i}] + 5 * (label % 2) AS DOUBLE) AS a{i}" for i in range(4))
     table = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id AS image_id", *cells.split(", "), "label % 2 AS label")
     write_feature_csv(table, str(tmp_path / "csv"))
-    settings = StackSettings(n_estimators=2, depth=2, folds=2, final_iterations=5, learners=("forest", "tree"))
+    settings = StackSettings(n_estimators=2, depth=2, folds=2, final_iterations=5, learners=(LEVELS, LEAVES))
     out = run_csv(spark, str(tmp_path / "csv"), str(tmp_path / "run"), settings, top_features=2)
     assert out["predictions"].filter("truth <> prediction").count() == 0
     again = score_csv(spark, str(tmp_path / "csv"), str(tmp_path / "run" / "models"), str(tmp_path / "scored"))

@@ -95,28 +95,88 @@ def _violin(source: str) -> str:
     return f"SELECT feature, label, count(*) AS n, {_r('min(value)', 'low', 6)}, {quartiles}, {_r('max(value)', 'high', 6)} FROM {source} GROUP BY ALL"
 
 
-# Three classes that a wide gap in f_04 and later columns tells apart: every model must find them.
-_MOVED = ", ".join(f"CAST(10 * (label % 3) + CASE WHEN {f} > 0 THEN 1 ELSE 0 END AS DOUBLE) AS {f}" for f in FEATURES[4:])
-_CLASS = "CAST(label % 3 AS VARCHAR)"
-_SCORED = f"{_CLASS} AS label, {_CLASS} AS prediction"
-_REST = ", ".join(FEATURES[:4])
+
+def _first_rounds() -> str:
+    """Two rounds of three kinds of boosted trees, three levels each, worked out from the table.
+
+    Bins are places among the order statistics at k/31; gradients are whole
+    multiples of 2**-24, so that their sums are exact.
+    """
+    one = 16777216
+    long = " UNION ALL ".join(f"SELECT vec_id, CAST({i} AS INTEGER) AS f, {c} AS v FROM m" for i, c in enumerate(FEATURES))
+    parts = [
+        MATRIX,
+        f"lv AS MATERIALIZED ({long})",
+        """cuts AS MATERIALIZED (SELECT f, t, row_number() OVER (PARTITION BY f ORDER BY t) - 1 AS cut FROM (
+  SELECT DISTINCT f, vs[CAST(ceil(len(vs) * (k / 31.0)) AS INTEGER)] AS t
+  FROM (SELECT f, list(v ORDER BY v) FILTER (v IS NOT NULL) AS vs FROM lv GROUP BY f), range(1, 31) AS q(k)))""",
+        "x AS MATERIALIZED (SELECT vec_id, lv.f, CAST(count(cut) AS INTEGER) AS bin FROM lv LEFT JOIN cuts ON cuts.f = lv.f AND cuts.t < lv.v GROUP BY ALL)",
+        "cols AS (SELECT f, cut FROM range(64) AS a(f), range((SELECT max(cut) + 1 FROM cuts)) AS b(cut))",
+        "names AS (SELECT CAST(row_number() OVER (ORDER BY l) - 1 AS INTEGER) AS c, l AS label FROM (SELECT DISTINCT CAST(label AS VARCHAR) AS l FROM m))",
+        "y AS MATERIALIZED (SELECT vec_id, c AS own FROM m JOIN names ON CAST(m.label AS VARCHAR) = names.label)",
+        """learners(learner, rate, ridge, least) AS (VALUES ('levels', CAST(0.3 AS DOUBLE), CAST(1 AS DOUBLE), CAST(1 AS DOUBLE)),
+  ('leaves', CAST(0.1 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0.001 AS DOUBLE)), ('symmetric', CAST(0.1 AS DOUBLE), CAST(3 AS DOUBLE), CAST(0 AS DOUBLE)))""",
+        "s0 AS MATERIALIZED (SELECT vec_id, learner, c, CAST(0 AS DOUBLE) AS score FROM y, learners, names)",
+    ]
+    for r in range(2):
+        parts.append(f"""g{r} AS MATERIALIZED (SELECT vec_id, learner, c, round_even((p - CASE WHEN own = c THEN 1 ELSE 0 END) * {one}, 0) AS g,
+  round_even(p * (1 - p) * {one}, 0) AS h FROM (SELECT *, e / sum(e) OVER (PARTITION BY vec_id, learner) AS p FROM (
+  SELECT *, exp(score - max(score) OVER (PARTITION BY vec_id, learner)) AS e FROM s{r})) JOIN y USING (vec_id))""")
+        parts.append(f"p{r}0 AS (SELECT vec_id, learner, c, 0 AS node FROM g{r})")
+        parts.append(f"o{r}0 AS (SELECT learner, c, 0 AS node, true AS open, 1 AS leaves FROM learners, names)")
+        for level in range(3):
+            n = f"{r}{level}"
+            parts += [
+                f"""h{n} AS MATERIALIZED (SELECT learner, c, node, f, bin, sum(g) AS g, sum(h) AS h
+  FROM g{r} JOIN p{n} USING (vec_id, learner, c) JOIN x USING (vec_id) GROUP BY ALL)""",
+                f"t{n} AS MATERIALIZED (SELECT learner, c, node, sum(g) / {one} AS g, sum(h) / {one} AS h, count(*) AS n FROM g{r} JOIN p{n} USING (vec_id, learner, c) GROUP BY ALL)",
+                f"""c{n} AS MATERIALIZED (SELECT oo.learner, oo.c, oo.node, cols.f, cols.cut, open, leaves, least, ridge, coalesce(tt.g, 0) AS g, coalesce(tt.h, 0) AS h,
+  coalesce(tt.n, 0) AS n, coalesce(sum(hh.g) OVER w, 0) / {one} AS gl, coalesce(sum(hh.h) OVER w, 0) / {one} AS hl
+  FROM o{n} AS oo JOIN learners USING (learner) CROSS JOIN cols LEFT JOIN t{n} AS tt ON tt.learner = oo.learner AND tt.c = oo.c AND tt.node = oo.node
+  LEFT JOIN h{n} AS hh ON hh.learner = oo.learner AND hh.c = oo.c AND hh.node = oo.node AND hh.f = cols.f AND hh.bin = cols.cut
+  WINDOW w AS (PARTITION BY oo.learner, oo.c, oo.node, cols.f ORDER BY cols.cut))""",
+                f"""k{n} AS MATERIALIZED (SELECT *, CASE WHEN hl >= least AND h - hl >= least THEN
+  gl * gl / (hl + ridge) + (g - gl) * (g - gl) / ((h - hl) + ridge) - g * g / (h + ridge) ELSE 0 END AS gain FROM c{n})""",
+                f"""u{n} AS (SELECT *, CASE WHEN learner = 'symmetric' THEN sum(gain) OVER (PARTITION BY learner, c, f, cut ORDER BY node
+  ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE gain END AS worth FROM k{n})""",
+                f"b{n} AS (SELECT * FROM u{n} QUALIFY row_number() OVER (PARTITION BY learner, c, node ORDER BY worth DESC, f, cut) = 1)",
+                f"""a{n} AS MATERIALIZED (SELECT *, worth > 0 AND open AND (learner <> 'leaves' OR row_number() OVER (PARTITION BY learner, c
+  ORDER BY CASE WHEN worth > 0 AND open THEN gain ELSE -1 END DESC, node) <= 6 - leaves) AS split FROM b{n})""",
+                f"""p{r}{level + 1} AS MATERIALIZED (SELECT p.vec_id, p.learner, p.c, 2 * p.node + CASE WHEN split AND bin > cut THEN 1 ELSE 0 END AS node
+  FROM p{n} AS p JOIN a{n} AS a ON a.learner = p.learner AND a.c = p.c AND a.node = p.node JOIN x ON x.vec_id = p.vec_id AND x.f = a.f)""",
+                f"""o{r}{level + 1} AS MATERIALIZED (SELECT learner, c, 2 * node + side AS node, split AS open,
+  leaves + sum(CASE WHEN split THEN 1 ELSE 0 END) OVER (PARTITION BY learner, c, side) AS leaves,
+  CASE WHEN split THEN CASE side WHEN 0 THEN gl ELSE g - gl END WHEN side = 0 THEN g ELSE 0 END AS g,
+  CASE WHEN split THEN CASE side WHEN 0 THEN hl ELSE h - hl END WHEN side = 0 THEN h ELSE 0 END AS h FROM a{n}, range(2) AS s(side))""",
+            ]
+        parts.append(f"v{r} AS MATERIALIZED (SELECT learner, c, node, CASE WHEN h + ridge > 0 THEN -rate * g / (h + ridge) ELSE 0 END AS value FROM o{r}3 JOIN learners USING (learner))")
+        parts.append(f"s{r + 1} AS MATERIALIZED (SELECT vec_id, learner, c, score + value AS score FROM s{r} JOIN p{r}3 USING (vec_id, learner, c) JOIN v{r} USING (learner, c, node))")
+    every = " UNION ALL ".join(f"SELECT {r} AS tree, {level} AS level, * FROM a{r}{level} WHERE split" for r in range(2) for level in range(3))
+    parts.append(f"nodes AS MATERIALIZED ({every})")
+    return ",\n".join(parts)
+
+
+FIRST_ROUNDS = _first_rounds()
+_SHOWN = "learner, CAST(c AS INTEGER) AS class, CAST(tree AS INTEGER) AS tree"
+_LARGEST = "arg_min(label, struct_pack(s := -score, c := c)) FILTER (learner = '{0}') AS {0}_prediction"
 
 ORACLE: dict[str, str] = {
-    "base_learners": f"SELECT vec_id, {_CLASS} AS label, {_CLASS} AS forest_prediction, {_CLASS} AS boosted_prediction, "
-    f"{_CLASS} AS tree_prediction FROM embeddings",
-    "stacking": f"SELECT vec_id, {_SCORED} FROM embeddings",
-    "save_load_model": f"SELECT vec_id, {_SCORED} FROM embeddings",
-    "predict_raw_zero_fill": f"SELECT vec_id, label % 3 AS label, {_CLASS} AS prediction FROM embeddings",
-    "predict": f"WITH {FINITE}, t AS (SELECT vec_id, {_REST}, {_MOVED}, label % 3 AS label FROM k) "
-    f"SELECT vec_id, {_rs(FEATURES)}, label, CAST(label AS VARCHAR) AS prediction FROM t",
-    "cross_val_score": "SELECT CAST(range AS INTEGER) AS fold, CAST(1 AS DOUBLE) AS score FROM range(5) WHERE (SELECT count(*) FROM embeddings) > 0",
-    "training_metrics": "SELECT CAST(1 AS DOUBLE) AS cv_mean_score, CAST(0 AS DOUBLE) AS cv_std_score, CAST(1 AS DOUBLE) AS test_score, "
-    "5 AS cv_folds, CAST(0.2 AS DOUBLE) AS test_size FROM embeddings LIMIT 1",
-    "full_pipeline": f"WITH c AS (SELECT {_CLASS} AS class, count(*) AS n FROM embeddings GROUP BY 1 UNION ALL "
-    "SELECT class, count(*) FROM embeddings, (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) AS t(class) GROUP BY class) "
-    "SELECT class, CAST(1 AS DOUBLE) AS precision, CAST(1 AS DOUBLE) AS recall, CAST(1 AS DOUBLE) AS f1, CAST(n AS DOUBLE) AS support FROM c",
-    "importance_totals": "SELECT learner, CAST(63 AS BIGINT) AS features, CAST(1 AS DOUBLE) AS total, CAST(0 AS DOUBLE) AS of_constant "
-    "FROM (VALUES ('forest'), ('boosted'), ('tree')) AS t(learner)",
+    "first_trees": f"WITH {FIRST_ROUNDS} SELECT {_SHOWN}, CAST(level AS INTEGER) AS level, CAST(node AS INTEGER) AS node, "
+    f"printf('f_%02d', nodes.f) AS feature, {_r('t', 'threshold', 6)}, "
+    "CAST(255 - (((1 << (4 >> level)) - 1) << (node * (8 >> level))) AS VARCHAR) AS kept, "
+    f"{_r('gain', 'gain', 6)}, CAST(n AS BIGINT) AS rows FROM nodes JOIN cuts ON cuts.f = nodes.f AND cuts.cut = nodes.cut",
+    "first_leaves": f"WITH {FIRST_ROUNDS} SELECT {_SHOWN}, CAST(node AS INTEGER) AS leaf, {_r('value', 'value')} "
+    "FROM (SELECT 0 AS tree, * FROM v0 UNION ALL SELECT 1, * FROM v1)",
+    "first_predictions": f"WITH {FIRST_ROUNDS} SELECT vec_id, {', '.join(_LARGEST.format(x) for x in ('levels', 'leaves', 'symmetric'))} "
+    "FROM s2 JOIN names USING (c) GROUP BY vec_id",
+    "first_importances": f"WITH {FIRST_ROUNDS}, e AS (SELECT learner, f, sum(gain) AS total, count(*) AS n FROM nodes GROUP BY ALL), "
+    "w AS (SELECT learner, f, coalesce(total / n, 0) AS mean, coalesce(total, 0) AS total, coalesce(n, 0) AS n "
+    "FROM learners CROSS JOIN range(64) AS b(f) LEFT JOIN e USING (learner, f)) "
+    f"SELECT learner, printf('f_%02d', f) AS feature, "
+    + _r("CASE learner WHEN 'levels' THEN mean / sum(mean) OVER (PARTITION BY learner) "
+         "WHEN 'symmetric' THEN 100 * total / sum(total) OVER (PARTITION BY learner) ELSE n END", "importance", 6) + " FROM w",
+    "importance_totals": "SELECT learner, CAST(63 AS BIGINT) AS features, total, CAST(0 AS DOUBLE) AS of_constant "
+    "FROM (VALUES ('levels', CAST(1 AS DOUBLE)), ('leaves', NULL), ('symmetric', CAST(100 AS DOUBLE))) AS t(learner, total)",
     "write_feature_csv": f"WITH {MATRIX} SELECT CAST(label AS VARCHAR) AS label, count(*) AS images, "
     "count(CASE WHEN isinf(f_02) THEN 1 END) AS infinite, count(*) - count(f_00) AS missing FROM m GROUP BY label",
     "read_feature_csv": f"WITH {FINITE} SELECT vec_id, {_rs(FEATURES)} FROM k",

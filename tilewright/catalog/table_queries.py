@@ -161,53 +161,76 @@ def holdout_score(spark, sf):
     return rounded(modelling.holdout_score(split))
 
 
-#: All three learners, 5 folds and depth 5 as by default; only the number of estimators is cut.
-SETTINGS = modelling.StackSettings(n_estimators=2)
+SETTINGS = modelling.StackSettings()
+#: The first two rounds, whose trees SQL can work out from the table.
+FIRST_ROUNDS = modelling.StackSettings(n_estimators=2)
 
+_fitted: dict[tuple[str, str, str], object] = {}
 
-def _separable(spark, sf):
-    """The feature table with three classes that a wide gap in f_04 and later columns tells apart.
 
-    Those columns keep two values per class, so that every gap is a candidate split.
-    """
-    kept = ["vec_id", *FEATURES[:4]]
-    moved = [f"10D * (label % 3) + CASE WHEN {f} > 0 THEN 1D ELSE 0D END AS {f}" for f in FEATURES[4:]]
-    return feature_matrix(spark, sf).selectExpr(*kept, *moved, "label % 3 AS label")
+def _once(spark, sf, name, fit):
+    """A model of a table is fitted once in a session, whatever the number of queries on it."""
+    place = (spark.sparkContext.applicationId, sf, name)
+    if place not in _fitted:
+        _fitted[place] = fit()
+    return _fitted[place]
 
 
-def _cleaned(spark, sf):
-    cleaned, fitted = cleaning.clean_features(_separable(spark, sf), "label", ["vec_id"])
-    return cut_lineage(cleaned, "cleaned"), fitted
+def _trained(spark, sf):
+    """(training, parameters, cleaned features): the whole stack with cross-validation, default sizes."""
 
+    def fit():
+        cleaned, fitted = cleaning.clean_features(feature_matrix(spark, sf), "label", ["vec_id"])
+        cleaned = cut_lineage(cleaned, "cleaned")
+        return modelling.train_stacking(cleaned, fitted.feature_columns, "vec_id", "label", SETTINGS), fitted, cleaned
 
-def _fitted(spark, sf):
-    cleaned, fitted = _cleaned(spark, sf)
-    return modelling.fit_stack(cleaned, fitted.feature_columns, "vec_id", "label", SETTINGS), fitted, cleaned
+    return _once(spark, sf, "trained", fit)
 
 
-def _base(spark, sf):
-    cleaned, fitted = _cleaned(spark, sf)
-    return modelling.fit_base(cleaned, fitted.feature_columns, "vec_id", "label", SETTINGS), fitted, cleaned
+def _first_trees(spark, sf):
+    """Two rounds of every learner on the table as it is, missing and infinite values included."""
+    return _once(spark, sf, "first", lambda: modelling.fit_base(feature_matrix(spark, sf), FEATURES, "vec_id", "label", FIRST_ROUNDS))
+
+
+def first_trees(spark, sf):
+    """Splits of the first two rounds' trees."""
+    return rounded(_first_trees(spark, sf).nodes, 6)
+
+
+def first_leaves(spark, sf):
+    """Leaf values of the first two rounds' trees."""
+    return rounded(_first_trees(spark, sf).leaves, 9)
+
+
+def first_predictions(spark, sf):
+    """Class of every row by each learner's first two rounds."""
+    return _first_trees(spark, sf).predict_each(feature_matrix(spark, sf)).select(
+        "vec_id", *[f"{x.name}_prediction" for x in FIRST_ROUNDS.learners]
+    )
+
+
+def first_importances(spark, sf):
+    """Importances of all features in the first two rounds, each learner on its own scale."""
+    return rounded(_first_trees(spark, sf).importances(), 6)
 
 
 def base_learners(spark, sf):
-    model, _, cleaned = _base(spark, sf)
-    return model.predict_each(cleaned).select("vec_id", "label", *[f"{x.name}_prediction" for x in model.learners])
+    training, _, cleaned = _trained(spark, sf)
+    base = training.model.base
+    return base.predict_each(cleaned).select("vec_id", "label", *[f"{x.name}_prediction" for x in base.learners])
 
 
 def stacking(spark, sf):
-    model, _, cleaned = _fitted(spark, sf)
-    return model.predict(cleaned).select("vec_id", "label", "prediction")
+    training, _, cleaned = _trained(spark, sf)
+    return training.model.predict(cleaned).select("vec_id", "label", "prediction")
 
 
 def cross_val_score(spark, sf):
-    cleaned, fitted = _cleaned(spark, sf)
-    return modelling.cross_val_scores(cleaned, fitted.feature_columns, "vec_id", "label", SETTINGS)
+    return _trained(spark, sf)[0].fold_scores
 
 
 def training_metrics(spark, sf):
-    cleaned, fitted = _cleaned(spark, sf)
-    return modelling.train_stacking(cleaned, fitted.feature_columns, "vec_id", "label", SETTINGS)[1]
+    return _trained(spark, sf)[0].metrics
 
 
 def align_columns(spark, sf):
@@ -221,15 +244,20 @@ def apply_saved_preprocessing(spark, sf):
 
 
 def predict(spark, sf):
-    model, fitted, _ = _fitted(spark, sf)
-    scored = scoring.predict(_separable(spark, sf), fitted, model)
+    training, fitted, _ = _trained(spark, sf)
+    scored = scoring.predict(feature_matrix(spark, sf), fitted, training.model)
     return rounded(scalars.inf_to_null(scored, FEATURES), 9)
 
 
 def predict_raw_zero_fill(spark, sf):
-    matrix = _separable(spark, sf)
-    filled = cut_lineage(scalars.fill_missing_zero(scalars.inf_to_null(matrix, FEATURES)), "filled")
-    model = modelling.fit_stack(filled, FEATURES, "vec_id", "label", SETTINGS)
+    """A stack fitted on raw features, gaps as zeros."""
+    matrix = feature_matrix(spark, sf)
+
+    def fit():
+        filled = cut_lineage(scalars.fill_missing_zero(scalars.inf_to_null(matrix, FEATURES)), "filled")
+        return modelling.fit_stack(filled, FEATURES, "vec_id", "label", SETTINGS)
+
+    model = _once(spark, sf, "raw", fit)
     return scoring.predict_raw_zero_fill(matrix, model).select("vec_id", "label", "prediction")
 
 
@@ -267,16 +295,16 @@ def write_report_json(spark, sf):
 
 def full_pipeline(spark, sf):
     """Cleaning to reports in one run; the report it wrote, over all rows."""
-    features = _separable(spark, sf).withColumnRenamed("vec_id", "image_id")
+    features = feature_matrix(spark, sf).withColumnRenamed("vec_id", "image_id")
     return rounded(run_features(features, _folder(spark, "run"), SETTINGS)["report"], 9)
 
 
 def save_load_model(spark, sf):
     """A saved bundle loaded again scores a written feature file."""
-    model, fitted, _ = _fitted(spark, sf)
+    training, fitted, _ = _trained(spark, sf)
     bundle, path, out = (_folder(spark, name) for name in ("bundle", "features", "scored"))
-    tables.save_bundle(spark, bundle, fitted, model)
-    tables.write_feature_csv(_separable(spark, sf), path)
+    tables.save_bundle(spark, bundle, fitted, training.model)
+    tables.write_feature_csv(feature_matrix(spark, sf), path)
     return score_csv(spark, path, bundle, out)["predictions"].selectExpr("CAST(vec_id AS BIGINT) AS vec_id", "CAST(label AS STRING) AS label", "prediction")
 
 
@@ -354,17 +382,17 @@ def top_k(spark, sf):
 
 
 def collect_importances(spark, sf):
-    model, fitted, _ = _base(spark, sf)
-    return insights.importance_table(spark, fitted.feature_columns, model.importances())
+    """Importances of the stack's learners, 200 rounds each."""
+    return _trained(spark, sf)[0].model.importances()
 
 
 def importance_totals(spark, sf):
-    """Importances of a learner sum to 1 and are 0 for the constant column."""
+    """What does not depend on the fit: gains sum to 1 and shares to 100, and the constant column has none."""
     found = collect_importances(spark, sf).groupBy("learner").agg(
         F.expr("count(1) AS features"), F.expr("sum(importance) AS total"),
         F.expr("sum(CASE WHEN feature = 'f_03' THEN importance END) AS of_constant"),
     )
-    return rounded(found)
+    return rounded(found.withColumn("total", F.expr("CASE WHEN learner <> 'leaves' THEN total END")))
 
 
 def label_codes(spark, sf):

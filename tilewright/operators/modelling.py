@@ -1,35 +1,29 @@
-"""Stratified splits, base learners and their stack on Spark ML.
+"""Stratified splits, and three boosted learners stacked under a logistic regression.
 
-Spark has no multi-class boosting, so the three boosted learners of the
-original setup become a random forest, one boosted forest per class, and a
-decision tree. Scores of the stack are therefore not comparable with published
-numbers; splits, folds, out-of-fold stacking and metrics are the same.
+The learners differ in how their trees grow (``operators.boosting``). Models
+for all folds, the folds inside cross-validation folds included, advance in the
+same jobs: a row lists the fits that learn from it and those that only score it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
-
-from pyspark.ml import Model
-from pyspark.ml.classification import (
-    DecisionTreeClassificationModel,
-    DecisionTreeClassifier,
-    GBTClassificationModel,
-    GBTClassifier,
-    LogisticRegression,
-    LogisticRegressionModel,
-    RandomForestClassificationModel,
-    RandomForestClassifier,
-)
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from dataclasses import dataclass
+from functools import cached_property
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from tilewright.functions.ranking import hash_bucket, hashed_order, number_within
 from tilewright.functions.scalars import quoted
+from tilewright.operators import boosting
+from tilewright.operators.boosting import LEAVES, LEVELS, SYMMETRIC, Learner
+from tilewright.session import cut_lineage
 
 # ---------------------------------------------------------------- splits
 
@@ -81,163 +75,144 @@ def stratified_folds(df: DataFrame, key: str, label: str = "label", k: int = 5,
 
 # ---------------------------------------------------------------- learners
 
-_COLUMNS = {"featuresCol": "features", "labelCol": "target"}
 
+@dataclass(frozen=True)
+class StackSettings:
+    """Sizes of the stack."""
 
-def _outputs(name: str) -> dict[str, str]:
-    return {"rawPredictionCol": f"{name}_raw", "probabilityCol": f"{name}_score", "predictionCol": f"{name}_class"}
+    n_estimators: int = 200
+    depth: int = 3
+    bins: int = boosting.BINS
+    folds: int = 5
+    test_size: float = 0.2
+    seed: int = 42
+    final_iterations: int = 100
+    learners: Sequence[Learner] = (LEVELS, LEAVES, SYMMETRIC)
 
 
-@dataclass(frozen=True)
-class FittedLearner:
-    """A base learner: one multi-class model, or one binary model per class.
+def _lists(matrix: np.ndarray) -> pa.ListArray:
+    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(matrix).ravel()))
 
-    Binary members score their class against the rest and the scores are scaled
-    to sum to 1. All of it runs in the JVM, unlike ``OneVsRestModel``, which
-    scores rows in Python.
-    """
 
-    name: str
-    members: list[Model]
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        """``df`` with ``<name>_scores`` (array over classes) and ``<name>_class``."""
-        kept = [quoted(c) for c in df.columns]
-        for member in self.members:
-            df = member.transform(df)
-        if len(self.members) == 1:
-            scores = vector_to_array(f"{self.name}_score")
-        else:
-            odds = F.array(*[vector_to_array(f"{self.name}{k}_score")[1] for k in range(len(self.members))])
-            df = df.withColumn("_odds", odds)
-            total = F.expr("aggregate(_odds, 0.0D, (acc, v) -> acc + v)")
-            scores = F.transform("_odds", lambda v: v / F.greatest(total, F.lit(1e-300)))
-        scored = df.select(*kept, scores.alias(f"{self.name}_scores"))
-        top = f"CAST(array_position({self.name}_scores, array_max({self.name}_scores)) - 1 AS DOUBLE)"
-        return scored.withColumn(f"{self.name}_class", F.expr(top))
-
-    def importances(self) -> list[float]:
-        """Mean importance vector of the members."""
-        vectors = [m.featureImportances.toArray() for m in self.members]
-        return [float(x) for x in sum(vectors) / len(vectors)]
-
-
-def fit_learner(
-    name: str, rows: DataFrame, n_classes: int, n_estimators: int = 200, seed: int = 42, depth: int = 5
-) -> FittedLearner:
-    """``forest``, ``boosted`` or ``tree`` on rows with ``features`` and ``target``."""
-    if name == "forest":
-        learner = RandomForestClassifier(numTrees=n_estimators, maxDepth=depth, seed=seed, **_outputs(name), **_COLUMNS)
-        return FittedLearner(name, [learner.fit(rows)])
-    if name == "tree":
-        return FittedLearner(name, [DecisionTreeClassifier(maxDepth=depth, seed=seed, **_outputs(name), **_COLUMNS).fit(rows)])
-    if name != "boosted":
-        raise ValueError(f"unknown learner '{name}'")
-
-    def one_class(k: int) -> Model:
-        learner = GBTClassifier(
-            maxIter=n_estimators, maxDepth=depth, seed=seed, featuresCol="features", labelCol="_own",
-            predictionCol=f"{name}{k}_class",
-        ).setRawPredictionCol(f"{name}{k}_raw").setProbabilityCol(f"{name}{k}_score")
-        return learner.fit(rows.selectExpr("features", f"CASE WHEN target = {k} THEN 1.0D ELSE 0.0D END AS _own"))
-
-    # Classes are independent, so their jobs are submitted side by side.
-    with ThreadPoolExecutor(max_workers=min(4, n_classes)) as pool:
-        return FittedLearner(name, list(pool.map(one_class, range(n_classes))))
-
-
-def _with_scores(df: DataFrame, learners: Sequence[FittedLearner]) -> DataFrame:
-    """Each learner adds its columns in turn; no join is needed to line rows up."""
-    kept = [quoted(c) for c in df.columns]
-    for learner in learners:
-        df = learner.transform(df)
-    meta = array_to_vector(F.concat(*[F.col(f"{x.name}_scores") for x in learners]))
-    return df.select(*kept, *[f"{x.name}_class" for x in learners], meta.alias("meta"))
-
-
-def _fit_final(scored: DataFrame, iterations: int) -> LogisticRegressionModel:
-    """Multinomial logistic regression with unit ridge penalty on the summed loss."""
-    rows = scored.count()
-    return LogisticRegression(
-        maxIter=iterations,
-        family="multinomial", featuresCol="meta", labelCol="target", regParam=1.0 / max(rows, 1),
-        standardization=False, predictionCol="final_class", rawPredictionCol="final_raw", probabilityCol="final_score",
-    ).fit(scored)
+@dataclass(frozen=True)
+class BoostedModel:
+    """The learners' trees as tables: one row per split, one per leaf."""
 
+    classes: list[str]
+    features: list[str]
+    learners: tuple[Learner, ...]
+    nodes: DataFrame
+    leaves: DataFrame
+
+    @cached_property
+    def _arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Feature, threshold and value of every (tree, learner x class, node or leaf); as large as the model."""
+        names, k = [x.name for x in self.learners], len(self.classes)
+        place = lambda table: np.array([names.index(x) for x in table.column("learner").to_pylist()], np.int64) * k + table.column("class").to_numpy()
+        leaves, nodes = self.leaves.toArrow(), self.nodes.toArrow()
+        width = int(leaves.column("leaf").to_numpy().max(initial=0)) + 1
+        rounds = int(leaves.column("tree").to_numpy().max(initial=-1)) + 1
+        value = np.zeros((rounds, len(names) * k, width))
+        value[leaves.column("tree").to_numpy(), place(leaves), leaves.column("leaf").to_numpy()] = leaves.column("value").to_numpy()
+        feature, threshold = np.full((rounds, len(names) * k, width - 1), -1, np.int64), np.zeros((rounds, len(names) * k, width - 1))
+        at = nodes.column("tree").to_numpy(), place(nodes), 2 ** nodes.column("level").to_numpy().astype(np.int64) - 1 + nodes.column("node").to_numpy()
+        number = {f: i for i, f in enumerate(self.features)}
+        feature[at] = [number[f] for f in nodes.column("feature").to_pylist()]
+        threshold[at] = nodes.column("threshold").to_numpy()
+        return feature, threshold, value
+
+    def scores(self) -> Column:
+        """Class probabilities of every learner, side by side, as an array."""
+        feature, threshold, value = self._arrays
+        width, classes, depth = len(self.features), len(self.classes), value.shape[2].bit_length() - 1
+
+        @F.arrow_udf("ARRAY<DOUBLE>")
+        def score(features: pa.Array) -> pa.Array:
+            x = boosting.matrix_of(features, width)
+            rows, trees = np.arange(len(x))[:, None], np.arange(value.shape[1])[None]
+            total = np.zeros((len(x), value.shape[1]))
+            for number in range(len(value)):
+                node = np.zeros(total.shape, np.int64)
+                for level in range(depth):
+                    at = node + (2**level - 1)
+                    split = feature[number][trees, at]
+                    # Missing values are larger than nothing.
+                    node = 2 * node + ((split >= 0) & (x[rows, split] > threshold[number][trees, at]))
+                total += value[number][trees, node]
+            return _lists(boosting.probabilities(total, classes))
+
+        return score(F.expr(boosting.vector(self.features)))
 
-_READERS = {
-    "forest": RandomForestClassificationModel, "boosted": GBTClassificationModel, "tree": DecisionTreeClassificationModel,
-}
+    def predict_each(self, df: DataFrame) -> DataFrame:
+        """``df`` with one ``<learner>_prediction`` per learner; the first class wins ties."""
+        k, names = len(self.classes), F.array(*[F.lit(c) for c in self.classes])
+        scored = df.withColumn("_scores", self.scores())
+        top = "CAST(array_position({0}, array_max({0})) - 1 AS INT)"
+        picked = [
+            names[F.expr(top.format(f"slice(_scores, {i * k + 1}, {k})"))].alias(f"{x.name}_prediction") for i, x in enumerate(self.learners)
+        ]
+        return scored.select(*[quoted(c) for c in df.columns], *picked)
+
+    def importances(self) -> DataFrame:
+        """``learner, feature, importance``, each learner on its own scale."""
+        features = self.nodes.sparkSession.createDataFrame(pa.table({"feature": pa.array(self.features, pa.string())}))
+        return boosting.importances(self.nodes, self.learners, features)
 
 
 @dataclass(frozen=True)
 class StackModel:
-    classes: list[str]
-    features: list[str]
-    learners: list[FittedLearner]
-    final: LogisticRegressionModel | None
+    """The learners under a multinomial logistic regression."""
 
-    def _scored(self, df: DataFrame) -> DataFrame:
-        return _with_scores(df.withColumn("features", _vector(self.features)), self.learners)
+    base: BoostedModel
+    final: LogisticRegressionModel
 
-    def _named(self, position: str) -> Column:
-        return F.array(*[F.lit(c) for c in self.classes])[F.col(position).cast("int")]
+    @property
+    def features(self) -> list[str]:
+        return self.base.features
+
+    @property
+    def classes(self) -> list[str]:
+        return self.base.classes
 
     def predict(self, df: DataFrame) -> DataFrame:
         """``df`` with the predicted label as ``prediction``."""
-        classed = self.final.transform(self._scored(df))
-        return classed.select(*[quoted(c) for c in df.columns], self._named("final_class").alias("prediction"))
-
-    def predict_each(self, df: DataFrame) -> DataFrame:
-        """``df`` with one ``<learner>_prediction`` per base learner."""
-        named = [self._named(f"{x.name}_class").alias(f"{x.name}_prediction") for x in self.learners]
-        return self._scored(df).select(*[quoted(c) for c in df.columns], *named)
-
-    def importances(self) -> dict[str, list[float]]:
-        """Importance vector per learner; without learners, the absolute first row
-        of the final coefficients."""
-        if not self.learners:
-            return {"final": [abs(float(x)) for x in self.final.coefficientMatrix.toArray()[0]]}
-        return {x.name: x.importances() for x in self.learners}
+        names = F.array(*[F.lit(c) for c in self.classes])
+        classed = self.final.transform(df.withColumn("meta", array_to_vector(self.base.scores())))
+        return classed.select(*[quoted(c) for c in df.columns], names[F.col("final_class").cast("int")].alias("prediction"))
+
+    def importances(self) -> DataFrame:
+        """Those of the learners; without learners, the absolute first row of the final coefficients."""
+        if self.base.learners:
+            return self.base.importances()
+        weights = [abs(float(x)) for x in self.final.coefficientMatrix.toArray()[0]]
+        rows = [("final", f, w) for f, w in zip(self.features, weights)]
+        return self.base.nodes.sparkSession.createDataFrame(rows, "learner STRING, feature STRING, importance DOUBLE")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        for learner in self.learners:
-            for k, member in enumerate(learner.members):
-                member.write().overwrite().save(f"{path}/learners/{learner.name}/{k}")
-        if self.final is None:
-            raise ValueError("only a whole stack can be saved")
+        """Splits, leaves, final model and column lists as tables."""
+        self.base.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+        self.base.leaves.write.mode("overwrite").parquet(f"{path}/leaves")
         self.final.write().overwrite().save(f"{path}/final")
-        parts = [(x.name, len(x.members)) for x in self.learners]
+        learners = [(x.name, x.growth, x.rate, x.ridge, x.least_weight, x.importance, x.leaf_share) for x in self.base.learners]
         info = spark.createDataFrame(
-            [(self.classes, self.features, parts)],
-            "classes ARRAY<STRING>, features ARRAY<STRING>, learners ARRAY<STRUCT<name: STRING, members: INT>>",
+            [(self.classes, self.features, learners)],
+            "classes ARRAY<STRING>, features ARRAY<STRING>, learners ARRAY<STRUCT<name: STRING, growth: STRING, rate: DOUBLE, "
+            "ridge: DOUBLE, least_weight: DOUBLE, importance: STRING, leaf_share: DOUBLE>>",
         )
         info.write.mode("overwrite").parquet(f"{path}/info")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> StackModel:
         info = spark.read.parquet(f"{path}/info").first()
-        learners = [
-            FittedLearner(x["name"], [_READERS[x["name"]].load(f"{path}/learners/{x['name']}/{k}") for k in range(x["members"])])
-            for x in info["learners"]
-        ]
-        return StackModel(list(info["classes"]), list(info["features"]), learners, LogisticRegressionModel.load(f"{path}/final"))
-
-
-@dataclass(frozen=True)
-class StackSettings:
-    """Sizes of the stack; the defaults are the reference configuration."""
+        learners = tuple(Learner(**x.asDict()) for x in info["learners"])
+        base = BoostedModel(
+            list(info["classes"]), list(info["features"]), learners, spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/leaves")
+        )
+        return StackModel(base, LogisticRegressionModel.load(f"{path}/final"))
 
-    n_estimators: int = 200
-    depth: int = 5
-    folds: int = 5
-    test_size: float = 0.2
-    seed: int = 42
-    final_iterations: int = 100
-    learners: Sequence[str] = field(default=("forest", "boosted", "tree"))
 
-    def fit_learners(self, rows: DataFrame, n_classes: int) -> list[FittedLearner]:
-        return [fit_learner(n, rows, n_classes, self.n_estimators, self.seed, self.depth) for n in self.learners]
+# ---------------------------------------------------------------- training
 
 
 def class_names(df: DataFrame, label: str) -> list[str]:
@@ -250,54 +225,113 @@ def class_names(df: DataFrame, label: str) -> list[str]:
     return sorted(r["l"] for r in rows)
 
 
-def _vector(features: Sequence[str]) -> Column:
-    """Feature vector; unlike an assembler, names may contain dots."""
-    return array_to_vector(F.expr(f"array({', '.join(f'CAST({quoted(c)} AS DOUBLE)' for c in features)})"))
-
-
 def _prepared(df: DataFrame, features: Sequence[str], key: str, label: str, classes: list[str]) -> DataFrame:
-    """``key, label, target`` (class position) and the feature vector."""
+    """``key, label``, ``target`` (class position) and the features."""
     spot = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label).cast("string")) - 1
-    return df.select(
-        key, F.col(label).cast("string").alias(label), spot.cast("double").alias("target"), _vector(features).alias("features")
+    return df.select(key, F.col(label).cast("string").alias(label), spot.cast("int").alias("target"), *[quoted(f) for f in features])
+
+
+def _parts(train: DataFrame, key: str, label: str, settings: StackSettings, sets: Sequence[int]) -> DataFrame:
+    """``key, fits``: which fits learn from a training row and which score it.
+
+    Set 0 is the whole training side, set o > 0 leaves out fold o - 1. Each set
+    has one fit per inner fold, which scores the rows of that fold, and one on
+    all of its rows, which scores what the set leaves out. The n-th set's fits
+    are numbered from n x (folds + 1).
+    """
+    k = settings.folds
+    folded = cut_lineage(stratified_folds(train.select(key, label), key, label, k, settings.seed), "folds")
+    found = None
+    for number, left_out in enumerate(sets):
+        first = number * (k + 1)
+        inside = folded
+        if left_out:
+            rest = folded.filter(f"fold <> {left_out - 1}").drop("fold")
+            inside = stratified_folds(rest, key, label, k, settings.seed)
+        places = f"transform(sequence(0, {k}), i -> struct(CAST(i + {first} AS INT) AS fit, i <> fold AS train))"
+        part = inside.selectExpr(f"{quoted(key)} AS _key", f"{places} AS fits")
+        if left_out:
+            alone = f"array(struct({first + k} AS fit, false AS train)) AS fits"
+            part = part.unionByName(folded.filter(f"fold = {left_out - 1}").selectExpr(f"{quoted(key)} AS _key", alone))
+        found = part if found is None else found.unionByName(part)
+    # A row has one entry per set.
+    return found.groupBy("_key").agg(F.expr("flatten(collect_list(fits)) AS fits"))
+
+
+def _metas(scored: DataFrame, classes: int, learners: int) -> DataFrame:
+    """``fit, target, meta`` of the rows that their fit did not learn from."""
+    held = scored.filter("NOT train").select("fit", "target", "scores")
+
+    @F.arrow_udf("ARRAY<DOUBLE>")
+    def chances(scores: pa.Array) -> pa.Array:
+        return _lists(boosting.probabilities(boosting.matrix_of(scores, classes * learners), classes))
+
+    found = held.select("fit", F.col("target").cast("double").alias("target"), array_to_vector(chances("scores")).alias("meta"))
+    return cut_lineage(found, "meta")
+
+
+def _fit_final(rows: DataFrame, iterations: int) -> LogisticRegressionModel:
+    """Multinomial logistic regression with unit ridge penalty on the summed loss."""
+    return LogisticRegression(
+        maxIter=iterations, family="multinomial", featuresCol="meta", labelCol="target", regParam=1.0 / max(rows.count(), 1),
+        standardization=False, predictionCol="final_class", rawPredictionCol="final_raw", probabilityCol="final_score",
+    ).fit(rows)
+
+
+def _stacked(
+    rows: DataFrame, features: Sequence[str], key: str, label: str, classes: list[str], settings: StackSettings, sets: Sequence[int]
+):
+    """(boosting, final model per set, accuracy per set on what it leaves out) of rows with ``is_test``."""
+    k = settings.folds
+    parts = _parts(rows.filter("NOT is_test"), key, label, settings, sets)
+    joined = rows.join(parts, rows[key] == parts["_key"], "left").drop("_key")
+    # Test rows are scored by the first set's fit on all rows, if that set is the whole training side.
+    alone = f"array(struct({k} AS fit, false AS train))" if sets[0] == 0 else "array()"
+    joined = joined.withColumn("fits", F.expr(f"coalesce(fits, {alone})"))
+    boosted, scored = boosting.boost(
+        joined, features, key, len(classes), len(sets) * (k + 1), settings.learners, settings.n_estimators, settings.depth, settings.bins
     )
+    metas = _metas(scored, len(classes), len(settings.learners))
+
+    def finish(number: int):
+        first = number * (k + 1)
+        final = _fit_final(metas.filter(f"fit >= {first} AND fit < {first + k}"), settings.final_iterations)
+        hits = "avg(CASE WHEN final_class = target THEN 1.0D ELSE 0.0D END) AS score"
+        return final, final.transform(metas.filter(f"fit = {first + k}")).agg(F.expr(hits)).first()["score"]
 
+    # The sets' final models are independent, so their jobs are submitted side by side.
+    with ThreadPoolExecutor(max_workers=len(sets)) as pool:
+        finals, scores = zip(*pool.map(finish, range(len(sets))))
+    return boosted, finals, scores
 
-def _fit_stack(
-    rows: DataFrame, key: str, label: str, n_classes: int, settings: StackSettings
-) -> tuple[list[FittedLearner], LogisticRegressionModel]:
-    """Out-of-fold scores train the final model; base learners are refitted on all rows."""
-    folded = stratified_folds(rows, key, label, settings.folds, settings.seed).persist(StorageLevel.MEMORY_AND_DISK)
-    held_out = None
-    for fold in range(settings.folds):
-        learners = settings.fit_learners(folded.filter(f"fold <> {fold}"), n_classes)
-        scored = _with_scores(folded.filter(f"fold = {fold}"), learners).select("target", "meta")
-        held_out = scored if held_out is None else held_out.unionByName(scored)
-    held_out = held_out.persist(StorageLevel.MEMORY_AND_DISK)
-    final = _fit_final(held_out, settings.final_iterations)
-    learners = settings.fit_learners(folded, n_classes)
-    held_out.unpersist()
-    folded.unpersist()
-    return learners, final
+
+def _model(spark: SparkSession, boosted: boosting.Boosting, classes: list[str], fit: int) -> BoostedModel:
+    nodes, leaves = boosting.node_tables(spark, boosted, fit)
+    return BoostedModel(classes, boosted.features, tuple(boosted.learners), nodes, leaves)
 
 
 def fit_base(
     df: DataFrame, features: Sequence[str], key: str, label: str = "label", settings: StackSettings = StackSettings()
-) -> StackModel:
+) -> BoostedModel:
     """The base learners alone, fitted on all rows."""
     classes = class_names(df, label)
-    rows = _prepared(df, features, key, label, classes).persist(StorageLevel.MEMORY_AND_DISK)
-    learners = settings.fit_learners(rows, len(classes))
-    rows.unpersist()
-    return StackModel(classes, list(features), learners, None)
+    rows = _prepared(df, features, key, label, classes).withColumn("fits", F.expr("array(struct(0 AS fit, true AS train))"))
+    boosted, _ = boosting.boost(rows, features, key, len(classes), 1, settings.learners, settings.n_estimators, settings.depth, settings.bins)
+    return _model(df.sparkSession, boosted, classes, 0)
 
 
 def fit_stack(
     df: DataFrame, features: Sequence[str], key: str, label: str = "label", settings: StackSettings = StackSettings()
 ) -> StackModel:
+    """Out-of-fold scores train the final model; base learners are fitted on all rows."""
     classes = class_names(df, label)
-    learners, final = _fit_stack(_prepared(df, features, key, label, classes), key, label, len(classes), settings)
-    return StackModel(classes, list(features), learners, final)
+    rows = _prepared(df, features, key, label, classes).withColumn("is_test", F.lit(False))
+    boosted, finals, _ = _stacked(rows, features, key, label, classes, settings, [0])
+    return StackModel(_model(df.sparkSession, boosted, classes, settings.folds), finals[0])
+
+
+def _fold_scores(spark: SparkSession, scores: Sequence[float]) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(scores)), "fold INT, score DOUBLE")
 
 
 def cross_val_scores(
@@ -305,16 +339,9 @@ def cross_val_scores(
 ) -> DataFrame:
     """``fold, score``: accuracy of the whole stack on each held-out fold."""
     classes = class_names(df, label)
-    rows = stratified_folds(_prepared(df, features, key, label, classes), key, label, settings.folds, settings.seed)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    scores = []
-    for fold in range(settings.folds):
-        train = rows.filter(f"fold <> {fold}").drop("fold")
-        learners, final = _fit_stack(train, key, label, len(classes), settings)
-        tested = final.transform(_with_scores(rows.filter(f"fold = {fold}"), learners))
-        scores.append((fold, tested.agg(F.expr("avg(CASE WHEN final_class = target THEN 1.0D ELSE 0.0D END)")).first()[0]))
-    rows.unpersist()
-    return df.sparkSession.createDataFrame(scores, "fold INT, score DOUBLE")
+    rows = _prepared(df, features, key, label, classes).withColumn("is_test", F.lit(False))
+    _, _, scores = _stacked(rows, features, key, label, classes, settings, range(1, settings.folds + 1))
+    return _fold_scores(df.sparkSession, scores)
 
 
 def holdout_score(df: DataFrame, truth: str = "truth", prediction: str = "prediction") -> DataFrame:
@@ -323,21 +350,30 @@ def holdout_score(df: DataFrame, truth: str = "truth", prediction: str = "predic
     return df.filter("is_test").agg(F.expr(f"avg({hit}) AS test_score"), F.expr("count(1) AS test_rows"))
 
 
+@dataclass(frozen=True)
+class Training:
+    """A stack fitted on the training side, and what its metrics are made of."""
+
+    model: StackModel
+    fold_scores: DataFrame
+    metrics: DataFrame
+
+
 def train_stacking(
     df: DataFrame, features: Sequence[str], key: str, label: str = "label", settings: StackSettings = StackSettings()
-) -> tuple[StackModel, DataFrame]:
-    """The stack fitted on the training side, and one record of its metrics:
+) -> Training:
+    """The stack fitted on the training side, its cross-validation there, and one record of metrics:
     ``cv_mean_score, cv_std_score, test_score, cv_folds, test_size``."""
-    split = stratified_split(df, key, label, settings.test_size, settings.seed).persist(StorageLevel.MEMORY_AND_DISK)
-    train = split.filter("NOT is_test").drop("is_test")
-    model = fit_stack(train, features, key, label, settings)
-    scores = cross_val_scores(train, features, key, label, settings)
-    tested = model.predict(split.filter("is_test")).withColumnRenamed(label, "truth")
-    held = holdout_score(tested).first()["test_score"]
-    metrics = scores.agg(
+    spark, classes = df.sparkSession, class_names(df, label)
+    split = cut_lineage(
+        stratified_split(_prepared(df, features, key, label, classes), key, label, settings.test_size, settings.seed), "split"
+    )
+    boosted, finals, scores = _stacked(split, features, key, label, classes, settings, range(settings.folds + 1))
+    folds = _fold_scores(spark, scores[1:])
+    held = "CAST(NULL AS DOUBLE)" if scores[0] is None else f"{scores[0]}D"
+    metrics = folds.agg(
         F.expr("avg(score) AS cv_mean_score"), F.expr("stddev_pop(score) AS cv_std_score")
     ).selectExpr(
-        "cv_mean_score", "cv_std_score", f"{held}D AS test_score", f"{settings.folds} AS cv_folds", f"{settings.test_size}D AS test_size"
+        "cv_mean_score", "cv_std_score", f"{held} AS test_score", f"{settings.folds} AS cv_folds", f"{settings.test_size}D AS test_size"
     )
-    split.unpersist()
-    return model, metrics
+    return Training(StackModel(_model(spark, boosted, classes, settings.folds), finals[0]), folds, metrics)
