@@ -43,6 +43,8 @@ _SEEKABLE = 0x8F92EAB1
 _FOOTER, _ENTRY = "<IBI", "<qqBQ"
 #: Words whose ids a task remembers; beyond it the memory starts anew.
 REMEMBERED = 400_000
+#: Characters of a text, or of a block of texts, that are encoded at a time.
+PIECE = 1 << 19
 
 
 class Encoder:
@@ -50,12 +52,17 @@ class Encoder:
 
     Splitting a text at blanks and line ends never changes its ids here, since
     the tokenizer treats those as separators and joins nothing across them.
-    Most words of a text were met before, so only new ones go to the library:
-    words of letters all together, cut again at the tokens that end a word;
-    words followed by ASCII marks as two pieces; everything else one by one.
+    Most words of a text were met before, so only new ones go to the library,
+    those of a block of texts at once: words of letters together, cut again at
+    the tokens that end a word; words of letters before ASCII marks as two
+    pieces, if the normalised letters are still letters (a Turkish capital
+    dotted I is not: its dot joins the marks); everything else one by one.
+
+    A tokenizer for which this does not hold is refused.
     """
 
     _MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
+    _PROBES = ("Ab cd", "ab\ncd", "Word, word", "word?! Été.", "x 1 'y' -z-", "straße ÀÉ; \u00df")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -66,51 +73,71 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        if not self.ends.any() or any(self.encode(x) != self._plain(x) for x in self._PROBES):
+            raise ValueError(f"{path} is not a tokenizer of separate lower-cased words with ends </w>")
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _normal(self, letters: str) -> bool:
+        """Whether letters are letters to the tokenizer, too."""
+        return letters.isascii() or self.tokenizer.normalizer.normalize_str(letters).isalpha()
+
     def _learn(self, words: set[str]) -> None:
-        known, built, letters = self.known, [], set()
-        for word in words:
-            first, marks = word, ""
-            if not word.isalpha() and (m := self._MARKED.fullmatch(word)):
-                first, marks = m.groups()
-            if not first.isalpha():
+        known, built = self.known, []
+        plain = [word for word in words if word.isalpha()]
+        letters = {word.lower() if word.isascii() else word for word in plain}
+        for word in words.difference(plain):
+            m = self._MARKED.fullmatch(word)
+            if not m or not self._normal(m[1]):
                 known[word] = self._plain(word)
                 continue
+            first, marks = m.groups()
             # Lower case comes first in the tokenizer; for ASCII it is the same in Python.
             base = first.lower() if first.isascii() else first
-            if base not in known:
-                letters.add(base)
+            letters.add(base)
             if marks not in known:
                 known[marks] = self._plain(marks)
-            if base != word:
-                built.append((word, base, marks))
-        letters = sorted(letters)
-        for at in range(0, len(letters), 500):
-            part = letters[at : at + 500]
+            built.append((word, base, marks))
+        letters = sorted(letters.difference(known))
+        for at in range(0, len(letters), 1000):
+            part = letters[at : at + 1000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(cuts) == len(part) and cuts[-1] == 4 * len(ids):
+            if len(cuts) == len(part) and cuts[-1] == 4 * len(ids) and all(map(self._normal, part)):
                 data = ids.tobytes()
                 known.update(zip(part, [data[x:y] for x, y in zip([0, *cuts], cuts)]))
             else:
                 # Some word is more than one piece to the tokenizer.
                 known.update((word, self._plain(word)) for word in part)
         known.update((word, known[base] + known[marks]) for word, base, marks in built)
+        known.update((word, known[word.lower()]) for word in plain if word not in known)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian u32."""
+        split = [text.replace("\n", " ").split(" ") for text in texts]
+        if len(self.known) > REMEMBERED:
+            self.known = {"": b""}
+        missing = set().union(*split).difference(self.known)
+        if missing:
+            self._learn(missing)
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
 
     def encode(self, text: str) -> bytes:
-        """Ids of the text as little-endian u32."""
-        known, words = self.known, text.replace("\n", " ").split(" ")
-        missing = [word for word in words if word not in known]
-        if missing:
-            if len(known) > REMEMBERED:
-                known.clear()
-                known[""] = b""
-                missing = words
-            self._learn(set(missing) - {""})
-        return b"".join(map(known.__getitem__, words))
+        """Ids of one text, which may be long: it is cut at blanks."""
+        out, at = [], 0
+        while at < len(text):
+            end = at + PIECE
+            if end < len(text):
+                cut = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
+                if cut < at:
+                    # No blank in reach: the word is taken whole.
+                    found = [x for x in (text.find(" ", end), text.find("\n", end)) if x >= 0]
+                    cut = min(found, default=len(text))
+                end = cut + 1
+            out += self.encode_all([text[at:end]])
+            at = end
+        return b"".join(out)
 
 
 def _opened(uri: str):
@@ -249,11 +276,19 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id
                 where.create_dir(root, recursive=True)
                 name = f"{root}/{part:08d}-{uuid.uuid4().hex}.tok.zst"
                 writer = FrameWriter(where.open_output_stream(name, compression=None), frame_bytes)
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                tokens = encoder.encode(text) + end
-                writer.add(doc_id, tokens)
-                docs_in += 1
-                tokens_in += len(tokens) // 4
+            ids, texts, at = batch.column("doc_id").to_pylist(), batch.column("text"), 0
+            while at < len(ids):
+                # One text after another, so that a batch is never held as Python objects.
+                block, held = [], 0
+                while at + len(block) < len(ids) and held < PIECE:
+                    block.append(texts[at + len(block)].as_py())
+                    held += len(block[-1])
+                last = [encoder.encode(block.pop())] if held >= PIECE else []
+                for doc_id, tokens in zip(ids[at:], encoder.encode_all(block) + last):
+                    writer.add(doc_id, tokens + end)
+                    docs_in += 1
+                    tokens_in += len(tokens) // 4 + 1
+                at += len(block) + len(last)
         if writer is not None:
             writer.close()
             yield [part], [f"{folder}/{name.rsplit('/', 1)[1]}"], [where.get_file_info(name).size], [docs_in], [tokens_in]
