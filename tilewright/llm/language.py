@@ -8,7 +8,8 @@ stands from its place in the profile; absent n-grams count as the whole
 profile's length. The nearest profile wins, ties going to the smaller name.
 
 Null texts and texts without a letter are ``und`` with score 0. A null
-``lang`` teaches nothing. Rows are judged one by one, repeated or not.
+``lang`` teaches nothing. Rows are judged one by one, repeated or not. Columns
+named ``lang_pred`` or ``score`` are replaced; ``_language`` may not be one.
 """
 
 from __future__ import annotations
@@ -26,31 +27,49 @@ PROFILE = 300
 #: About so many labelled documents per language teach the profiles.
 SAMPLE = 20_000
 UNDETERMINED = "und"
+#: Characters whose n-grams are laid out at once.
+STRETCH = 1 << 18
 _OTHER = re.compile(r"[\W\d_]+")
 _BITS = 21
 
 
-def codes(text: str) -> list[np.ndarray]:
-    """Packed n-grams of every order (order in the top bits, one code point per 20 bits)."""
-    points = np.frombuffer(_OTHER.sub(" ", f" {text.lower()} ").encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
-    out, packed = [], np.zeros(len(points), np.int64)
-    for n in range(1, max(ORDERS) + 1):
-        packed = packed[: len(points) - n + 1]
-        if not len(packed):
-            break
-        packed = (packed << _BITS) | points[n - 1 :]
-        if n in ORDERS:
-            # A lone blank says nothing about a language.
-            out.append(packed[packed != 32] if n == 1 else packed)
-    return out
+def codes(text: str):
+    """Packed n-grams (order in the top bits, one code point per 20 bits), a stretch of the text at a time."""
+    cleaned = _OTHER.sub(" ", f" {text.lower()} ")
+    longest = max(ORDERS)
+    for at in range(0, len(cleaned), STRETCH):
+        # N-grams that begin in this stretch; the longest reach into the next.
+        points = np.frombuffer(cleaned[at : at + STRETCH + longest - 1].encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+        out, packed = [], np.zeros(len(points), np.int64)
+        for n in range(1, longest + 1):
+            packed = packed[: len(points) - n + 1]
+            if not len(packed):
+                break
+            packed = (packed << _BITS) | points[n - 1 :]
+            if n in ORDERS:
+                own = packed[:STRETCH]
+                # A lone blank says nothing about a language.
+                out.append(own[own != 32] if n == 1 else own)
+        yield np.concatenate(out)
+
+
+def tallied(parts) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values of several arrays, ascending, and how often each occurs."""
+    values, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for part in parts:
+        found, number = np.unique(part, return_counts=True)
+        if not len(values):
+            values, counts = found, number
+            continue
+        both, place = np.unique(np.concatenate([values, found]), return_inverse=True)
+        counts = np.bincount(place, weights=np.concatenate([counts, number]), minlength=len(both)).astype(np.int64)
+        values = both
+    return values, counts
 
 
 def ranked(text: str, size: int = PROFILE) -> np.ndarray:
     """The text's n-grams by falling count, equal counts by code; at most ``size``."""
-    grams = np.concatenate(codes(text))
-    if not len(grams):
-        return grams
-    values, counts = np.unique(grams, return_counts=True)
+    values, counts = tallied(codes(text))
     if len(values) > size:
         least = np.partition(counts, len(counts) - size)[len(counts) - size]
         keep = counts >= least
@@ -59,19 +78,22 @@ def ranked(text: str, size: int = PROFILE) -> np.ndarray:
 
 
 def _counted(batches):
-    """Per batch and language: how often each n-gram occurs."""
+    """How often each n-gram occurs, per language and about two million characters."""
+    held: dict[str, list[np.ndarray]] = {}
+
+    def settled(name):
+        values, counts = np.unique(np.concatenate(held.pop(name)), return_counts=True)
+        return [name] * len(values), values, counts
+
     for batch in batches:
-        names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for name in sorted(set(names)):
-            parts, held = [], 0
-            own = [t for n, t in zip(names, texts) if n == name]
-            for i, text in enumerate(own):
-                parts += codes(text)
-                held += len(text)
-                if held > 2_000_000 or i == len(own) - 1:
-                    values, counts = np.unique(np.concatenate(parts), return_counts=True)
-                    yield [name] * len(values), values, counts
-                    parts, held = [], 0
+        texts = batch.column(1)
+        for i, name in enumerate(batch.column(0).to_pylist()):
+            for part in codes(texts[i].as_py()):
+                held.setdefault(name, []).append(part)
+                if sum(map(len, held[name])) > 6_000_000:
+                    yield settled(name)
+    for name in list(held):
+        yield settled(name)
 
 
 def learn(examples: DataFrame, size: int = PROFILE, sample: int = SAMPLE) -> dict[str, np.ndarray]:
@@ -117,7 +139,9 @@ def identified(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PRO
         import pyarrow as pa
 
         langs, scores = [], []
-        for text in texts.to_pylist():
+        # One text after another, so that a batch is never held as Python objects.
+        for i in range(len(texts)):
+            text = texts[i].as_py()
             if not names or text is None:
                 langs.append(UNDETERMINED)
                 scores.append(0.0)
@@ -129,5 +153,6 @@ def identified(docs: DataFrame, profiles: dict[str, np.ndarray], size: int = PRO
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     # Letters are judged on the JVM; only texts that have one reach Python as text.
-    lettered = docs.withColumn("_l", judge(F.expr(r"CASE WHEN text RLIKE '\\p{L}' THEN text END")))
-    return lettered.selectExpr(*[f"`{c}`" for c in docs.columns], "_l.lang AS lang_pred", "_l.score AS score")
+    columns = [f"`{c}`" for c in docs.columns if c not in ("lang_pred", "score")]
+    lettered = docs.select(*columns, judge(F.expr(r"CASE WHEN text RLIKE '\\p{L}' THEN text END")).alias("_language"))
+    return lettered.selectExpr(*columns, "_language.lang AS lang_pred", "_language.score AS score")
