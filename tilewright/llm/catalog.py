@@ -11,7 +11,7 @@ from tilewright.llm.dart_minhash import near_classes
 from tilewright.llm.decontaminate import contamination, judged
 from tilewright.llm.grace_dedup import exact_duplicates
 from tilewright.llm.language import identified, learn
-from tilewright.llm.mixture import mixed
+from tilewright.llm.mixture import by_position, mixed
 from tilewright.llm.neighbours import nearest
 from tilewright.llm.resample import drawn
 from tilewright.llm.spelling import variants
@@ -53,8 +53,8 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document."""
-    mix = mixed(table(spark, sf_dir, "documents"))
-    return mix.selectExpr("doc_id", "size", "source_size", "target", "size * takes AS taken")
+    mix = by_position(mixed(table(spark, sf_dir, "documents")))
+    return mix.selectExpr("doc_id", "size", "source_size", "target", "size * size(times) AS taken", "round(train_at, 9) AS train_at")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

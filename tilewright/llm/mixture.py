@@ -6,9 +6,10 @@ tilt running from +0.5 for the first source to -0.5 for the last. Integrating
 the schedule gives the words demanded of the source up to t,
 ``target * ((1 + tilt) * t - tilt * t * t)``; inverting it gives the time at
 which the source's running word count is reached. A source's documents follow
-each other in a hashed order, as often as its target asks; a repeat of a
-document is taken if the middle of its words lies before the target. Range
-sorting the repeats by their times gives the training order.
+each other in a hashed order, repeat after repeat; a repeat's training position
+is the time at which the demand reaches the middle of its words, and a repeat
+that no time reaches is not taken. Range sorting by position gives the training
+order.
 
 Sizes are numbers of runs of characters other than blanks and U+0009 to U+000D.
 Null text has size 0; a null source is a source of its own, the last. Repeated
@@ -20,13 +21,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.shared import written
+from tilewright.llm.shared import hinted, written
 
 WEIGHTS = (5, 2, 1)
 #: Words in the mix and most repeats, in units of all words and of a source's words.
 SHARE = (3, 2)
 REPEATS = 2
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -95,26 +96,51 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int,
     counted = placed.withColumn("inside", F.expr(inside))
     on = counted["source"].eqNullSafe(shifts["_source"]) & (counted["bucket"] == shifts["_bucket"])
     tilt = "(CASE WHEN n_sources > 1 THEN 0.5D - place / (n_sources - 1) ELSE 0D END)"
+    # The share of the source's demand that is met at the middle of the repeat; beyond 1 no time meets it.
     at = f"((inside + shift + size / 2 + e * source_size) / target)"
     # Inverse of (1 + a) t - a t^2, written so that a = 0 needs no case of its own.
-    time = f"(2 * {at} / ((1 + {tilt}) + sqrt((1 + {tilt}) * (1 + {tilt}) - 4 * {tilt} * {at})))"
-    return counted.join(shifts, on).withColumn(
-        "takes", F.expr(f"size(filter(sequence(0, {repeats - 1}), e -> size > 0 AND inside + shift + size / 2 + e * source_size < target))")
-    ).withColumn(
-        "times", F.expr(f"transform(filter(sequence(0, {repeats - 1}), e -> e < takes), e -> {time})")
-    ).select("doc_id", "source", "key", "size", "source_size", "target", "takes", "times")
+    time = f"2 * {at} / ((1 + {tilt}) + sqrt((1 + {tilt}) * (1 + {tilt}) - 4 * {tilt} * {at}))"
+    positions = f"filter(transform(sequence(0, {repeats - 1}), e -> CASE WHEN size > 0 AND {at} < 1 THEN {time} END), t -> t IS NOT NULL)"
+    placed = counted.join(shifts, on).withColumn("times", F.expr(positions)).withColumn("takes", F.expr("size(times)"))
+    return placed.select("doc_id", "source", "key", "size", "source_size", "target", "takes", "times")
+
+
+def _ranges(df: DataFrame, time: str) -> DataFrame:
+    """``df`` by its times: the i-th partition holds the i-th part of the training, sorted.
+
+    Words are spread nearly evenly over the training, so no sample of the rows
+    is needed to find the parts. Rows without a time come last.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    part = f"CAST(least({parts - 1}, coalesce(floor({time} * {parts}), {parts - 1})) AS INT)"
+    return df.repartitionById(parts, F.expr(part)).sortWithinPartitions(F.expr(time).asc_nulls_last())
+
+
+def by_position(mix: DataFrame) -> DataFrame:
+    """The plan, range-sorted by each document's first position (column ``train_at``)."""
+    return _ranges(mix.withColumn("train_at", F.expr("get(times, 0)")), "train_at")
 
 
 def in_training_order(docs: DataFrame, mix: DataFrame) -> DataFrame:
-    """The documents, each as often as taken, range-sorted by training time (column ``train_at``)."""
-    from tilewright.llm.shared import hinted
-
-    taken = mix.filter("takes > 0").selectExpr("doc_id AS _id", "key AS _key", "times")
-    # Rows equal in id and text share one plan entry per row; count them apart.
-    one = taken.groupBy("_id", "_key").agg(F.expr("flatten(collect_list(times)) AS times"), F.expr("count(1) AS _n"))
-    keyed = docs.withColumn("_h", F.expr("xxhash64(text)")).alias("d")
-    joined = keyed.join(hinted(one), (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_h") == F.col("_key")))
-    single = joined.filter("_n = 1").select("d.*", F.explode("times").alias("train_at"))
-    several = joined.filter("_n > 1")
-    first = several.dropDuplicates(["_id", "_key"]).select("d.*", F.explode("times").alias("train_at"))
-    return single.unionByName(first).drop("_h").repartitionByRange(F.col("train_at")).sortWithinPartitions("train_at")
+    """The documents, each as often as taken, range-sorted by training time (column ``train_at``).
+
+    Positions are settled on the narrow plan; a text meets them once and moves
+    once for each time it is taken. Rows equal in id and text are told apart by
+    number alone, so one of them carries the positions of all.
+    """
+    taken = mix.filter("takes > 0").selectExpr("doc_id AS _mix_id", "key AS _mix_key", "times AS _mix_times")
+    one = taken.groupBy("_mix_id", "_mix_key").agg(F.expr("flatten(collect_list(_mix_times)) AS _mix_times"))
+    repeated = mix.groupBy("doc_id", "key").agg(F.expr("count(1) AS n")).filter("n > 1").selectExpr("doc_id AS _mix_id", "key AS _mix_key")
+    keyed = docs.withColumn("_mix_hash", F.expr("xxhash64(text)"))
+
+    def same(right: DataFrame):
+        return keyed["doc_id"].eqNullSafe(right["_mix_id"]) & (keyed["_mix_hash"] == right["_mix_key"])
+
+    repeated = hinted(written(repeated, "mix-repeated"))
+    if not repeated.isEmpty():
+        first = keyed.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "_mix_hash"])
+        keyed = keyed.join(repeated, same(repeated), "left_anti").unionByName(first)
+    one = hinted(written(one, "mix-positions"))
+    placed = keyed.join(one, same(one)).select(*[f"`{c}`" for c in docs.columns if c != "train_at"], F.explode("_mix_times").alias("train_at"))
+    return _ranges(placed, "train_at")

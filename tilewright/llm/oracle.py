@@ -35,14 +35,18 @@ f AS (SELECT *, sum(source_size) OVER () AS words,
              sum(w) OVER (ORDER BY source_size / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w,
              row_number() OVER (ORDER BY source_size / w, place) AS k FROM w),
 level AS (SELECT k AS from_k, capped AS c, open_w AS o FROM f WHERE 4 * source_size * open_w >= w * (3 * words - 2 * capped) ORDER BY k LIMIT 1),
-t AS (SELECT source, source_size,
+t AS (SELECT source, source_size, place, count(*) OVER () AS sources,
              CASE WHEN from_k IS NULL OR k < from_k THEN CAST(2 * source_size AS DOUBLE)
                   ELSE CAST(w * (3 * words - 2 * c) AS DOUBLE) / CAST(2 * o AS DOUBLE) END AS target
       FROM f LEFT JOIN level ON true),
-run AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM sized)
+run AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM sized),
+p AS (SELECT doc_id, size, source_size, target, CASE WHEN sources > 1 THEN 0.5 - place / (sources - 1) ELSE 0 END AS a,
+             (c + size / 2) / target AS first, (c + size / 2 + source_size) / target AS second
+      FROM run JOIN t ON run.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(size * (CAST(c + size / 2 < target AS INT) + CAST(c + size / 2 + source_size < target AS INT)) AS BIGINT) AS taken
-FROM run JOIN t ON run.source IS NOT DISTINCT FROM t.source""",
+       CAST(size * (CAST(first < 1 AS INT) + CAST(second < 1 AS INT)) AS BIGINT) AS taken,
+       round(CASE WHEN size > 0 AND first < 1 THEN 2 * first / ((1 + a) + sqrt((1 + a) * (1 + a) - 4 * a * first)) END, 9) AS train_at
+FROM p""",
     "op4_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
        sha256(coalesce(text, '')) AS text_sha256
