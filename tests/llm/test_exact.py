@@ -18,7 +18,7 @@ from tilewright.llm.chat import (
 from tilewright.llm.decontaminate import contamination, judged
 from tilewright.llm.grace_dedup import Table, exact_duplicates
 from tilewright.llm.mixture import in_training_order, mixed
-from tilewright.llm.suffix_dedup import Trie, common, without_repeats
+from tilewright.llm.suffix_dedup import Trie, common, prefix_sets, suffix_order, without_repeats
 from tilewright.llm.url_rules import judged_urls
 
 DOCS = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, key STRING, node STRING, size INT"
@@ -157,10 +157,28 @@ def test_repeats_odd_tables(spark):
 def test_blind_trie_orders_suffixes():
     rng = random.Random(4)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(9))) for _ in range(200)]
-    *_, (depth, order) = Trie(strings).nodes()
-    assert [strings[i] for i in order] == sorted(strings)
-    for depth, members in Trie(strings).nodes():
-        assert all(common(strings[members[0]], strings[m]) >= depth for m in members)
+    listed = list(Trie(strings).ordered())
+    assert [strings[i] for i, _ in listed] == sorted(strings)
+    assert [d for _, d in listed[1:]] == [common(strings[i], strings[j]) for (i, _), (j, _) in zip(listed, listed[1:])]
+
+
+@pytest.mark.parametrize("gram, shallow", [(0, 8), (2, 8), (2, 32)])
+def test_suffix_order(gram, shallow):
+    rng = random.Random(gram + shallow)
+    for _ in range(60):
+        strings = [b"ab"[:gram] + bytes(rng.choice([0, 97, 98, 255]) for _ in range(rng.randrange(0, rng.choice([3, 14, 50])))) for _ in range(rng.randrange(1, 40))]
+        strings += strings[:3]
+        order, shared = suffix_order(strings, gram, shallow)
+        assert [strings[i] for i in order] == sorted(strings)
+        assert shared == [0] + [common(strings[i], strings[j]) for i, j in zip(order, order[1:])]
+        sets = {(d, frozenset(order[a:b])) for d, a, b in prefix_sets(shared)}
+        want = set()
+        for i in range(len(strings)):
+            for d in range(len(strings[i]) + 1):
+                own = frozenset(j for j, s in enumerate(strings) if s[:d] == strings[i][:d] and len(s) >= d)
+                if len(own) > 1 and min(common(strings[x], strings[y]) for x in own for y in own if x != y) == d:
+                    want.add((d, own))
+        assert sets == want
 
 
 # ---------------------------------------------------------------- urls

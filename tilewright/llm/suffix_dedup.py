@@ -12,11 +12,11 @@ is confined to the suffixes that can decide anything:
    ``length`` bytes from it on matter. Anchors of equal contexts are classes;
    where a class has two members all of its context is repeated.
 3. Suffix sorting. Anchors of one k-gram with different contexts are compared
-   by sorting the suffixes that start at them: multikey quicksort to a shallow
-   depth, then a blind trie for each group that is still together. A node of
-   the trie is a set of suffixes with a common prefix of r bytes; the best
-   match to the left within the set, l, is found by sorting what precedes the
-   anchors backwards. Where l + r reaches ``length`` the bytes from l before
+   by sorting the suffixes that start at them: multikey quicksort of the
+   ``SHALLOW`` bytes after the k-gram, then a blind trie for each group that is
+   still together. Neighbours in this order with a common prefix of r bytes
+   are a set; the best match to the left within the set, l, is found by sorting
+   what precedes the anchors backwards. Where l + r reaches ``length`` the bytes from l before
    to r after the anchor are repeated.
 
 Groups of more than ``group_limit`` contexts are split without loss: strings
@@ -187,28 +187,55 @@ class Trie:
         else:
             parent[1][edge] = new
 
-    def nodes(self):
-        """(common prefix length, members) of every set of two or more, inner ones before outer; suffix order inside."""
-        work, ready = [(self.root, False)], []
+    def ordered(self):
+        """(member, bytes it shares with the one before it) in suffix order; 0 for the first."""
+        work = [(self.root, 0)]
         while work:
-            node, seen = work.pop()
-            if not isinstance(node, list):
-                own = self.leaves[node]
-                if len(own) > 1:
-                    yield len(self.strings[node]), own
-                ready.append(own)
-            elif not seen:
-                work.append((node, True))
-                work += [(node[1][c], False) for c in sorted(node[1], reverse=True)]
-            else:
-                parts = ready[-len(node[1]) :]
-                del ready[-len(node[1]) :]
-                members = [m for part in parts for m in part]
-                yield node[0], members
-                ready.append(members)
-
-
-def matched(lefts: list[bytes], rights: list[bytes], low: int, high: int, length: int) -> list[tuple[int, int]]:
+            node, shared = work.pop()
+            if isinstance(node, list):
+                first, *others = sorted(node[1])
+                work += [(node[1][c], node[0]) for c in reversed(others)]
+                work.append((node[1][first], shared))
+                continue
+            for member in self.leaves[node]:
+                yield member, shared
+                shared = len(self.strings[node])
+
+
+def suffix_order(strings: list[bytes], gram: int, shallow: int = SHALLOW) -> tuple[list[int], list[int]]:
+    """Strings in order, and how many bytes each shares with the one before it.
+
+    All begin with the same ``gram`` bytes. The next ``shallow`` bytes are sorted
+    by multikey quicksort, eight at a time (missing ones as zeros); strings that
+    agree so far go into a blind trie.
+    """
+    width = -(-shallow // 8) * 8
+    digits = np.frombuffer(b"".join([s[gram : gram + width].ljust(width, b"\0") for s in strings]), ">u8")
+    order, shared = [], []
+    for group in shallow_groups(digits.reshape(len(strings), width // 8).astype(np.uint64)):
+        start = len(order)
+        for member, depth in Trie([strings[i] for i in group]).ordered():
+            row = int(group[member])
+            # The first of a group shares with the last of the group before it.
+            first = len(order) == start
+            shared.append(common(strings[order[-1]], strings[row]) if first and order else depth)
+            order.append(row)
+    return order, shared
+
+
+def prefix_sets(shared: list[int]):
+    """(common prefix length, first, end) of every set of two or more neighbours in suffix order."""
+    stack: list[tuple[int, int]] = []
+    for at in range(1, len(shared) + 1):
+        depth, first = shared[at] if at < len(shared) else -1, at - 1
+        while stack and stack[-1][0] > depth:
+            length, first = stack.pop()
+            yield length, first, at
+        if at < len(shared) and (not stack or stack[-1][0] < depth):
+            stack.append((depth, first))
+
+
+def matched(lefts: list[bytes], rights: list[bytes], low: int, high: int, length: int, gram: int = 0) -> list[tuple[int, int]]:
     """Per context how far repeated strings reach before and after its anchor; (0, 0) if there are none.
 
     Only strings starting ``low`` to ``high`` bytes before the anchor are asked for.
@@ -216,11 +243,12 @@ def matched(lefts: list[bytes], rights: list[bytes], low: int, high: int, length
     back = [s[::-1] for s in lefts]
     rank = {m: r for r, m in enumerate(sorted(range(len(back)), key=back.__getitem__))}
     best = [(0, 0)] * len(lefts)
-    for depth, members in Trie(rights).nodes():
+    suffixes, shared = suffix_order(rights, gram)
+    for depth, first, end in prefix_sets(shared):
         r = min(depth, length - low)
         if r + high < length:
             continue
-        order = sorted(members, key=rank.__getitem__)
+        order = sorted(suffixes[first:end], key=rank.__getitem__)
         near = [min(common(back[x], back[y]), high) for x, y in zip(order, order[1:])]
         for i, m in enumerate(order):
             l = max(near[i - 1] if i else 0, near[i] if i < len(near) else 0)
@@ -230,25 +258,20 @@ def matched(lefts: list[bytes], rights: list[bytes], low: int, high: int, length
 
 
 def _sorted_contexts(length: int, gram: int):
-    """All groups of one task: shallow sort of its suffixes, blind tries for what stays together.
-
-    The shallow depth ends inside the k-gram, so a group is never parted.
-    """
-    shallow = min(SHALLOW, gram) // 8 * 8
+    """All groups of one task, told apart by multikey quicksort, then their suffixes sorted."""
 
     def run(batches):
         rows = [r for batch in batches for r in zip(*(batch.column(i).to_pylist() for i in range(8)))]
         if not rows:
             return
-        head = np.frombuffer(b"".join(r[7][:shallow] for r in rows), ">u8").reshape(len(rows), shallow // 8)
         groups = np.array([r[0] for r in rows], np.int64).view(np.uint64)
         spans = np.array([[r[1], r[2]] for r in rows], np.uint64)
         out = []
-        for at in shallow_groups(np.concatenate([groups[:, None], spans, head.astype(np.uint64)], axis=1)):
+        for at in shallow_groups(np.concatenate([groups[:, None], spans], axis=1)):
             own = [rows[i] for i in at]
             if len(own) < 2:
                 continue
-            found = matched([r[6] for r in own], [r[7] for r in own], own[0][1], own[0][2], length)
+            found = matched([r[6] for r in own], [r[7] for r in own], own[0][1], own[0][2], length, gram)
             # Contexts with several members are repeated throughout, which is known already.
             out += [(r[3], r[4] - l, r[4] + e) for r, (l, e) in zip(own, found) if e and r[5] == 1]
         if out:
