@@ -44,7 +44,7 @@ _FOOTER, _ENTRY = "<IBI", "<qqBQ"
 #: Words whose ids a task remembers; beyond it the memory starts anew.
 REMEMBERED = 400_000
 #: Characters of a text, or of a block of texts, that are encoded at a time.
-PIECE = 1 << 19
+PIECE = 1 << 16
 
 
 class Encoder:
@@ -52,66 +52,61 @@ class Encoder:
 
     Splitting a text at blanks and line ends never changes its ids here, since
     the tokenizer treats those as separators and joins nothing across them.
-    Most words of a text were met before, so only new ones go to the library,
-    those of a block of texts at once: words of letters together, cut again at
-    the tokens that end a word; words of letters before ASCII marks as two
-    pieces, if the normalised letters are still letters (a Turkish capital
-    dotted I is not: its dot joins the marks); everything else one by one.
+    Most words of a text were met before, so only new ones go to the library.
+    A word of Latin letters goes straight to its merges, spelled as the
+    normaliser and the splitter would spell it; ASCII marks behind such a word
+    are a piece of their own. Everything else, such as a Turkish capital dotted
+    I, whose dot joins the marks, goes through the whole tokenizer.
 
     A tokenizer for which this does not hold is refused.
     """
 
     _MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
-    _PROBES = ("Ab cd", "ab\ncd", "Word, word", "word?! Été.", "x 1 'y' -z-", "straße ÀÉ; \u00df")
+    _PROBES = ("Ab cd", "ab\ncd", "Word, word", "word?! Été.", "x 1 'y' -z-", "straße ÀÉ; ß", "Łódź ŷŽž", "can't it's")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        if self.tokenizer.normalizer is None or self.tokenizer.pre_tokenizer is None:
+            raise ValueError(f"{path} is not a tokenizer of separate words")
+        self.merges = self.tokenizer.model
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.known: dict[str, bytes] = {"": b""}
-        if not self.ends.any() or any(self.encode(x) != self._plain(x) for x in self._PROBES):
-            raise ValueError(f"{path} is not a tokenizer of separate lower-cased words with ends </w>")
+        #: How a Latin letter that is a letter to the tokenizer, too, is spelled for the merges.
+        self.spelled: dict[str, str] = {}
+        for letter in map(chr, range(0x250)):
+            normal = self.tokenizer.normalizer.normalize_str(letter) if letter.isalpha() else ""
+            if normal.isalpha():
+                self.spelled[letter] = "".join(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal))
+        self.latin = frozenset(self.spelled)
+        if any(self.encode(x) != self._plain(x) for x in self._PROBES):
+            raise ValueError(f"{path} is not a tokenizer of separate words")
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _normal(self, letters: str) -> bool:
-        """Whether letters are letters to the tokenizer, too."""
-        return letters.isascii() or self.tokenizer.normalizer.normalize_str(letters).isalpha()
-
     def _learn(self, words: set[str]) -> None:
-        known, built = self.known, []
-        plain = [word for word in words if word.isalpha()]
-        letters = {word.lower() if word.isascii() else word for word in plain}
-        for word in words.difference(plain):
-            m = self._MARKED.fullmatch(word)
-            if not m or not self._normal(m[1]):
+        known, latin, packed, merges, spell = self.known, self.latin, self.packed, self.merges.tokenize, self.spelled.__getitem__
+        for word in words:
+            base, marks = word, ""
+            if not word.isalpha() and (m := self._MARKED.fullmatch(word)):
+                base, marks = m.groups()
+            if not latin.issuperset(base):
                 known[word] = self._plain(word)
                 continue
-            first, marks = m.groups()
-            # Lower case comes first in the tokenizer; for ASCII it is the same in Python.
-            base = first.lower() if first.isascii() else first
-            letters.add(base)
             if marks not in known:
                 known[marks] = self._plain(marks)
-            built.append((word, base, marks))
-        letters = sorted(letters.difference(known))
-        for at in range(0, len(letters), 1000):
-            part = letters[at : at + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(cuts) == len(part) and cuts[-1] == 4 * len(ids) and all(map(self._normal, part)):
-                data = ids.tobytes()
-                known.update(zip(part, [data[x:y] for x, y in zip([0, *cuts], cuts)]))
-            else:
-                # Some word is more than one piece to the tokenizer.
-                known.update((word, self._plain(word)) for word in part)
-        known.update((word, known[base] + known[marks]) for word, base, marks in built)
-        known.update((word, known[word.lower()]) for word in plain if word not in known)
+            spelled = "".join(map(spell, base))
+            if base.isascii():
+                # Upper and lower case are one entry.
+                base = spelled
+            ids = known.get(base)
+            if ids is None:
+                ids = known[base] = b"".join([packed[x.id] for x in merges(spelled)])
+            if base is not word:
+                known[word] = ids + known[marks]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian u32."""
