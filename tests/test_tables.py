@@ -8,7 +8,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tilewright.functions.quantiles import exact_quantile
+from tilewright.functions.quantiles import column_medians, exact_quantiles
 from tilewright.functions.ranking import number_within
 from tilewright.functions.summaries import summarise
 from tilewright.operators import cleaning, evaluation, insights, modelling, scoring
@@ -47,22 +47,26 @@ def test_most_frequent_takes_smallest_tie(spark):
         cleaning.fill_values(df, ["x"], "mode")
 
 
-@pytest.mark.parametrize("values", [[3.0] * 50 + [1.0] * 49, [float(i) for i in range(40)], [1.0], [1.0, 2.0], [0.0] * 90 + [5.0] * 10])
-def test_ranked_median_equals_gathered(spark, values):
-    df = spark.createDataFrame([(1, v) for v in values], "g INT, x DOUBLE")
-    gathered, ranked = (summarise(df, ["g"], {"x": "x"}, gather_rows=n).first() for n in (10**6, 0))
-    assert gathered == ranked
-    long = df.selectExpr("'f' AS feature", "'l' AS label", "x AS value")
-    a, b = (insights.violin_summary(long, gather_rows=n).first() for n in (10**6, 0))
-    assert a.asDict() == pytest.approx(b.asDict())
-
-
-@pytest.mark.parametrize("p", [0.0, 0.25, 0.5, 0.75, 1.0])
-def test_bracketed_quantile_is_exact(spark, p):
-    df = spark.range(9001).selectExpr("id % 2 AS g", "CASE WHEN id % 3 = 0 THEN 7.0D ELSE (id * 7919) % 5003 / 3.0D END AS x")
-    ours = {r.g: r.q for r in exact_quantile(df, ["g"], "x", p, "q", accuracy=100).collect()}
-    plain = {r.g: r.q for r in df.groupBy("g").agg(F.expr(f"percentile(x, {p}D) AS q")).collect()}
-    assert ours == pytest.approx(plain)
+@pytest.mark.parametrize("accuracy", [10_000, 20])
+@pytest.mark.parametrize("values", [
+    [3.0] * 50 + [1.0] * 49, [float(i) for i in range(40)], [1.0], [1.0, 2.0], [0.0] * 90 + [5.0] * 10,
+    [float(i * 7919 % 1009) / 3 for i in range(900)], [float("inf")] * 3 + [-1.5] * 200, [1e-300 * (-1) ** i * i for i in range(301)],
+])
+def test_quantiles_whatever_the_brackets(spark, values, accuracy):
+    want = spark.createDataFrame([(v,) for v in values], "x DOUBLE").selectExpr(
+        "percentile(x, array(0D, 0.25D, 0.5D, 0.75D, 1D)) AS q").first()["q"]
+    df = spark.createDataFrame([(1, v) for v in values] + [(2, 8.0), (3, None)], "g INT, x DOUBLE").repartition(3)
+    found = exact_quantiles(df.filter("x IS NOT NULL"), ["g"], "x", [0.0, 0.25, 0.5, 0.75, 1.0], list("abcde"), accuracy)
+    rows = {r["g"]: list(r)[1:] for r in found.collect()}
+    assert rows.keys() == {1, 2} and rows[2] == [8.0] * 5 and rows[1] == pytest.approx(want, rel=1e-12, abs=0)
+    own = df.filter("g = 1")
+    medians = column_medians(own.withColumn("y", F.lit(None).cast("double")), {"x": "x", "-x": "-x", "y": "y"}, accuracy)
+    assert medians.pop("y") is None and medians == pytest.approx({"x": want[2], "-x": -want[2]}, rel=1e-12, abs=0)
+    if max(values) < float("inf"):
+        summary = {r["g"]: r for r in summarise(df, ["g"], {"x": "x"}, accuracy).collect()}
+        assert summary[1].x_median == pytest.approx(want[2], rel=1e-12, abs=0) and list(summary[3])[1:] == [0.0] * 6
+        violin = insights.violin_summary(own.selectExpr("'f' AS feature", "'l' AS label", "x AS value"), accuracy=accuracy).first()
+        assert [violin.low, violin.q1, violin.median, violin.q3, violin.high] == pytest.approx(want, rel=1e-12, abs=0)
 
 
 def test_numbering_matches_plain_row_number(spark):

@@ -203,7 +203,7 @@ def shape_summary(spark, sf):
 
 def summary_stats_skip_missing(spark, sf):
     cells = _with_nuclei(spark, sf)
-    return rounded(summarise(cells, ["image_id"], {"nc_ratio": "nc_ratio"}, largest_group=16))
+    return rounded(summarise(cells, ["image_id"], {"nc_ratio": "nc_ratio"}))
 
 
 def cells_by_label(spark, sf):
@@ -228,7 +228,7 @@ def order_line_summary(spark, sf):
 
 def line_summary_ranked_medians(spark, sf):
     lines = table(spark, sf, "lineitem")
-    return rounded(summarise(lines, ["l_returnflag"], _LINE_MEASURES, gather_rows=1000), 4)
+    return rounded(summarise(lines, ["l_returnflag"], _LINE_MEASURES, accuracy=500), 4)
 
 
 def flatten_arrays(spark, sf):

@@ -111,7 +111,7 @@ def impute(spark, sf):
 
 def impute_ranked_medians(spark, sf):
     matrix = feature_matrix(spark, sf).select("vec_id", *FEATURES)
-    return rounded(cleaning.impute(matrix, FEATURES, gather_rows=100), 9)
+    return rounded(cleaning.impute(matrix, FEATURES, accuracy=100), 9)
 
 
 def impute_mean(spark, sf):
@@ -431,7 +431,7 @@ def violin_summary(spark, sf):
 
 
 def violin_summary_ranked(spark, sf):
-    return rounded(insights.violin_summary(_event_values(spark, sf), gather_rows=100))
+    return rounded(insights.violin_summary(_event_values(spark, sf), accuracy=100))
 
 
 def violin_density(spark, sf):

@@ -7,25 +7,21 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.functions.quantiles import exact_medians
+from tilewright.functions.quantiles import ACCURACY, exact_quantile
 
 STATS = ("count", "mean", "median", "std", "min", "max")
 
-# Rows one task may gather for an exact median; larger groups take the ranked route.
-GATHER_ROWS = 2_000_000
 
-
-def _aggregates(prefix: str, column: str, with_median: bool) -> list[str]:
+def _aggregates(prefix: str, column: str) -> list[str]:
     x = f"CAST({column} AS DOUBLE)"
     found = {
         "count": f"CAST(count({column}) AS DOUBLE)",
         "mean": f"avg({x})",
-        "median": f"median({x})",
         "std": f"stddev_pop({x})",
         "min": f"min({x})",
         "max": f"max({x})",
     }
-    return [f"coalesce({found[s]}, 0.0D) AS {prefix}_{s}" for s in STATS if with_median or s != "median"]
+    return [f"coalesce({expression}, 0.0D) AS {prefix}_{stat}" for stat, expression in found.items()]
 
 
 def _grouped(df: DataFrame, keys: Sequence[str], aggregates: Sequence[str]) -> DataFrame:
@@ -33,36 +29,21 @@ def _grouped(df: DataFrame, keys: Sequence[str], aggregates: Sequence[str]) -> D
     return packed.select(*keys, "_s.*")
 
 
-def summarise(
-    df: DataFrame,
-    keys: Sequence[str],
-    measures: Mapping[str, str],
-    gather_rows: int = GATHER_ROWS,
-    largest_group: int | None = None,
-) -> DataFrame:
+def summarise(df: DataFrame, keys: Sequence[str], measures: Mapping[str, str], accuracy: int = ACCURACY) -> DataFrame:
     """One row per key with ``<prefix>_{count,mean,median,std,min,max}``.
 
     ``measures`` maps a prefix to a column. Missing values are skipped; a group
     with none left gives six zeros. The deviation is the population one.
-
-    An exact median gathers a group's distinct values. Groups above
-    ``gather_rows`` rows therefore get theirs from ``exact_medians``, which
-    bounds what one task holds; the answer is the same. The group sizes are
-    looked up first unless ``largest_group`` gives a known bound.
+    Medians are exact, and no task gathers a group for them.
     """
     keys = list(keys)
-    if largest_group is None:
-        largest_group = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest_group <= gather_rows:
-        return _grouped(df, keys, [a for p, c in measures.items() for a in _aggregates(p, c, True)])
-
-    plain = _grouped(df, keys, [a for p, c in measures.items() for a in _aggregates(p, c, False)])
+    plain = _grouped(df, keys, [a for p, c in measures.items() for a in _aggregates(p, c)])
     entries = ", ".join(f"struct('{p}' AS measure, CAST({c} AS DOUBLE) AS value)" for p, c in measures.items())
     long = (
         df.selectExpr(*keys, f"explode(array({entries})) AS m")
         .selectExpr(*keys, "m.measure", "m.value").filter("value IS NOT NULL")
     )
-    medians = exact_medians(long, [*keys, "measure"], "value")
+    medians = exact_quantile(long, [*keys, "measure"], "value", 0.5, "median", accuracy)
     wide = _grouped(medians, keys, [f"max(CASE WHEN measure = '{p}' THEN median END) AS {p}_median" for p in measures])
     return plain.join(wide, keys, "left").selectExpr(
         *keys, *[f"coalesce({p}_{s}, 0.0D) AS {p}_{s}" for p in measures for s in STATS]

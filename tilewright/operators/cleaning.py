@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.functions.quantiles import exact_medians
+from tilewright.functions.quantiles import ACCURACY, column_medians
 from tilewright.functions.scalars import (
     finite,
     inf_to_null,
@@ -23,7 +23,6 @@ from tilewright.functions.scalars import (
     quoted,
     split_target,
 )
-from tilewright.functions.summaries import GATHER_ROWS
 
 STRATEGIES = ("median", "mean", "most_frequent", "constant")
 PARAMETER_SCHEMA = "position INT, feature STRING, kept BOOLEAN, missing DOUBLE, fill DOUBLE, mean DOUBLE, scale DOUBLE"
@@ -127,14 +126,13 @@ def fill_values(
     columns: Sequence[str],
     strategy: str = "median",
     constant: float = 0.0,
-    rows: int | None = None,
     means: dict[str, float] | None = None,
-    gather_rows: int = GATHER_ROWS,
+    accuracy: int = ACCURACY,
 ) -> dict[str, float]:
     """The value each column's gaps take.
 
-    Exact medians of a long table come from the bracketed route, so no task
-    holds a whole column. The most frequent value is the smallest on ties.
+    Medians are exact, and no task holds a whole column for them. The most
+    frequent value is the smallest on ties.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown impute strategy '{strategy}'")
@@ -150,11 +148,7 @@ def fill_values(
         counts = _long(df, columns).groupBy("feature", "value").count()
         best = counts.groupBy("feature").agg(F.expr("-max(struct(count, -value)).col2 AS value"))
         return {r["feature"]: r["value"] for r in best.collect()}
-    rows = df.count() if rows is None else rows
-    if rows <= gather_rows:
-        medians = ", ".join(f"median({finite(quoted(c))}) AS {quoted(c)}" for c in columns)
-        return df.agg(F.expr(f"struct({medians}) AS m")).first()["m"].asDict()
-    return {r["feature"]: r["median"] for r in exact_medians(_long(df, columns), ["feature"], "value").collect()}
+    return column_medians(df, {c: finite(quoted(c)) for c in columns}, accuracy)
 
 
 def _scaled(present: int, rows: int, mean: float, var: float, fill: float) -> tuple[float, float]:
@@ -176,7 +170,6 @@ def fit_preprocessor(
     max_fraction: float = 0.5,
     strategy: str = "median",
     constant: float = 0.0,
-    gather_rows: int = GATHER_ROWS,
 ) -> Preprocessor:
     """Parameters of drop-sparse, impute and standardise."""
     columns = numeric_columns(df) if columns is None else list(columns)
@@ -189,7 +182,7 @@ def fit_preprocessor(
     if empty and strategy != "constant":
         raise ValueError(f"columns without any value cannot be imputed: {empty}")
     means = {c: facts[c]["mean"] for c in kept}
-    fills = fill_values(df, kept, strategy, constant, rows, means, gather_rows)
+    fills = fill_values(df, kept, strategy, constant, means)
     out = []
     for position, c in enumerate(columns):
         if c in fills:
@@ -204,10 +197,10 @@ def fit_preprocessor(
 
 
 def impute(df: DataFrame, columns: Sequence[str] | None = None, strategy: str = "median", constant: float = 0.0,
-           gather_rows: int = GATHER_ROWS) -> DataFrame:
+           accuracy: int = ACCURACY) -> DataFrame:
     """Gaps of the given columns filled; other columns stay."""
     columns = numeric_columns(df) if columns is None else list(columns)
-    fills = fill_values(df, columns, strategy, constant, gather_rows=gather_rows)
+    fills = fill_values(df, columns, strategy, constant, accuracy=accuracy)
     return df.selectExpr(*[
         f"coalesce({finite(quoted(c))}, {number(fills[c])}) AS {quoted(c)}" if c in fills else quoted(c) for c in df.columns
     ])
@@ -231,7 +224,6 @@ def clean_features(
     max_fraction: float = 0.5,
     strategy: str = "median",
     fit_on: DataFrame | None = None,
-    gather_rows: int = GATHER_ROWS,
 ) -> tuple[DataFrame, Preprocessor]:
     """Cleaned table ``keys..., features..., target`` and its parameters.
 
@@ -241,7 +233,7 @@ def clean_features(
     split_target(df, target)
     columns = numeric_columns(df, [target, *keys])
     source = inf_to_null(df if fit_on is None else fit_on, columns)
-    fitted = fit_preprocessor(source, columns, max_fraction, strategy, gather_rows=gather_rows)
+    fitted = fit_preprocessor(source, columns, max_fraction, strategy)
     labelled = label_to_string(df, target)
     cleaned = fitted.transform(labelled, [quoted(k) for k in [*keys, target]])
     return cleaned.select(*keys, *[quoted(c) for c in fitted.feature_columns], target), fitted

@@ -7,9 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.functions.quantiles import exact_quantile
+from tilewright.functions.quantiles import ACCURACY, exact_quantiles
 from tilewright.functions.scalars import keep_available, quoted
-from tilewright.functions.summaries import GATHER_ROWS
 
 # Features shown when no importance table exists.
 DEFAULT_FEATURES = ["lbp_9", "minor_axis_median", "circularity_median", "solidity_mean"]
@@ -134,32 +133,22 @@ def trend_legend(r2: str) -> str:
 # ---------------------------------------------------------------- violins
 
 
-def violin_summary(long: DataFrame, gather_rows: int = GATHER_ROWS, approximate: bool = False) -> DataFrame:
+def violin_summary(long: DataFrame, approximate: bool = False, accuracy: int = ACCURACY) -> DataFrame:
     """``feature, label, n, low, q1, median, q3, high``.
 
-    Exact quartiles interpolate between order statistics. Groups larger than
-    ``gather_rows`` are ranked within brackets instead of being gathered;
-    ``approximate`` uses sketches.
+    Exact quartiles interpolate between order statistics, and no task gathers a
+    group for them; ``approximate`` uses sketches.
     """
-    by = ["feature", "label"]
+    by, shares, names = ["feature", "label"], [0.25, 0.5, 0.75], ["q1", "median", "q3"]
     ends = "count(1) AS n, min(value) AS low, max(value) AS high"
     if approximate:
-        quartiles = "percentile_approx(value, array(0.25D, 0.5D, 0.75D), 10000)"
-    elif (long.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= gather_rows:
-        quartiles = "percentile(value, array(0.25D, 0.5D, 0.75D))"
-    else:
-        return _ranked_quartiles(long, by)
-    return long.groupBy(*by).agg(F.expr(f"struct({ends}, {quartiles} AS q) AS s")).selectExpr(
-        *by, "s.n", "s.low", "s.q[0] AS q1", "s.q[1] AS median", "s.q[2] AS q3", "s.high"
-    )
-
-
-def _ranked_quartiles(long: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Quartiles from brackets around each, so that no task gathers a group."""
-    out = long.groupBy(*by).agg(F.expr("count(1) AS n"), F.expr("min(value) AS low"), F.expr("max(value) AS high"))
-    for p, name in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")):
-        out = out.join(exact_quantile(long, by, "value", p, name), list(by))
-    return out.select(*by, "n", "low", "q1", "median", "q3", "high")
+        quartiles = f"percentile_approx(value, array(0.25D, 0.5D, 0.75D), {accuracy})"
+        return long.groupBy(*by).agg(F.expr(f"struct({ends}, {quartiles} AS q) AS s")).selectExpr(
+            *by, "s.n", "s.low", "s.q[0] AS q1", "s.q[1] AS median", "s.q[2] AS q3", "s.high"
+        )
+    facts = long.groupBy(*by).agg(F.expr(f"struct({ends}) AS s")).select(*by, "s.*")
+    quartiles = exact_quantiles(long, by, "value", shares, names, accuracy)
+    return facts.join(quartiles, by).select(*by, "n", "low", *names, "high")
 
 
 def violin_density(long: DataFrame, grid: int = 100, cut: float = 2.0) -> DataFrame:

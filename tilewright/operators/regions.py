@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tilewright.functions.scalars import circularity, nc_ratio, number, safe_ratio
-from tilewright.functions.summaries import GATHER_ROWS, STATS, summarise
+from tilewright.functions.summaries import STATS, summarise
 from tilewright.session import cut_lineage
 
 REGION_KEYS = ["image_id", "kind", "region"]
@@ -214,7 +214,7 @@ def cell_counts(images: DataFrame, regions: DataFrame) -> DataFrame:
     )
 
 
-def shape_summary(images: DataFrame, cells: DataFrame, largest_group: int | None = None) -> DataFrame:
+def shape_summary(images: DataFrame, cells: DataFrame) -> DataFrame:
     """The 90 shape statistics per readable image.
 
     An image without cells counts one all-zero cell in the cell measures and
@@ -222,11 +222,7 @@ def shape_summary(images: DataFrame, cells: DataFrame, largest_group: int | None
     """
     wanted = [*CELL_MEASURES, *[f"nucleus_{m}" for m in NUCLEUS_MEASURES], "nc_ratio"]
     measures = {m: m for m in wanted if m in cells.columns}
-    if largest_group is None:
-        # Cells keep a gap of one pixel, so an image holds at most one per 2x2 block.
-        most = images.agg(F.expr("max(ceil(h / 2) * ceil(w / 2))")).first()[0] or 0
-        largest_group = most if most <= GATHER_ROWS else None
-    stats = summarise(cells, ["image_id"], measures, largest_group=largest_group)
+    stats = summarise(cells, ["image_id"], measures)
     columns = [
         f"coalesce({m}_{s}, {'1.0D' if s == 'count' and m in CELL_MEASURES else '0.0D'}) AS {m}_{s}"
         for m in measures for s in STATS
