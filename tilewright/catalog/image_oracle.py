@@ -304,6 +304,10 @@ def _lines(key: str, digits: int) -> str:
 
 ORACLE: dict[str, str] = {
     "explode_pixels": _q(TILES, "SELECT image_id, r, c, red, green, blue FROM px"),
+    "scan_labelled_images": "SELECT vec_id AS image_id, CAST(label AS VARCHAR) AS label, CASE WHEN vec_id % 100 = 7 THEN 0 ELSE 8 END AS h, "
+    "CASE WHEN vec_id % 100 = 7 THEN 0 ELSE 8 END AS w, vec_id % 100 <> 7 AS ok FROM embeddings",
+    "decode_rgb": _q(TILES, "SELECT image_id, r, c, red, green, blue FROM px WHERE image_id % 100 <> 7"),
+    "decode_row_ranges": _q(TILES, "SELECT image_id, r, c, red, green, blue FROM px WHERE image_id % 100 <> 7"),
     "first_image": "SELECT CAST(label AS VARCHAR) AS label, min(vec_id) AS first_image FROM embeddings GROUP BY label",
     "gray_channel": _q(TILES, "SELECT image_id, r, c, gray FROM px"),
     "normalize_channel": _q(

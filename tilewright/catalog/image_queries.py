@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,9 @@ from tilewright.functions.scalars import normalised
 from tilewright.functions.summaries import countable_only, flatten_array, summarise
 from tilewright.operators import components, raster, regions, segment, texture
 from tilewright.plans.image_features import FAMILIES, image_features
-from tilewright.session import cut_lineage
-from tilewright.sources.images import first_image
+from tilewright.session import cut_lineage, shared_dir
+from tilewright.sources.images import first_image, read_rasters
+from tilewright.sources.tiff import read_strips, scan_layouts, write_tiffs
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +55,35 @@ def normalize_channel(spark, sf):
     ), 9)
 
 
+def _tile_folder(spark, sf):
+    """Every tile as a file of its label's folder, every hundredth file cut off in the middle."""
+    root = f"{shared_dir(spark)}/tiles-{uuid.uuid4().hex}"
+    write_tiffs(tiles(spark, sf).withColumn("ok", F.expr("image_id % 100 <> 7")), root)
+    return root
+
+
+#: The number that the file is named after.
+_FILE_NUMBER = "CAST(regexp_extract(image_id, '([0-9]+)[.]tif$', 1) AS BIGINT) AS image_id"
+
+
+def scan_labelled_images(spark, sf):
+    """Written tiles found again by their directories alone."""
+    return scan_layouts(spark, _tile_folder(spark, sf)).selectExpr(_FILE_NUMBER, "label", "h", "w", "ok")
+
+
+def decode_rgb(spark, sf):
+    """Pixels of the written tiles through the image reader."""
+    return raster.pixels(read_rasters(spark, _tile_folder(spark, sf))).selectExpr(_FILE_NUMBER, "r", "c", "red", "green", "blue")
+
+
+def decode_row_ranges(spark, sf):
+    """Pixels of the written tiles, read in ranges of three rows."""
+    channels = ("red", "green", "blue")
+    _, strips = read_strips(spark, _tile_folder(spark, sf), strip_pixels=24)
+    found = raster.strip_positions(strips, channels).selectExpr("image_id", "r", "c", *[f"{raster.at(k)} AS {k}" for k in channels])
+    return found.selectExpr(_FILE_NUMBER, "r", "c", *channels)
+
+
 def first_image_query(spark, sf):
     return first_image(tiles(spark, sf), "image_id", ["label"])
 
@@ -262,6 +293,9 @@ def feature_families(spark, sf):
 QUERIES: dict[str, Query] = {
     "explode_pixels": explode_pixels,
     "first_image": first_image_query,
+    "scan_labelled_images": scan_labelled_images,
+    "decode_rgb": decode_rgb,
+    "decode_row_ranges": decode_row_ranges,
     "gray_channel": gray_channel,
     "normalize_channel": normalize_channel,
     "safe_ratio": safe_ratio,

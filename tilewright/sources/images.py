@@ -93,7 +93,7 @@ def first_tiff(spark: SparkSession, root: str) -> DataFrame:
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
         .filter(F.col("path").rlike(TIFF_NAME))
     )
-    return files.agg(F.min("path").alias("path")).filter("path is not null").select(_plain_path(F.col("path")).alias("path"))
+    return files.agg(F.min("path").alias("path")).filter("path is not null")
 
 
 def first_image(images: DataFrame, key: str, group: Sequence[str] = ()) -> DataFrame:
