@@ -5,7 +5,70 @@ _WORDS = (
     "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 )
 
+# The checksum's table (one row) from its rule, and the checksum of a string's bytes.
+_CRC_TABLE = """crc AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(CAST(i AS UINTEGER), list_transform(range(8), lambda x: CAST(0 AS UINTEGER))),
+                        lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UINTEGER)) ELSE c >> 1 END) AS c
+  FROM range(256) AS r(i)))"""
+
+
+def _crc(text: str) -> str:
+    byte = f"CAST(('0x' || substr(hex(encode({text})), 2 * i + 1, 2)) AS UINTEGER)"
+    all_bytes = f"list_transform(range(octet_length(encode({text}))), lambda i: {byte})"
+    step = "lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)"
+    ones = "CAST(4294967295 AS UINTEGER)"
+    return f"xor(list_reduce(list_prepend({ones}, {all_bytes}), {step}), {ones})"
+
+
+def _runs(table: str, key: str) -> str:
+    """Runs of one to three words of a table's texts, by key."""
+    words = f"w_{table} AS MATERIALIZED (SELECT {key} AS k, coalesce({_WORDS.format('text')}, []) AS w FROM {table})"
+    parts = " UNION ALL ".join(
+        f"SELECT k, unnest([array_to_string(w[i : i + {n - 1}], ' ') FOR i IN range(1, len(w) - {n - 2})]) AS g FROM w_{table}" for n in (1, 2, 3)
+    )
+    return f"{words}, g_{table} AS MATERIALIZED ({parts})"
+
+
 ORACLE = {
+    "op12_spelling": f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT d, run, d || ':' || run AS k, count(*) AS c FROM (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d,
+         translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents) WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS MATERIALIZED (SELECT run, c, {_crc('k')} AS h FROM runs, crc),
+w AS MATERIALIZED (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+  SELECT c, CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word
+  FROM hashed) WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2),
+masked AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || chr(1) || substr(word, i + 1) AS mask, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM masked a JOIN masked b ON a.mask = b.mask AND a.word <> b.word
+  UNION SELECT masked.word, w.word, w.n FROM masked JOIN w ON rest = w.word
+  UNION SELECT w.word, masked.word, masked.n FROM masked JOIN w ON rest = w.word),
+tops AS (SELECT word, count(*) AS n_near, arg_min(near, struct_pack(a := -near_n, b := near)) AS near, max(near_n) AS near_n FROM near GROUP BY word),
+forms AS MATERIALIZED (SELECT word, near AS form, near_n AS form_n FROM tops JOIN w USING (word) WHERE near_n >= 10 * n),
+chain(word, root) AS (SELECT word, form FROM forms UNION ALL SELECT chain.word, forms.form FROM chain JOIN forms ON chain.root = forms.word),
+roots AS (SELECT word, root FROM chain WHERE root NOT IN (SELECT word FROM forms))
+SELECT w.word, form, coalesce(root, w.word) AS root, n, coalesce(n_near, 0) AS n_near, form_n
+FROM w LEFT JOIN tops USING (word) LEFT JOIN forms USING (word) LEFT JOIN roots USING (word)""",
+    "op13_importance": f"""
+WITH {_CRC_TABLE}, {_runs('documents', 'doc_id')}, {_runs('benchmark', 'item_id')},
+b AS MATERIALIZED (SELECT g, CAST({_crc('g')} % 10000 AS INTEGER) AS b FROM (SELECT DISTINCT g FROM (SELECT g FROM g_documents UNION ALL SELECT g FROM g_benchmark)), crc),
+s AS (SELECT b, count(*) AS s FROM g_documents JOIN b USING (g) GROUP BY b),
+t AS (SELECT b, count(*) AS t FROM g_benchmark JOIN b USING (g) GROUP BY b),
+totals AS (SELECT (SELECT count(*) FROM g_documents) AS all_s, (SELECT count(*) FROM g_benchmark) AS all_t),
+gain AS MATERIALIZED (SELECT b, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (all_s + 10000) AS DOUBLE) / CAST((s + 1) * (all_t + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (b), totals),
+weights AS (SELECT k, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM g_documents JOIN b USING (g) JOIN gain USING (b) GROUP BY k),
+scored AS (SELECT w.k AS doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('42:' || coalesce(CAST(w.k AS VARCHAR), '')), 1, 8) AS UBIGINT) AS DOUBLE) + 0.5)
+    / 4294967296.0))) AS BIGINT) AS score
+  FROM w_documents w LEFT JOIN weights ON weights.k = w.k)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_words >= 20 AND row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) <= (5 * count(*) OVER (PARTITION BY n_words >= 20)) // 100
+            THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) END AS rank
+FROM scored""",
     "op1_decontamination": f"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS.format('text')}, []) AS w FROM documents),
 b AS (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark WHERE text IS NOT NULL),
