@@ -30,6 +30,25 @@ def _runs(table: str, key: str) -> str:
 
 
 ORACLE = {
+    "op2_language": f"""
+WITH {_CRC_TABLE},
+docs AS MATERIALIZED (SELECT doc_id, lang, ' ' || lower(text) || ' ' AS x, coalesce(regexp_matches(text, '\\pL'), false) AS lettered,
+  {_crc("CAST(doc_id AS VARCHAR)")} % 4 = 2 AS held_out FROM documents, crc),
+cleaned AS MATERIALIZED (SELECT doc_id, lang, held_out, lettered, regexp_replace(x, '[^\\pL\\p{{Nl}}\\p{{No}}]+', ' ', 'g') AS x FROM docs),
+grams AS MATERIALIZED (SELECT doc_id, g, count(*) AS n FROM (
+  SELECT doc_id, unnest([substr(x, i, k) FOR i IN range(1, length(x) - k + 2)]) AS g FROM cleaned, (VALUES (1), (2), (3)) AS v(k) WHERE x IS NOT NULL)
+  WHERE g <> ' ' GROUP BY ALL),
+profiles AS MATERIALIZED (SELECT lang, g, r FROM (
+  SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, length(g), g) - 1 AS r
+  FROM grams JOIN cleaned USING (doc_id) WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g) WHERE r < 300),
+own AS MATERIALIZED (SELECT * FROM (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, length(g), g) - 1 AS r
+  FROM grams) WHERE r < 300),
+langs AS (SELECT DISTINCT lang AS name FROM profiles),
+far AS (SELECT own.doc_id, name, sum(CASE WHEN p.r IS NULL THEN 300 ELSE least(abs(p.r - own.r), 300) END) AS away, 300 * count(*) AS most
+  FROM own CROSS JOIN langs LEFT JOIN profiles p ON p.lang = name AND p.g = own.g GROUP BY ALL),
+best AS (SELECT doc_id, arg_min(name, struct_pack(a := away, b := name)) AS lang_pred, 1 - CAST(min(away) AS DOUBLE) / any_value(most) AS score FROM far GROUP BY doc_id)
+SELECT doc_id, held_out, CASE WHEN lettered THEN lang_pred ELSE 'und' END AS lang_pred, CASE WHEN lettered THEN score ELSE 0 END AS score
+FROM cleaned LEFT JOIN best USING (doc_id)""",
     "op12_spelling": f"""
 WITH RECURSIVE {_CRC_TABLE},
 runs AS (SELECT d, run, d || ':' || run AS k, count(*) AS c FROM (
