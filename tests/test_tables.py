@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,22 @@ def test_density_of_a_group_without_spread(spark):
     assert sum(r.label == "b" for r in rows) == 50
 
 
+@pytest.mark.parametrize("shape", ["normal", "gaps", "heavy", "few"])
+def test_density_against_all_kernels(spark, shape):
+    rng = np.random.default_rng(len(shape))
+    v = {
+        "normal": rng.normal(5, 2, 3000), "gaps": np.concatenate([rng.normal(0, 1e-3, 500), rng.normal(1, 1e-3, 500)]),
+        "heavy": rng.standard_cauchy(800), "few": np.array([1.0, 1.0, 2.5]),
+    }[shape]
+    df = spark.createDataFrame([("f", "a", float(x)) for x in v], "feature STRING, label STRING, value DOUBLE").repartition(4)
+    rows = sorted(insights.violin_density(df, grid=37).collect(), key=lambda r: r.step)
+    h = len(v) ** -0.2 * v.std(ddof=1)
+    x = np.linspace(v.min() - 2 * h, v.max() + 2 * h, 37)
+    want = np.exp(-(((x[:, None] - v[None]) / h) ** 2) / 2).sum(axis=1) / (len(v) * h * np.sqrt(2 * np.pi))
+    assert [r.step for r in rows] == list(range(37)) and np.allclose([r.x for r in rows], x)
+    assert np.allclose([r.density for r in rows], want, rtol=1e-8, atol=1e-12 * want.max())
+
+
 def test_missing_feature_columns_are_named(spark):
     df = spark.createDataFrame([(1.0, 2.0, "a"), (2.0, 5.0, "b")], "x DOUBLE, y DOUBLE, label STRING")
     _, saved = cleaning.clean_features(df)
