@@ -177,8 +177,11 @@ ORACLE: dict[str, str] = {
          "WHEN 'symmetric' THEN 100 * total / sum(total) OVER (PARTITION BY learner) ELSE n END", "importance", 6) + " FROM w",
     "importance_totals": "SELECT learner, CAST(63 AS BIGINT) AS features, total, CAST(0 AS DOUBLE) AS of_constant "
     "FROM (VALUES ('levels', CAST(1 AS DOUBLE)), ('leaves', NULL), ('symmetric', CAST(100 AS DOUBLE))) AS t(learner, total)",
-    "write_feature_csv": f"WITH {MATRIX} SELECT CAST(label AS VARCHAR) AS label, count(*) AS images, "
-    "count(CASE WHEN isinf(f_02) THEN 1 END) AS infinite, count(*) - count(f_00) AS missing FROM m GROUP BY label",
+    "write_feature_csv": f"WITH {MATRIX} " + " UNION ALL ".join(
+        f"SELECT CAST(label AS VARCHAR) AS label, '{c}' AS feature, count(*) AS images, count(CASE WHEN isinf(CAST({c} AS DOUBLE)) THEN 1 END) AS infinite, "
+        f"count(*) - count({c}) AS missing, {_r(f'sum(CASE WHEN isfinite(CAST({c} AS DOUBLE)) THEN {c} END)', 'total', 6)} FROM m GROUP BY label"
+        for c in ["vec_id", *FEATURES]
+    ),
     "read_feature_csv": f"WITH {FINITE} SELECT vec_id, {_rs(FEATURES)} FROM k",
     "write_report_json": f"WITH {PRED}, {REPORT}, a AS (SELECT {_r('avg(CASE WHEN truth = prediction THEN 1.0 ELSE 0.0 END)', 'accuracy')} FROM p), "
     f"r AS (SELECT class, {_rs(['precision', 'recall', 'f1'])}, support FROM rep "
@@ -193,8 +196,8 @@ ORACLE: dict[str, str] = {
         f"SELECT CAST({i} AS BIGINT) AS position, '{n}' AS feature, count({f}) AS n, {_r(f'avg({f})', 'mean')} FROM m"
         for i, (n, f) in enumerate((("lbp_9", "f_05"), ("minor_axis_median", "f_06"), ("solidity_mean", "f_04")), 1)
     ),
-    "union_records": f"WITH {MATRIX} SELECT vec_id, CASE WHEN vec_id % 3 <> 1 THEN round(f_04, 9) + 0.0 END AS f_04, "
-    "CASE WHEN vec_id % 3 = 1 THEN round(f_05, 9) + 0.0 END AS f_05 FROM m",
+    "union_records": f"WITH {FINITE} SELECT vec_id, "
+    + ", ".join(_r(f"CASE WHEN vec_id % 3 {'<>' if i < 32 else '='} 1 THEN {c} END", c) for i, c in enumerate(FEATURES)) + " FROM k",
     "union_rows": "SELECT c_custkey AS party, c_acctbal AS balance, c_mktsegment AS segment FROM customer "
     "UNION ALL SELECT s_suppkey, s_acctbal, NULL FROM supplier",
     "images_left_features": f"WITH {MATRIX} SELECT vec_id, CAST(label AS VARCHAR) AS label, "
@@ -215,8 +218,9 @@ ORACLE: dict[str, str] = {
     + ", ".join(_r(f"coalesce({c}, (SELECT {c} FROM d WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1))", c, 6) for c in ("quality", "toxic"))
     + " FROM d",
     "impute_constant": f"WITH {DOCS} SELECT doc_id, lang, source, n_chars, {_r('coalesce(quality, -1)', 'quality', 6)}, {_r('coalesce(toxic, -1)', 'toxic', 6)} FROM d",
-    "standardize": "WITH f AS (SELECT avg(c_acctbal) AS a, stddev_pop(c_acctbal) AS s FROM customer) "
-    f"SELECT c_custkey, c_name, c_nationkey, {_r('(c_acctbal - a) / s', 'c_acctbal', 6)}, c_mktsegment FROM customer, f",
+    "standardize": "SELECT c_name, c_mktsegment, " + ", ".join(
+        _r(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()", c, 6) for c in ("c_custkey", "c_nationkey", "c_acctbal")
+    ) + " FROM customer",
     "clean_features": f"WITH {FINITE}, {_clean(_KEPT)} SELECT vec_id, {_scaled(_KEPT)}, CAST(label AS VARCHAR) AS label FROM filled, fit",
     "clean_parameters": f"WITH {FINITE}, {_clean(_KEPT)} " + " UNION ALL ".join(
         f"SELECT CAST({i} AS INTEGER) AS position, '{f}' AS feature, {'true' if f in _KEPT else 'false'} AS kept, "
@@ -233,7 +237,7 @@ ORACLE: dict[str, str] = {
     "SELECT vec_id, label, CAST((place - 1) % 5 AS INTEGER) AS fold FROM o",
     "holdout_score": f"WITH {PRED}, src AS (SELECT vec_id, truth AS label, prediction FROM p), {SPLIT} "
     f"SELECT {_r('avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END)', 'test_score', 6)}, count(*) AS test_rows FROM split WHERE is_test",
-    "align_columns": f"WITH {MATRIX} SELECT vec_id, {_rs(['f_06', 'f_04', 'f_05'])} FROM m",
+    "align_columns": f"WITH {FINITE} SELECT vec_id, {_rs(list(reversed(_KEPT)))} FROM k",
     "apply_saved_preprocessing": f"WITH {FINITE}, third AS MATERIALIZED (SELECT * FROM k WHERE vec_id % 3 = 0), "
     f"{_clean(_KEPT, 'third')} SELECT vec_id, {_scaled(_KEPT)} FROM filled, fit",
     "per_class_report": f"WITH {PRED}, {REPORT} SELECT class, {_rs(['precision', 'recall', 'f1'])}, support FROM rep",

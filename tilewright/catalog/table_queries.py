@@ -66,10 +66,10 @@ def default_features(spark, sf):
 
 def union_records(spark, sf):
     matrix = feature_matrix(spark, sf)
-    parts = [matrix.filter("vec_id % 3 = 0").select("vec_id", "f_04"),
-             matrix.filter("vec_id % 3 = 1").select("vec_id", "f_05"),
-             matrix.filter("vec_id % 3 = 2").select("f_04", "vec_id")]
-    return rounded(scoring.union_records(parts), 9)
+    parts = [matrix.filter("vec_id % 3 = 0").select("vec_id", *FEATURES[:32]),
+             matrix.filter("vec_id % 3 = 1").select("vec_id", *FEATURES[32:]),
+             matrix.filter("vec_id % 3 = 2").select(*reversed(FEATURES[:32]), "vec_id")]
+    return rounded(scalars.inf_to_null(scoring.union_records(parts), FEATURES), 9)
 
 
 def union_rows(spark, sf):
@@ -127,7 +127,8 @@ def impute_constant(spark, sf):
 
 
 def standardize(spark, sf):
-    return rounded(cleaning.standardize(table(spark, sf, "customer"), ["c_acctbal"]))
+    """All numeric columns of the customers."""
+    return rounded(cleaning.standardize(table(spark, sf, "customer")))
 
 
 def clean_features(spark, sf):
@@ -234,7 +235,9 @@ def training_metrics(spark, sf):
 
 
 def align_columns(spark, sf):
-    return rounded(scoring.align_columns(feature_matrix(spark, sf), ["f_06", "f_04", "f_05"], ["f_01"], ["vec_id"]), 9)
+    """All features but the dropped one, in reverse."""
+    wanted = [f for f in reversed(FEATURES) if f != "f_01"]
+    return rounded(scalars.inf_to_null(scoring.align_columns(feature_matrix(spark, sf), wanted, ["f_01"], ["vec_id"]), wanted), 9)
 
 
 def apply_saved_preprocessing(spark, sf):
@@ -266,12 +269,15 @@ def _folder(spark, name):
 
 
 def write_feature_csv(spark, sf):
-    """How the written file spells f_02 and missing values, counted by label."""
+    """How the written file spells every column, by label: infinite and missing values, and the sum of the others."""
     path = _folder(spark, "features")
     tables.write_feature_csv(feature_matrix(spark, sf), path)
-    return spark.read.option("header", True).csv(path).groupBy("label").agg(
-        F.expr("count(1) AS images"), F.expr("count_if(f_02 = 'inf') AS infinite"), F.expr("count_if(f_00 IS NULL) AS missing")
-    )
+    cells = ", ".join(f"struct('{c}' AS feature, `{c}` AS spelled)" for c in ["vec_id", *FEATURES])
+    long = spark.read.option("header", True).csv(path).selectExpr("label", f"inline(array({cells}))")
+    return rounded(long.groupBy("label", "feature").agg(
+        F.expr("count(1) AS images"), F.expr("count_if(spelled = 'inf') AS infinite"), F.expr("count_if(spelled IS NULL) AS missing"),
+        F.expr("sum(CASE WHEN spelled <> 'inf' THEN CAST(spelled AS DOUBLE) END) AS total"),
+    ))
 
 
 def read_feature_csv(spark, sf):
