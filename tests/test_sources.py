@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import struct
+from pathlib import Path
 
 import pytest
 
@@ -126,3 +127,40 @@ def test_run_and_scoring_from_a_feature_file(spark, sf, tmp_path):
 def test_unknown_scope(spark, tmp_path):
     with pytest.raises(ValueError):
         run_all(spark, "nowhere", str(tmp_path), scope="some")
+
+
+def test_stopped_run_goes_on(spark, sf, tmp_path, monkeypatch):
+    from tilewright.plans import end_to_end
+    from tilewright.session import shared_dir
+
+    cells = ", ".join(f"CAST(embedding[{i}] + 5 * (label % 2) AS DOUBLE) AS a{i}" for i in range(4))
+    table = spark.read.parquet(f"{sf}/embeddings.parquet").limit(80).selectExpr("vec_id AS image_id", *cells.split(", "), "label % 2 AS label")
+    table = spark.createDataFrame(table.collect(), table.schema)
+    settings = StackSettings(n_estimators=2, depth=2, folds=2, final_iterations=5, learners=(LEVELS, LEAVES))
+    before = {p for p in Path(shared_dir(spark)).rglob("*") if p.is_dir()}
+    calls = []
+
+    def once(name, fails):
+        real = getattr(end_to_end, name)
+
+        def run(*args, **kwargs):
+            calls.append(name)
+            if fails and calls.count(name) == 1:
+                raise RuntimeError("stopped")
+            return real(*args, **kwargs)
+
+        monkeypatch.setattr(end_to_end, name, run)
+
+    for name, fails in (("clean_features", False), ("train_stacking", True), ("violin_summary", True)):
+        once(name, fails)
+    run = lambda df=table: end_to_end.run_features(df, str(tmp_path / "out"), settings, top_features=2)
+    for _ in range(2):
+        with pytest.raises(RuntimeError, match="stopped"):
+            run()
+    out = run()
+    assert calls == ["clean_features", "train_stacking", "train_stacking", "violin_summary", "violin_summary"]
+    first = sorted(map(tuple, out["predictions"].collect()))
+    assert sorted(map(tuple, run()["predictions"].collect())) == first and len(first) == 80 and len(calls) == 5
+    # Another input starts anew.
+    assert run(table.filter("image_id > 5"))["predictions"].count() == 80 - table.filter("image_id <= 5").count() and len(calls) == 8
+    assert {p for p in Path(shared_dir(spark)).rglob("*.parquet") if not any(b in p.parents for b in before)} == set()

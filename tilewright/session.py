@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+#: Folders written since each open ``intermediates`` began, innermost last.
+_open_scopes: list[list[str]] = []
 
 
 def build_session(app_name: str = "tilewright", master: str | None = None, **settings: str) -> SparkSession:
@@ -52,5 +56,38 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tilewright-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if _open_scopes:
+        _open_scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _located(spark: SparkSession, path: str):
+    """(file system, path) as the cluster sees them."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, found = _located(spark, path)
+    return system.exists(found)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the library's own, if it is there."""
+    system, found = _located(spark, path)
+    system.delete(found, True)
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Removes what ``cut_lineage`` writes within, at the end.
+
+    Whatever is still wanted of it must have been written elsewhere by then.
+    """
+    _open_scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _open_scopes.pop():
+            remove(spark, path)
