@@ -23,6 +23,8 @@ from tilewright.llm.shared import hinted, map_batches, written
 
 #: Bytes of distinct text that one table may hold.
 TABLE_BYTES = 32 << 20
+#: What an entry takes besides its text: the objects, the hash and its share of the slots.
+ENTRY_BYTES = 160
 
 
 class Table:
@@ -45,7 +47,7 @@ class Table:
         entry = self.slots[at] = len(self.texts)
         self.hashes.append(h)
         self.texts.append(text)
-        self.size += len(text)
+        self.size += len(text) + ENTRY_BYTES
         if 2 * len(self.texts) > len(self.slots):
             self._grow()
         return entry
