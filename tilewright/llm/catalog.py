@@ -78,7 +78,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url under the five rules."""
-    rules = spark.createDataFrame(list(URL_RULES), "host STRING, path STRING, verdict STRING")
+    rules = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, URL_RULES))} AS t(host, path, verdict)")
     return judged_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 

@@ -91,13 +91,16 @@ def _swept(keys: DataFrame, rules: DataFrame) -> DataFrame:
 def judged_urls(urls: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT) -> DataFrame:
     """``urls`` with ``host, path, rule, verdict``; ``rules`` has host, path and verdict.
 
-    ``urls`` needs a column ``url`` and none of the four names. Rule tables are
-    lists a person keeps: their distinct path lengths are collected.
+    ``urls`` needs a column ``url``; columns that have one of the four names are
+    replaced, all others stay. Without rules every url gets the default. Rule
+    tables are lists a person keeps: their distinct path lengths are collected.
     """
     rules = written(_intervals(rules), "url-rules")
     lengths = sorted(r[0] for r in rules.selectExpr("length(path) AS n").distinct().collect())
     longest = max(lengths, default=0)
-    named = split_url(urls).withColumn("prefix", F.expr(f"substr(path, 1, {longest})"))
+    # All columns ride along in one, so that no name can clash.
+    whole = urls.select(F.struct(*[F.col(f"`{c}`") for c in urls.columns]).alias("_row"), "url")
+    named = split_url(whole).withColumn("prefix", F.expr(f"substr(path, 1, {longest})"))
     listed = ", ".join(map(str, lengths))
     sites = named.filter("host <> ''").select("host", "prefix").distinct()
     probes = sites.withColumn("n", F.expr(f"explode(filter(CAST(array({listed}) AS ARRAY<INT>), n -> n <= length(prefix)))"))
@@ -108,6 +111,5 @@ def judged_urls(urls: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDIC
     )
     best = best.withColumnsRenamed({"host": "_host", "prefix": "_prefix"})
     out = named.join(best, (named["host"] == best["_host"]) & (named["prefix"] == best["_prefix"]), "left")
-    return out.withColumns({
-        "rule": F.expr("best.rule"), "verdict": F.expr(f"coalesce(best.verdict, '{default}')"),
-    }).drop("prefix", "best", "_host", "_prefix")
+    own = [F.col("_row")[c].alias(c) for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
+    return out.select(*own, "host", "path", F.expr("best.rule AS rule"), F.expr(f"coalesce(best.verdict, '{default}') AS verdict"))
