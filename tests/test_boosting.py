@@ -188,3 +188,34 @@ def test_tables_without_rows_or_labels(spark):
     one = df.withColumn("label", F.lit("only"))
     model = modelling.fit_base(one, FEATURES, "id", "label", SETTINGS)
     assert model.nodes.count() == 0 and {r["levels_prediction"] for r in model.predict_each(one).collect()} == {"only"}
+
+
+@pytest.mark.parametrize("packed", [0, 1 << 30])
+def test_histograms_against_sums(monkeypatch, packed):
+    monkeypatch.setattr(boosting, "PACKED_ROWS", packed)
+    rng = np.random.default_rng(5)
+    bins, target = rng.integers(0, 6, (400, 5)).astype(np.uint8), rng.integers(0, 3, 400)
+    weights = boosting._gradients_by_tree(rng.normal(size=(400, 3)), target, 3)
+    node = rng.integers(0, 4, (3, 400)).astype(np.uint16)
+    node[2] = 0
+    pairs = boosting._pairs(bins, 6)
+    above, _ = boosting.histograms(bins, pairs, weights, node // 2, 2, 6)
+    whole, counts = boosting.histograms(bins, pairs, weights, node, 4, 6)
+    rest, _ = boosting.histograms(bins, pairs, weights, node, 4, 6, above)
+    for kind, feature, tree, at, cell in np.ndindex(whole.shape):
+        assert whole[kind, feature, tree, at, cell] == weights[kind][tree][(node[tree] == at) & (bins[:, feature] == cell)].sum()
+    assert (whole == rest).all() and counts.tolist() == [[int((n == at).sum()) for at in range(4)] for n in node]
+
+
+def test_a_fit_of_several_blocks_is_one_job(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 40)
+    x, y = grid(130)
+    whole, _ = boost(frame(spark, x, y, lambda i: [(0, True)]), FEATURES, "id", 3, 1, LEARNERS, rounds=2, depth=2)
+    monkeypatch.setattr(boosting, "ALONE_BLOCKS", 0)
+    cut, _ = boost(frame(spark, x, y, lambda i: [(0, True)]), FEATURES, "id", 3, 1, LEARNERS, rounds=2, depth=2)
+    assert (whole.trees.value == cut.trees.value).all()
+    monkeypatch.undo()
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(boosting, "_level_job", None)
+    again, _ = boost(frame(spark, x, y, lambda i: [(0, True)]), FEATURES, "id", 3, 1, LEARNERS, rounds=2, depth=2)
+    assert (whole.trees.value == again.trees.value).all()
