@@ -173,3 +173,21 @@ def test_strips_of_one_image_reach_several_tasks(spark, rasters):
     assert len(found) == 32 and len({r.p for r in found}) > 1
     assert max(len(r.green) for r in found) <= (2 + 2) * 4
     assert all(r.green[(1 if r.r0 else 0) * 4] == grid[r.r0][0] for r in found)
+
+
+def test_small_images_count_their_borders_in_the_budget(monkeypatch):
+    import pyarrow as pa
+
+    from tilewright.operators import texture
+
+    n, h, w, filters = 300, 4, 5, [gabor_taps(0.1, 0.0), gabor_taps(0.2, math.pi / 4)]
+    reach = max(len(taps) // 2 for pair in filters for taps in pair)
+    values = np.random.default_rng(6).integers(0, 255, n * h * w).astype(np.int16)
+    gray = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (h * w)), pa.array(values))
+    columns = [gray, *(pa.array(np.full(n, v, np.int32)) for v in (h, w, 0, 0, h))]
+    whole = texture._gabor_udf(filters).func(*columns).to_pylist()
+    sizes, moments = [], texture._gabor_moments
+    monkeypatch.setattr(texture, "_gabor_moments", lambda stack, *rest: sizes.append(len(stack)) or moments(stack, *rest))
+    budget = 20 * (h + 2 * reach) * (w + 2 * reach)
+    assert texture._gabor_udf(filters, budget).func(*columns).to_pylist() == whole
+    assert sum(sizes) == n and max(sizes) <= 20

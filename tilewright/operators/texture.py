@@ -344,7 +344,12 @@ def _gabor_moments(stack, h: int, top: int, r0: int, n_rows: int, filters):
 
 
 def _gabor_udf(filters, budget: int = 1_000_000):
-    """Arrow function over strips: array of (mean, centred square sum) per filter."""
+    """Arrow function over strips: array of (mean, centred square sum) per filter.
+
+    At most ``budget`` values, the mirrored border included, are worked on at
+    a time, or one strip: small images have more border than pixels.
+    """
+    reach = max(len(taps) // 2 for pair in filters for taps in pair)
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def moments(gray, h, w, top, r0, n_rows):
@@ -359,7 +364,7 @@ def _gabor_udf(filters, budget: int = 1_000_000):
             height, width, first, own, count = (int(x) for x in shape)
             members = np.flatnonzero((shapes == shape).all(axis=1))
             size = int(starts[members[0] + 1] - starts[members[0]])
-            step = max(1, budget // size)
+            step = max(1, budget // ((count + 2 * reach) * (width + 2 * reach)))
             for at_ in range(0, len(members), step):
                 part = members[at_ : at_ + step]
                 stack = values[starts[part][:, None] + np.arange(size)].astype(float)
