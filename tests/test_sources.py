@@ -164,3 +164,24 @@ def test_stopped_run_goes_on(spark, sf, tmp_path, monkeypatch):
     # Another input starts anew.
     assert run(table.filter("image_id > 5"))["predictions"].count() == 80 - table.filter("image_id <= 5").count() and len(calls) == 8
     assert {p for p in Path(shared_dir(spark)).rglob("*.parquet") if not any(b in p.parents for b in before)} == set()
+
+
+def test_folders_are_listed_once_and_read_by_few_tasks(spark, tmp_path, monkeypatch):
+    from tilewright.sources import images
+
+    for label, names in (("1", [f"{i}.tif" for i in range(90)]), ("_2", ["x.TIFF"]), ("3", ["no.png"])):
+        (tmp_path / "c" / label).mkdir(parents=True)
+        for name in names:
+            (tmp_path / "c" / label / name).write_bytes(tiff_bytes(2, 2, crop(1, 2, 2)))
+    monkeypatch.setattr(images, "TASKS_PER_CORE", 1)
+    # Files that cost more to open than a task may take are one task each, unless put together.
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 28))
+    try:
+        found = images.scan_labelled_images(spark, str(tmp_path / "c"))
+        assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert sorted(r.label for r in found.select("label").collect()) == ["1"] * 90 + ["_2"]
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    (tmp_path / "none" / "1").mkdir(parents=True)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        images.scan_labelled_images(spark, str(tmp_path / "none"))

@@ -42,14 +42,30 @@ def _plain_path(origin):
     return F.url_decode(F.replace(origin, F.lit("+"), F.lit("%2B")))
 
 
+#: Tasks per core that read a folder, at most; small files would make a task of every few dozen.
+TASKS_PER_CORE = 16
+
+
+def labelled_files(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    """Files of TIFF-like name below the folders of ``root``, at any depth, through a file source.
+
+    Folders are listed, no file is looked up by itself. A folder without such
+    files is an error.
+    """
+    reader, pattern = spark.read.format(kind), "*.[tT][iI][fF]*"
+    below = reader.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(f"{root.rstrip('/')}/*")
+    if below.isEmpty():
+        return spark.read.format(kind).load(f"{root.rstrip('/')}/*/{pattern}")
+    return below.coalesce(TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+
+
 def scan_labelled_images(spark: SparkSession, root: str) -> DataFrame:
     """TIFF files at ``<root>/<label>/<file>``, suffix in any case.
 
     Columns ``image_id`` (the path), ``label`` (the folder) and Spark's ``image``
     struct. Unreadable files are kept.
     """
-    # The glob also lists folders with a TIFF-like name, so depth is checked on top.
-    images = spark.read.format("image").load(f"{root.rstrip('/')}/*/*.[tT][iI][fF]*")
+    images = labelled_files(spark, root, "image")
     path = _plain_path(F.col("image.origin"))
     depth = F.size(F.split(F.regexp_replace("image_id", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/"))
     return (

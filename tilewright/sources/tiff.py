@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators.raster import STRIP_PIXELS, cut_strips
 from tilewright.session import cut_lineage
-from tilewright.sources.images import TIFF_NAME, _folder_depth, read_rasters
+from tilewright.sources.images import TIFF_NAME, _folder_depth, labelled_files, read_rasters
 
 _WIDTH, _HEIGHT, _BITS, _COMPRESSION, _MEANING, _OFFSETS = 256, 257, 258, 259, 262, 273
 _SAMPLES, _ROWS, _COUNTS, _PLANES, _PREDICTOR, _TILES = 277, 278, 279, 284, 317, 322
@@ -131,7 +131,7 @@ def scan_layouts(spark: SparkSession, root: str) -> DataFrame:
 
     Only directories are read. Files that are not TIFF or cut off have ``ok`` false.
     """
-    names = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*.[tT][iI][fF]*").select("path")
+    names = labelled_files(spark, root, "binaryFile").select("path")
     # Named like the image reader's files once those are decoded.
     path = F.regexp_replace("path", "^file:/+", "file:///")
     depth = F.size(F.split(F.regexp_replace("image_id", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/"))
