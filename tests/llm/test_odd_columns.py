@@ -114,3 +114,15 @@ def test_labels_that_disagree_are_settled(spark):
     plain = toxicity.learn(docs_of(spark, texts), spark.createDataFrame(labels[:120], "doc_id BIGINT, toxic INT"), epochs=1)
     for other in (two, plain):
         assert np.array_equal(one.rows, other.rows) and np.array_equal(one.out, other.out)
+
+
+def test_all_labelled_rows_teach(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["sun", "tree", "road", "milk", "gold"], 9)) + (" vile" if i % 4 == 0 else "") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id BIGINT, toxic INT")
+    whole = toxicity.learn(docs_of(spark, texts), labels, epochs=3)
+    alone = toxicity.fit([(texts[i].encode(), int(i % 4 == 0), None) for i in sorted(range(400), key=str)], epochs=3)
+    unseen = [toxicity.bucketed(t) for t in (b"sun gold milk", b"milk vile road", b"")]
+    assert np.allclose(toxicity.scores(whole, unseen), toxicity.scores(alone, unseen), atol=1e-5)
+    shared = toxicity.learn(docs_of(spark, texts), labels, part_rows=100, epochs=3)
+    assert (toxicity.scores(shared, unseen) >= 0.5).tolist() == [False, True, False]

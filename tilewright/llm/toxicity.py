@@ -4,12 +4,14 @@ A word's embedding is the sum of hashed rows: two for the word, so that other
 words share both only if both hashes collide, and one for each of its
 beginnings of 4, 5, 6 and 8 bytes, so that forms of one stem are related. Filters of several widths slide over
 the whole text; each filter's maximum is kept, and a logistic layer weighs the
-maxima. The network is trained in numpy on a bounded sample of labelled rows.
+maxima. The network is trained in numpy on all labelled rows: these are dealt to
+parts of about ``PART_ROWS``, every part trains in a task of its own, and after
+each pass the parts' networks are averaged.
 
 Thresholds are calibrated by language. The language is guessed from the text
-(naive Bayes over hashed words, learned from the same sample), and each
-language's logits are shifted so that its best threshold on held-back rows of
-the sample scores 0.5; languages with too few such rows use the common one.
+(naive Bayes over hashed words, counted over all rows that teach), and each
+language's logits are shifted so that its best threshold on held-back rows, a
+fifth of all, scores 0.5; languages with too few such rows use the common one.
 
 Null and empty texts are scored as a text without words. Rows are scored one
 by one, repeated or not. Rows with a null label teach nothing.
@@ -20,9 +22,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.llm.shared import hinted, map_batches
 from tilewright.llm.words import mix, word_parts
 
 BUCKETS = 1 << 17
@@ -31,9 +35,10 @@ ROWS = 2 + len(PREFIXES)
 DIM = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 12
-#: At most about so many labelled rows of each label are learned from.
-SAMPLE = 3_000
-EPOCHS = 12
+#: Labelled rows that one task trains on, about.
+PART_ROWS = 8_000
+#: Passes over the rows, by one part and by each of several.
+EPOCHS, SHARED_EPOCHS = 12, 4
 #: Held-back rows of the rarer label that a language needs for a threshold of its own.
 LEAST = 25
 _SALT = np.arange(1, 1 + len(PREFIXES), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -122,9 +127,8 @@ def scores(model: Model, docs: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _trained(docs, labels: np.ndarray, epochs: int, seed: int) -> Model:
-    """Minibatch training; only the positions of the maxima carry gradients."""
-    rng = np.random.default_rng(seed)
+def _untrained(rng: np.random.Generator) -> tuple[Model, dict, list[np.ndarray]]:
+    """A network before training, and the sums of squared steps that training keeps."""
     total = FILTERS * len(WIDTHS)
     model = Model(
         rng.normal(0, 0.06, (BUCKETS, DIM)).astype(np.float32),
@@ -133,10 +137,37 @@ def _trained(docs, labels: np.ndarray, epochs: int, seed: int) -> Model:
         np.zeros((BUCKETS, 1), np.float32), np.zeros(1),
     )
     model.rows[0] = 0
+    sums = {"rows": np.zeros(BUCKETS), "out": np.zeros(total), "bias": np.zeros(total), "constant": np.zeros(1)}
+    return model, sums, [np.zeros_like(f) for f in model.filters]
+
+
+def _flat(model: Model, sums: dict, filter_sums: list[np.ndarray]) -> np.ndarray:
+    """A network and its sums as one vector."""
+    arrays = [model.rows, *model.filters, model.bias, model.out, np.array([model.constant]), *sums.values(), *filter_sums]
+    return np.concatenate([np.asarray(x, np.float32).ravel() for x in arrays])
+
+
+def _unflat(flat: np.ndarray) -> tuple[Model, dict, list[np.ndarray]]:
+    model, sums, filter_sums = _untrained(np.random.default_rng(0))
+    at = 0
+
+    def take(like):
+        nonlocal at
+        at += np.size(like)
+        return flat[at - np.size(like) : at].reshape(np.shape(like)).astype(like.dtype)
+
+    model.rows, model.filters = take(model.rows), [take(f) for f in model.filters]
+    model.bias, model.out, model.constant = take(model.bias), take(model.out), float(take(np.zeros(1))[0])
+    sums = {key: take(x) for key, x in sums.items()}
+    return model, sums, [take(f) for f in filter_sums]
+
+
+def _trained(docs, labels: np.ndarray, epochs: int, seed: int, state=None) -> tuple[Model, dict, list[np.ndarray]]:
+    """Minibatch training, maybe on from a state; only the positions of the maxima carry gradients."""
+    rng = np.random.default_rng(seed)
+    model, sums, filter_sums = state or _untrained(rng)
     positive = max(1, int(labels.sum()))
     weight = np.where(labels == 1, (len(labels) - positive) / positive if positive < len(labels) else 1.0, 1.0)
-    sums = {"rows": np.zeros(BUCKETS), "out": np.zeros(total), "bias": np.zeros(total), "constant": np.zeros(1)}
-    filter_sums = [np.zeros_like(f) for f in model.filters]
 
     def step(grad, key, rate=0.1):
         sums[key] += grad**2
@@ -173,7 +204,7 @@ def _trained(docs, labels: np.ndarray, epochs: int, seed: int) -> Model:
             grad[used == 0] = 0
             sums["rows"][used] += (grad**2).mean(axis=1)
             model.rows[used] -= (0.1 * grad / (np.sqrt(sums["rows"][used])[:, None] + 1e-6)).astype(np.float32)
-    return model
+    return model, sums, filter_sums
 
 
 def _threshold(z: np.ndarray, labels: np.ndarray) -> float:
@@ -190,53 +221,163 @@ def _threshold(z: np.ndarray, labels: np.ndarray) -> float:
     return float((edges[cut] + edges[cut + 1]) / 2)
 
 
-def fit(rows: list[tuple[bytes | None, int, str | None]], epochs: int = EPOCHS, seed: int = 11) -> Model:
-    """A model from (text, label, language) rows; a fifth of them sets the thresholds."""
-    docs = [bucketed(text) for text, _, _ in rows]
-    labels = np.array([label for _, label, _ in rows], float)
-    names = sorted({lang for _, _, lang in rows if lang is not None})
-    back = np.arange(len(rows)) % 5 == 4
-    teach = np.flatnonzero(~back)
-    model = _trained([docs[i] for i in teach], labels[teach], epochs, seed)
-    counts = np.full((BUCKETS, max(1, len(names))), 0.1)
-    for i in teach:
-        if rows[i][2] is not None:
-            np.add.at(counts[:, names.index(rows[i][2])], docs[i][:, 0], 1)
+def _word_counts(docs, langs, names: list[str]) -> np.ndarray:
+    """Words of each bucket, by language."""
+    counts = np.zeros((BUCKETS, max(1, len(names))))
+    for words, lang in zip(docs, langs):
+        if lang is not None:
+            np.add.at(counts[:, names.index(lang)], words[:, 0], 1)
+    return counts
+
+
+def _with_words(model: Model, counts: np.ndarray) -> Model:
+    counts = counts + 0.1
     counts[0] = 1
     model.words = np.log(counts / counts.sum(axis=0)).astype(np.float32)
-    held = [docs[i] for i in np.flatnonzero(back)]
-    truth = labels[back]
+    return model
+
+
+def _judged(model: Model, docs) -> tuple[np.ndarray, np.ndarray]:
+    """Logit and guessed language of each document."""
+    parts = [(logits(model, docs[part]), languages(model, docs[part])) for part in _chunks(docs)]
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0), np.zeros(0, int))
+
+
+def _calibrated(model: Model, z: np.ndarray, spoken: np.ndarray, truth: np.ndarray, names: list[str]) -> Model:
+    """The model with the thresholds that suit the held-back rows."""
+    model.shifts = np.zeros(max(1, len(names)))
     if min(truth.sum(), (1 - truth).sum()) >= LEAST:
-        z = np.concatenate([logits(model, held[part]) for part in _chunks(held)])
-        spoken = np.concatenate([languages(model, held[part]) for part in _chunks(held)])
         common = _threshold(z, truth)
-        model.shifts = np.full(max(1, len(names)), common)
+        model.shifts += common
         for k in range(len(names)):
             own = spoken == k
             if min(truth[own].sum(), (1 - truth[own]).sum()) >= LEAST:
                 model.shifts[k] = _threshold(z[own], truth[own])
         model.scale = 4 / max(1e-3, float(np.abs(z - common).mean()))
-    else:
-        model.shifts = np.zeros(max(1, len(names)))
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> Model:
-    """Fits on a hashed sample of about ``sample`` rows of each label.
+def _held_back(n: int) -> np.ndarray:
+    """Which rows of a part set thresholds instead of teaching."""
+    return np.arange(n) % 5 == 4
+
+
+def fit(rows: list[tuple[bytes | None, int, str | None]], epochs: int = EPOCHS, seed: int = 11) -> Model:
+    """A model from (text, label, language) rows; a fifth of them sets the thresholds."""
+    docs = [bucketed(text) for text, _, _ in rows]
+    labels = np.array([label for _, label, _ in rows], float)
+    names = sorted({lang for _, _, lang in rows if lang is not None})
+    back = _held_back(len(rows))
+    teach = np.flatnonzero(~back)
+    model, _, _ = _trained([docs[i] for i in teach], labels[teach], epochs, seed)
+    _with_words(model, _word_counts([docs[i] for i in teach], [rows[i][2] for i in teach], names))
+    return _calibrated(model, *_judged(model, [docs[i] for i in np.flatnonzero(back)]), labels[back], names)
+
+
+#: Slices of a network that are averaged each on its own.
+SLICES = 32
+
+
+def _by_part(parted: DataFrame, each, schema: str) -> DataFrame:
+    """What ``each`` yields for a part, from its number, documents, labels and languages in order of ids."""
+
+    def run(batches):
+        found, number = [], None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text, number = batch.column("text")[i].as_py(), batch.column("part")[i].as_py()
+                found.append((str(batch.column("doc_id")[i].as_py()), bucketed(text), batch.column("toxic")[i].as_py(), batch.column("lang")[i].as_py()))
+        if found:
+            found.sort(key=lambda r: r[0])
+            _, docs, labels, langs = zip(*found)
+            yield from each(number, list(docs), np.array(labels, float), langs)
+
+    return map_batches(parted, run, schema)
+
+
+def _averaged(flats: DataFrame, mean: bool = True) -> np.ndarray:
+    """Mean or sum of vectors that come in slices ``place, part, piece``, added up in the order of parts."""
+
+    def add(batches):
+        held = {}
+        for batch in batches:
+            for place, part, piece in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                total, n = held.get(place, (0, 0))
+                held[place] = total + np.frombuffer(piece, np.float32).astype(float), n + 1
+        for place, (total, n) in sorted(held.items()):
+            yield [place], [(total / n if mean else total).tobytes()]
+
+    dealt = flats.repartition(SLICES, "place").sortWithinPartitions("place", "part")
+    found = sorted((r["place"], r["piece"]) for r in map_batches(dealt, add, "place INT, piece BINARY").collect())
+    return np.concatenate([np.zeros(0), *(np.frombuffer(piece) for _, piece in found)])
+
+
+def _sliced(number: int, flat: np.ndarray):
+    for place, piece in enumerate(np.array_split(np.asarray(flat, np.float32), SLICES)):
+        yield [place], [number], [piece.tobytes()]
+
+
+def learn(docs: DataFrame, labels: DataFrame, part_rows: int = PART_ROWS, epochs: int | None = None) -> Model:
+    """Fits on all labelled rows.
 
     ``docs`` has doc_id, text and lang, ``labels`` doc_id and toxic; null labels
-    and ids teach nothing. The sample is the only data that reaches the driver.
+    and ids teach nothing. The driver gets the averaged network after each
+    pass, word counts per bucket and language, and one logit per held-back row.
     """
     # A document labelled twice is toxic if one label says so.
     marked = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.expr("max(toxic) AS toxic"))
-    sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.expr("count(1) AS n")).collect()}
-    share = ", ".join(f"{label}, {min(1.0, sample / n)}D" for label, n in sorted(sizes.items())) or "0, 0D"
-    picked = marked.filter(f"pmod(xxhash64(doc_id), 1000000) < element_at(map({share}), toxic) * 1000000")
-    # At most a little over two samples of ids; of rows with one id, the least text.
-    rows = docs.join(F.broadcast(picked), "doc_id").selectExpr("doc_id", "toxic", "struct(CAST(text AS BINARY) AS text, lang) AS own")
-    found = rows.groupBy("doc_id", "toxic").agg(F.expr("min(own) AS own")).select("doc_id", "toxic", "own.*").collect()
-    found.sort(key=lambda r: (str(r["doc_id"]), bytes(r["text"] or b"")))
-    return fit([(bytes(r["text"]) if r["text"] is not None else None, int(r["toxic"]), r["lang"]) for r in found], epochs)
+    spark, parts = docs.sparkSession, -(-marked.count() // part_rows)
+    if not parts:
+        return fit([], 0)
+    passes = epochs or (EPOCHS if parts == 1 else SHARED_EPOCHS)
+    # Of rows with one id, the least text.
+    rows = docs.join(hinted(marked), "doc_id").selectExpr("doc_id", "toxic", "struct(CAST(text AS BINARY) AS text, lang) AS own")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.expr("min(own) AS own")).select("doc_id", "toxic", "own.*")
+    parted = rows.withColumn("part", F.expr(f"CAST(pmod(xxhash64(doc_id), {parts}) AS INT)")).repartitionById(parts, F.col("part"))
+    # Dealt once, read by every pass.
+    parted = parted.persist(StorageLevel.DISK_ONLY)
+    try:
+        return _learned(spark, parted, parts, passes)
+    finally:
+        parted.unpersist()
+
+
+def _learned(spark: SparkSession, parted: DataFrame, parts: int, passes: int) -> Model:
+    names = sorted(r["lang"] for r in parted.select("lang").distinct().collect() if r["lang"] is not None)
+    slices, state = "place INT, part INT, piece BINARY", _flat(*_untrained(np.random.default_rng(11)))
+    # One part takes all passes at once.
+    for number in range(passes if parts > 1 else 1):
+        shared = spark.sparkContext.broadcast(state)
+
+        def train(part, texts, truth, langs, number=number, shared=shared):
+            teach = np.flatnonzero(~_held_back(len(texts)))
+            start = _unflat(shared.value) if number else None
+            own = _trained([texts[i] for i in teach], truth[teach], 1 if parts > 1 else passes, 11 + number, start)
+            # Steps are sent, not places: words that a part does not have are zeros, which shrink.
+            yield from _sliced(part, _flat(*own) - shared.value)
+
+        steps = _averaged(_by_part(parted, train, slices))
+        if not len(steps):
+            return fit([], 0)
+        state = (state + steps).astype(np.float32)
+
+    def count(part, texts, truth, langs):
+        teach = np.flatnonzero(~_held_back(len(texts)))
+        yield from _sliced(part, _word_counts([texts[i] for i in teach], [langs[i] for i in teach], names).ravel())
+
+    words = _averaged(_by_part(parted, count, slices), mean=False).reshape(BUCKETS, -1)
+    model = _with_words(_unflat(state)[0], words)
+    ready = spark.sparkContext.broadcast(model)
+
+    def judge(part, texts, truth, langs):
+        back = np.flatnonzero(_held_back(len(texts)))
+        if len(back):
+            z, spoken = _judged(ready.value, [texts[i] for i in back])
+            yield z.astype(float), spoken.astype(np.int32), truth[back].astype(np.int32)
+
+    found = _by_part(parted, judge, "z DOUBLE, spoken INT, truth INT").toArrow()
+    z, spoken, truth = (found.column(i).to_numpy() for i in range(3))
+    return _calibrated(model, z, spoken, truth.astype(float), names)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
