@@ -278,19 +278,23 @@ def fit(rows: list[tuple[bytes | None, int, str | None]], epochs: int = EPOCHS,
 SLICES = 32
 
 
-def _by_part(parted: DataFrame, each, schema: str) -> DataFrame:
-    """What ``each`` yields for a part, from its number, documents, labels and languages in order of ids."""
+def _by_part(parted: DataFrame, each, schema: str, read=bucketed) -> DataFrame:
+    """What ``each`` yields for a part, from its number, texts as ``read``, labels and languages in order of ids."""
 
     def run(batches):
-        found, number = [], None
+        # Of rows with one id, the least text; nulls are least.
+        found, number = {}, None
         for batch in batches:
             for i in range(batch.num_rows):
-                text, number = batch.column("text")[i].as_py(), batch.column("part")[i].as_py()
-                found.append((str(batch.column("doc_id")[i].as_py()), bucketed(text), batch.column("toxic")[i].as_py(), batch.column("lang")[i].as_py()))
+                doc_id, text, toxic, lang, number = (batch.column(c)[i].as_py() for c in ("doc_id", "text", "toxic", "lang", "part"))
+                key = (text is not None, text or b"", lang is not None, (lang or "").encode())
+                if doc_id not in found or key < found[doc_id][0]:
+                    found[doc_id] = key, text, toxic, lang
         if found:
-            found.sort(key=lambda r: r[0])
-            _, docs, labels, langs = zip(*found)
-            yield from each(number, list(docs), np.array(labels, float), langs)
+            order = sorted(found, key=str)
+            texts, labels, langs = ([found[i][k] for i in order] for k in (1, 2, 3))
+            found.clear()
+            yield from each(number, [read(t) for t in texts], np.array(labels, float), langs)
 
     return map_batches(parted, run, schema)
 
@@ -330,9 +334,7 @@ def learn(docs: DataFrame, labels: DataFrame, part_rows: int = PART_ROWS, epochs
     if not parts:
         return fit([], 0)
     passes = epochs or (EPOCHS if parts == 1 else SHARED_EPOCHS)
-    # Of rows with one id, the least text.
-    rows = docs.join(hinted(marked), "doc_id").selectExpr("doc_id", "toxic", "struct(CAST(text AS BINARY) AS text, lang) AS own")
-    rows = rows.groupBy("doc_id", "toxic").agg(F.expr("min(own) AS own")).select("doc_id", "toxic", "own.*")
+    rows = docs.join(hinted(marked), "doc_id").selectExpr("doc_id", "toxic", "CAST(text AS BINARY) AS text", "lang")
     parted = rows.withColumn("part", F.expr(f"CAST(pmod(xxhash64(doc_id), {parts}) AS INT)")).repartitionById(parts, F.col("part"))
     # Dealt once, read by every pass.
     parted = parted.persist(StorageLevel.DISK_ONLY)
@@ -343,7 +345,11 @@ def learn(docs: DataFrame, labels: DataFrame, part_rows: int = PART_ROWS, epochs
 
 
 def _learned(spark: SparkSession, parted: DataFrame, parts: int, passes: int) -> Model:
-    names = sorted(r["lang"] for r in parted.select("lang").distinct().collect() if r["lang"] is not None)
+    def known(part, texts, truth, langs):
+        yield (sorted({lang for lang in langs if lang is not None}),)
+
+    found = _by_part(parted, known, "lang STRING", read=bool)
+    names = sorted(r["lang"] for r in found.distinct().collect())
     slices, state = "place INT, part INT, piece BINARY", _flat(*_untrained(np.random.default_rng(11)))
     # One part takes all passes at once.
     for number in range(passes if parts > 1 else 1):
