@@ -8,14 +8,16 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from tests.llm.test_exact import ODD, docs_of, words
 from tilewright.llm import catalog, toxicity
 from tilewright.llm.dart_minhash import near_classes, signatures, similarities
-from tilewright.llm.language import identified, learn, ranked
+from tilewright.llm.language import _counted, codes, identified, learn, ranked
 from tilewright.llm.token_frames import Encoder, FrameReader, FrameWriter, read_tokens, write_tokens
+from tilewright.llm.words import distinct_parts, word_parts
 
 
 # ---------------------------------------------------------------- near duplicates
@@ -129,6 +131,37 @@ def test_toxicity_of_odd_rows(spark):
 # ---------------------------------------------------------------- token files
 
 
+def test_repeated_words_meet_the_filters_once(monkeypatch):
+    rng = random.Random(4)
+    texts = [None, b"", b"one", b"One tWo \xc3\xa9t\xc3\xa9 two", b"w " * 5000, *(words(rng, 300).encode() for _ in range(20)), b"x" * 3000, b" . "]
+    plain = [word_parts(t, toxicity.PREFIXES) for t in texts]
+    for piece, slots in ((1 << 18, 1 << 17), (64, 4)):
+        monkeypatch.setattr("tilewright.llm.words.PIECE", piece)
+        monkeypatch.setattr("tilewright.llm.words.SLOTS", slots)
+        parts, place, lengths = distinct_parts(texts, toxicity.PREFIXES)
+        assert lengths.tolist() == [len(x) for x in plain]
+        assert np.array_equal(parts[place], np.concatenate(plain))
+    monkeypatch.undo()
+    assert len(toxicity.looked_up([b"sun gold " * 2000])[0]) == 2
+    model = toxicity.fit([(b"bad idiot", 1, "en"), (b"nice day", 0, "de")] * 20, epochs=2)
+    one_by_one = np.concatenate([toxicity.scores(model, [toxicity.bucketed(t)]) for t in texts])
+    assert np.allclose(toxicity._calibrated_scores(model, toxicity.looked_up(texts)), one_by_one, atol=1e-6)
+
+
+def test_ngrams_are_counted_in_small_lots():
+    texts = ["sun gold milk " * 40, "a b", "", "milk road " * 30, "b\u00e9 " * 20]
+    batch = pa.record_batch([pa.array(["en", "de", "de", "en", "en"]), pa.array(texts)], names=["lang", "text"])
+    want = Counter((n, int(g)) for n, t in zip(batch.column(0).to_pylist(), texts) for part in codes(t) for g in part)
+    for most, lots in ((10**6, 2), (200, 2), (3, 5)):
+        found = list(_counted(iter([batch, batch]), most))
+        got = Counter()
+        for names, grams, counts in found:
+            got.update({(n, g): c for n, g, c in zip(names, grams.tolist(), counts.tolist())})
+        assert got == Counter({k: 2 * n for k, n in want.items()})
+        # A language's n-grams leave a task once, unless too many are distinct.
+        assert len(found) == lots if most > 3 else len(found) > lots
+
+
 def test_remembered_words_change_no_id():
     from tokenizers import Tokenizer
 

@@ -29,6 +29,8 @@ SAMPLE = 20_000
 UNDETERMINED = "und"
 #: Characters whose n-grams are laid out at once.
 STRETCH = 1 << 18
+#: N-grams of a language that a task holds before it counts them, and distinct ones before it passes them on.
+GRAMS = 500_000
 _OTHER = re.compile(r"[\W\d_]+")
 _BITS = 21
 
@@ -77,12 +79,25 @@ def ranked(text: str, size: int = PROFILE) -> np.ndarray:
     return values[np.argsort(-counts, kind="stable")][:size]
 
 
-def _counted(batches):
-    """How often each n-gram occurs, per language and about two million characters."""
+def _counted(batches, most: int = GRAMS):
+    """How often each n-gram occurs, per language and task; if many are distinct, in several parts."""
     held: dict[str, list[np.ndarray]] = {}
+    sizes: dict[str, int] = {}
+    totals: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
-    def settled(name):
+    def settle(name):
         values, counts = np.unique(np.concatenate(held.pop(name)), return_counts=True)
+        sizes.pop(name)
+        if name in totals:
+            both, place = np.unique(np.concatenate([totals[name][0], values]), return_inverse=True)
+            summed = np.zeros(len(both), np.int64)
+            summed[place[: len(totals[name][0])]] = totals[name][1]
+            summed[place[len(totals[name][0]) :]] += counts
+            values, counts = both, summed
+        totals[name] = values, counts
+
+    def passed_on(name):
+        values, counts = totals.pop(name)
         return [name] * len(values), values, counts
 
     for batch in batches:
@@ -90,10 +105,15 @@ def _counted(batches):
         for i, name in enumerate(batch.column(0).to_pylist()):
             for part in codes(texts[i].as_py()):
                 held.setdefault(name, []).append(part)
-                if sum(map(len, held[name])) > 6_000_000:
-                    yield settled(name)
+                sizes[name] = sizes.get(name, 0) + len(part)
+                if sizes[name] > most:
+                    settle(name)
+                    if len(totals[name][0]) > most:
+                        yield passed_on(name)
     for name in list(held):
-        yield settled(name)
+        settle(name)
+    for name in list(totals):
+        yield passed_on(name)
 
 
 def learn(examples: DataFrame, size: int = PROFILE, sample: int = SAMPLE) -> dict[str, np.ndarray]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm.shared import hinted, map_batches
-from tilewright.llm.words import mix, word_parts
+from tilewright.llm.words import distinct_parts, mix
 
 BUCKETS = 1 << 17
 PREFIXES = (4, 5, 6, 8)
@@ -44,6 +44,8 @@ LEAST = 25
 _SALT = np.arange(1, 1 + len(PREFIXES), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _PAD = max(WIDTHS) - 1
 _CHUNK = 120_000
+#: Bytes of texts that are looked up together.
+_BYTES = 1 << 19
 
 
 @dataclass
@@ -58,29 +60,74 @@ class Model:
     scale: float = 1.0
 
 
+def looked_up(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embedding rows of the distinct words, ``ROWS`` columns, the place of every word among them, and words per text; row 0 is padding."""
+    h, place, lengths = distinct_parts(texts, PREFIXES)
+    h = np.concatenate([h[:, :1], mix(h[:, :1] + np.uint64(7)), mix(h[:, 1:] + _SALT)], axis=1)
+    return (h % np.uint64(BUCKETS - 1)).astype(np.int32) + 1, place, lengths
+
+
 def bucketed(text: bytes | None) -> np.ndarray:
     """Embedding rows of each word, ``ROWS`` columns; row 0 is padding."""
-    h = word_parts(text, PREFIXES)
-    h = np.concatenate([h[:, :1], mix(h[:, :1] + np.uint64(7)), mix(h[:, 1:] + _SALT)], axis=1)
-    return (h % np.uint64(BUCKETS - 1)).astype(np.int32) + 1
+    return bucketed_all([text])[0]
+
+
+def bucketed_all(texts: list[bytes | None]) -> list[np.ndarray]:
+    """``bucketed`` of each text."""
+    out = []
+    for some in _grouped(texts):
+        ids, place, lengths = looked_up(some)
+        out += np.split(ids[place], np.cumsum(lengths)[:-1])
+    return out
+
+
+def _grouped(texts):
+    """Lists of texts of ``_BYTES`` together, or of one that is longer."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text or b"")
+        if size > _BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _starts(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each document starts and ends in one row of all, with padding after each; one without words has one place."""
+    lengths = np.maximum(1, lengths)
+    starts = np.cumsum(lengths + _PAD) - lengths - _PAD
+    return starts, starts + lengths
 
 
 def _laid_out(docs: list[np.ndarray]):
     """All documents in one row with padding after each, and where each starts and ends."""
-    lengths = np.array([max(1, len(d)) for d in docs])
-    starts = np.concatenate([[0], np.cumsum(lengths + _PAD)[:-1]])
-    ids = np.zeros((int((lengths + _PAD).sum()), ROWS), np.int32)
+    starts, ends = _starts(np.array([len(d) for d in docs]))
+    ids = np.zeros((int(ends[-1]) + _PAD, ROWS), np.int32)
     for at, d in zip(starts, docs):
         ids[at : at + len(d)] = d
-    return ids, starts, starts + lengths
+    return ids, starts, ends
 
 
-def _convolved(model: Model, ids, starts, ends):
-    """Per width, the responses at every position; and each document's maxima."""
-    embedded = model.rows[ids[:, 0]]
+def _embedded(model: Model, ids: np.ndarray) -> np.ndarray:
+    out = model.rows[ids[:, 0]]
     for k in range(1, ROWS):
-        embedded += model.rows[ids[:, k]]
+        out += model.rows[ids[:, k]]
+    return out
+
+
+def _greatest(y: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Maxima of each document's places."""
     cuts = np.stack([starts, ends], axis=1).ravel()
+    # The last cut may be the end of the row.
+    padded = y if cuts[-1] < len(y) else np.concatenate([y, np.full((1 + cuts[-1] - len(y), y.shape[1]), -np.inf, y.dtype)])
+    return np.maximum.reduceat(padded, cuts)[::2]
+
+
+def _convolved(model: Model, ids, starts, ends):
+    """Per width, the responses at every position; and each document's maxima."""
+    embedded = _embedded(model, ids)
     responses, maxima = [], []
     for weights in model.filters:
         width = weights.shape[0]
@@ -88,23 +135,40 @@ def _convolved(model: Model, ids, starts, ends):
         y = embedded[:n] @ weights[0]
         for o in range(1, width):
             y += embedded[o : o + n] @ weights[o]
-        # The last cut may be the end of the row.
-        padded = y if cuts[-1] < n else np.concatenate([y, np.full((1 + cuts[-1] - n, y.shape[1]), -np.inf, y.dtype)])
-        maxima.append(np.maximum.reduceat(padded, cuts)[::2])
+        maxima.append(_greatest(y, starts, ends))
         responses.append(y)
     return embedded, responses, np.concatenate(maxima, axis=1)
 
 
-def logits(model: Model, docs: list[np.ndarray]) -> np.ndarray:
-    _, _, top = _convolved(model, *_laid_out(docs))
-    return np.maximum(top + model.bias, 0) @ model.out + model.constant
+def _logits(model: Model, ids: np.ndarray, place: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Logits of documents, from distinct words and each word's place among them; a distinct word meets the filters once."""
+    starts, ends = _starts(lengths)
+    laid = np.zeros(int(ends[-1]) + _PAD, np.int64)
+    laid[np.arange(len(place)) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)] = place + 1
+    embedded = _embedded(model, np.concatenate([np.zeros((1, ROWS), ids.dtype), ids]))
+    maxima = []
+    for weights in model.filters:
+        n = len(laid) - weights.shape[0] + 1
+        y = (embedded @ weights[0]).take(laid[:n], axis=0)
+        for o in range(1, len(weights)):
+            y += (embedded @ weights[o]).take(laid[o : o + n], axis=0)
+        maxima.append(_greatest(y, starts, ends))
+    return np.maximum(np.concatenate(maxima, axis=1) + model.bias, 0) @ model.out + model.constant
 
 
-def languages(model: Model, docs: list[np.ndarray]) -> np.ndarray:
+def _languages(model: Model, ids: np.ndarray, place: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Number of the likeliest language of each document."""
-    if model.words.shape[1] < 2:
-        return np.zeros(len(docs), int)
-    return np.array([int(np.argmax(model.words[a[:, 0]].sum(axis=0))) for a in docs])
+    out, own = np.zeros(len(lengths), int), np.flatnonzero(lengths)
+    if model.words.shape[1] > 1 and len(own):
+        sums = np.add.reduceat(model.words[ids[:, 0]].take(place, axis=0), (np.cumsum(lengths) - lengths)[own])
+        out[own] = sums.argmax(axis=1)
+    return out
+
+
+def _flattened(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents by embedding rows in the form of ``looked_up``."""
+    ids = np.concatenate(docs)
+    return ids, np.arange(len(ids)), np.array([len(d) for d in docs])
 
 
 def _chunks(docs):
@@ -118,13 +182,15 @@ def _chunks(docs):
         at = end
 
 
+def _calibrated_scores(model: Model, words) -> np.ndarray:
+    """Scores of documents in the form of ``looked_up``, 0 to 1."""
+    z = _logits(model, *words) - model.shifts[_languages(model, *words)]
+    return 1 / (1 + np.exp(-np.clip(model.scale * z, -40, 40)))
+
+
 def scores(model: Model, docs: list[np.ndarray]) -> np.ndarray:
     """Calibrated scores, 0 to 1."""
-    out = np.zeros(len(docs))
-    for part in _chunks(docs):
-        z = logits(model, docs[part]) - model.shifts[languages(model, docs[part])]
-        out[part] = 1 / (1 + np.exp(-np.clip(model.scale * z, -40, 40)))
-    return out
+    return np.concatenate([np.zeros(0), *(_calibrated_scores(model, _flattened(docs[part])) for part in _chunks(docs))])
 
 
 def _untrained(rng: np.random.Generator) -> tuple[Model, dict, list[np.ndarray]]:
@@ -200,7 +266,9 @@ def _trained(docs, labels: np.ndarray, epochs: int, seed: int, state=None) -> tu
             rows, grads = ids[np.concatenate(rows)], np.concatenate(grads)
             used, which = np.unique(rows.ravel(), return_inverse=True)
             grad = np.zeros((len(used), DIM), np.float32)
-            np.add.at(grad, which, np.repeat(grads, ROWS, axis=0))
+            # One number per cell, which numpy adds up faster than rows.
+            cells = (which.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
+            np.add.at(grad.ravel(), cells, np.repeat(grads, ROWS, axis=0).ravel())
             grad[used == 0] = 0
             sums["rows"][used] += (grad**2).mean(axis=1)
             model.rows[used] -= (0.1 * grad / (np.sqrt(sums["rows"][used])[:, None] + 1e-6)).astype(np.float32)
@@ -239,7 +307,8 @@ def _with_words(model: Model, counts: np.ndarray) -> Model:
 
 def _judged(model: Model, docs) -> tuple[np.ndarray, np.ndarray]:
     """Logit and guessed language of each document."""
-    parts = [(logits(model, docs[part]), languages(model, docs[part])) for part in _chunks(docs)]
+    words = [_flattened(docs[part]) for part in _chunks(docs)]
+    parts = [(_logits(model, *x), _languages(model, *x)) for x in words]
     return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0), np.zeros(0, int))
 
 
@@ -264,7 +333,7 @@ def _held_back(n: int) -> np.ndarray:
 
 def fit(rows: list[tuple[bytes | None, int, str | None]], epochs: int = EPOCHS, seed: int = 11) -> Model:
     """A model from (text, label, language) rows; a fifth of them sets the thresholds."""
-    docs = [bucketed(text) for text, _, _ in rows]
+    docs = bucketed_all([text for text, _, _ in rows])
     labels = np.array([label for _, label, _ in rows], float)
     names = sorted({lang for _, _, lang in rows if lang is not None})
     back = _held_back(len(rows))
@@ -278,7 +347,7 @@ def fit(rows: list[tuple[bytes | None, int, str | None]], epochs: int = EPOCHS,
 SLICES = 32
 
 
-def _by_part(parted: DataFrame, each, schema: str, read=bucketed) -> DataFrame:
+def _by_part(parted: DataFrame, each, schema: str, read=bucketed_all) -> DataFrame:
     """What ``each`` yields for a part, from its number, texts as ``read``, labels and languages in order of ids."""
 
     def run(batches):
@@ -294,7 +363,7 @@ def _by_part(parted: DataFrame, each, schema: str, read=bucketed) -> DataFrame:
             order = sorted(found, key=str)
             texts, labels, langs = ([found[i][k] for i in order] for k in (1, 2, 3))
             found.clear()
-            yield from each(number, [read(t) for t in texts], np.array(labels, float), langs)
+            yield from each(number, read(texts), np.array(labels, float), langs)
 
     return map_batches(parted, run, schema)
 
@@ -348,7 +417,7 @@ def _learned(spark: SparkSession, parted: DataFrame, parts: int, passes: int) ->
     def known(part, texts, truth, langs):
         yield (sorted({lang for lang in langs if lang is not None}),)
 
-    found = _by_part(parted, known, "lang STRING", read=bool)
+    found = _by_part(parted, known, "lang STRING", read=list)
     names = sorted(r["lang"] for r in found.distinct().collect())
     slices, state = "place INT, part INT, piece BINARY", _flat(*_untrained(np.random.default_rng(11)))
     # One part takes all passes at once.
@@ -397,15 +466,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def score(texts):
         import pyarrow as pa
 
-        held, out, words = [], [], 0
-        # One text after another, so that a batch is never held as Python objects.
-        for i in range(len(texts)):
-            held.append(bucketed(texts[i].as_py()))
-            words += len(held[-1])
-            if words > _CHUNK:
-                out.append(scores(shared.value, held))
-                held, words = [], 0
-        out.append(scores(shared.value, held))
-        return pa.array(np.concatenate(out))
+        # Some texts after another, so that a batch is never held as Python objects.
+        some = _grouped(texts[i].as_py() for i in range(len(texts)))
+        return pa.array(np.concatenate([np.zeros(0), *(_calibrated_scores(shared.value, looked_up(x)) for x in some)]))
 
     return docs.withColumn("score", score(F.expr("CAST(text AS BINARY)")))

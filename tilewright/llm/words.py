@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 SEGMENT = 1 << 20
+#: Bytes of several texts that are hashed at once, and slots in which their words are told apart.
+PIECE, SLOTS = 1 << 18, 1 << 17
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,11 +44,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def _segments(data: np.ndarray):
-    """Pieces of about a megabyte that never cut a word."""
+def _segments(data: np.ndarray, size: int = SEGMENT):
+    """Pieces of about a megabyte, or ``size``, that never cut a word."""
     at = 0
     while at < len(data):
-        end = min(at + SEGMENT, len(data))
+        end = min(at + size, len(data))
         if end < len(data):
             gaps = np.flatnonzero(~_IS_WORD[data[at:end]])
             if len(gaps):
@@ -63,22 +65,68 @@ def word_hashes(text: bytes | None) -> np.ndarray:
     return word_parts(text)[:, 0]
 
 
+def _spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word."""
+    return runs_of(_IS_WORD[data])
+
+
+def _sums(data: np.ndarray) -> np.ndarray:
+    """Sums over the first so many bytes, each by its power of the base."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_LOWER_VALUE[data] * powers(len(data))[0], out=total[1:])
+    return total
+
+
+def _hashed(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mix((total[ends] - total[starts]) * powers(len(total) - 1)[1][starts] + (ends - starts).astype(np.uint64))
+
+
 def word_parts(text: bytes | None, prefixes: tuple[int, ...] = ()) -> np.ndarray:
     """Per word its hash, and the hashes of its first so many bytes (of the word, if shorter)."""
     parts = []
     for data in _segments(np.frombuffer(text or b"", np.uint8)):
-        edges = np.diff(_IS_WORD[data].astype(np.int8), prepend=0, append=0)
-        starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        starts, ends = _spans(data)
         if not len(starts):
             continue
-        up, down = powers(len(data))
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_LOWER_VALUE[data] * up, out=total[1:])
-        cuts = [ends, *(np.minimum(starts + n, ends) for n in prefixes)]
-        parts.append(np.stack([mix((total[c] - total[starts]) * down[starts] + (c - starts).astype(np.uint64)) for c in cuts], axis=1))
+        total = _sums(data)
+        parts.append(np.stack([_hashed(total, starts, c) for c in (ends, *(np.minimum(starts + n, ends) for n in prefixes))], axis=1))
     return np.concatenate(parts) if parts else np.zeros((0, 1 + len(prefixes)), np.uint64)
 
 
+def _representatives(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of one hash of each value, and the number of each hash's own among them; where slots collide, a value has several."""
+    own = np.arange(len(hashes))
+    slots = (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+    held = np.empty(SLOTS, np.int64)
+    held[slots] = own
+    place = held[slots]
+    other = hashes[place] != hashes
+    place[other] = own[other]
+    first = place == own
+    return np.flatnonzero(first), (np.cumsum(first) - 1)[place]
+
+
+def distinct_parts(texts: list[bytes | None], prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``word_parts`` of the distinct words of several texts (some listed twice), each word's place among them, and words per text."""
+    joined = np.frombuffer(b"\0".join(t or b"" for t in texts), np.uint8)
+    bounds = np.cumsum([len(t or b"") + 1 for t in texts])
+    parts, places, begins, listed, at = [np.zeros((0, 1 + len(prefixes)), np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0, 0
+    for data in _segments(joined, PIECE):
+        starts, ends = _spans(data)
+        if len(starts):
+            total = _sums(data)
+            words = _hashed(total, starts, ends)
+            first, place = _representatives(words)
+            s, e = starts[first], ends[first]
+            parts.append(np.stack([words[first], *(_hashed(total, s, np.minimum(s + n, e)) for n in prefixes)], axis=1))
+            places.append(place + listed)
+            begins.append(starts + at)
+            listed += len(first)
+        at += len(data)
+    lengths = np.diff(np.searchsorted(np.concatenate(begins), bounds), prepend=0)
+    return np.concatenate(parts), np.concatenate(places), lengths
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of k items."""
     n = len(words) - k + 1
