@@ -219,3 +219,19 @@ def test_a_fit_of_several_blocks_is_one_job(spark, monkeypatch):
     monkeypatch.setattr(boosting, "_level_job", None)
     again, _ = boost(frame(spark, x, y, lambda i: [(0, True)]), FEATURES, "id", 3, 1, LEARNERS, rounds=2, depth=2)
     assert (whole.trees.value == again.trees.value).all()
+
+
+def test_each_learner_is_a_task_and_only_asked_rows_are_scored(spark, monkeypatch):
+    x, y = grid(130)
+    rows = frame(spark, x, y, lambda i: [(f, i % 3 != f) for f in range(3)])
+    every, scored = boost(rows, FEATURES, "id", 3, 3, LEARNERS, rounds=3, depth=2)
+    together, plain = boosting._alone, []
+    monkeypatch.setattr(boosting, "_refreshed", lambda state, *rest, f=boosting._refreshed: plain.append(state.count()) or f(state, *rest))
+    again, held = boost(rows, FEATURES, "id", 3, 3, LEARNERS, rounds=3, depth=2, held_out=True)
+    assert plain == [130] and scored.count() == 390
+    got = lambda df: sorted((r["_key"], r["fit"], bytes(r["scores"])) for r in df.filter("NOT train").collect())
+    assert got(held) == got(scored) and held.filter("train").isEmpty()
+    # The learners of a fit do not depend on each other.
+    cuts, own = every.cuts, np.arange(130) % 3 != 1
+    trees = together(boosting.binned(x[own], cuts), y[own], boosting.replace(every, fits=1), 3)
+    assert (trees.value[:, 0] == again.trees.value[:, 1]).all() and (trees.feature[:, 0] == again.trees.feature[:, 1]).all()
