@@ -207,6 +207,27 @@ def test_histograms_against_sums(monkeypatch, packed):
     assert (whole == rest).all() and counts.tolist() == [[int((n == at).sum()) for at in range(4)] for n in node]
 
 
+@pytest.mark.parametrize("width, features, rows", [(256, 3, 700), (31, 6, 2_000)])
+def test_pairs_are_two_bytes_a_row_and_cells_are_written_once(width, features, rows):
+    rng = np.random.default_rng(6)
+    bins = rng.integers(0, width, (rows, features)).astype(np.uint8)
+    bins[0] = width - 1
+    pairs = boosting._pairs(bins, width)
+    # One task keeps them for all rounds; whatever their size, the last pair of bins fits.
+    assert pairs.nbytes == 2 * -(-features // 2) * rows
+    assert pairs[0, 0] == width * width - 1
+    # Trees take turns in the same cells: what one of them leaves there is of no other.
+    weights = [rng.integers(-9, 9, (4, rows)).astype(float) for _ in range(2)]
+    node = rng.integers(0, 2, (4, rows)).astype(np.uint16)
+    node[1], node[2] = 0, 1
+    root, _ = boosting.histograms(bins, pairs, weights, node * 0, 1, width)
+    children, _ = boosting.histograms(bins, pairs, weights, node, 2, width, root)
+    for kind, feature, tree, at in np.ndindex(2, features, 4, 2):
+        own = node[tree] == at
+        assert (children[kind, feature, tree, at] == np.bincount(bins[own, feature], weights[kind][tree][own], width)).all()
+    assert (children.sum(axis=3) == root[:, :, :, 0]).all()
+
+
 def test_a_fit_of_several_blocks_is_one_job(spark, monkeypatch):
     monkeypatch.setattr(boosting, "BLOCK_ROWS", 40)
     x, y = grid(130)
