@@ -256,3 +256,28 @@ def test_each_learner_is_a_task_and_only_asked_rows_are_scored(spark, monkeypatc
     cuts, own = every.cuts, np.arange(130) % 3 != 1
     trees = together(boosting.binned(x[own], cuts), y[own], boosting.replace(every, fits=1), 3)
     assert (trees.value[:, 0] == again.trees.value[:, 1]).all() and (trees.feature[:, 0] == again.trees.feature[:, 1]).all()
+
+
+def test_rows_are_binned_once_whatever_the_number_of_their_fits(spark):
+    x, y = grid(130)
+    rows = frame(spark, x, y, lambda i: [(f, i % 3 != f) for f in range(3)])
+    cuts = boosting.thresholds(rows, FEATURES, 8)
+    shape = boosting.Boosting(FEATURES, cuts, 3, 3, LEARNERS, 2, boosting.Trees.empty(1, 3, 9, 2), np.full(3, 130))
+    placed = boosting._placed(rows, "id", shape)
+    # The plan lists what comes last first.
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("MapInArrow")
+    wanted = boosting.binned(x, cuts)
+    found = placed.collect()
+    assert sorted((r["_key"], r["fit"], r["train"]) for r in found) == [(i, f, i % 3 != f) for i in range(130) for f in range(3)]
+    assert all(bytes(r["bins"]) == wanted[r["_key"]].tobytes() and r["target"] == y[r["_key"]] and not any(r["scores"]) for r in found)
+
+
+def test_few_rows_are_few_tasks_of_the_final_model(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(modelling.LogisticRegression, "fit", lambda self, rows: seen.append((rows.rdd.getNumPartitions(), rows.count())))
+    rows = spark.range(40).selectExpr("id % 2 AS targets", "id").repartition(8)
+    modelling._fit_final(rows, 5)
+    monkeypatch.setattr(modelling, "FINAL_ROWS", 10)
+    modelling._fit_final(rows, 5)
+    assert seen == [(1, 40), (4, 40)]
