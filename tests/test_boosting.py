@@ -281,3 +281,20 @@ def test_few_rows_are_few_tasks_of_the_final_model(spark, monkeypatch):
     monkeypatch.setattr(modelling, "FINAL_ROWS", 10)
     modelling._fit_final(rows, 5)
     assert seen == [(1, 40), (4, 40)]
+
+
+def test_folds_of_all_sets_are_cut_in_one_go(spark, monkeypatch):
+    df, cut, calls = labelled(spark, 90).select("id", "label"), modelling.stratified_folds, []
+    monkeypatch.setattr(modelling, "stratified_folds", lambda *x: calls.append(x) or cut(*x))
+    parts = modelling._parts(df, "id", "label", SETTINGS, range(4)).collect()
+    # Once for the folds that are left out, once for all that is left.
+    assert len(calls) == 2
+    folds = lambda rows: {r["id"]: r["fold"] for r in cut(rows, "id", "label", 3, 42).collect()}
+    outer, wanted = folds(df), {i: [] for i in range(90)}
+    for left_out in range(4):
+        gone = [i for i, fold in outer.items() if fold == left_out - 1]
+        inner = folds(df.filter(~F.col("id").isin(gone)))
+        assert len(inner) == 90 - len(gone)
+        for i in wanted:
+            wanted[i] += [(4 * left_out + j, j != inner[i]) for j in range(4)] if i in inner else [(4 * left_out + 3, False)]
+    assert {r["_key"]: sorted(map(tuple, r["fits"])) for r in parts} == wanted
