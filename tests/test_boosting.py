@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -298,3 +301,56 @@ def test_folds_of_all_sets_are_cut_in_one_go(spark, monkeypatch):
         for i in wanted:
             wanted[i] += [(4 * left_out + j, j != inner[i]) for j in range(4)] if i in inner else [(4 * left_out + 3, False)]
     assert {r["_key"]: sorted(map(tuple, r["fits"])) for r in parts} == wanted
+
+
+def test_a_fit_of_many_blocks_is_one_job_and_its_rows_lie_in_several(spark, monkeypatch):
+    # Six times 102,560 rows are a fit of ten blocks; one task for each learner takes it.
+    assert boosting._is_alone(615_360)
+    x, y = grid(130)
+    whole, _ = boost(frame(spark, x, y, lambda i: [(0, True)]), FEATURES, "id", 3, 1, LEARNERS, rounds=2, depth=2)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 13)
+    monkeypatch.setattr(boosting, "_level_job", None)
+    dealt, place = [], boosting._placed
+    monkeypatch.setattr(boosting, "_placed", lambda *x: dealt.append(place(*x)) or dealt[0])
+    cut, _ = boost(frame(spark, x, y, lambda i: [(0, True)]), FEATURES, "id", 3, 1, LEARNERS, rounds=2, depth=2)
+    assert all((getattr(whole.trees, name) == getattr(cut.trees, name)).all() for name in boosting._PARTS)
+    # What a fit only scores is many tasks' work.
+    assert dealt[0].select(F.expr("spark_partition_id()")).distinct().count() > 3
+
+
+def test_bytes_that_a_task_keeps_for_a_row():
+    rng, rows = np.random.default_rng(7), 20_000
+    columns, target = rng.integers(0, 31, (64, rows)).astype(np.uint8), rng.integers(0, 10, rows)
+    shape = boosting.Boosting([f"f{i}" for i in range(64)], [np.arange(30.0)] * 64, 10, 1, [LEVELS], 3, boosting.Trees.empty(0, 1, 10, 3), np.array([rows]))
+    tracemalloc.start()
+    boosting._alone(columns.T, target, shape, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Histograms of one tree included, which do not grow with rows.
+    assert peak < 530 * rows
+    assert boosting._gradients_by_tree(rng.normal(size=(50, 10)), target[:50], 10)[0].nbytes == 4 * 50 * 10
+
+
+def test_thresholds_of_more_features_than_a_task_merges(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(90, 11)), 1)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    names = [f"f.{i}" for i in range(11)] + ["none", "whole"]
+    rows = spark.createDataFrame([(*map(float, r), None, i % 7) for i, r in enumerate(x)], ", ".join(f"`{n}` DOUBLE" for n in names[:-1]) + ", whole INT")
+    grouped, group = [], type(rows).groupBy
+    monkeypatch.setattr(type(rows), "groupBy", lambda self, *c: grouped.append(c) or group(self, *c))
+    found = boosting.thresholds(rows, names, 6)
+    # Two groups of features meet in tasks of their own.
+    assert grouped == [("_at",)]
+    for i, cuts in enumerate(found):
+        v = np.sort(x[:, i][~np.isnan(x[:, i])]) if i < 11 else np.sort(np.arange(90) % 7) if i == 12 else np.zeros(0)
+        assert cuts.tolist() == np.unique([v[int(np.ceil(len(v) * (k / 5))) - 1] for k in range(1, 5)] if len(v) else []).tolist()
+    assert [c.tolist() for c in boosting.thresholds(rows.limit(0), names, 6)] == [[]] * 13
+    assert boosting.thresholds(rows, [], 6) == []
+
+
+def test_small_batches_are_scored_together(monkeypatch):
+    monkeypatch.setattr(boosting, "SCORED_ROWS", 5)
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(3 * i, 3 * i + 3))}) for i in range(5)]
+    found = [b.column(0).to_pylist() for b in boosting._gathered(iter(batches))]
+    assert found == [list(range(6)), list(range(6, 12)), list(range(12, 15))] and not list(boosting._gathered(iter([])))
