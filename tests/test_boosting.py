@@ -354,3 +354,22 @@ def test_small_batches_are_scored_together(monkeypatch):
     batches = [pa.RecordBatch.from_pydict({"x": list(range(3 * i, 3 * i + 3))}) for i in range(5)]
     found = [b.column(0).to_pylist() for b in boosting._gathered(iter(batches))]
     assert found == [list(range(6)), list(range(6, 12)), list(range(12, 15))] and not list(boosting._gathered(iter([])))
+
+
+def test_scores_of_a_block_of_rows_against_plain_steps(spark):
+    # More rows than are looked up at once, in trees with and without splits, with missing and infinite values.
+    df = labelled(spark, 700).coalesce(1)
+    model = modelling.fit_base(df, FEATURES, "id", "label", modelling.StackSettings(n_estimators=3))
+    feature, threshold, value = model._arrays
+    found = df.select("id", *[F.col(f"`{c}`") for c in FEATURES], model.scores().alias("s")).collect()
+    assert (feature < 0).any() and len(found) == 700
+    for r in found:
+        x, total = [np.nan if v is None else v for v in r[1:5]], np.zeros(value.shape[1])
+        for number, tree in np.ndindex(value.shape[:2]):
+            node = 0
+            for level in range(3):
+                at = 2**level - 1 + node
+                split = feature[number, tree, at]
+                node = 2 * node + bool(split >= 0 and x[split] > threshold[number, tree, at])
+            total[tree] += value[number, tree, node]
+        assert r["s"] == boosting.probabilities(total[None], len(model.classes))[0].tolist()
