@@ -373,3 +373,14 @@ def test_scores_of_a_block_of_rows_against_plain_steps(spark):
                 node = 2 * node + bool(split >= 0 and x[split] > threshold[number, tree, at])
             total[tree] += value[number, tree, node]
         assert r["s"] == boosting.probabilities(total[None], len(model.classes))[0].tolist()
+
+
+def test_final_models_of_many_rows_are_fitted_two_at_a_time(spark, monkeypatch):
+    df, settings = labelled(spark, 90), modelling.StackSettings(n_estimators=1, folds=3, final_iterations=3)
+    seen, pool = [], modelling.ThreadPoolExecutor
+    monkeypatch.setattr(modelling, "ThreadPoolExecutor", lambda max_workers: seen.append(max_workers) or pool(max_workers))
+    few = modelling.cross_val_scores(df, FEATURES, "id", "label", settings).collect()
+    # Sixty rows of a fit on four cores.
+    monkeypatch.setattr(modelling, "FINAL_ROWS", 14)
+    many = modelling.cross_val_scores(df, FEATURES, "id", "label", settings).collect()
+    assert seen == [3, 2] and few == many
